@@ -17,6 +17,7 @@ partition pruning and Parquet statistics.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -41,7 +42,12 @@ MAX_SHARDS = 4096
 
 
 def shard_of(token: Column, shards: int) -> Column:
-    return F.pmod(F.hash(token), F.lit(shards))
+    return F.pmod(F.crc32(token.cast("binary")), F.lit(shards)).cast("int")
+
+
+def shard_number(token: str, shards: int) -> int:
+    """The same on the driver, for pruning by literal."""
+    return zlib.crc32(token.encode("utf-8")) % shards
 
 
 def tokenise(facts: DataFrame) -> DataFrame:

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.porter import stem_udf
 from factloom.functions.text import clamp, like_contains, split_clean, tokens
-from factloom.operators.index import COLUMN_SPAN, COLUMN_WEIGHTS, TextIndex, shard_of
-from factloom.operators.skew import broadcast_if_small
+from factloom.operators.index import COLUMN_SPAN, COLUMN_WEIGHTS, TextIndex, shard_number
+from factloom.operators.skew import BROADCAST_CHARS, BROADCAST_ROWS, broadcast_if_small
 
 # BM25 parameters, and the floor for words held by half of all facts or more.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -30,71 +31,95 @@ def query_table(spark: SparkSession, queries: Sequence[str]) -> DataFrame:
     return spark.createDataFrame(rows, "query_id long, query string")
 
 
-def parse_queries(queries: DataFrame) -> DataFrame:
-    """(query_id, phrase, mult): every whitespace-separated word is one phrase.
+@dataclass(frozen=True)
+class Phrases:
+    """Parsed queries: (query_id, phrase, mult), and the same as a list if they are few.
+
+    A short list is planned on the driver: its tokens become literals that prune
+    the postings, and its rows are proven small enough to broadcast. A longer
+    one stays a distributed table and is joined by shuffle.
+    """
+
+    table: DataFrame
+    rows: list | None
+
+    def side(self, df: DataFrame) -> DataFrame:
+        """A table with at most one row per query and phrase, ready to join."""
+        return df if self.rows is None else F.broadcast(df)
+
+    @property
+    def longest(self) -> int:
+        if self.rows is not None:
+            return max((len(row["phrase"]) for row in self.rows), default=0)
+        return self.table.agg(F.max(F.size("phrase"))).first()[0] or 0
+
+
+def parse_queries(queries: DataFrame, stemmed: bool = False) -> Phrases:
+    """Every whitespace-separated word of a query table (query_id, query) is one phrase.
 
     A repeated word counts as often as it is written; a word without letters or
-    digits yields no phrase.
+    digits yields no phrase. With ``stemmed``, phrases consist of stems.
     """
     words = F.explode(F.split("query", r"(?U)\s+")).alias("word")
-    return (
+    phrases = (
         queries.select("query_id", words)
         .select("query_id", tokens(F.col("word")).alias("phrase"))
         .where(F.size("phrase") > 0)
-        .groupBy("query_id", "phrase")
-        .agg(F.count(F.lit(1)).alias("mult"))
     )
+    if stemmed:
+        phrases = _stem_phrases(phrases)
+    phrases = phrases.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("mult"))
+    rows = phrases.limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) > BROADCAST_ROWS or sum(len(t) for row in rows for t in row["phrase"]) > BROADCAST_CHARS:
+        return Phrases(phrases, None)
+    return Phrases(queries.sparkSession.createDataFrame(rows, phrases.schema), rows)
+
+
+def _stem_phrases(phrases: DataFrame) -> DataFrame:
+    """Phrases over stems; each distinct token passes the UDF once."""
+    distinct = phrases.select("phrase").distinct()
+    places = distinct.select("phrase", F.posexplode("phrase").alias("offset", "token"))
+    stems = places.select("token").distinct().withColumn("stem", stem_udf("token"))
+    stemmed = places.join(stems, "token").groupBy("phrase").agg(
+        F.sort_array(F.collect_list(F.struct("offset", "stem"))).alias("places")
+    )
+    return phrases.join(stemmed, "phrase").select("query_id", F.col("places.stem").alias("phrase"))
 
 
-def _only(df: DataFrame, column: str, wanted: DataFrame) -> list | None:
-    """The distinct wanted values if they are few enough to be pushed as literals."""
-    rows = wanted.select(column).distinct().limit(PUSHED_VALUES + 1).collect()
-    return [row[0] for row in rows] if len(rows) <= PUSHED_VALUES else None
-
+def _terms(index: TextIndex, phrases: Phrases, stemmed: bool) -> tuple[DataFrame, list[str] | None]:
+    """(phrase, size, offset, token): the index tokens that fill each place of each phrase.
 
-def _terms(index: TextIndex, phrases: DataFrame, stemmed: bool) -> DataFrame:
-    """(phrase, offset, size, token): the index tokens that can fill each place of each phrase."""
+    Also the distinct tokens, if they are few enough to be known on the driver.
+    """
     terms = (
-        phrases.select("phrase").distinct()
+        phrases.table.select("phrase").distinct()
         .select("phrase", F.size("phrase").alias("size"), F.posexplode("phrase").alias("offset", "token"))
     )
+    known = None if phrases.rows is None else sorted({token for row in phrases.rows for token in row["phrase"]})
     if not stemmed:
-        return terms
-    stems = _only(terms, "token", terms)
+        return phrases.side(terms), known
     vocab = index.vocab.select("stem", "token")
-    if stems is not None:
-        vocab = vocab.where(F.col("stem").isin(stems))
-    return terms.withColumnRenamed("token", "stem").join(vocab, "stem").drop("stem")
-
-
-def stem_phrases(phrases: DataFrame) -> DataFrame:
-    """The same phrases over stems; equal stems of one query add up their counts."""
-    flat = phrases.withColumn("__id", F.struct("query_id", "phrase")).select(
-        "__id", "mult", F.posexplode("phrase").alias("offset", "token")
-    )
-    stemmed = flat.withColumn("token", stem_udf("token"))
-    return (
-        stemmed.groupBy("__id", "mult")
-        .agg(F.sort_array(F.collect_list(F.struct("offset", "token"))).alias("ts"))
-        .select(F.col("__id.query_id").alias("query_id"), F.col("ts.token").alias("phrase"), "mult")
-        .groupBy("query_id", "phrase")
-        .agg(F.sum("mult").alias("mult"))
-    )
-
-
-def match_phrases(index: TextIndex, phrases: DataFrame, stemmed: bool = False) -> DataFrame:
+    terms = terms.withColumnRenamed("token", "stem")
+    if known is None:
+        return terms.join(vocab, "stem").drop("stem"), None
+    if len(known) <= PUSHED_VALUES:
+        vocab = vocab.where(F.col("stem").isin(known))
+    forms = vocab.join(F.broadcast(terms.select("stem").distinct()), "stem").limit(BROADCAST_ROWS + 1).collect()
+    if len(forms) > BROADCAST_ROWS:
+        return terms.join(vocab, "stem").drop("stem"), None
+    forms_table = terms.sparkSession.createDataFrame(forms, "stem string, token string")
+    terms = F.broadcast(terms.join(F.broadcast(forms_table), "stem").drop("stem"))
+    return terms, sorted({row["token"] for row in forms})
+
+
+def match_phrases(index: TextIndex, phrases: Phrases, stemmed: bool = False) -> DataFrame:
     """Weighted occurrences ``f`` of each distinct phrase in each fact, over the whole store."""
-    terms = broadcast_if_small(_terms(index, phrases, stemmed))
+    terms, known = _terms(index, phrases, stemmed)
     postings = index.postings
-    wanted = _only(postings, "token", terms)
-    if wanted is not None:
-        spark = postings.sparkSession
-        shards = spark.createDataFrame([(t,) for t in wanted], "token string").select(
-            shard_of(F.col("token"), index.shards)
-        )
-        postings = postings.where(
-            F.col("shard").isin([row[0] for row in shards.distinct().collect()]) & F.col("token").isin(wanted)
-        )
+    if known is not None:
+        postings = postings.where(F.col("shard").isin(sorted({shard_number(t, index.shards) for t in known})))
+        if len(known) <= PUSHED_VALUES:
+            postings = postings.where(F.col("token").isin(known))
     carried = ["phrase", "fact_id", "doc_len", "repo", "category", "confidence", "source", "ts", "linked"]
     hits = postings.join(terms, "token")
 
@@ -103,23 +128,23 @@ def match_phrases(index: TextIndex, phrases: DataFrame, stemmed: bool = False) -
     )
     if stemmed:  # several index tokens may share the stem
         single = single.groupBy(*carried).agg(F.sum("f").alias("f"))
+    if phrases.longest <= 1:
+        return single
 
     # A phrase of several tokens occurs where all its tokens agree on the start.
-    start = F.explode("positions").alias("pos")
-    weight = F.element_at(F.array(*map(F.lit, _WEIGHTS)), F.shiftright("start", COLUMN_SPAN.bit_length() - 1) + 1)
+    column = F.shiftright("start", COLUMN_SPAN.bit_length() - 1)
+    weight = F.element_at(F.array(*map(F.lit, _WEIGHTS)), column + 1)
     longer = (
         hits.where("size > 1")
-        .select(*carried, "size", "offset", start)
+        .select(*carried, "size", "offset", F.explode("positions").alias("pos"))
         .withColumn("start", F.col("pos") - F.col("offset"))
+        .where("start >= 0")
         .groupBy(*carried, "size", "start")
         .agg(F.count(F.lit(1)).alias("held"))
         .where("held = size")
         .groupBy(*carried)
         .agg(F.sum(weight).alias("f"))
     )
-    longest = phrases.agg(F.max(F.size("phrase"))).first()[0]
-    if longest is None or longest == 1:
-        return single
     return single.unionByName(longer)
 
 
@@ -141,12 +166,10 @@ def score(
     linked_only: bool = True,
 ) -> DataFrame:
     """BM25 score (negative, smaller is better) of every matching fact for every query."""
-    phrases = parse_queries(queries)
-    if stemmed:
-        phrases = stem_phrases(phrases)
-    phrases = phrases.sparkSession.createDataFrame([], phrases.schema) if phrases.isEmpty() else phrases
+    phrases = parse_queries(queries, stemmed)
     matches = match_phrases(index, phrases, stemmed)
-    weights = phrases.join(phrase_idf(index, matches), "phrase").select("query_id", "phrase", "mult", "idf")
+    idf = phrase_idf(index, matches)
+    weights = phrases.side(phrases.table.join(idf, "phrase").select("query_id", "phrase", "mult", "idf"))
 
     wanted = matches
     if linked_only:
@@ -161,9 +184,8 @@ def score(
     _, average = index.size
     norm = K1 * (F.lit(1 - B) + F.lit(B) * F.col("doc_len") / F.lit(average or 1.0))
     gain = F.col("mult") * F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + norm)
-    # The weights hold one row per query and phrase, the table checked by match_phrases.
     return (
-        wanted.join(broadcast_if_small(weights), "phrase")
+        wanted.join(weights, "phrase")
         .groupBy("query_id", "fact_id", "repo", "category", "confidence", "source", "ts")
         .agg((-F.sum(gain)).alias("score"))
     )
@@ -186,23 +208,23 @@ FACT_COLUMNS = [
 ]
 
 
-def attach_facts(hits: DataFrame, facts: DataFrame, analyses: DataFrame | None) -> DataFrame:
+def attach_facts(hits: DataFrame, facts: DataFrame, analyses: DataFrame) -> DataFrame:
     """Full rows for ranked hits (``fact_id`` plus result columns).
 
     Hits are a top-k result. While they are few, their ids are pushed into the
-    facts scan, so that only the files and row groups holding them are read.
+    facts scan and their keys into the analyses scan, so that only the files and
+    row groups holding them are read; else both are joined by shuffle.
     """
     spark = facts.sparkSession
-    rows = hits.limit(PUSHED_VALUES + 1).collect()
-    if len(rows) <= PUSHED_VALUES:
-        hits = spark.createDataFrame(rows, hits.schema)
-        facts = facts.where(F.col("fact_id").isin([row["fact_id"] for row in rows]))
     columns = [name for name in FACT_COLUMNS if name in facts.columns]
-    out = broadcast_if_small(hits).join(facts.select("fact_id", *columns), "fact_id")
-    if analyses is not None:
-        times = analyses.select("pr_id", "repo", "ts", "triggered_by")
-        out = out.drop("ts").join(times, ["pr_id", "repo"])
-    return out
+    facts = facts.select("fact_id", *columns)
+    times = analyses.select("pr_id", "repo", "ts", "triggered_by")
+    rows = hits.limit(PUSHED_VALUES + 1).collect()
+    if len(rows) > PUSHED_VALUES:
+        return hits.join(facts, "fact_id").join(times, ["pr_id", "repo"])
+    hits = spark.createDataFrame(rows, hits.schema)
+    facts = facts.where(F.col("fact_id").isin([row["fact_id"] for row in rows]))
+    return F.broadcast(hits).join(facts, "fact_id").join(times, ["pr_id", "repo"])
 
 
 def search_batch(

@@ -121,11 +121,10 @@ def stem_vocab(spark, sf):
 @query
 def index_incremental(spark, sf):
     """Replace the facts whose modules come again in the conversations; document frequencies after it."""
-    old, analyses = table(spark, sf, "kb_facts"), table(spark, sf, "kb_analyses")
-    incoming = table(spark, sf, "kb_analyses_talk")
-    gone = merge.replaced_rows(old, incoming, "fact_id")
+    gone = merge.replaced_rows(table(spark, sf, "kb_facts"), table(spark, sf, "kb_analyses_talk"), "fact_id")
     added = table(spark, sf, "kb_facts_talk").withColumn("fact_id", F.col("fact_id") + merge.ID_SPAN)
-    updated = index.update_index(stored_index(spark, sf), gone, added, incoming.unionByName(analyses).distinct())
+    analyses = merge.merge_analyses(_united(spark, sf, ("kb_analyses", "kb_analyses_talk"), "pr_analyses"))
+    updated = index.update_index(stored_index(spark, sf), gone, added, analyses)
     return updated.vocab.select("token", "df")
 
 
@@ -150,8 +149,8 @@ def phrase_scores(spark, sf):
 
 @query
 def phrase_match(spark, sf):
-    phrases = search.parse_queries(search.query_table(spark, [PHRASES])).where(F.size("phrase") > 1)
-    found = search.match_phrases(stored_index(spark, sf), phrases)
+    phrases = search.parse_queries(search.query_table(spark, [PHRASES]))
+    found = search.match_phrases(stored_index(spark, sf), phrases).where(F.size("phrase") > 1)
     return found.select(F.array_join("phrase", " ").alias("phrase"), "fact_id", "f")
 
 
@@ -482,7 +481,7 @@ def get_analysis(spark, sf):
     nested = nested_ops.get_analysis(
         table(spark, sf, "kb_analyses"), table(spark, sf, "kb_facts"), table(spark, sf, "kb_dependencies"), MODULE
     )
-    return _text(nested.select("pr_id", "repo", F.explode("facts").alias("f")).select("pr_id", "repo", "f.*"), "summary").select(
+    return _text(nested.select("pr_id", "repo", F.inline("facts")), "summary").select(
         "pr_id", "repo", "fact_id", "category", "summary", "confidence"
     )
 
@@ -536,7 +535,8 @@ def pack_snapshots(fact_rows: DataFrame, rows_per_file: int = 20_000) -> DataFra
         connection.executemany(insert, rows[columns].astype(object).itertuples(index=False, name=None))
         connection.commit()
         content = connection.serialize()
-        return pd.DataFrame([(0, f"{key[0]}-{key[1]}.db", len(content), content)])
+        row = (0, f"{key[0]}-{key[1]}.db", len(content), content)
+        return pd.DataFrame([row], columns=["source_no", "path", "length", "content"], dtype=object)
 
     counts = fact_rows.groupBy("repo").agg(F.ceil(F.count(F.lit(1)) / rows_per_file).cast("int").alias("files"))
     slim = fact_rows.select(

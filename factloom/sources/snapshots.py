@@ -13,7 +13,7 @@ import sys
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -111,11 +111,11 @@ def _open_snapshot(content: bytes) -> sqlite3.Connection:
     return connection
 
 
-def _snapshot_rows(source_no: int, path: str, content: bytes) -> Iterator[pd.DataFrame]:
+def _snapshot_rows(source_no: int, path: str, content: bytes) -> Iterator[pa.RecordBatch]:
     try:
         connection = _open_snapshot(content)
     except sqlite3.Error as error:
-        yield _frame([(source_no, path, REJECTS, str(error))], ["source_no", "path", "table_name", "error"])
+        yield _batch(source_no, path, REJECTS, {"error": [str(error)]}, 1)
         return
     for table, columns in FILE_COLUMNS.items():
         present = {row[1] for row in connection.execute(f"PRAGMA table_info({table})")}
@@ -124,21 +124,25 @@ def _snapshot_rows(source_no: int, path: str, content: bytes) -> Iterator[pd.Dat
             continue
         cursor = connection.execute(f"SELECT {', '.join(names)} FROM {table}")
         while rows := cursor.fetchmany(ROWS_PER_BATCH):
-            yield _frame(
-                [(source_no, path, table, *row) for row in rows], ["source_no", "path", "table_name", *names]
-            )
+            yield _batch(source_no, path, table, dict(zip(names, zip(*rows))), len(rows))
     connection.close()
 
 
-def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=names, dtype=object)
-    return frame.reindex(columns=["source_no", "path", "table_name", "error", *_ALL_COLUMNS])
+def _batch(source_no: int, path: str, table: str, columns: dict[str, Sequence], count: int) -> pa.RecordBatch:
+    """One Arrow batch in the union layout; columns a table lacks are null."""
+    fixed = {"source_no": [source_no] * count, "path": [path] * count, "table_name": [table] * count}
+    values = {**fixed, **columns}
+    types = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "int": pa.int32()}
+    layout = {"source_no": "int", "path": "string", "table_name": "string", "error": "string", **_ALL_COLUMNS}
+    arrays = [pa.array(values.get(name, [None] * count), types[kind]) for name, kind in layout.items()]
+    return pa.RecordBatch.from_arrays(arrays, names=list(layout))
 
 
-def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for source_no, path, content in zip(batch["source_no"], batch["path"], batch["content"]):
-            yield from _snapshot_rows(int(source_no), path, bytes(content))
+        for row in range(batch.num_rows):
+            source_no, path, content = (batch.column(name)[row].as_py() for name in ("source_no", "path", "content"))
+            yield from _snapshot_rows(source_no, path, content)
 
 
 def land_snapshots(files: DataFrame, out: str | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
@@ -151,7 +155,7 @@ def land_snapshots(files: DataFrame, out: str | None = None) -> tuple[dict[str,
     out = out or scratch_path(spark, "landed")
     files = files.select("source_no", "path", "length", "content")
     small = files.where(F.col("length") <= MAX_FILE_BYTES).select("source_no", "path", "content")
-    parsed = small.mapInPandas(_parse_files, _ROW_SCHEMA)
+    parsed = small.mapInArrow(_parse_files, _ROW_SCHEMA)
     large = files.where(F.col("length") > MAX_FILE_BYTES).select(
         "source_no", "path", F.lit(REJECTS).alias("table_name"),
         F.lit("too large for one task; provide the tables as Parquet").alias("error"),
