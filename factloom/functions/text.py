@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import string
 import unicodedata
 
 from pyspark.sql import Column
@@ -72,22 +71,28 @@ def word_set(text: Column, ignored: tuple[str, ...] = IGNORED_WORDS) -> Column:
     """Distinct lower-case ASCII words minus the ignored ones, sorted."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD_PATTERN), F.lit(0))
     stop = F.array(*[F.lit(w) for w in ignored]) if ignored else F.array().cast("array<string>")
-    return F.array_sort(F.array_except(words, stop))
+    return F.sort_array(F.array_except(words, stop))
 
 
-def ascii_lower(text: Column) -> Column:
-    """Case folding of the substring operators: ASCII letters only."""
-    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+# The two wildcards of LIKE, as regular expressions.
+LIKE_WILDCARDS = {"%": ".*", "_": "."}
 
 
-def ascii_lower_str(text: str) -> str:
-    return text.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
+def _folded_pattern(term: str, wildcards: dict[str, str]) -> str:
+    """A Java pattern found where the term is; its (?i) folds ASCII letters only, (?s) lets a dot span lines."""
+    return "(?is)" + "".join(
+        wildcards.get(ch) or (ch if ch.isalnum() or not ch.isascii() else "\\" + ch) for ch in term
+    )
 
 
 def like_contains(text: Column, term: str) -> Column:
     """``text LIKE '%term%'`` with live wildcards, no escape character, ASCII case folding."""
-    pattern = ascii_lower_str(term).replace("\\", "\\\\")
-    return ascii_lower(text).like(f"%{pattern}%")
+    return text.rlike(_folded_pattern(term.strip("%"), LIKE_WILDCARDS))
+
+
+def folded_contains(text: Column, term: str) -> Column:
+    """The term itself anywhere in the text, ASCII case folding."""
+    return text.rlike(_folded_pattern(term, {})) if term else text.isNotNull()
 
 
 def component_stem(component: str) -> str:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import ascii_lower, ascii_lower_str, component_stem
+from factloom.functions.text import component_stem, folded_contains
 
 # Standard-library and framework names left out of impact results.
 NOISE_NAMES = (
@@ -25,8 +25,8 @@ REPO_EDGE_COLUMNS = ["from_repo", "to_repo", "manifest", "raw_import", "relation
 
 
 def _touches(component: str) -> Column:
-    stem = ascii_lower_str(component_stem(component))
-    return ascii_lower(F.col("from_component")).contains(stem) | ascii_lower(F.col("to_component")).contains(stem)
+    stem = component_stem(component)
+    return folded_contains(F.col("from_component"), stem) | folded_contains(F.col("to_component"), stem)
 
 
 def _without_noise(edges: DataFrame, noise: Sequence[str]) -> DataFrame:

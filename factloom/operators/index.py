@@ -10,9 +10,10 @@ date without storing scores:
 ``vocab``     one row per token: its stem and document frequency.
 ``stats``     one row: number of facts and their total length.
 
-``postings`` is partitioned by a hash of the token and range-sorted by (token,
-fact), so a frequent token spreads over many files and a rare one is found by
-partition pruning and Parquet statistics.
+``postings`` is partitioned by a hash of the token and sorted by (token, fact)
+inside each file, so a token is found by partition pruning and Parquet
+statistics. Files are cut by size at run time: a shard with a very frequent
+token is spread over as many files, and written by as many tasks, as it needs.
 """
 
 from __future__ import annotations
@@ -77,23 +78,47 @@ def document_rows(facts: DataFrame) -> DataFrame:
 def posting_rows(linked_facts: DataFrame) -> DataFrame:
     """Postings of facts that already carry the ranking attributes.
 
-    All occurrences of a fact come out of one input row, so the map-side half
-    of the aggregation does nearly all of the work before the shuffle.
+    All occurrences of a fact come from one input row, so they are grouped by
+    token inside that row: sort (token, position) pairs, cut the sorted list
+    where the token changes. Nothing is shuffled or aggregated.
     """
+    width = range(len(COLUMN_WEIGHTS))
     split = linked_facts.select(
         "fact_id", *ATTRIBUTES, *[tokens(F.col(name)).alias(f"t{i}") for i, name in enumerate(COLUMN_WEIGHTS)]
     )
-    width = range(len(COLUMN_WEIGHTS))
-    length = sum(F.size(f"t{i}") for i in width)
-    columns = F.array(*[F.struct(F.lit(i).alias("col"), F.col(f"t{i}").alias("words")) for i in width])
-    occurrences = split.select(
-        "fact_id", *ATTRIBUTES, length.alias("doc_len"), F.explode(columns).alias("c")
-    ).select(
-        "fact_id", *ATTRIBUTES, "doc_len", F.col("c.col").alias("col"), F.posexplode("c.words").alias("pos", "token")
+
+    def placed(i: int) -> Column:
+        return F.transform(
+            f"t{i}", lambda t, p: F.struct(t.alias("token"), (p + F.lit(i * COLUMN_SPAN)).alias("position"))
+        )
+
+    ordered = split.select(
+        "fact_id", *ATTRIBUTES, sum(F.size(f"t{i}") for i in width).cast("long").alias("doc_len"),
+        F.sort_array(F.concat(*[placed(i) for i in width])).alias("found"),
+    )
+    places = F.when(F.size("found") > 0, F.sequence(F.lit(0), F.size("found") - 1)).otherwise(
+        F.array().cast("array<int>")
     )
-    return occurrences.groupBy("token", "fact_id", "doc_len", *ATTRIBUTES).agg(
-        *[F.sum((F.col("col") == i).cast("int")).cast("int").alias(f"tf{i}") for i in width],
-        F.sort_array(F.collect_list((F.col("col") * COLUMN_SPAN + F.col("pos")).cast("int"))).alias("positions"),
+
+    def changes(i: Column) -> Column:
+        return (i == 0) | (F.get("found", i)["token"] != F.get("found", i - 1)["token"])
+
+    cut = ordered.withColumn("starts", F.filter(places, changes))
+
+    def run(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("starts", k + 1), F.size("found"))
+        return F.struct(
+            F.get("found", start)["token"].alias("token"),
+            F.slice("found", start + 1, end - start)["position"].alias("positions"),
+        )
+
+    runs = cut.select("fact_id", "doc_len", *ATTRIBUTES, F.inline(F.transform("starts", run)))
+
+    def count_in(i: int) -> Column:
+        return F.size(F.filter("positions", lambda p: F.shiftright(p, COLUMN_SPAN.bit_length() - 1) == i))
+
+    return runs.select(
+        "token", "fact_id", "doc_len", *ATTRIBUTES, *[count_in(i).alias(f"tf{i}") for i in width], "positions"
     )
 
 
@@ -131,13 +156,13 @@ def write_index(docs: DataFrame, postings: DataFrame, path: str) -> TextIndex:
     shards = int(min(MAX_SHARDS, max(8, -(-count // FACTS_PER_SHARD))))
     (
         postings.withColumn("shard", shard_of(F.col("token"), shards))
-        .repartitionByRange("shard", "token", "fact_id")
+        .hint("rebalance", "shard")
         .sortWithinPartitions("shard", "token", "fact_id")
         .write.partitionBy("shard")
         .parquet(f"{path}/postings")
     )
     stored = spark.read.parquet(f"{path}/postings")
-    vocabulary_rows(stored.select("token")).repartitionByRange("stem").sortWithinPartitions("stem").write.parquet(
+    vocabulary_rows(stored.select("token")).hint("rebalance").sortWithinPartitions("stem").write.parquet(
         f"{path}/vocab"
     )
     return open_index(spark, path, shards)

@@ -27,8 +27,12 @@ FIRST_FRONT, FRONT_GROWTH, MAX_FRONT = 32, 4, 1000
 
 
 def _exceeds(shared: Column, total: Column) -> Column:
-    """Jaccard above NUM/DEN, from the overlap and the sum of both set sizes."""
-    return DEN * shared > NUM * (total - shared)
+    """Jaccard above NUM/DEN, from the overlap and the sum of both set sizes.
+
+    shared / (total - shared) > NUM / DEN, written so that the overlap, which is
+    costly to find, is evaluated once.
+    """
+    return (DEN + NUM) * shared > NUM * total
 
 
 def collapse_ranked(
@@ -70,73 +74,79 @@ def collapse_ranked(
 class Collapse:
     """Result of a whole-table collapse, by row id."""
 
-    kept: DataFrame  # (group, id): surviving rows with words
-    empty: DataFrame  # (group, id): rows without words, all of which survive
+    rows: DataFrame  # (group, id, words): the input
     sets: DataFrame  # (group, id, words, size): distinct word sets at their first row
-    copies: DataFrame  # (group, id, first_id): every row with words and the first row of its set
-    prefix: DataFrame  # (group, token, id, size, place)
+    kept: DataFrame  # (group, id): surviving rows with words
+    prefix: DataFrame  # (block, id, size, place)
+    has_empty: bool
 
     def survivors(self) -> DataFrame:
-        return self.kept.unionByName(self.empty)
+        """Kept rows, and all rows without words."""
+        if not self.has_empty:
+            return self.kept
+        return self.kept.unionByName(self.rows.where(F.size("words") == 0).select("group", "id"))
+
+
+def _prefix_length(size: Column) -> Column:
+    return size - F.floor(size * NUM / DEN).cast("int")
 
 
 def _prefixes(sets: DataFrame, rows_per_split: int) -> DataFrame:
-    """The rarest words of each set, enough that any two similar sets share one.
+    """The blocks of each set: its rarest words, enough that any two similar sets share one.
 
     A set of size s overlaps a similar one in more than 3s/4 words, so it must
     share one of its first s - floor(3s/4) words in any order common to all;
-    rare words first keeps the blocks small.
+    rare words first keeps the blocks small. A block is the hash of group and
+    word: two words that collide only add candidates, which are verified anyway.
     """
-    words = sets.select("group", "id", "size", F.explode("words").alias("token"))
-    counts = words.groupBy("group", "token").agg(F.count(F.lit(1)).alias("__n"))
-    counted = salted_lookup(words, counts, ["group", "token"], "inner", "id", rows_per_split, counts)
-    ordered = counted.groupBy("group", "id", "size").agg(
-        F.sort_array(F.collect_list(F.struct("__n", "token"))).alias("words")
-    )
-    length = F.col("size") - F.floor(F.col("size") * NUM / DEN).cast("int")
-    return ordered.select(
-        "group", "id", "size", F.posexplode(F.slice(F.col("words.token"), F.lit(1), length)).alias("place", "token")
+    words = sets.select("id", "size", "group", F.explode("words").alias("word")).select(
+        "id", "size", F.xxhash64("group", "word").alias("block")
     )
+    counts = materialise(words.groupBy("block").agg(F.count(F.lit(1)).alias("__n")), "counts")
+    counted = salted_lookup(words, counts, ["block"], "inner", "id", rows_per_split, counts)
+    ordered = counted.groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("__n", "block"))).alias("words"))
+    shown = F.slice(F.col("words.block"), F.lit(1), _prefix_length(F.col("size")))
+    return ordered.select("id", "size", F.posexplode(shown).alias("place", "block"))
+
+
+def _side(prefix: DataFrame, name: str) -> DataFrame:
+    renamed = [F.col(column).alias(f"{column}_{name}") for column in ("size", "place")]
+    return prefix.select("block", F.col("id").alias(name), *renamed)
 
 
 def _candidates(joined: DataFrame) -> DataFrame:
-    """Pairs that share a prefix word and can still reach the overlap.
+    """Pairs (a before b) that share a block and can still reach the overlap.
 
     Sizes bound the overlap, and so does the place of the first shared word:
     nothing before it is shared, so at most the shorter remainder is.
     """
-    first_possible = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
-    total = F.col("size_a") + F.col("size_b")
-    fits = _exceeds(F.least("size_a", "size_b"), total) & _exceeds(first_possible, total)
-    return joined.where(fits).select("group", "a", "b").distinct()
+    remainder = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    fits = _exceeds(remainder, F.col("size_a") + F.col("size_b"))
+    return joined.where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs whose full word sets really overlap enough, with both counts."""
-    left = sets.select("group", F.col("id").alias("a"), F.col("words").alias("wa"))
-    right = sets.select("group", F.col("id").alias("b"), F.col("words").alias("wb"))
+    """Pairs whose full word sets really overlap enough, with both counts.
+
+    The candidates are stored first: with their size known, Spark can broadcast
+    a short list to the word sets instead of shuffling those.
+    """
+    pairs = materialise(pairs, "pairs")
+    left = sets.select(F.col("id").alias("a"), F.col("words").alias("wa"))
+    right = sets.select(F.col("id").alias("b"), F.col("words").alias("wb"))
     shared = F.size(F.array_intersect("wa", "wb"))
     total = F.size("wa") + F.size("wb")
     return (
-        pairs.join(left, ["group", "a"]).join(right, ["group", "b"])
-        .select("group", "a", "b", shared.alias("shared"), total.alias("total"))
+        pairs.join(left, "a").join(right, "b")
+        .select("a", "b", shared.alias("shared"), total.alias("total"))
         .where(_exceeds(F.col("shared"), F.col("total")))
     )
 
 
-def _side(prefix: DataFrame, name: str) -> DataFrame:
-    return prefix.select(
-        "group", "token", F.col("id").alias(name), F.col("size").alias(f"size_{name}"),
-        F.col("place").alias(f"place_{name}"),
-    )
-
-
 def _star(leaders: DataFrame, others: DataFrame, sets: DataFrame, rows_per_split: int) -> DataFrame:
-    """Verified pairs (a kept row, a later other row) sharing a prefix word."""
-    joined = salted_lookup(
-        _side(others, "b"), _side(leaders, "a"), ["group", "token"], "inner", "b", rows_per_split
-    )
-    return _verified(_candidates(joined.where("a < b")), sets)
+    """Verified pairs (a kept row, a later other row) sharing a block."""
+    joined = salted_lookup(_side(others, "b"), _side(leaders, "a"), ["block"], "inner", "b", rows_per_split)
+    return _verified(_candidates(joined), sets)
 
 
 def collapse_table(
@@ -153,11 +163,11 @@ def collapse_table(
     1. Equal word sets are reduced to their first row. This loses nothing: a
        later copy is always dropped, by its first row or by the row that
        dropped that one.
-    2. In rounds, each block (group, rare word) shows its first undecided rows,
-       the front, which meet each other only. A row shown by all of its blocks
-       has met every earlier undecided row it could match; if it matches none
-       it is kept. Kept rows are then compared with the undecided rows of their
-       blocks, and every match is dropped.
+    2. In rounds, each block (group and rare word) shows its first undecided
+       rows, the front, which meet each other only. A row shown by all of its
+       blocks has met every earlier undecided row it could match; if it matches
+       none it is kept. Kept rows are then compared with the undecided rows of
+       their blocks, and every match is dropped.
 
     Pairs are formed within bounded fronts and between kept rows and others,
     never between all rows of a block, so a group of near copies costs one
@@ -167,44 +177,41 @@ def collapse_table(
     worded = rows.select(
         F.col(group).alias("group"), F.col(row_id).alias("id"), word_set(F.col(text), ignored).alias("words")
     )
-    empty = worded.where(F.size("words") == 0).select("group", "id")
-    worded = worded.where(F.size("words") > 0)
-    sets = materialise(
+    stored = materialise(
         worded.groupBy("group", "words").agg(F.min("id").alias("id")).withColumn("size", F.size("words")), "sets"
     )
-    digest = F.sha2(F.array_join("words", " "), 256)
-    copies = salted_lookup(
-        worded.select("group", "id", digest.alias("digest")),
-        sets.select("group", F.col("id").alias("first_id"), digest.alias("digest")),
-        ["group", "digest"], "inner", "id", rows_per_split,
-    ).drop("digest")
+    has_empty = not stored.where("size = 0").isEmpty()
+    sets = stored.where("size > 0")
     prefix = materialise(_prefixes(sets, rows_per_split), "prefix")
 
     undecided, front_size, kept = prefix, first_front, None
     while not undecided.isEmpty():
-        place = F.row_number().over(Window.partitionBy("group", "token").orderBy("id"))
-        front = materialise(
-            undecided.withColumn("__place", place).where(F.col("__place") <= front_size).drop("__place"), "front"
-        )
+        place = F.row_number().over(Window.partitionBy("block").orderBy("id"))
+        front = undecided.withColumn("__place", place).where(F.col("__place") <= front_size).drop("__place")
+        front = materialise(front, "front")
+        met = _side(front, "a").join(_side(front, "b"), "block")
+        edges = materialise(_verified(_candidates(met), sets).select("a", "b"), "edges")
         shown = (
-            front.groupBy("group", "id", "size").agg(F.count(F.lit(1)).alias("blocks"))
-            .where(F.col("blocks") == F.col("size") - F.floor(F.col("size") * NUM / DEN))
-            .select("group", "id")
+            front.groupBy("id", "size").agg(F.count(F.lit(1)).alias("blocks"))
+            .where(F.col("blocks") == _prefix_length(F.col("size")))
+            .select("id")
         )
-        met = _side(front, "a").join(_side(front, "b"), ["group", "token"]).where("a < b")
-        edges = _verified(_candidates(met), sets)
-        later = edges.select("group", F.col("b").alias("id")).distinct()
-        fresh = materialise(shown.join(later, ["group", "id"], "left_anti"), "kept")
+        fresh = materialise(shown.join(edges.select(F.col("b").alias("id")), "id", "left_anti"), "kept")
         kept = fresh if kept is None else kept.unionByName(fresh)
 
-        leaders = undecided.join(fresh, ["group", "id"], "left_semi")
-        others = undecided.join(fresh, ["group", "id"], "left_anti")
-        dropped = _star(leaders, others, sets, rows_per_split).select("group", F.col("b").alias("id")).distinct()
-        undecided = materialise(others.join(dropped, ["group", "id"], "left_anti"), "undecided")
+        matched = edges.join(fresh.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id"))
+        others = undecided.join(fresh.unionByName(matched), "id", "left_anti")
+        others = materialise(others, "others")
+        if not others.isEmpty():
+            leaders = undecided.join(fresh, "id", "left_semi")
+            dropped = _star(leaders, others, sets, rows_per_split).select(F.col("b").alias("id"))
+            others = materialise(others.join(dropped, "id", "left_anti"), "undecided")
+        undecided = others
         front_size = min(front_size * FRONT_GROWTH, MAX_FRONT)
-    if kept is None:
-        kept = sets.select("group", "id")
-    return Collapse(kept, empty, sets, copies, prefix)
+    survivors = sets.select("group", "id")
+    if kept is not None:
+        survivors = survivors.join(kept, "id", "left_semi")
+    return Collapse(worded, sets, survivors, prefix, has_empty)
 
 
 def first_matches(result: Collapse, rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
@@ -212,15 +219,22 @@ def first_matches(result: Collapse, rows_per_split: int = ROWS_PER_SPLIT) -> Dat
 
     One row per dropped row: the pairs grow with the table, not with its square.
     """
-    leaders = result.prefix.join(result.kept, ["group", "id"], "left_semi")
-    others = result.prefix.join(result.kept, ["group", "id"], "left_anti")
+    leaders = result.prefix.join(result.kept, "id", "left_semi")
+    others = result.prefix.join(result.kept, "id", "left_anti")
     overlap = F.col("shared") / (F.col("total") - F.col("shared"))
     best = (
         _star(leaders, others, result.sets, rows_per_split)
-        .groupBy("group", F.col("b").alias("first_id"))
+        .groupBy(F.col("b").alias("first_id"))
         .agg(F.min_by(F.struct(F.col("a").alias("kept_id"), overlap.alias("jaccard")), "a").alias("m"))
-        .select("group", "first_id", "m.*")
+        .select("first_id", "m.*")
+    )
+    own = result.kept.select(F.col("id").alias("first_id"), F.col("id").alias("kept_id"), F.lit(1.0).alias("jaccard"))
+    # Every row finds the first row of its word set; a set may have very many rows.
+    digest = F.sha2(F.concat_ws(" ", "words"), 256).alias("digest")
+    copies = salted_lookup(
+        result.rows.select("group", "id", digest),
+        result.sets.select("group", F.col("id").alias("first_id"), digest),
+        ["digest", "group"], "inner", "id", rows_per_split,
     )
-    own = result.kept.select("group", F.col("id").alias("first_id"), F.col("id").alias("kept_id"), F.lit(1.0).alias("jaccard"))
-    matched = result.copies.join(best.unionByName(own), ["group", "first_id"])
+    matched = copies.join(best.unionByName(own), "first_id")
     return matched.where("id <> kept_id").select("group", "id", "kept_id", "jaccard")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from factloom.functions.porter import stem_udf
 from factloom.functions.text import clamp, like_contains, split_clean, tokens
 from factloom.operators.index import COLUMN_SPAN, COLUMN_WEIGHTS, TextIndex, shard_number
-from factloom.operators.skew import BROADCAST_CHARS, BROADCAST_ROWS, broadcast_if_small
+from factloom.operators.skew import BROADCAST_CHARS, BROADCAST_ROWS
 
 # BM25 parameters, and the floor for words held by half of all facts or more.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6

@@ -11,6 +11,8 @@ from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factloom.session import widen
+
 # Capitalised words of five letters or more stand in for code symbols.
 _SYMBOLS = "regexp_extract_all({text}, '[A-Z][a-z][a-z][a-z][a-z]+'{group})"
 
@@ -110,6 +112,9 @@ _PLAIN = {
 }
 
 
+# Tables with long texts, and a column of many values to spread them by.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
 _ANALYSED = {
     "kb_analyses": ("kb_facts", "src7"),
     "kb_analyses_talk": ("kb_facts_talk", "src3"),
@@ -142,7 +147,8 @@ def _inputs(template: str) -> list[str]:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One base table or knowledge-base view as a DataFrame."""
     if not name.startswith("kb_"):
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        stored = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return widen(stored, TEXT_TABLES[name]) if name in TEXT_TABLES else stored
     template = _template(name, spark=True)
     return spark.sql(template, **{n: table(spark, sf_dir, n) for n in _inputs(template)})
 

@@ -65,3 +65,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def widen(df: DataFrame, key: str) -> DataFrame:
+    """Spread a file scan over all cores if it arrives in fewer partitions.
+
+    Meant for costly text work over a few unsplittable files. A scan that
+    already has enough partitions, as any large one has, is left as it is. Only
+    for plain scans: asking a plan with shuffles for its partitions would run them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

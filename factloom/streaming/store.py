@@ -53,7 +53,7 @@ class StreamStore:
             self._write(document_rows(facts), "docs", batch_id)
             postings = posting_rows(link_attributes(facts, analyses))
             postings = postings.withColumn("shard", shard_of(F.col("token"), INDEX_SHARDS))
-            self._write(postings.repartitionByRange("shard", "token", "fact_id"), "postings", batch_id)
+            self._write(postings.hint("rebalance", "shard"), "postings", batch_id)
         self._write(self.spark.range(1).select(F.lit(batch_id).alias("done")), "commits", batch_id)
 
     def _write(self, rows: DataFrame, name: str, batch_id: int) -> None:
