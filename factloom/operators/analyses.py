@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.merge import KEY, surviving_rows
-from factloom.operators.skew import salted_lookup
+from factloom.operators.skew import key_lookup
 
 # Children per returned part of a nested analysis.
 PART_ROWS = 10_000
@@ -93,7 +93,7 @@ def nested_analyses(
         "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     )
     for rows, name, id_column, fields in sides:
-        placed = salted_lookup(rows, sized.select(*KEY, "parts"), KEY, "inner", id_column).withColumn(
+        placed = key_lookup(rows, sized.select(*KEY, "parts"), KEY, "inner", id_column).withColumn(
             "part", F.pmod(F.xxhash64(id_column), F.col("parts")).cast("int")
         )
         lists = placed.groupBy(*KEY, "part").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import json_list
 from factloom.operators.search import attach_facts
-from factloom.operators.skew import salted_lookup
+from factloom.operators.skew import key_lookup
 from factloom.sources.schemas import CATEGORIES, FACT_SOURCES
 
 
@@ -31,7 +31,7 @@ def module_facts(facts: DataFrame, module_id: str) -> DataFrame:
 def linked_facts(facts: DataFrame, analyses: DataFrame) -> DataFrame:
     """Facts joined to their analysis on (pr_id, repo); orphans drop out."""
     times = analyses.select("pr_id", "repo", "ts", "triggered_by")
-    return salted_lookup(facts, times, ["pr_id", "repo"], "inner", spread="fact_id")
+    return key_lookup(facts, times, ["pr_id", "repo"], "inner", spread="fact_id")
 
 
 def recent_facts(

@@ -7,7 +7,7 @@ date without storing scores:
               the few attributes that filters and ranking need, so that a search
               reads only the postings of its own words and joins nothing big.
 ``docs``      one row per fact: key and length in tokens.
-``vocab``     one row per token: its stem and document frequency.
+``vocab``     one row per token, with its stem.
 ``stats``     one row: number of facts and their total length.
 
 ``postings`` is partitioned by a hash of the token and sorted by (token, fact)
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.porter import stem_udf
 from factloom.functions.text import tokens
-from factloom.operators.skew import salted_lookup
+from factloom.operators.skew import broadcast_if_small, key_lookup
 from factloom.session import materialise, scratch_path
 
 # Indexed columns in order, with their ranking weights.
@@ -38,6 +38,10 @@ COLUMN_WEIGHTS = {"summary": 10.0, "detail": 5.0, "symbols_text": 15.0}
 COLUMN_SPAN = 1 << 28
 
 ATTRIBUTES = ["repo", "category", "confidence", "source", "ts", "linked"]
+POSTING_SCHEMA = (
+    "token string, fact_id long, doc_len long, repo string, category string, confidence double, source string,"
+    " ts timestamp, linked boolean, tf0 int, tf1 int, tf2 int, positions array<int>, shard int"
+)
 FACTS_PER_SHARD = 100_000
 MAX_SHARDS = 4096
 
@@ -65,7 +69,7 @@ def tokenise(facts: DataFrame) -> DataFrame:
 def link_attributes(facts: DataFrame, analyses: DataFrame) -> DataFrame:
     """Facts with the analysis time ranking needs; orphans keep ``linked = false``."""
     keys = analyses.select("pr_id", "repo", "ts", F.lit(True).alias("linked"))
-    joined = salted_lookup(facts, keys, ["pr_id", "repo"], "left", spread="fact_id")
+    joined = key_lookup(facts, keys, ["pr_id", "repo"], "left", spread="fact_id")
     return joined.withColumn("linked", F.coalesce("linked", F.lit(False)))
 
 
@@ -123,8 +127,12 @@ def posting_rows(linked_facts: DataFrame) -> DataFrame:
 
 
 def vocabulary_rows(postings: DataFrame) -> DataFrame:
-    """Distinct tokens with document frequency and stem; the UDF sees each token once."""
-    return postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("stem", stem_udf("token"))
+    """Distinct tokens with their stem; the UDF sees each token once."""
+    return postings.select("token").distinct().withColumn("stem", stem_udf("token"))
+
+
+def document_frequency(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
 def statistics_row(docs: DataFrame) -> DataFrame:
@@ -146,14 +154,16 @@ class TextIndex:
         return row["n"], (row["total_len"] / row["n"] if row["n"] else 0.0)
 
 
-def write_index(docs: DataFrame, postings: DataFrame, path: str) -> TextIndex:
+def write_index(docs: DataFrame, postings: DataFrame, path: str, shards: int | None = None) -> TextIndex:
     """Store index tables derived from ``docs`` and ``postings`` under ``path``."""
     spark = docs.sparkSession
     docs.write.parquet(f"{path}/docs")
     docs = spark.read.parquet(f"{path}/docs")
-    statistics_row(docs).coalesce(1).write.parquet(f"{path}/stats")
-    count = spark.read.parquet(f"{path}/stats").first()["n"]
-    shards = int(min(MAX_SHARDS, max(8, -(-count // FACTS_PER_SHARD))))
+    totals = statistics_row(docs).first()
+    if shards is None:
+        shards = int(min(MAX_SHARDS, max(8, -(-totals["n"] // FACTS_PER_SHARD))))
+    row = (totals["n"], totals["total_len"], shards)
+    spark.createDataFrame([row], "n long, total_len long, shards int").coalesce(1).write.parquet(f"{path}/stats")
     (
         postings.withColumn("shard", shard_of(F.col("token"), shards))
         .hint("rebalance", "shard")
@@ -161,16 +171,19 @@ def write_index(docs: DataFrame, postings: DataFrame, path: str) -> TextIndex:
         .write.partitionBy("shard")
         .parquet(f"{path}/postings")
     )
-    stored = spark.read.parquet(f"{path}/postings")
-    vocabulary_rows(stored.select("token")).hint("rebalance").sortWithinPartitions("stem").write.parquet(
-        f"{path}/vocab"
+    stored = spark.read.schema(POSTING_SCHEMA).parquet(f"{path}/postings")
+    vocabulary_rows(stored).hint("rebalance").sortWithinPartitions("stem").write.parquet(f"{path}/vocab")
+    return open_index(spark, path)
+
+
+def open_index(spark: SparkSession, path: str) -> TextIndex:
+    """An index written before."""
+    stats = spark.read.parquet(f"{path}/stats")
+    parts = {name: spark.read.parquet(f"{path}/{name}") for name in ("docs", "vocab")}
+    postings = spark.read.schema(POSTING_SCHEMA).parquet(f"{path}/postings")
+    return TextIndex(
+        postings=postings, stats=stats.select("n", "total_len"), shards=stats.first()["shards"], **parts
     )
-    return open_index(spark, path, shards)
-
-
-def open_index(spark: SparkSession, path: str, shards: int) -> TextIndex:
-    parts = {name: spark.read.parquet(f"{path}/{name}") for name in ("docs", "postings", "vocab", "stats")}
-    return TextIndex(**parts, shards=shards)
 
 
 def build_index(facts: DataFrame, analyses: DataFrame, path: str | None = None) -> TextIndex:
@@ -184,12 +197,33 @@ def update_index(
 ) -> TextIndex:
     """Index after ``removed`` (fact_id) left and ``added`` facts arrived.
 
-    Only the added texts are tokenised; the untouched per-document rows are
-    carried over, and the statistics are derived again from them.
+    Only the added facts are indexed, into a segment of their own; stored
+    postings are not rewritten but filtered by the removed ids when read. The
+    statistics follow from the per-document rows that came and went. Words that
+    no fact holds any more stay in the vocabulary, where they match nothing.
     """
-    path = path or scratch_path(index.docs.sparkSession, "index")
+    spark = index.docs.sparkSession
+    path = path or scratch_path(spark, "segment")
     gone = materialise(removed.select("fact_id").distinct(), "removed")
-    docs = index.docs.join(gone, "fact_id", "left_anti").unionByName(document_rows(added))
-    fresh = posting_rows(link_attributes(added, analyses))
-    kept = index.postings.drop("shard").join(gone, "fact_id", "left_anti")
-    return write_index(docs, kept.unionByName(fresh), path)
+    segment = write_index(
+        document_rows(added), posting_rows(link_attributes(added, analyses)), path, shards=index.shards
+    )
+    left = statistics_row(index.docs.join(gone, "fact_id", "left_semi"))
+    change = left.select((-F.col("n")).alias("n"), (-F.col("total_len")).alias("total_len"))
+    stats = index.stats.unionByName(change).unionByName(segment.stats).agg(
+        F.sum("n").alias("n"), F.sum("total_len").alias("total_len")
+    )
+    out = broadcast_if_small(gone)
+    return TextIndex(
+        index.docs.join(out, "fact_id", "left_anti").unionByName(segment.docs),
+        index.postings.join(out, "fact_id", "left_anti").unionByName(segment.postings),
+        index.vocab.unionByName(segment.vocab).distinct(),
+        materialise(stats, "stats"),
+        index.shards,
+    )
+
+
+def compact_index(index: TextIndex, path: str | None = None) -> TextIndex:
+    """The same index written as one, after many updates."""
+    path = path or scratch_path(index.docs.sparkSession, "index")
+    return write_index(index.docs, index.postings.drop("shard"), path)

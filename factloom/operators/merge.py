@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators.skew import ROWS_PER_SPLIT, salted_lookup
+from factloom.operators.skew import ROWS_PER_SPLIT, key_lookup
 from factloom.sources.schemas import align
 
 KEY = ["pr_id", "repo"]
@@ -50,18 +50,18 @@ def merge_children(
     ones, so a row stays iff no source after its own holds the key. Rows without
     any analysis stay from every source.
     """
-    owned = salted_lookup(rows, last_owner(analyses), KEY, "left", id_column, rows_per_split)
+    owned = key_lookup(rows, last_owner(analyses), KEY, "left", id_column, rows_per_split)
     return owned.where(F.col("max_ord").isNull() | (F.col("src_ord") >= F.col("max_ord"))).drop("max_ord")
 
 
 def replaced_rows(rows: DataFrame, incoming: DataFrame, id_column: str) -> DataFrame:
     """Rows that an incoming set of analyses removes."""
-    return salted_lookup(rows, incoming.select(*KEY).distinct(), KEY, "left_semi", id_column)
+    return key_lookup(rows, incoming.select(*KEY).distinct(), KEY, "left_semi", id_column)
 
 
 def surviving_rows(rows: DataFrame, incoming: DataFrame, id_column: str) -> DataFrame:
     """Rows that an incoming set of analyses leaves in place."""
-    return salted_lookup(rows, incoming.select(*KEY).distinct(), KEY, "left_anti", id_column)
+    return key_lookup(rows, incoming.select(*KEY).distinct(), KEY, "left_anti", id_column)
 
 
 def merge_summaries(summaries: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ from factloom.session import materialise
 
 # Overlap must exceed NUM / DEN; kept as integers so that equality is exact.
 NUM, DEN = 3, 4
+# Smaller sets exceed it with no set but their equals (3 of 4 words is exactly 3/4).
+SMALLEST_PARTNER = 4
 # Undecided rows per block that may meet each other in the first round, the
 # growth per round, and the bound that keeps one block's work small (up to 1000
 # rows per group, Spark cuts a ranked group before its shuffle).
@@ -182,7 +184,7 @@ def collapse_table(
     )
     has_empty = not stored.where("size = 0").isEmpty()
     sets = stored.where("size > 0")
-    prefix = materialise(_prefixes(sets, rows_per_split), "prefix")
+    prefix = materialise(_prefixes(sets.where(F.col("size") >= SMALLEST_PARTNER), rows_per_split), "prefix")
 
     undecided, front_size, kept = prefix, first_front, None
     while not undecided.isEmpty():
@@ -208,9 +210,9 @@ def collapse_table(
             others = materialise(others.join(dropped, "id", "left_anti"), "undecided")
         undecided = others
         front_size = min(front_size * FRONT_GROWTH, MAX_FRONT)
-    survivors = sets.select("group", "id")
-    if kept is not None:
-        survivors = survivors.join(kept, "id", "left_semi")
+    small = sets.where(F.col("size") < SMALLEST_PARTNER).select("group", "id")
+    large = sets.where(F.col("size") >= SMALLEST_PARTNER).select("group", "id")
+    survivors = small if kept is None else small.unionByName(large.join(kept, "id", "left_semi"))
     return Collapse(worded, sets, survivors, prefix, has_empty)
 
 

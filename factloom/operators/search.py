@@ -18,6 +18,8 @@ K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
 MAX_LIMIT = 100
 MULTI_QUERY_ROWS = 70
+# Most queries of one table that may need a substring scan of their own.
+MAX_QUOTED = 100
 # A lookup list up to this length is pushed into the Parquet scan as literals.
 PUSHED_VALUES = 2_000
 # Scores are compared after rounding away the noise of floating-point addition order.
@@ -227,19 +229,6 @@ def attach_facts(hits: DataFrame, facts: DataFrame, analyses: DataFrame) -> Data
     return F.broadcast(hits).join(facts, "fact_id").join(times, ["pr_id", "repo"])
 
 
-def search_batch(
-    index: TextIndex,
-    facts: DataFrame,
-    analyses: DataFrame,
-    queries: DataFrame,
-    limit: int = 50,
-    **options,
-) -> DataFrame:
-    """Ranked results for a table of queries (query_id, query)."""
-    hits = rank(score(index, queries, **options), limit).select("query_id", "rank", "fact_id", "score")
-    return attach_facts(hits, facts, analyses)
-
-
 def like_search(
     facts: DataFrame,
     analyses: DataFrame,
@@ -272,9 +261,34 @@ def like_search(
     return attach_facts(best.select("fact_id"), facts, analyses)
 
 
-def is_malformed(query: str) -> bool:
-    """Queries with a double quote are answered by substring search."""
-    return '"' in query
+def search_batch(
+    index: TextIndex,
+    facts: DataFrame,
+    analyses: DataFrame,
+    queries: DataFrame,
+    limit: int = 50,
+    stemmed: bool = True,
+    **filters,
+) -> DataFrame:
+    """Ranked results for a table of queries (query_id, query).
+
+    Queries with a double quote are malformed for the index and are answered by
+    substring search, one scan each, so a table may hold only a few of them.
+    """
+    quoted = queries.where(F.col("query").contains('"')).limit(MAX_QUOTED + 1).collect()
+    if len(quoted) > MAX_QUOTED:
+        raise ValueError(f"more than {MAX_QUOTED} queries with a double quote; search them in portions")
+    plain = queries.where(~F.col("query").contains('"'))
+    hits = rank(score(index, plain, stemmed=stemmed, **filters), limit)
+    out = attach_facts(hits.select("query_id", "rank", "fact_id", "score"), facts, analyses)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("confidence"), "fact_id"))
+    for row in quoted:
+        found = like_search(facts, analyses, row["query"], limit=limit, **filters)
+        found = found.withColumns(
+            {"query_id": F.lit(row["query_id"]).cast("long"), "score": F.lit(None).cast("double")}
+        )
+        out = out.unionByName(found.withColumn("rank", place))
+    return out
 
 
 def search(
@@ -289,23 +303,9 @@ def search(
     stemmed: bool = True,
 ) -> DataFrame:
     """One ranked search; an empty query gives no rows."""
+    queries = query_table(facts.sparkSession, [term])
     filters = {"category": category, "min_confidence": min_confidence, "repo_name": repo_name}
-    return _search_list(index, facts, analyses, [term], limit, filters, stemmed).drop("query_id")
-
-
-def _search_list(index, facts, analyses, queries, limit, filters, stemmed) -> DataFrame:
-    """Union of the ranked results of a short list of queries, each routed by its form."""
-    spark = facts.sparkSession
-    plain = [(i, q) for i, q in enumerate(queries) if not is_malformed(q)]
-    table = spark.createDataFrame(plain, "query_id long, query string")
-    out = search_batch(index, facts, analyses, table, limit, stemmed=stemmed, **filters)
-    place = Window.partitionBy("query_id").orderBy(F.desc("confidence"), "fact_id")
-    for i, query in enumerate(queries):
-        if is_malformed(query):
-            found = like_search(facts, analyses, query, limit=limit, **filters)
-            found = found.withColumn("query_id", F.lit(i).cast("long")).withColumn("score", F.lit(None).cast("double"))
-            out = out.unionByName(found.withColumn("rank", F.row_number().over(place)))
-    return out
+    return search_batch(index, facts, analyses, queries, limit, stemmed, **filters).drop("query_id")
 
 
 def search_many(
@@ -328,7 +328,8 @@ def search_many(
     min_confidence = clamp(min_confidence, 0.0, 1.0)
     queries = split_clean(query, ";")
     filters = {"category": category, "min_confidence": min_confidence, "repo_name": repo_name}
-    found = _search_list(index, facts, analyses, queries, limit, filters, stemmed)
+    listed = query_table(facts.sparkSession, queries)
+    found = search_batch(index, facts, analyses, listed, limit, stemmed, **filters)
     if len(queries) < 2:
         return found.withColumn("place", F.col("rank").cast("long"))
     # At most MAX_LIMIT rows per query reach this point.

@@ -69,6 +69,20 @@ def salted_lookup(
     return salted_big.join(salted_small, [*on, "__salt"], how).drop("__salt")
 
 
+def key_lookup(
+    big: DataFrame, small: DataFrame, on: list[str], how: str, spread: str, rows_per_split: int = ROWS_PER_SPLIT
+) -> DataFrame:
+    """Join wide rows to a narrow table of keys.
+
+    The key table is counted first. If it is small, it is broadcast and the wide
+    rows stay where they are; else both are shuffled with hot keys split.
+    """
+    hinted = broadcast_if_small(small)
+    if hinted is not small:
+        return big.join(hinted, on, how)
+    return salted_lookup(big, small, on, how, spread, rows_per_split)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_chars: int = BROADCAST_CHARS) -> DataFrame:
     """Mark a side for broadcast only after counting it; a larger side is joined by shuffle."""
     text = [F.length(F.col(name)) for name, kind in df.dtypes if kind == "string"]

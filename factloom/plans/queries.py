@@ -107,15 +107,14 @@ def postings(spark, sf):
 
 @query
 def index_build(spark, sf):
-    """Build and store the whole index, then read its vocabulary back."""
+    """Build and store the whole index, then read document frequencies from it."""
     built = index.build_index(table(spark, sf, "kb_facts"), table(spark, sf, "kb_analyses"))
-    return built.vocab.select("token", "df")
+    return index.document_frequency(built.postings)
 
 
 @query
 def stem_vocab(spark, sf):
-    found = index.tokenise(table(spark, sf, "kb_facts")).groupBy("token", "fact_id").agg(F.count(F.lit(1)).alias("n"))
-    return index.vocabulary_rows(found)
+    return index.vocabulary_rows(index.tokenise(table(spark, sf, "kb_facts")))
 
 
 @query
@@ -125,7 +124,7 @@ def index_incremental(spark, sf):
     added = table(spark, sf, "kb_facts_talk").withColumn("fact_id", F.col("fact_id") + merge.ID_SPAN)
     analyses = merge.merge_analyses(_united(spark, sf, ("kb_analyses", "kb_analyses_talk"), "pr_analyses"))
     updated = index.update_index(stored_index(spark, sf), gone, added, analyses)
-    return updated.vocab.select("token", "df")
+    return index.document_frequency(updated.postings)
 
 
 # --- search -----------------------------------------------------------------
@@ -583,4 +582,4 @@ def stream_replace(spark, sf):
 @query
 def stream_index(spark, sf):
     """Document frequencies of the live index after the stream."""
-    return _stream(spark, sf, indexed=True).index().vocab.select("token", "df")
+    return index.document_frequency(_stream(spark, sf, indexed=True).index().postings)

@@ -27,7 +27,6 @@ from factloom.operators.index import (
     shard_of,
     statistics_row,
     vocabulary_rows,
-    write_index,
 )
 from factloom.operators.merge import merge_analyses, merge_children
 from factloom.sources.schemas import NESTED_ANALYSIS
@@ -85,15 +84,26 @@ class StreamStore:
 
     def index(self) -> TextIndex:
         """The index as it stands: postings of replaced facts are filtered out on read."""
-        docs = merge_children(self._log("docs"), self._log("pr_analyses"), "fact_id").drop("src_ord")
+        docs = self._live_docs()
         postings = self._log("postings").drop("src_ord").join(docs.select("fact_id"), "fact_id", "left_semi")
-        vocab = vocabulary_rows(postings.select("token"))
-        return TextIndex(docs, postings, vocab, statistics_row(docs), INDEX_SHARDS)
+        return TextIndex(docs, postings, vocabulary_rows(postings), statistics_row(docs), INDEX_SHARDS)
 
-    def compact_index(self, path: str) -> TextIndex:
-        """Write the live index rows as a plain stored index."""
-        live = self.index()
-        return write_index(live.docs, live.postings.drop("shard"), path)
+    def _live_docs(self) -> DataFrame:
+        return merge_children(self._log("docs"), self._log("pr_analyses"), "fact_id").drop("src_ord")
+
+    def compact(self, path: str) -> StreamStore:
+        """A store under ``path`` that holds the live rows as one batch.
+
+        It carries the last batch number, so the stream can go on from there.
+        """
+        last, other = self.last_batch(), StreamStore(self.spark, path, self.indexed)
+        live = self.tables()
+        if self.indexed:
+            live |= {"docs": self._live_docs(), "postings": self.index().postings.hint("rebalance", "shard")}
+        for name, rows in live.items():
+            other._write(rows, name, last)
+        other._write(self.spark.range(1).select(F.lit(last).alias("done")), "commits", last)
+        return other
 
 
 def run_stream(

@@ -153,7 +153,11 @@ def test_incremental_index_equals_rebuild(spark, base):
     assert updated.postings.select(columns).exceptAll(rebuilt.postings.select(columns)).isEmpty()
     assert updated.postings.count() == rebuilt.postings.count()
     assert updated.size == rebuilt.size
-    assert updated.vocab.exceptAll(rebuilt.vocab).isEmpty()
+    assert rebuilt.vocab.exceptAll(updated.vocab).isEmpty()
+    compacted = index.compact_index(updated)
+    assert compacted.size == rebuilt.size
+    assert compacted.postings.select(columns).exceptAll(rebuilt.postings.select(columns)).isEmpty()
+    assert sorted(map(tuple, compacted.vocab.collect())) == sorted(map(tuple, rebuilt.vocab.collect()))
 
 
 def test_validation(spark):
