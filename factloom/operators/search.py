@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.porter import stem_udf
-from factloom.functions.text import clamp, like_contains, split_clean, tokens
+from factloom.functions.porter import stem, stem_udf
+from factloom.functions.text import clamp, like_contains, query_tokens, split_clean, tokens
 from factloom.operators.index import COLUMN_SPAN, COLUMN_WEIGHTS, TextIndex, shard_number
 from factloom.operators.skew import BROADCAST_CHARS, BROADCAST_ROWS
 
@@ -28,11 +30,6 @@ RANK_DIGITS = 12
 _WEIGHTS = list(COLUMN_WEIGHTS.values())
 
 
-def query_table(spark: SparkSession, queries: Sequence[str]) -> DataFrame:
-    rows = [(i, text) for i, text in enumerate(queries)]
-    return spark.createDataFrame(rows, "query_id long, query string")
-
-
 @dataclass(frozen=True)
 class Phrases:
     """Parsed queries: (query_id, phrase, mult), and the same as a list if they are few.
@@ -43,7 +40,7 @@ class Phrases:
     """
 
     table: DataFrame
-    rows: list | None
+    rows: list[dict] | None
 
     def side(self, df: DataFrame) -> DataFrame:
         """A table with at most one row per query and phrase, ready to join."""
@@ -56,6 +53,24 @@ class Phrases:
         return self.table.agg(F.max(F.size("phrase"))).first()[0] or 0
 
 
+PHRASE_SCHEMA = pa.schema([("query_id", pa.int64()), ("phrase", pa.list_(pa.string())), ("mult", pa.int64())])
+TERM_SCHEMA = pa.schema(
+    [("phrase", pa.list_(pa.string())), ("size", pa.int32()), ("offset", pa.int32()), ("token", pa.string())]
+)
+
+
+def parse_list(spark: SparkSession, queries: Sequence[str], stemmed: bool = False) -> Phrases:
+    """``parse_queries`` for a few texts, numbered from 0, on the driver."""
+    count = Counter()
+    for query_id, text in enumerate(queries):
+        for word in text.split():
+            phrase = query_tokens(word)
+            if phrase:
+                count[query_id, tuple(map(stem, phrase) if stemmed else phrase)] += 1
+    rows = [{"query_id": i, "phrase": list(phrase), "mult": n} for (i, phrase), n in count.items()]
+    return Phrases(spark.createDataFrame(pa.Table.from_pylist(rows, PHRASE_SCHEMA)), rows)
+
+
 def parse_queries(queries: DataFrame, stemmed: bool = False) -> Phrases:
     """Every whitespace-separated word of a query table (query_id, query) is one phrase.
 
@@ -71,10 +86,10 @@ def parse_queries(queries: DataFrame, stemmed: bool = False) -> Phrases:
     if stemmed:
         phrases = _stem_phrases(phrases)
     phrases = phrases.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("mult"))
-    rows = phrases.limit(BROADCAST_ROWS + 1).collect()
-    if len(rows) > BROADCAST_ROWS or sum(len(t) for row in rows for t in row["phrase"]) > BROADCAST_CHARS:
+    listed = phrases.limit(BROADCAST_ROWS + 1).toArrow()
+    if listed.num_rows > BROADCAST_ROWS or listed.nbytes > BROADCAST_CHARS:
         return Phrases(phrases, None)
-    return Phrases(queries.sparkSession.createDataFrame(rows, phrases.schema), rows)
+    return Phrases(queries.sparkSession.createDataFrame(listed), listed.to_pylist())
 
 
 def _stem_phrases(phrases: DataFrame) -> DataFrame:
@@ -93,25 +108,42 @@ def _terms(index: TextIndex, phrases: Phrases, stemmed: bool) -> tuple[DataFrame
 
     Also the distinct tokens, if they are few enough to be known on the driver.
     """
+    vocab = index.vocab.select("stem", "token")
+    if phrases.rows is not None:
+        known = sorted({token for row in phrases.rows for token in row["phrase"]})
+        forms = _forms(vocab, known) if stemmed else {token: [token] for token in known}
+        if forms is not None:
+            rows = [
+                {"phrase": list(phrase), "size": len(phrase), "offset": offset, "token": token}
+                for phrase in {tuple(row["phrase"]) for row in phrases.rows}
+                for offset, place in enumerate(phrase)
+                for token in forms.get(place, ())
+            ]
+            table = vocab.sparkSession.createDataFrame(pa.Table.from_pylist(rows, TERM_SCHEMA))
+            return F.broadcast(table), sorted({row["token"] for row in rows})
     terms = (
         phrases.table.select("phrase").distinct()
         .select("phrase", F.size("phrase").alias("size"), F.posexplode("phrase").alias("offset", "token"))
     )
-    known = None if phrases.rows is None else sorted({token for row in phrases.rows for token in row["phrase"]})
-    if not stemmed:
-        return phrases.side(terms), known
-    vocab = index.vocab.select("stem", "token")
-    terms = terms.withColumnRenamed("token", "stem")
-    if known is None:
-        return terms.join(vocab, "stem").drop("stem"), None
-    if len(known) <= PUSHED_VALUES:
-        vocab = vocab.where(F.col("stem").isin(known))
-    forms = vocab.join(F.broadcast(terms.select("stem").distinct()), "stem").limit(BROADCAST_ROWS + 1).collect()
-    if len(forms) > BROADCAST_ROWS:
-        return terms.join(vocab, "stem").drop("stem"), None
-    forms_table = terms.sparkSession.createDataFrame(forms, "stem string, token string")
-    terms = F.broadcast(terms.join(F.broadcast(forms_table), "stem").drop("stem"))
-    return terms, sorted({row["token"] for row in forms})
+    if stemmed:
+        terms = terms.withColumnRenamed("token", "stem").join(vocab, "stem").drop("stem")
+    return terms, None
+
+
+def _forms(vocab: DataFrame, stems: list[str]) -> dict[str, list[str]] | None:
+    """The index tokens behind each stem, unless there are too many for the driver."""
+    if len(stems) > PUSHED_VALUES:
+        wanted = vocab.sparkSession.createDataFrame(pa.table({"stem": stems}))
+        vocab = vocab.join(F.broadcast(wanted), "stem")
+    else:
+        vocab = vocab.where(F.col("stem").isin(stems))
+    rows = vocab.limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) > BROADCAST_ROWS:
+        return None
+    forms: dict[str, list[str]] = {}
+    for row in rows:
+        forms.setdefault(row["stem"], []).append(row["token"])
+    return forms
 
 
 def match_phrases(index: TextIndex, phrases: Phrases, stemmed: bool = False) -> DataFrame:
@@ -160,15 +192,21 @@ def phrase_idf(index: TextIndex, matches: DataFrame) -> DataFrame:
 
 def score(
     index: TextIndex,
-    queries: DataFrame,
+    queries: DataFrame | Sequence[str],
     stemmed: bool = False,
     category: str | None = None,
     min_confidence: float = 0.0,
     repo_name: str | None = None,
     linked_only: bool = True,
 ) -> DataFrame:
-    """BM25 score (negative, smaller is better) of every matching fact for every query."""
-    phrases = parse_queries(queries, stemmed)
+    """BM25 score (negative, smaller is better) of every matching fact for every query.
+
+    Queries come as a table (query_id, query) or as a short list of texts.
+    """
+    if isinstance(queries, DataFrame):
+        phrases = parse_queries(queries, stemmed)
+    else:
+        phrases = parse_list(index.docs.sparkSession, queries, stemmed)
     matches = match_phrases(index, phrases, stemmed)
     idf = phrase_idf(index, matches)
     weights = phrases.side(phrases.table.join(idf, "phrase").select("query_id", "phrase", "mult", "idf"))
@@ -221,11 +259,11 @@ def attach_facts(hits: DataFrame, facts: DataFrame, analyses: DataFrame) -> Data
     columns = [name for name in FACT_COLUMNS if name in facts.columns]
     facts = facts.select("fact_id", *columns)
     times = analyses.select("pr_id", "repo", "ts", "triggered_by")
-    rows = hits.limit(PUSHED_VALUES + 1).collect()
-    if len(rows) > PUSHED_VALUES:
+    rows = hits.limit(PUSHED_VALUES + 1).toArrow()
+    if rows.num_rows > PUSHED_VALUES:
         return hits.join(facts, "fact_id").join(times, ["pr_id", "repo"])
-    hits = spark.createDataFrame(rows, hits.schema)
-    facts = facts.where(F.col("fact_id").isin([row["fact_id"] for row in rows]))
+    hits = spark.createDataFrame(rows)
+    facts = facts.where(F.col("fact_id").isin(rows.column("fact_id").to_pylist()))
     return F.broadcast(hits).join(facts, "fact_id").join(times, ["pr_id", "repo"])
 
 
@@ -265,28 +303,31 @@ def search_batch(
     index: TextIndex,
     facts: DataFrame,
     analyses: DataFrame,
-    queries: DataFrame,
+    queries: DataFrame | Sequence[str],
     limit: int = 50,
     stemmed: bool = True,
     **filters,
 ) -> DataFrame:
-    """Ranked results for a table of queries (query_id, query).
+    """Ranked results for a table of queries (query_id, query) or a short list of texts.
 
     Queries with a double quote are malformed for the index and are answered by
-    substring search, one scan each, so a table may hold only a few of them.
+    substring search, one scan each, so there may be only a few of them.
     """
-    quoted = queries.where(F.col("query").contains('"')).limit(MAX_QUOTED + 1).collect()
+    if isinstance(queries, DataFrame):
+        found = queries.where(F.col("query").contains('"')).limit(MAX_QUOTED + 1).collect()
+        quoted = [(row["query_id"], row["query"]) for row in found]
+        plain = queries.where(~F.col("query").contains('"'))
+    else:
+        quoted = [(i, text) for i, text in enumerate(queries) if '"' in text]
+        plain = ["" if '"' in text else text for text in queries]
     if len(quoted) > MAX_QUOTED:
         raise ValueError(f"more than {MAX_QUOTED} queries with a double quote; search them in portions")
-    plain = queries.where(~F.col("query").contains('"'))
     hits = rank(score(index, plain, stemmed=stemmed, **filters), limit)
     out = attach_facts(hits.select("query_id", "rank", "fact_id", "score"), facts, analyses)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("confidence"), "fact_id"))
-    for row in quoted:
-        found = like_search(facts, analyses, row["query"], limit=limit, **filters)
-        found = found.withColumns(
-            {"query_id": F.lit(row["query_id"]).cast("long"), "score": F.lit(None).cast("double")}
-        )
+    for query_id, text in quoted:
+        found = like_search(facts, analyses, text, limit=limit, **filters)
+        found = found.withColumns({"query_id": F.lit(query_id).cast("long"), "score": F.lit(None).cast("double")})
         out = out.unionByName(found.withColumn("rank", place))
     return out
 
@@ -303,9 +344,8 @@ def search(
     stemmed: bool = True,
 ) -> DataFrame:
     """One ranked search; an empty query gives no rows."""
-    queries = query_table(facts.sparkSession, [term])
     filters = {"category": category, "min_confidence": min_confidence, "repo_name": repo_name}
-    return search_batch(index, facts, analyses, queries, limit, stemmed, **filters).drop("query_id")
+    return search_batch(index, facts, analyses, [term], limit, stemmed, **filters).drop("query_id")
 
 
 def search_many(
@@ -328,8 +368,7 @@ def search_many(
     min_confidence = clamp(min_confidence, 0.0, 1.0)
     queries = split_clean(query, ";")
     filters = {"category": category, "min_confidence": min_confidence, "repo_name": repo_name}
-    listed = query_table(facts.sparkSession, queries)
-    found = search_batch(index, facts, analyses, listed, limit, stemmed, **filters)
+    found = search_batch(index, facts, analyses, queries, limit, stemmed, **filters)
     if len(queries) < 2:
         return found.withColumn("place", F.col("rank").cast("long"))
     # At most MAX_LIMIT rows per query reach this point.

@@ -131,8 +131,7 @@ def index_incremental(spark, sf):
 
 
 def _all_scores(spark, sf, text):
-    queries = search.query_table(spark, [text])
-    scored = search.score(stored_index(spark, sf), queries, linked_only=False)
+    scored = search.score(stored_index(spark, sf), [text], linked_only=False)
     return _score(scored.select("fact_id", "score"))
 
 
@@ -148,7 +147,7 @@ def phrase_scores(spark, sf):
 
 @query
 def phrase_match(spark, sf):
-    phrases = search.parse_queries(search.query_table(spark, [PHRASES]))
+    phrases = search.parse_list(spark, [PHRASES])
     found = search.match_phrases(stored_index(spark, sf), phrases).where(F.size("phrase") > 1)
     return found.select(F.array_join("phrase", " ").alias("phrase"), "fact_id", "f")
 

@@ -63,7 +63,7 @@ def fts(corpus):
 @pytest.mark.parametrize("stemmed", [False, True])
 def test_scores_equal_full_text_index(spark, base, fts, stemmed):
     table = "stemmed" if stemmed else "plain"
-    queries = search.query_table(spark, QUERIES)
+    queries = QUERIES
     found = {i: {} for i in range(len(QUERIES))}
     for row in search.score(base["index"], queries, stemmed=stemmed, linked_only=False).collect():
         found[row.query_id][row.fact_id] = row.score
@@ -77,10 +77,12 @@ def test_scores_equal_full_text_index(spark, base, fts, stemmed):
 
 
 def test_distributed_query_table_gives_the_same(spark, base, monkeypatch):
-    queries = search.query_table(spark, QUERIES)
+    queries = spark.createDataFrame(list(enumerate(QUERIES)), "query_id long, query string")
     for stemmed in (False, True):
         small = search.score(base["index"], queries, stemmed=stemmed).select("query_id", "fact_id", F.round("score", 9))
         expected = sorted(map(tuple, small.collect()))
+        listed = search.score(base["index"], QUERIES, stemmed=stemmed).select("query_id", "fact_id", F.round("score", 9))
+        assert sorted(map(tuple, listed.collect())) == expected
         monkeypatch.setattr(search, "BROADCAST_ROWS", 3)
         monkeypatch.setattr(search, "PUSHED_VALUES", 2)
         large = search.score(base["index"], queries, stemmed=stemmed).select("query_id", "fact_id", F.round("score", 9))

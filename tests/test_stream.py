@@ -41,8 +41,7 @@ def test_stream_replaces_by_key_and_survives_replay(spark, tmp_path):
     compact.write_batch(spark.createDataFrame([nested_row("PR-2", 9, ["delta"])], ARRIVAL_SCHEMA), 2)
     assert rows(compact) == [("PR-1", "gamma"), ("PR-2", "delta")]
     for found in (live, index.compact_index(live), rebuilt):
-        queries = search.query_table(spark, ["gamma alpha beta"])
-        scores = search.score(found, queries).select("fact_id", F.round("score", 9)).collect()
+        scores = search.score(found, ["gamma alpha beta"]).select("fact_id", F.round("score", 9)).collect()
         assert len(scores) == 2 and len({s[1] for s in scores}) >= 1
 
 
