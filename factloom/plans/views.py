@@ -112,8 +112,8 @@ _PLAIN = {
 }
 
 
-# Tables with long texts, and a column of many values to spread them by.
-TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+# Tables whose rows cost much work each, and a column of many values to spread them by.
+SPREAD_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "lineitem": "l_orderkey"}
 
 _ANALYSED = {
     "kb_analyses": ("kb_facts", "src7"),
@@ -148,7 +148,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One base table or knowledge-base view as a DataFrame."""
     if not name.startswith("kb_"):
         stored = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        return widen(stored, TEXT_TABLES[name]) if name in TEXT_TABLES else stored
+        return widen(stored, SPREAD_TABLES[name]) if name in SPREAD_TABLES else stored
     template = _template(name, spark=True)
     return spark.sql(template, **{n: table(spark, sf_dir, n) for n in _inputs(template)})
 

@@ -190,3 +190,17 @@ def test_tool_arguments(base):
     rows = [r.value for r in kb.search_json("login; payment", limit=5).collect()]
     assert rows and all('"pr_id"' not in r and '"source":' not in r and '"symbols":[]' not in r for r in rows)
     assert kb.module_facts("SCAN:m1").count() > 0
+
+
+def test_postings_tokenise_each_text_once(base):
+    linked = base["facts"].withColumn("ts", F.current_timestamp()).withColumn("linked", F.lit(True))
+    plan = index.posting_rows(linked)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 3
+
+
+def test_search_reads_only_its_words(base):
+    scored = search.rank(search.score(base["index"], ["login retry"]), 5)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [shard" in plan and "In(token" in plan
+    assert "WindowGroupLimit" in plan
+    assert "positions" not in plan.split("ReadSchema", 1)[1].split("\n", 1)[0]
