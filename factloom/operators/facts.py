@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import json_list
 from factloom.operators.search import attach_facts
-from factloom.operators.skew import key_lookup
+from factloom.operators.skew import BROADCAST_ROWS, key_lookup
 from factloom.sources.schemas import CATEGORIES, FACT_SOURCES
 
 
@@ -52,9 +52,11 @@ def recent_facts(
         .limit(limit)
         .drop("first_id")
     )
+    if limit <= BROADCAST_ROWS:
+        newest = F.broadcast(newest)
     best = (
         wanted.select("fact_id", "pr_id", "repo")
-        .join(F.broadcast(newest), ["pr_id", "repo"])
+        .join(newest, ["pr_id", "repo"])
         .orderBy(F.desc("ts"), "fact_id")
         .limit(limit)
         .select("fact_id")

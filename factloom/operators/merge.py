@@ -10,11 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators.skew import ROWS_PER_SPLIT, key_lookup
-from factloom.sources.schemas import align
+from factloom.sources.schemas import TABLES, align
 
 KEY = ["pr_id", "repo"]
 REPO_EDGE_KEY = ["from_repo", "to_repo", "manifest", "raw_import"]
@@ -22,9 +22,11 @@ REPO_EDGE_KEY = ["from_repo", "to_repo", "manifest", "raw_import"]
 ID_SPAN = 1 << 48
 
 
-def union_sources(frames: Sequence[DataFrame | None], table: str) -> DataFrame:
-    """All sources of one table, aligned to the current schema, with their ordinal."""
-    spark = next(frame for frame in frames if frame is not None).sparkSession
+def union_sources(
+    frames: Sequence[DataFrame | None], table: str, spark: SparkSession | None = None
+) -> DataFrame:
+    """All sources of one table, aligned to the current schema, with their ordinal; a source may lack it."""
+    spark = spark or next(frame for frame in frames if frame is not None).sparkSession
     parts = [align(frame, table, spark).withColumn("src_ord", F.lit(i)) for i, frame in enumerate(frames)]
     return reduce(DataFrame.unionByName, parts)
 
@@ -93,27 +95,22 @@ def renumber(rows: DataFrame, id_column: str) -> DataFrame:
     return rows.withColumn(id_column, F.col("src_ord").cast("long") * ID_SPAN + F.col(id_column))
 
 
+def merge_united(united: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The merged tables of sources that are already united, each row with its ``src_ord``."""
+    analyses = united["pr_analyses"]
+    out = {"pr_analyses": merge_analyses(analyses)}
+    for name, id_column in (("facts", "fact_id"), ("dependencies", "dep_id")):
+        out[name] = renumber(merge_children(united[name], analyses, id_column), id_column)
+    out["repo_summaries"] = merge_summaries(united["repo_summaries"])
+    out["repo_dependencies"] = renumber(merge_repo_dependencies(united["repo_dependencies"]), "dep_id")
+    return {name: rows.drop("src_ord") for name, rows in out.items()}
+
+
 def merge_store(sources: Sequence[dict[str, DataFrame]]) -> dict[str, DataFrame]:
     """The merged tables of several sources; one source is used unchanged, none gives nothing."""
     if not sources:
         return {}
+    spark = next(iter(sources[0].values())).sparkSession
     if len(sources) == 1:
-        spark = next(iter(sources[0].values())).sparkSession
-        names = ("pr_analyses", "facts", "dependencies", "repo_summaries", "repo_dependencies")
-        return {name: align(sources[0].get(name), name, spark) for name in names}
-
-    def united(name: str) -> DataFrame | None:
-        frames = [source.get(name) for source in sources]
-        return union_sources(frames, name) if any(frame is not None for frame in frames) else None
-
-    analyses, out = united("pr_analyses"), {}
-    out["pr_analyses"] = merge_analyses(analyses).drop("src_ord")
-    for name, id_column in (("facts", "fact_id"), ("dependencies", "dep_id")):
-        rows = united(name)
-        if rows is not None:
-            out[name] = renumber(merge_children(rows, analyses, id_column), id_column).drop("src_ord")
-    if (rows := united("repo_summaries")) is not None:
-        out["repo_summaries"] = merge_summaries(rows).drop("src_ord")
-    if (rows := united("repo_dependencies")) is not None:
-        out["repo_dependencies"] = renumber(merge_repo_dependencies(rows), "dep_id").drop("src_ord")
-    return out
+        return {name: align(sources[0].get(name), name, spark) for name in TABLES}
+    return merge_united({name: union_sources([s.get(name) for s in sources], name, spark) for name in TABLES})

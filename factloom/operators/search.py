@@ -112,10 +112,11 @@ def _terms(index: TextIndex, phrases: Phrases, stemmed: bool) -> tuple[DataFrame
     if phrases.rows is not None:
         known = sorted({token for row in phrases.rows for token in row["phrase"]})
         forms = _forms(vocab, known) if stemmed else {token: [token] for token in known}
-        if forms is not None:
+        distinct = {tuple(row["phrase"]) for row in phrases.rows}
+        if forms is not None and sum(len(forms.get(t, ())) for p in distinct for t in p) <= BROADCAST_ROWS:
             rows = [
                 {"phrase": list(phrase), "size": len(phrase), "offset": offset, "token": token}
-                for phrase in {tuple(row["phrase"]) for row in phrases.rows}
+                for phrase in distinct
                 for offset, place in enumerate(phrase)
                 for token in forms.get(place, ())
             ]

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.text import json_list, split_clean
+from factloom.operators.skew import BROADCAST_ROWS
 from factloom.session import scratch_path
 from factloom.sources.schemas import TABLES, align
 
@@ -149,7 +150,8 @@ def land_snapshots(files: DataFrame, out: str | None = None) -> tuple[dict[str,
     """Tables of all snapshot files, and the files that could not be read.
 
     One pass over the files writes every table to Parquet. Rows carry
-    ``src_ord``, the position of their file in (source, path) order.
+    ``src_ord``, the position of their file in (source, path) order, as
+    ``merge_united`` expects.
     """
     spark = files.sparkSession
     out = out or scratch_path(spark, "landed")
@@ -168,12 +170,14 @@ def land_snapshots(files: DataFrame, out: str | None = None) -> tuple[dict[str,
         [(row["source_no"], row["path"], i) for i, row in enumerate(listed)],
         "source_no int, path string, src_ord int",
     )
+    if len(listed) <= BROADCAST_ROWS:
+        ordinals = F.broadcast(ordinals)
     landed = spark.read.schema(_ROW_SCHEMA).parquet(out)
     rejects = landed.where(F.col("table_name") == REJECTS).select("path", "error")
     tables = {}
     for name, columns in FILE_COLUMNS.items():
         rows = landed.where(F.col("table_name") == name).select("source_no", "path", *columns)
-        tables[name] = decode_table(rows.join(F.broadcast(ordinals), ["source_no", "path"]), name)
+        tables[name] = decode_table(rows.join(ordinals, ["source_no", "path"]), name)
     return tables, rejects
 
 

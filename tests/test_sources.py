@@ -4,7 +4,7 @@ import sqlite3
 
 import pytest
 
-from factloom.operators.merge import merge_store
+from factloom.operators.merge import merge_counts, merge_united
 from factloom.operators.search import search
 from factloom.plans.tools import KnowledgeBase
 from factloom.sources import sinks, snapshots
@@ -70,11 +70,11 @@ def test_source_list_rules(spark, folder, tmp_path_factory):
 
 
 def test_merged_snapshots_are_searchable(spark, folder, tmp_path_factory):
-    sources = []
-    for name in ("a.db", "b.db"):
-        tables, _ = snapshots.land_snapshots(snapshots.collect_sources(spark, local=f"{folder}/{name}"))
-        sources.append({k: v.drop("src_ord") for k, v in tables.items()})
-    merged = merge_store(sources)
+    make_file(folder / "c.db", "SCAN:test", "test-repo", "test fact again")
+    tables, _ = snapshots.land_snapshots(snapshots.collect_sources(spark, local=str(folder)))
+    merged = merge_united(tables)
+    assert sorted(r.summary for r in merged["facts"].collect()) == ["other fact", "test fact again"]
+    assert {r.src_ord: r.facts for r in merge_counts(tables["facts"]).collect()} == {0: 1, 1: 1, 3: 1}
     out = str(tmp_path_factory.mktemp("store") / "kb")
     snapshots.write_tables(merged, out)
     kb = KnowledgeBase.build(snapshots.read_tables(spark, out))
