@@ -83,11 +83,17 @@ def key_lookup(
     return salted_lookup(big, small, on, how, spread, rows_per_split)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_chars: int = BROADCAST_CHARS) -> DataFrame:
-    """Mark a side for broadcast only after counting it; a larger side is joined by shuffle."""
-    text = [F.length(F.col(name)) for name, kind in df.dtypes if kind == "string"]
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """Mark a side for broadcast only after counting it; a larger side is joined by shuffle.
+
+    Sides with nested columns have no simple size bound and are left as they are.
+    """
+    max_rows = BROADCAST_ROWS if max_rows is None else max_rows
+    max_chars = BROADCAST_CHARS if max_chars is None else max_chars
+    if any(kind.startswith(("array", "map", "struct", "binary")) for _, kind in df.dtypes):
+        return df
+    text = [F.length(F.coalesce(F.col(name), F.lit(""))) for name, kind in df.dtypes if kind == "string"]
     chars = sum(text[1:], text[0]) if text else F.lit(0)
-    rows, size = (
-        df.select(chars.alias("c")).limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
-    )
+    counted = df.select(chars.alias("c")).limit(max_rows + 1)
+    rows, size = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
     return F.broadcast(df) if rows <= max_rows and size <= max_chars else df

@@ -2,10 +2,11 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import analyses as nested_ops
-from factloom.operators import merge
+from factloom.operators import merge, skew
 from factloom.sources.schemas import align
 from factloom.streaming.store import ARRIVAL_SCHEMA
 
@@ -37,7 +38,9 @@ def fold(analyses, facts):
     return sorted(kept_analyses.values()), sorted(kept_facts)
 
 
-def test_closed_form_equals_fold(spark):
+@pytest.mark.parametrize("broadcast_rows", [0, 200_000])
+def test_closed_form_equals_fold(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", broadcast_rows)
     analyses, facts = random_sources(7)
     a = spark.createDataFrame(analyses, "src_ord int, pr_id string, repo string, mark string")
     f = spark.createDataFrame(facts, "src_ord int, fact_id long, pr_id string, repo string")
@@ -109,7 +112,9 @@ def empty_store(spark):
     return {name: align(None, name, spark) for name in ("pr_analyses", "facts", "dependencies")}
 
 
-def test_replace_analyses(spark):
+@pytest.mark.parametrize("broadcast_rows", [0, 200_000])
+def test_replace_analyses(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", broadcast_rows)
     batch = [nested_row("PR-1", 1, ["old"]), nested_row("PR-2", 2, ["x", "y"]), nested_row("PR-1", 3, ["new", "newer"])]
     store = nested_ops.replace_analyses(empty_store(spark), spark.createDataFrame(batch, ARRIVAL_SCHEMA))
     assert sorted(r.summary for r in store["facts"].collect()) == ["new", "newer", "x", "y"]
@@ -123,7 +128,9 @@ def test_replace_analyses(spark):
     assert again["pr_analyses"].where("triggered_by IS NOT NULL").count() == 0
 
 
-def test_nested_parts_hold_everything_once(spark):
+@pytest.mark.parametrize("broadcast_rows", [0, 200_000])
+def test_nested_parts_hold_everything_once(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", broadcast_rows)
     batch = [nested_row("PR-1", 1, [f"s{i}" for i in range(25)]), nested_row("PR-2", 2, [])]
     store = nested_ops.replace_analyses(empty_store(spark), spark.createDataFrame(batch, ARRIVAL_SCHEMA))
     parts = nested_ops.nested_analyses(store["pr_analyses"], store["facts"], store["dependencies"], part_rows=4).collect()

@@ -23,6 +23,8 @@ def test_salted_lookup_equals_plain_join(spark, how):
 def test_broadcast_is_size_checked(spark):
     small = spark.range(5).withColumn("t", F.lit("abc"))
     hinted = skew.broadcast_if_small(small, 10, 100)
-    assert "ResolvedHint" in hinted._jdf.queryExecution().logical().toString() or hinted is not small
+    assert "strategy=broadcast" in hinted._jdf.queryExecution().analyzed().toString()
     assert skew.broadcast_if_small(small, 4, 100) is small
     assert skew.broadcast_if_small(small, 10, 14) is small
+    nested = small.withColumn("a", F.array("t"))
+    assert skew.broadcast_if_small(nested, 10, 100) is nested
