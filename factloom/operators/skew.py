@@ -22,13 +22,14 @@ def split_plan(
     The counts (``__n`` per key, given or taken here) are combined map-side, so a
     hot key is shuffled as one row per task. At most MAX_SPLIT_KEYS rows come
     back, the largest keys first; any key left out is smaller than all of those
-    and is handled by the plain join.
+    and is handled by the plain join. Ties are ordered by key, so that both sides
+    of a join see the same list.
     """
     if counts is None:
         counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
     return (
         counts.where(F.col("__n") > rows_per_split)
-        .orderBy(F.desc("__n"))
+        .orderBy(F.desc("__n"), *on)
         .limit(MAX_SPLIT_KEYS)
         .select(*on, F.ceil(F.col("__n") / rows_per_split).cast("int").alias("__parts"))
     )
