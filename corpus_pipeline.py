@@ -11,6 +11,8 @@ from factloom.session import materialise
 STAGES = [
     ("quality classifier", stages.keep_good),
     ("exact dedup", stages.drop_copies),
+    ("MinHash near-dedup", stages.drop_near_copies),
+    ("suffix-array dedup", stages.cut_repeats),
     ("packing", stages.pack),
 ]
 

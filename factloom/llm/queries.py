@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import ann, bpe, chat, exact_dedup, packing, quality, url_filter, warc
+from factloom.llm import ann, bpe, chat, exact_dedup, minhash, packing, quality, suffix_dedup, url_filter, warc
 from factloom.llm.common import read
 from factloom.session import materialise
 
@@ -79,6 +79,18 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.turn_digests(chat.format_conversations(talks))
 
 
+@query
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(read(spark, sf_dir, "documents"), similar=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.archive_folder(spark)

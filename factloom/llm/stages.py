@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm import exact_dedup, packing, quality
+from factloom.llm import exact_dedup, minhash, packing, quality, suffix_dedup
 from factloom.llm.common import bounded_batches, read
-from factloom.operators.skew import broadcast_if_small
+from factloom.operators.skew import broadcast_if_small, key_lookup
 from factloom.session import materialise
 
 QUALITY_THRESHOLD = 0.3
@@ -66,6 +66,29 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return survivors(docs, exact_dedup.exact_duplicates(docs))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (similarity of 0.8 or more): that with the smallest doc_id."""
+    return survivors(docs, minhash.near_duplicates(docs))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 200 bytes or more that occur elsewhere; ``n_chars`` follows the text.
+
+    A document stays even if nothing of its text does.
+    """
+    marks = materialise(suffix_dedup.repeated_spans(docs), "spans")
+    sha, spans = unused(docs, "sha_of_text"), unused(docs, "repeated_spans")
+    marks = marks.toDF(sha, spans)
+    marked = key_lookup(docs.withColumn(sha, text_sha()), marks, [sha], "left", "doc_id")
+    changed = marked.withColumn("text", suffix_dedup.kept_text(F.col("text"), F.col(spans)))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        changed = changed.withColumn(
+            "n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind))
+        )
+    return changed.select(*[F.col(f"`{name}`") for name in docs.columns])
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, placed in sequences."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
