@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bounded_batches, pick
+from factloom.llm.common import bounded_batches, objects, pick
 from factloom.session import materialise
 
 # Bounds of the table that is broadcast: words, and bytes of a word (20 MB with their ids at most).
@@ -90,15 +90,15 @@ def vocabulary(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text"
                 if text:
                     seen.update(words_of(text))
                 if len(seen) > COUNTED_WORDS:
-                    yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+                    yield pd.DataFrame({"word": objects(list(seen)), "n": list(seen.values())})
                     seen.clear()
-        yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+        yield pd.DataFrame({"word": objects(list(seen)), "n": list(seen.values())})
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = encoding(ranks, pattern)
         for batch in batches:
             ids = [np.array(coder.encode_ordinary(word), dtype="<u4").tobytes() for word in batch["word"]]
-            yield pd.DataFrame({"word": batch["word"], "n": batch["n"], "ids": ids})
+            yield pd.DataFrame({"word": batch["word"], "n": batch["n"], "ids": objects(ids)})
 
     counted = pick(docs, text_col).toDF("text").mapInPandas(count, "word string, n long")
     distinct = counted.groupBy("word").agg(F.sum("n").alias("n"))
@@ -145,7 +145,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, hot_words: int =
                             ids += own
                 key = hashlib.sha256((text or "").encode("utf-8", "surrogatepass")).digest() if holes else None
                 rows.append((doc_id, key, _squeeze(np.array(ids, dtype="<u4")), holes))
-            frame = pd.DataFrame(rows, columns=["id", "key", "known", "holes"])
+            frame = pd.DataFrame(rows, columns=["id", "key", "known", "holes"], dtype=object)
             frame["id"] = frame["id"].astype(batch["id"].dtype)
             yield frame
 
@@ -178,7 +178,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, hot_words: int =
                     at = fill["at"]
                 ids = np.concatenate([*parts, ids[at:]])
             out.append(ids.tobytes())
-        return pd.Series(out)
+        return objects(out)
 
     return both.select(F.col("id").alias(id_col), reassemble("known", "fills").alias("ids"))
 
@@ -193,7 +193,7 @@ def decoded(ids: Column, ranks: str) -> Column:
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = token_table(ranks)
         for batch in batches:
-            yield pd.Series(
+            yield objects(
                 [
                     None if data is None else b"".join([table[i] for i in np.frombuffer(data, dtype="<u4").tolist()])
                     for data in batch

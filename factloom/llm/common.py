@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,3 +34,8 @@ def bounded_batches(spark: SparkSession) -> None:
 def text_bytes(values) -> list[bytes]:
     """UTF-8 bytes of a column of texts; null counts as empty."""
     return [value.encode("utf-8", "surrogatepass") if isinstance(value, str) else b"" for value in values]
+
+
+def objects(values) -> pd.Series:
+    """Texts or bytes as a column, also if there are none (pandas would take an empty list for numbers)."""
+    return pd.Series(values, dtype=object)

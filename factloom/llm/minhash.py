@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bounded_batches, pick, text_bytes
+from factloom.llm.common import bounded_batches, objects, pick, text_bytes
 from factloom.llm.graph import components
 from factloom.operators.skew import broadcast_if_small, key_lookup
 from factloom.session import materialise
@@ -116,7 +116,9 @@ def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Dat
                 prints.append(set_print(found))
                 bands.append(band_keys(signature(found)) if len(found) else None)
                 shas.append(hashlib.sha256(raw).hexdigest())
-            yield pd.DataFrame({"id": batch["id"], "sha": shas, "n": sizes, "print": prints, "bands": bands})
+            yield pd.DataFrame(
+                {"id": batch["id"], "sha": objects(shas), "n": sizes, "print": objects(prints), "bands": objects(bands)}
+            )
 
     id_type = docs.schema[id_col].dataType.simpleString()
     source = pick(docs, id_col, text_col).toDF("id", "text")
@@ -134,7 +136,7 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
                 found = shingle_set(raw, words, shingle)
                 if set_print(found).hex().upper() == expected:
                     rows.append((node, len(found), found.tobytes()))
-            yield pd.DataFrame(rows, columns=["node", "n", "shingles"])
+            yield pd.DataFrame(rows, columns=["node", "n", "shingles"], dtype=object)
 
     return texts.select("node", "print", "text").mapInPandas(run, "node long, n long, shingles binary")
 

@@ -34,6 +34,8 @@ GAP = -(-LAGS // STRIDE)
 TRAIN_ROWS = 1500
 TRAIN_BYTES = 32768
 EPOCHS = 10
+# Steps at least: a small sample is gone through more often.
+LEAST_STEPS = 450
 BATCH = 64
 RATE = 0.01
 # Bytes that are scored at once. Longer texts go through in parts that overlap.
@@ -170,7 +172,9 @@ def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int
     draw = np.random.default_rng(seed)
     first, second, step = [np.zeros_like(p) for p in net.parts()], [np.zeros_like(p) for p in net.parts()], 0
     cut = [blocks(raw) for raw in texts]
-    total = epochs * -(-len(texts) // BATCH)
+    batches = -(-len(texts) // BATCH)
+    epochs = max(epochs, -(-LEAST_STEPS // batches))
+    total = epochs * batches
     for _ in range(epochs):
         order = draw.permutation(len(texts))
         for low in range(0, len(texts), BATCH):

@@ -35,17 +35,17 @@ def survivors(docs: DataFrame, verdict: DataFrame) -> DataFrame:
         verdict.groupBy("doc_id", "text_sha256")
         .agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
         .where(~F.col("kept") | (F.col("n") > 1))
-        .select(F.col("doc_id").alias("decided_id"), F.col("text_sha256").alias("decided_sha"), "kept")
     )
-    pairs = materialise(pairs, "decided")
-    repeated = bool(pairs.where("kept").take(1))
     sha, mark = unused(docs, "sha_of_text"), unused(docs, "decision")
-    listed = broadcast_if_small(pairs.withColumnRenamed("kept", mark))
+    other_id, other_sha = unused(docs, "decided_id"), unused(docs, "decided_sha")
+    pairs = materialise(pairs.select("doc_id", "text_sha256", "kept").toDF(other_id, other_sha, mark), "decided")
+    repeated = bool(pairs.where(F.col(mark)).take(1))
+    listed = broadcast_if_small(pairs)
     tagged = docs.withColumn(sha, text_sha())
-    same = F.col("doc_id").eqNullSafe(F.col("decided_id")) & (F.col(sha) == F.col("decided_sha"))
+    same = F.col("doc_id").eqNullSafe(F.col(other_id)) & (F.col(sha) == F.col(other_sha))
     if not repeated:
         return tagged.join(listed, same, "left_anti").drop(sha)
-    joined = tagged.join(listed, same, "left").drop("decided_id", "decided_sha")
+    joined = tagged.join(listed, same, "left").drop(other_id, other_sha)
     plain = joined.where(F.col(mark).isNull()).drop(sha, mark)
     place = unused(docs, "place_in_copies")
     first = Window.partitionBy("doc_id", sha).orderBy(F.lit(0))

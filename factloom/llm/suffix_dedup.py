@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bounded_batches, pick, text_bytes
+from factloom.llm.common import bounded_batches, objects, pick, text_bytes
 from factloom.operators.skew import broadcast_if_small, key_lookup
 from factloom.session import materialise
 
@@ -421,7 +421,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 own = anchors_of(np.frombuffer(raw, dtype=np.uint8))[1] if len(raw) >= LENGTH else np.zeros(0, np.uint64)
                 found.append(_twice_at_most(own).view(np.int64))
                 sizes.append(len(raw))
-            yield pd.DataFrame({"id": batch["id"], "sha": batch["sha"], "n_bytes": sizes, "anchors": found})
+            yield pd.DataFrame({"id": batch["id"], "sha": batch["sha"], "n_bytes": sizes, "anchors": objects(found)})
 
     id_type = docs.schema[id_col].dataType.simpleString()
     return with_sha(docs, id_col, text_col).mapInPandas(run, f"id {id_type}, {SCANNED}")
@@ -510,7 +510,7 @@ def merged_spans(runs: DataFrame) -> DataFrame:
                 for one in np.unique(target):
                     part = entries.take(np.flatnonzero(target == one))
                     rows.append((int(one), number, seq, front_coded(part, common_prefixes(part.rows))))
-                yield pd.DataFrame(rows, columns=names)
+                yield pd.DataFrame(rows, columns=names, dtype=object)
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["run", "seq"])
@@ -554,7 +554,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     @F.pandas_udf("string")
     def united(spans: pd.Series) -> pd.Series:
-        return pd.Series([",".join(f"{a}-{b}" for a, b in unite((s["start"], s["end"]) for s in own)) for own in spans])
+        return objects([",".join(f"{a}-{b}" for a, b in unite((s["start"], s["end"]) for s in own)) for own in spans])
 
     found = spans.select("node", united("spans").alias("spans")).join(nodes, "node", "right")
     whole = F.concat(F.lit("0-"), F.col("n_bytes").cast("string"))
@@ -604,7 +604,7 @@ def kept_bytes(text: Column, spans: Column) -> Column:
 
     @F.pandas_udf("binary")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([without(raw, parse_spans(own)) for raw, own in zip(text_bytes(texts), spans, strict=True)])
+        return objects([without(raw, parse_spans(own)) for raw, own in zip(text_bytes(texts), spans, strict=True)])
 
     return F.when(spans.isNull(), F.coalesce(text, F.lit("")).cast("binary")).otherwise(cut(text, spans))
 
@@ -615,7 +615,7 @@ def kept_text(text: Column, spans: Column) -> Column:
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         rows = zip(text_bytes(texts), spans, strict=True)
-        return pd.Series([without(raw, whole_characters(raw, parse_spans(own))).decode("utf-8", "replace") for raw, own in rows])
+        return objects([without(raw, whole_characters(raw, parse_spans(own))).decode("utf-8", "replace") for raw, own in rows])
 
     return F.when(spans.isNull(), text).otherwise(cut(text, spans))
 

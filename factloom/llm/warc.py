@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bounded_batches, pick
+from factloom.llm.common import bounded_batches, objects, pick
 from factloom.operators.skew import key_lookup
 from factloom.session import scratch_path
 
@@ -139,7 +139,7 @@ def write_archives(pages: DataFrame, folder: str, min_payload: int = 0, archive_
                 if size >= archive_bytes:
                     flush()
             flush()
-            yield pd.DataFrame({"archive": paths})
+            yield pd.DataFrame({"archive": objects(list(paths))})
             paths.clear()
 
     from pyspark.sql.types import LongType
@@ -301,7 +301,7 @@ def read_archives(archives: DataFrame, keep_payload: bool = True) -> DataFrame:
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=COLUMNS)
+    frame = pd.DataFrame(rows, columns=COLUMNS, dtype=object)
     for name in ("page_id", "refers_to", "payload_bytes", "offset", "length"):
         frame[name] = frame[name].astype("Int64")
     return frame
