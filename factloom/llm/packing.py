@@ -25,38 +25,59 @@ END_ID = 1
 # Pieces of one group. A group is one task's work: a few MB, whatever the input.
 GROUP_PIECES = 16384
 # Distinct words a task remembers the ids of before it starts anew.
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 600_000
 
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded long"
 
 
-@lru_cache(maxsize=4)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder per Python worker, so that tasks after the first know most words."""
+    return WordEncoder(path)
 
 
 class WordEncoder:
     """Token ids of texts for tokenizers that drop white space between words.
 
     Spaces and line ends never take part in a token there, so a text may be cut at
-    them; each distinct word is encoded once and remembered.
+    them; each distinct word is encoded once and remembered. New words go through
+    the tokenizer together, with MARK between them to tell their ids apart.
     """
 
-    def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
-        self.known: dict[str, np.ndarray] = {}
+    MARK = "\0"
 
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ")
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+        self.mark_id = self._ids(self.MARK)[0] if len(self._ids(self.MARK)) == 1 else None
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _learn(self, new: list[str]) -> None:
+        plain = [w for w in new if self.MARK not in w] if self.mark_id is not None else []
+        for low in range(0, len(plain), 50_000):
+            part = plain[low : low + 50_000]
+            ids = self._ids(f" {self.MARK} ".join([*part, ""]))
+            ends = np.flatnonzero(ids == self.mark_id)
+            starts = np.concatenate([[0], ends[:-1] + 1])
+            data = ids.tobytes()
+            for word, start, end in zip(part, (starts * 4).tolist(), (ends * 4).tolist(), strict=True):
+                self.known[word] = data[start:end]
+        for word in new:
+            if word not in self.known:
+                self.known[word] = self._ids(word).tobytes()
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [text.replace("\n", " ").split(" ") for text in texts]
         if len(self.known) > REMEMBERED_WORDS:
             self.known.clear()
-        new = [w for w in set(words) if w not in self.known]
-        for word, coded in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(coded.ids, dtype="<u4")
-        return np.concatenate([self.known[w] for w in words])
+        self._learn(list(set().union(*cut).difference(self.known)))
+        look = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(look, words)), dtype="<u4") for words in cut]
 
 
 def cut(doc_id, ids: np.ndarray, sequence: int) -> Iterator[tuple]:
@@ -71,15 +92,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = WordEncoder(tokenizer)
+        encode = word_encoder(tokenizer)
         names = [part.split()[0] for part in PIECES.split(", ")]
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["id"], batch["text"], strict=True):
-                ids = encode(text) if text else np.array([], dtype="<u4")
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+            for doc_id, own in zip(batch["id"], encode([text or "" for text in batch["text"]]), strict=True):
+                ids = np.append(own, np.uint32(end_id)).astype("<u4")
                 rows.extend(cut(None if pd.isna(doc_id) else int(doc_id), ids, sequence))
-            frame = pd.DataFrame(rows, columns=names)
+            frame = pd.DataFrame(rows, columns=names, dtype=object)
             frame["id"] = frame["id"].astype("Int64")
             yield frame
 
