@@ -25,11 +25,37 @@ def latest_arrivals(nested: DataFrame, arrival: str = "arrival") -> DataFrame:
     return nested.join(last, [*KEY, arrival], "left_semi")
 
 
+def validate_analyses(nested: DataFrame) -> DataFrame:
+    """Adds ``reason``: why an incoming analysis cannot be saved, or null.
+
+    It needs a key, a time that can be read, and complete facts and edges. A bad one
+    is told apart here, so that it never stops the batch that brings it.
+    """
+
+    def any_of(column, bad):
+        return F.coalesce(F.exists(column, bad), F.lit(False))
+
+    incomplete_fact = any_of("facts", lambda f: f["category"].isNull() | f["summary"].isNull() | f["detail"].isNull())
+    unsure = any_of("facts", lambda f: ~F.coalesce(f["confidence"].between(0, 1), F.lit(False)))
+    incomplete_edge = any_of(
+        "dependencies", lambda d: d["from_component"].isNull() | d["to_component"].isNull() | d["relation"].isNull()
+    )
+    return nested.withColumn(
+        "reason",
+        F.when(F.col("pr_id").isNull(), "missing pr_id")
+        .when(F.col("repo").isNull(), "missing repo")
+        .when(F.try_to_timestamp("timestamp").isNull(), "unreadable timestamp")
+        .when(incomplete_fact, "incomplete fact")
+        .when(unsure, "confidence out of range")
+        .when(incomplete_edge, "incomplete dependency"),
+    )
+
+
 def flatten(nested: DataFrame, arrival: str = "arrival") -> dict[str, DataFrame]:
     """Table rows of nested analyses. Saving drops ``triggered_by``."""
     analyses = nested.select(
         *KEY,
-        F.to_timestamp("timestamp").alias("ts"),
+        F.try_to_timestamp("timestamp").alias("ts"),
         "timestamp",
         F.col("change.files").alias("files"),
         F.col("change.kind").alias("kinds"),

@@ -43,7 +43,6 @@ POSTING_SCHEMA = (
     " ts timestamp, linked boolean, tf0 int, tf1 int, tf2 int, positions array<int>, shard int"
 )
 FACTS_PER_SHARD = 100_000
-MAX_SHARDS = 4096
 
 
 def shard_of(token: Column, shards: int) -> Column:
@@ -161,7 +160,7 @@ def write_index(docs: DataFrame, postings: DataFrame, path: str, shards: int | N
     docs = spark.read.parquet(f"{path}/docs")
     totals = statistics_row(docs).first()
     if shards is None:
-        shards = int(min(MAX_SHARDS, max(8, -(-totals["n"] // FACTS_PER_SHARD))))
+        shards = max(8, -(-totals["n"] // FACTS_PER_SHARD))
     row = (totals["n"], totals["total_len"], shards)
     spark.createDataFrame([row], "n long, total_len long, shards int").coalesce(1).write.parquet(f"{path}/stats")
     (

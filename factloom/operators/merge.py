@@ -10,16 +10,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.operators.skew import ROWS_PER_SPLIT, key_lookup
+from factloom.operators.skew import ROWS_PER_SPLIT, broadcast_if_small, key_lookup
+from factloom.session import materialise
 from factloom.sources.schemas import TABLES, align
 
 KEY = ["pr_id", "repo"]
 REPO_EDGE_KEY = ["from_repo", "to_repo", "manifest", "raw_import"]
-# Row ids of source i move up by i * ID_SPAN: unique, and ordered by (source, id).
-ID_SPAN = 1 << 48
 
 
 def union_sources(
@@ -91,8 +90,19 @@ def merge_counts(facts: DataFrame) -> DataFrame:
 
 
 def renumber(rows: DataFrame, id_column: str) -> DataFrame:
-    """Store-wide row ids that follow source order, without a global sort."""
-    return rows.withColumn(id_column, F.col("src_ord").cast("long") * ID_SPAN + F.col(id_column))
+    """Store-wide row ids from 0 that follow (source, id), without a sort of the rows.
+
+    Every source takes as many ids as lie between its smallest and its largest, after
+    those of the sources before it. Any number of sources fits, as long as their
+    ranges together do.
+    """
+    spans = rows.groupBy("src_ord").agg(F.min(id_column).alias("low"), F.max(id_column).alias("high"))
+    before = Window.orderBy("src_ord").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per source.
+    shift = F.coalesce(F.sum(F.col("high") - F.col("low") + 1).over(before), F.lit(0)) - F.col("low")
+    shifts = materialise(spans.select("src_ord", shift.alias("__shift")), "id-shifts")
+    moved = rows.join(broadcast_if_small(shifts), "src_ord", "left")
+    return moved.withColumn(id_column, F.col(id_column) + F.col("__shift")).select(*rows.columns)
 
 
 def merge_united(united: dict[str, DataFrame]) -> dict[str, DataFrame]:

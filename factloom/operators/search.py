@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,12 +21,10 @@ K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
 MAX_LIMIT = 100
 MULTI_QUERY_ROWS = 70
-# Most queries of one table that may need a substring scan of their own.
-MAX_QUOTED = 100
+# Substring queries that are answered by one scan.
+SUBSTRINGS_PER_SCAN = 200
 # A lookup list up to this length is pushed into the Parquet scan as literals.
 PUSHED_VALUES = 2_000
-# Scores are compared after rounding away the noise of floating-point addition order.
-RANK_DIGITS = 12
 
 _WEIGHTS = list(COLUMN_WEIGHTS.values())
 
@@ -147,10 +146,16 @@ def _forms(vocab: DataFrame, stems: list[str]) -> dict[str, list[str]] | None:
     return forms
 
 
+def push_lists(spark: SparkSession) -> None:
+    """Push value lists into Parquet scans one by one; beyond this setting Spark pushes only their least and greatest."""
+    spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", str(PUSHED_VALUES))
+
+
 def match_phrases(index: TextIndex, phrases: Phrases, stemmed: bool = False) -> DataFrame:
     """Weighted occurrences ``f`` of each distinct phrase in each fact, over the whole store."""
     terms, known = _terms(index, phrases, stemmed)
     postings = index.postings
+    push_lists(postings.sparkSession)
     if known is not None:
         postings = postings.where(F.col("shard").isin(sorted({shard_number(t, index.shards) for t in known})))
         if len(known) <= PUSHED_VALUES:
@@ -225,17 +230,19 @@ def score(
     _, average = index.size
     norm = K1 * (F.lit(1 - B) + F.lit(B) * F.col("doc_len") / F.lit(average or 1.0))
     gain = F.col("mult") * F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + norm)
+    # Added up in a fixed order, so that equal sets of gains give equal scores to the last bit.
+    total = F.aggregate(F.sort_array(F.collect_list(gain)), F.lit(0.0), lambda a, b: a + b)
     return (
         wanted.join(weights, "phrase")
         .groupBy("query_id", "fact_id", "repo", "category", "confidence", "source", "ts")
-        .agg((-F.sum(gain)).alias("score"))
+        .agg((-total).alias("score"))
     )
 
 
 def rank(scored: DataFrame, limit: int) -> DataFrame:
     """Best ``limit`` facts per query; Spark cuts each task to ``limit`` rows per query before the shuffle."""
     order = [
-        F.round("score", RANK_DIGITS),
+        F.col("score"),
         F.when(F.col("source") == "scan", 0).otherwise(1),
         F.desc("ts"),
         F.col("fact_id"),
@@ -257,9 +264,10 @@ def attach_facts(hits: DataFrame, facts: DataFrame, analyses: DataFrame) -> Data
     row groups holding them are read; else both are joined by shuffle.
     """
     spark = facts.sparkSession
+    push_lists(spark)
     columns = [name for name in FACT_COLUMNS if name in facts.columns]
     facts = facts.select("fact_id", *columns)
-    times = analyses.select("pr_id", "repo", "ts", "triggered_by")
+    times = analyses.select("pr_id", "repo", *[c for c in ("ts", "timestamp", "triggered_by") if c in analyses.columns])
     rows = hits.limit(PUSHED_VALUES + 1).toArrow()
     if rows.num_rows > PUSHED_VALUES:
         return hits.join(facts, "fact_id").join(times, ["pr_id", "repo"])
@@ -277,27 +285,50 @@ def like_search(
     limit: int = 50,
     repo_name: str | None = None,
 ) -> DataFrame:
-    """Substring search over summary and detail, best confidence first.
+    """Substring search over summary and detail, best confidence first."""
+    hits = like_hits(facts, analyses, [(0, term)], limit, category, min_confidence, repo_name)
+    return attach_facts(hits.select("fact_id"), facts, analyses)
+
+
+def like_hits(
+    facts: DataFrame,
+    analyses: DataFrame,
+    terms: Sequence[tuple[int, str]],
+    limit: int,
+    category: str | None = None,
+    min_confidence: float = 0.0,
+    repo_name: str | None = None,
+) -> DataFrame:
+    """(query_id, rank, fact_id) of substring searches, SUBSTRINGS_PER_SCAN of them in one scan of the facts.
 
     Only ids are ranked. Cutting each key to ``limit`` rows before the join with
     the analyses keeps a key with very many facts from gathering in one task.
     """
-    found = facts.where(like_contains(F.col("summary"), term) | like_contains(F.col("detail"), term))
+    rows = facts
     if repo_name:
-        found = found.where(F.col("repo") == repo_name)
+        rows = rows.where(F.col("repo") == repo_name)
     if category:
-        found = found.where(F.col("category") == category)
+        rows = rows.where(F.col("category") == category)
     if min_confidence > 0:
-        found = found.where(F.col("confidence") >= min_confidence)
+        rows = rows.where(F.col("confidence") >= min_confidence)
+    parts = []
+    for low in range(0, len(terms), SUBSTRINGS_PER_SCAN):
+        found = [
+            F.when(like_contains(F.col("summary"), term) | like_contains(F.col("detail"), term), F.lit(query_id).cast("long"))
+            for query_id, term in terms[low : low + SUBSTRINGS_PER_SCAN]
+        ]
+        query_id = F.explode(F.array_compact(F.array(*found))).alias("query_id")
+        parts.append(rows.select("fact_id", "pr_id", "repo", "confidence", query_id))
     order = [F.desc("confidence"), F.col("fact_id")]
-    per_key = Window.partitionBy("pr_id", "repo").orderBy(*order)
+    per_key = Window.partitionBy("query_id", "pr_id", "repo").orderBy(*order)
     candidates = (
-        found.select("fact_id", "pr_id", "repo", "confidence")
+        reduce(DataFrame.unionByName, parts)
         .withColumn("__place", F.row_number().over(per_key))
         .where(F.col("__place") <= limit)
     )
-    best = candidates.join(analyses.select("pr_id", "repo"), ["pr_id", "repo"]).orderBy(*order).limit(limit)
-    return attach_facts(best.select("fact_id"), facts, analyses)
+    linked = candidates.join(analyses.select("pr_id", "repo"), ["pr_id", "repo"])
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    return linked.withColumn("rank", place).where(F.col("rank") <= limit).select("query_id", "rank", "fact_id")
 
 
 def search_batch(
@@ -311,25 +342,20 @@ def search_batch(
 ) -> DataFrame:
     """Ranked results for a table of queries (query_id, query) or a short list of texts.
 
-    Queries with a double quote are malformed for the index and are answered by
-    substring search, one scan each, so there may be only a few of them.
+    Queries with a double quote are answered by substring search, many in one scan.
     """
     if isinstance(queries, DataFrame):
-        found = queries.where(F.col("query").contains('"')).limit(MAX_QUOTED + 1).collect()
-        quoted = [(row["query_id"], row["query"]) for row in found]
-        plain = queries.where(~F.col("query").contains('"'))
+        has_quote = F.col("query").contains('"')
+        quoted = [(row["query_id"], row["query"]) for row in queries.where(has_quote).toLocalIterator()]
+        plain = queries.where(~has_quote)
     else:
         quoted = [(i, text) for i, text in enumerate(queries) if '"' in text]
         plain = ["" if '"' in text else text for text in queries]
-    if len(quoted) > MAX_QUOTED:
-        raise ValueError(f"more than {MAX_QUOTED} queries with a double quote; search them in portions")
     hits = rank(score(index, plain, stemmed=stemmed, **filters), limit)
     out = attach_facts(hits.select("query_id", "rank", "fact_id", "score"), facts, analyses)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("confidence"), "fact_id"))
-    for query_id, text in quoted:
-        found = like_search(facts, analyses, text, limit=limit, **filters)
-        found = found.withColumns({"query_id": F.lit(query_id).cast("long"), "score": F.lit(None).cast("double")})
-        out = out.unionByName(found.withColumn("rank", place))
+    if quoted:
+        hits = like_hits(facts, analyses, quoted, limit, **filters).withColumn("score", F.lit(None).cast("double"))
+        out = out.unionByName(attach_facts(hits, facts, analyses))
     return out
 
 

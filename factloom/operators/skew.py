@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.session import materialise
+
 # Rows of one key that a single task may receive before the key is split.
 ROWS_PER_SPLIT = 1_000_000
-# Upper bound of the broadcast list of split keys.
-MAX_SPLIT_KEYS = 10_000
+# Parts that rows with a null key are spread over; they match nothing, so the other side needs no copies.
+NULL_PARTS = 1 << 16
 # Upper bounds of a side that is broadcast after its size was checked.
 BROADCAST_ROWS = 200_000
 BROADCAST_CHARS = 16_000_000
@@ -20,19 +24,13 @@ def split_plan(
     """Keys with too many rows for one task, and into how many parts to split each.
 
     The counts (``__n`` per key, given or taken here) are combined map-side, so a
-    hot key is shuffled as one row per task. At most MAX_SPLIT_KEYS rows come
-    back, the largest keys first; any key left out is smaller than all of those
-    and is handled by the plain join. Ties are ordered by key, so that both sides
-    of a join see the same list.
+    hot key is shuffled as one row per task. There is at most one row for every
+    ``rows_per_split`` rows of ``big``.
     """
     if counts is None:
         counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
-    return (
-        counts.where(F.col("__n") > rows_per_split)
-        .orderBy(F.desc("__n"), *on)
-        .limit(MAX_SPLIT_KEYS)
-        .select(*on, F.ceil(F.col("__n") / rows_per_split).cast("int").alias("__parts"))
-    )
+    parts = F.ceil(F.col("__n") / rows_per_split).cast("int").alias("__parts")
+    return counts.where(F.col("__n") > rows_per_split).select(*on, parts)
 
 
 def salted_lookup(
@@ -49,14 +47,19 @@ def salted_lookup(
     Rows of a hot key are spread over as many parts as its count asks for, and
     only the ``small`` rows of those keys are repeated, once per part. The work
     grows with the data and no row is left out. ``spread`` names a column of
-    ``big`` with many values. Supports inner, left, left_semi and left_anti.
+    ``big`` with many values. Supports inner, left, left_semi and left_anti. The
+    stored list of split keys is the same for both sides; it is broadcast if its
+    size allows, else joined by shuffle. Rows with a null key are spread too.
     """
-    plan = F.broadcast(split_plan(big, on, rows_per_split, counts))
+    plan = broadcast_if_small(materialise(split_plan(big, on, rows_per_split, counts), "split-keys"))
+    no_key = reduce(lambda a, b: a | b, [F.col(name).isNull() for name in on])
     salted_big = (
         big.join(plan, on, "left")
         .withColumn(
             "__salt",
-            F.when(F.col("__parts").isNull(), F.lit(0)).otherwise(
+            F.when(no_key, F.pmod(F.xxhash64(F.col(spread)), F.lit(NULL_PARTS)).cast("int"))
+            .when(F.col("__parts").isNull(), F.lit(0))
+            .otherwise(
                 F.pmod(F.xxhash64(F.col(spread)), F.col("__parts")).cast("int")
             ),
         )

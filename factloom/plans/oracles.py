@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from factloom.functions.text import FOLD_FROM, FOLD_TO, IGNORED_WORDS, component_stem, split_clean
 from factloom.operators.deps import NOISE_NAMES
-from factloom.operators.merge import ID_SPAN
 from factloom.plans import queries as q
 from factloom.plans.views import views
 
@@ -59,7 +58,7 @@ ORACLES["index_incremental"] = f"""
     now AS (
       SELECT fact_id, summary, detail, symbols_text FROM kb_facts f
       WHERE NOT EXISTS (SELECT 1 FROM kb_analyses_talk a WHERE a.pr_id = f.pr_id AND a.repo = f.repo)
-      UNION ALL SELECT fact_id + {ID_SPAN}, summary, detail, symbols_text FROM kb_facts_talk),
+      UNION ALL SELECT fact_id + {q.SECOND_IDS}, summary, detail, symbols_text FROM kb_facts_talk),
     {tok_cte('now')} {_TOKEN_DF.format(cf='')}"""
 
 
@@ -89,7 +88,8 @@ _SCORES = """
     idf AS (SELECT phrase, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0
                            THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf FROM freq, total),
     scored AS (SELECT query_id, fact_id,
-                 -sum(mult * idf * CAST(f AS DOUBLE) * 2.2 / (f + 1.2 * (0.25 + 0.75 * doc_len / avgdl))) AS score
+                 -list_reduce(list_sort(list(mult * idf * CAST(f AS DOUBLE) * 2.2 / (f + 1.2 * (0.25 + 0.75 * doc_len / avgdl)))),
+                              lambda a, b: a + b) AS score
                FROM words JOIN hits USING (phrase) JOIN idf USING (phrase) JOIN dl USING (fact_id), total
                GROUP BY query_id, fact_id)"""
 
@@ -99,7 +99,7 @@ def _ranked_cte(limit: int, where: str = "true") -> str:
     joined AS (SELECT query_id, fact_id, score, f.pr_id, f.repo, category, summary, detail, confidence, source, ts, triggered_by
                FROM scored JOIN kb_facts f USING (fact_id) JOIN kb_analyses a ON a.pr_id = f.pr_id AND a.repo = f.repo
                WHERE {where}),
-    ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12),
+    ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score,
                  CASE WHEN source = 'scan' THEN 0 ELSE 1 END, ts DESC, fact_id) AS rank FROM joined) WHERE rank <= {limit})"""
 
 
@@ -151,7 +151,7 @@ ORACLES["like_search"] = f"""
 ORACLES["fact_projection"] = f"""
     WITH {_FACTS}
     SELECT fact_id, pr_id, repo, category, md5(summary) AS summary, md5(detail) AS detail, confidence, source,
-           CAST(0 AS INT) AS n_files, array_to_string(symbols, ',') AS symbols FROM kb_facts"""
+           CAST(len(symbols) AS INT) AS n_files, array_to_string(symbols, ',') AS symbols FROM kb_facts"""
 ORACLES["module_facts"] = f"""
     WITH {_FACTS}
     SELECT fact_id, pr_id, repo, category, md5(summary) AS summary, md5(detail) AS detail, confidence, source
@@ -248,9 +248,13 @@ ORACLES["merge_analyses"] = f"""
     SELECT pr_id, repo, CAST(ts AS STRING) AS ts, triggered_by, CAST(src_ord AS INT) AS src_ord
     FROM (SELECT *, row_number() OVER (PARTITION BY pr_id, repo ORDER BY src_ord DESC) AS n FROM analyses) WHERE n = 1"""
 ORACLES["merge_facts"] = f"""
-    WITH {_WITH_ALL}, owner AS (SELECT pr_id, repo, max(src_ord) AS m FROM analyses GROUP BY pr_id, repo)
-    SELECT src_ord * {ID_SPAN} + fact_id AS fact_id, CAST(src_ord AS INT) AS src_ord, {_SLIM}
-    FROM facts LEFT JOIN owner USING (pr_id, repo) WHERE m IS NULL OR src_ord >= m"""
+    WITH {_WITH_ALL}, owner AS (SELECT pr_id, repo, max(src_ord) AS m FROM analyses GROUP BY pr_id, repo),
+    kept AS (SELECT * FROM facts LEFT JOIN owner USING (pr_id, repo) WHERE m IS NULL OR src_ord >= m),
+    spans AS (SELECT src_ord, min(fact_id) AS low, max(fact_id) AS high FROM kept GROUP BY src_ord),
+    shifts AS (SELECT src_ord, coalesce(sum(high - low + 1) OVER (ORDER BY src_ord ROWS BETWEEN UNBOUNDED PRECEDING
+               AND 1 PRECEDING), 0) - low AS shift FROM spans)
+    SELECT CAST(fact_id + shift AS BIGINT) AS fact_id, CAST(src_ord AS INT) AS src_ord, {_SLIM}
+    FROM kept JOIN shifts USING (src_ord)"""
 ORACLES["replaced_facts_semi"] = f"""
     WITH {views('kb_facts', 'kb_analyses_talk')}
     SELECT fact_id, pr_id, repo FROM kb_facts f
@@ -272,10 +276,10 @@ ORACLES["merge_counts"] = (
 )
 ORACLES["replace_analysis"] = f"""
     WITH {views('kb_facts', 'kb_facts_talk')},
-    last AS (SELECT pr_id, repo, max(fact_id) AS fact_id FROM kb_facts_talk GROUP BY pr_id, repo)
+    last AS (SELECT pr_id, repo, max(fact_id) % 7 AS turn FROM kb_facts_talk GROUP BY pr_id, repo)
     SELECT {_SLIM} FROM kb_facts f
     WHERE NOT EXISTS (SELECT 1 FROM kb_facts_talk t WHERE t.pr_id = f.pr_id AND t.repo = f.repo)
-    UNION ALL SELECT {_SLIM} FROM kb_facts_talk WHERE fact_id IN (SELECT fact_id FROM last)"""
+    UNION ALL SELECT {_SLIM} FROM kb_facts_talk JOIN last USING (pr_id, repo) WHERE fact_id % 7 = turn"""
 ORACLES["nested_analysis"] = f"""
     WITH {views('kb_facts', 'kb_analyses', 'kb_dependencies')},
     nf AS (SELECT pr_id, repo, count(*) AS n, sum(confidence) AS c FROM kb_facts GROUP BY pr_id, repo),
@@ -344,8 +348,9 @@ ORACLES["neardup_ranked"] = f"""
 
 ORACLES["scan_snapshots"] = f"WITH {_FACTS} SELECT fact_id, {_SLIM}, array_to_string(symbols, ',') AS symbols FROM kb_facts"
 _STREAMED = f"""{_UNION_FACTS},
-    now AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pr_id, repo ORDER BY src_ord DESC, fact_id DESC) AS n
-            FROM facts) WHERE n = 1)"""
+    last AS (SELECT pr_id, repo, arg_max(fact_id % 7, src_ord * 1099511627776 + fact_id) AS turn, max(src_ord) AS src_ord
+             FROM facts GROUP BY pr_id, repo),
+    now AS (SELECT * FROM facts JOIN last USING (pr_id, repo, src_ord) WHERE fact_id % 7 = turn)"""
 ORACLES["stream_replace"] = f"WITH {_STREAMED} SELECT {_SLIM} FROM now"
-_STREAM_TEXT = "bare AS (SELECT src_ord * 1099511627776 + fact_id AS fact_id, summary, detail, '' AS symbols_text FROM now)"
+_STREAM_TEXT = "bare AS (SELECT src_ord * 1099511627776 + fact_id AS fact_id, summary, detail, symbols_text FROM now)"
 ORACLES["stream_index"] = f"WITH {_STREAMED}, {_STREAM_TEXT}, {tok_cte('bare')} {_TOKEN_DF.format(cf='')}"

@@ -30,6 +30,8 @@ COMPONENT = "small_ring.py"
 COMPONENTS = ["small_ring.py", "Supplier#000000007", "large", "json"]
 REPO, MODULE, NATION = "src5", "SCAN:en/1", "NATION_3"
 
+# Ids of facts that are added to an index start here.
+SECOND_IDS = 1 << 48
 FACT_SOURCES = ("kb_facts", "kb_facts_talk", "kb_facts_page")
 ANALYSIS_SOURCES = ("kb_analyses", "kb_analyses_talk", "kb_analyses_page")
 
@@ -121,7 +123,7 @@ def stem_vocab(spark, sf):
 def index_incremental(spark, sf):
     """Replace the facts whose modules come again in the conversations; document frequencies after it."""
     gone = merge.replaced_rows(table(spark, sf, "kb_facts"), table(spark, sf, "kb_analyses_talk"), "fact_id")
-    added = table(spark, sf, "kb_facts_talk").withColumn("fact_id", F.col("fact_id") + merge.ID_SPAN)
+    added = table(spark, sf, "kb_facts_talk").withColumn("fact_id", F.col("fact_id") + SECOND_IDS)
     analyses = merge.merge_analyses(_united(spark, sf, ("kb_analyses", "kb_analyses_talk"), "pr_analyses"))
     updated = index.update_index(stored_index(spark, sf), gone, added, analyses)
     return index.document_frequency(updated.postings)
@@ -234,7 +236,7 @@ def like_search(spark, sf):
 @query
 def fact_projection(spark, sf):
     stored = table(spark, sf, "kb_facts").withColumns(
-        {"symbols": F.to_json("symbols"), "source_files": F.lit(None).cast("string")}
+        {"symbols": F.to_json("symbols"), "source_files": F.to_json("symbols")}
     )
     return _text(facts.project(stored), "summary", "detail").select(
         "fact_id", "pr_id", "repo", "category", "summary", "detail", "confidence", "source",
@@ -425,21 +427,24 @@ def merge_counts(spark, sf):
 
 
 def _arrivals(fact_rows: DataFrame, ord_: int = 0) -> DataFrame:
-    """One nested analysis per fact, arriving in id order."""
+    """Nested analyses, each with a seventh of the facts of its key, arriving in the order of their last fact."""
+    symbols = F.col("symbols") if "symbols" in fact_rows.columns else F.array().cast("array<string>")
     fact = F.struct(
-        "category", "summary", "detail", "confidence", "source",
-        F.array().cast("array<string>").alias("files"), F.array().cast("array<string>").alias("symbols"),
+        "fact_id", "category", "summary", "detail", "confidence", "source",
+        F.array("repo").alias("files"), symbols.alias("symbols"),
     )
     edge = F.struct(
         F.col("category").alias("from_component"), F.col("repo").alias("to_component"), F.lit("calls").alias("relation")
     )
-    change = F.struct(
-        F.col("pr_id").alias("id"), F.array("repo").alias("files"), F.array("category").alias("kind")
+    grouped = fact_rows.groupBy("pr_id", "repo", F.pmod("fact_id", F.lit(7)).alias("turn")).agg(
+        F.sort_array(F.collect_list(fact)).alias("facts"), F.collect_list(edge).alias("dependencies"),
+        F.collect_set("category").alias("kinds"), F.max("fact_id").alias("last"),
     )
-    rows = fact_rows.select(
+    change = F.struct(F.col("pr_id").alias("id"), F.array("repo").alias("files"), F.col("kinds").alias("kind"))
+    rows = grouped.select(
         "pr_id", "repo", F.lit("2024-05-01T00:00:00Z").alias("timestamp"), change.alias("change"),
-        F.array(edge).alias("dependencies"), F.array(fact).alias("facts"),
-        (F.col("fact_id") + ord_ * (1 << 40)).alias("arrival"),
+        "dependencies", F.transform("facts", lambda f: f.dropFields("fact_id")).alias("facts"),
+        (F.col("last") + ord_ * (1 << 40)).alias("arrival"),
     )
     return rows.select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in NESTED_ANALYSIS], "arrival"

@@ -64,10 +64,10 @@ _RAW_FACTS = {
 }
 
 _ANALYSES = """
-    SELECT pr_id, repo,
+    SELECT pr_id, CASE WHEN repo = '{unanalysed}' THEN 'archive' ELSE repo END AS repo,
            TIMESTAMP '2024-01-01 00:00:00' + CAST(min(fact_id) % 400 AS INT) * INTERVAL '1' HOUR AS ts,
            CASE WHEN min(fact_id) % 4 = 0 THEN concat('PR-', CAST(min(fact_id) AS STRING)) END AS triggered_by
-    FROM {facts} WHERE repo <> '{unanalysed}' GROUP BY pr_id, repo"""
+    FROM {facts} GROUP BY pr_id, CASE WHEN repo = '{unanalysed}' THEN 'archive' ELSE repo END"""
 
 _PLAIN = {
     "kb_dependencies": """
@@ -102,9 +102,9 @@ _PLAIN = {
         JOIN {nation} cn ON c_nationkey = cn.n_nationkey JOIN {supplier} ON l_suppkey = s_suppkey
         JOIN {nation} sn ON s_nationkey = sn.n_nationkey JOIN {part} ON l_partkey = p_partkey""",
     "kb_repo_summaries": """
-        SELECT concat('src', CAST(n_nationkey AS STRING)) AS repo, n_name AS summary,
+        SELECT concat('src', CAST(n_nationkey + 3 AS STRING)) AS repo, n_name AS summary,
                concat('2024-01-', lpad(CAST(n_nationkey + 1 AS STRING), 2, '0'), 'T00:00:00Z') AS updated_at
-        FROM {nation} WHERE n_regionkey <> 0""",
+        FROM {nation}""",
     "kb_repo_summaries_region": """
         SELECT concat('src', CAST(r_regionkey * 3 AS STRING)) AS repo, r_name AS summary,
                '2023-06-01T00:00:00Z' AS updated_at

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from factloom.operators.analyses import flatten, latest_arrivals
+from factloom.operators.analyses import flatten, latest_arrivals, validate_analyses
 from factloom.operators.index import (
     TextIndex,
     document_rows,
@@ -28,7 +28,8 @@ from factloom.operators.index import (
     statistics_row,
     vocabulary_rows,
 )
-from factloom.operators.merge import merge_analyses, merge_children
+from factloom.operators.merge import KEY, merge_analyses, merge_children
+from factloom.session import materialise
 from factloom.sources.schemas import NESTED_ANALYSIS
 
 # Arrival numbers must be unique over the life of a stream (a source offset, say).
@@ -43,8 +44,10 @@ class StreamStore:
     indexed: bool = False
 
     def write_batch(self, nested: DataFrame, batch_id: int) -> None:
-        """Append one micro-batch of nested analyses."""
-        fresh = flatten(latest_arrivals(nested))
+        """Append one micro-batch of nested analyses; unusable ones go to ``rejects`` with a reason."""
+        checked = materialise(validate_analyses(nested), "arrivals")
+        self._write(checked.where(F.col("reason").isNotNull()).select(*KEY, "timestamp", "reason"), "rejects", batch_id)
+        fresh = flatten(latest_arrivals(checked.where(F.col("reason").isNull()).drop("reason")))
         for name, rows in fresh.items():
             self._write(rows, name, batch_id)
         if self.indexed:
@@ -52,12 +55,17 @@ class StreamStore:
             self._write(document_rows(facts), "docs", batch_id)
             postings = posting_rows(link_attributes(facts, analyses))
             postings = postings.withColumn("shard", shard_of(F.col("token"), INDEX_SHARDS))
-            self._write(postings.hint("rebalance", "shard"), "postings", batch_id)
+            self._write_postings(postings, batch_id)
         self._write(self.spark.range(1).select(F.lit(batch_id).alias("done")), "commits", batch_id)
 
     def _write(self, rows: DataFrame, name: str, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch_id}")
 
+    def _write_postings(self, postings: DataFrame, batch_id: int) -> None:
+        """Postings in shard folders, sorted by token, as in a stored index: a search opens its shards only."""
+        laid = postings.hint("rebalance", "shard").sortWithinPartitions("shard", "token", "fact_id")
+        laid.write.mode("overwrite").partitionBy("shard").parquet(f"{self.path}/postings/batch={batch_id}")
+
     def _batch(self, name: str, batch_id: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}/batch={batch_id}")
 
@@ -99,7 +107,8 @@ class StreamStore:
         last, other = self.last_batch(), StreamStore(self.spark, path, self.indexed)
         live = self.tables()
         if self.indexed:
-            live |= {"docs": self._live_docs(), "postings": self.index().postings.hint("rebalance", "shard")}
+            live["docs"] = self._live_docs()
+            other._write_postings(self.index().postings, last)
         for name, rows in live.items():
             other._write(rows, name, last)
         other._write(self.spark.range(1).select(F.lit(last).alias("done")), "commits", last)
