@@ -162,6 +162,22 @@ for _name, _where, _limit in (("recent_facts", "true", 20), ("recent_by_category
     SELECT fact_id, f.pr_id, f.repo, category, md5(summary) AS summary, confidence, source, CAST(ts AS STRING) AS ts,
            triggered_by
     FROM {_LINKED} WHERE {_where} ORDER BY a.ts DESC, fact_id LIMIT {_limit}"""
+_JSON = "repo := f.repo, category := category, summary := summary, detail := detail, confidence := confidence"
+_SYMBOLS_JSON = "symbols := CASE WHEN len(symbols) > 0 THEN symbols END"
+ORACLES["module_facts_json"] = f"""
+    WITH {_FACTS}
+    SELECT fact_id, CAST(json_merge_patch('{{}}', to_json(struct_pack({_JSON}, {_SYMBOLS_JSON}))) AS VARCHAR) AS value
+    FROM kb_facts f WHERE pr_id = '{q.MODULE}'"""
+ORACLES["recent_json"] = f"""
+    WITH {_BOTH}
+    SELECT fact_id, CAST(json_merge_patch('{{}}', to_json(struct_pack({_JSON}, {_SYMBOLS_JSON},
+           timestamp := strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), triggered_by := triggered_by))) AS VARCHAR) AS value
+    FROM {_LINKED} ORDER BY a.ts DESC, fact_id LIMIT 20"""
+ORACLES["validate_analyses"] = f"""
+    WITH {views('kb_facts_talk')}
+    SELECT pr_id, repo, max(fact_id) AS arrival, CASE max(fact_id) % 5 WHEN 0 THEN 'unreadable timestamp'
+           WHEN 1 THEN 'confidence out of range' WHEN 2 THEN 'incomplete dependency' END AS reason
+    FROM kb_facts_talk GROUP BY pr_id, repo, fact_id % 7"""
 ORACLES["linked_facts"] = f"""
     WITH {_BOTH} SELECT fact_id, f.pr_id, f.repo, CAST(ts AS STRING) AS ts, triggered_by FROM {_LINKED}"""
 ORACLES["validate_facts"] = f"""

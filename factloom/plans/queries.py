@@ -220,6 +220,33 @@ def clean_json(spark, sf):
     return knowledge_base(spark, sf).search_json(MULTI, limit=30)
 
 
+@query
+def module_facts_json(spark, sf):
+    return knowledge_base(spark, sf).module_facts_json(MODULE)
+
+
+@query
+def recent_json(spark, sf):
+    return knowledge_base(spark, sf).recent_json(limit=20)
+
+
+@query
+def validate_analyses(spark, sf):
+    """Arrivals of the conversations, some of them with an unreadable time, an unsure fact or an edge without end."""
+    rows = _arrivals(table(spark, sf, "kb_facts_talk"))
+    number = F.col("arrival")
+    unsure = F.transform("facts", lambda f: f.withField("confidence", F.lit(1.5)))
+    open_edge = F.transform("dependencies", lambda d: d.withField("to_component", F.lit(None).cast("string")))
+    bad = rows.withColumns(
+        {
+            "timestamp": F.when(number % 5 == 0, "yesterday").otherwise(F.col("timestamp")),
+            "facts": F.when(number % 5 == 1, unsure).otherwise(F.col("facts")),
+            "dependencies": F.when(number % 5 == 2, open_edge).otherwise(F.col("dependencies")),
+        }
+    )
+    return nested_ops.validate_analyses(bad).select("pr_id", "repo", "arrival", "reason")
+
+
 @query
 def like_search(spark, sf):
     found = search.like_search(

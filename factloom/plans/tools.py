@@ -44,6 +44,12 @@ class KnowledgeBase:
     def module_facts(self, module_id: str) -> DataFrame:
         return listing.module_facts(listing.project(self.tables["facts"]), module_id)
 
+    def module_facts_json(self, module_id: str) -> DataFrame:
+        return clean_json(self.module_facts(module_id), keep=("fact_id",))
+
+    def recent_json(self, category: str | None = None, limit: int = 10) -> DataFrame:
+        return clean_json(self.recent_changes(category, limit), keep=("fact_id",))
+
     def recent_changes(self, category: str | None = None, limit: int = 10) -> DataFrame:
         if category:
             _check_category(category)

@@ -143,3 +143,17 @@ def test_nested_parts_hold_everything_once(spark, monkeypatch, broadcast_rows):
     one = nested_ops.get_analysis(store["pr_analyses"], store["facts"], store["dependencies"], "PR-1").collect()
     assert len(one) == 1 and len(one[0].facts) == 25
     assert nested_ops.get_analysis(store["pr_analyses"], store["facts"], store["dependencies"], "none").count() == 0
+
+
+def test_ids_of_very_many_sources(spark):
+    """Ids stay unique and in source order, however many sources there are and wherever their ids lie."""
+    rows = spark.range(120_000).select(
+        (F.col("id") % 40_000).cast("int").alias("src_ord"),
+        F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.col("id") + (1 << 60)).alias("fact_id"),
+    ).where("src_ord < 39000 or fact_id < 1000000")
+    few = rows.where("fact_id < 1000000")
+    numbered = merge.renumber(few, "fact_id")
+    assert numbered.select("fact_id").distinct().count() == few.count()
+    spans = numbered.groupBy("src_ord").agg(F.min("fact_id").alias("low"), F.max("fact_id").alias("high"))
+    ordered = spans.orderBy("src_ord").collect()
+    assert all(a.high < b.low for a, b in zip(ordered, ordered[1:]))

@@ -116,6 +116,14 @@ def test_empty_and_malformed_queries(base):
     assert [r.fact_id for r in found] == [1] and found[0].score is None
 
 
+def test_very_many_quoted_queries(spark, base):
+    """More quoted queries than one scan takes: each is answered as if it were alone."""
+    queries = spark.createDataFrame([(i, f'"{"login" if i % 2 else "nothing"} {i}') for i in range(250)], "query_id long, query string")
+    facts = base["facts"].withColumn("detail", F.when(F.col("fact_id") == 1, F.lit('say "login 7 "login 249')).otherwise("detail"))
+    found = search.search_batch(base["index"], facts, base["pr_analyses"], queries)
+    assert sorted((r.query_id, r.fact_id, r.rank) for r in found.collect()) == [(7, 1, 1), (249, 1, 1)]
+
+
 def test_like_search_order(base):
     found = search.like_search(base["facts"], base["pr_analyses"], "GATEWAY", limit=7).collect()
     linked = {(r.pr_id, r.repo) for r in base["pr_analyses"].collect()}

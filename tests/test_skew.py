@@ -28,3 +28,12 @@ def test_broadcast_is_size_checked(spark):
     assert skew.broadcast_if_small(small, 10, 14) is small
     nested = small.withColumn("a", F.array("t"))
     assert skew.broadcast_if_small(nested, 10, 100) is nested
+
+
+def test_null_keys_and_many_split_keys(spark):
+    big = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 600).alias("k"))
+    small = spark.createDataFrame([(k, f"v{k}") for k in range(0, 600, 7)], "k long, v string")
+    for how in ("left", "left_anti", "inner"):
+        expected = sorted(map(tuple, big.join(small, "k", how).collect()), key=str)
+        found = skew.salted_lookup(big, small, ["k"], how, "id", rows_per_split=1)
+        assert sorted(map(tuple, found.collect()), key=str) == expected

@@ -51,3 +51,16 @@ def test_uncommitted_batch_is_invisible(spark, tmp_path):
     half = store.tables()["pr_analyses"].drop("src_ord")
     half.write.parquet(str(tmp_path / "store" / "pr_analyses" / "batch=1"))
     assert rows(store) == [("PR-1", "kept")]
+
+
+def test_bad_arrivals_are_put_aside(spark, tmp_path):
+    """An unreadable time neither stops the batch nor reaches the tables; the rest of the batch is saved."""
+    store = StreamStore(spark, str(tmp_path / "store"), indexed=True)
+    rows = spark.createDataFrame([nested_row("PR-1", 1, ["kept"]), nested_row("PR-2", 2, ["late"])], ARRIVAL_SCHEMA)
+    rows = rows.withColumn("timestamp", F.when(F.col("pr_id") == "PR-2", "soon").otherwise(F.col("timestamp")))
+    store.write_batch(rows, 0)
+    assert [pr_id for pr_id, _ in sorted((r.pr_id, r.summary) for r in store.tables()["facts"].collect())] == ["PR-1"]
+    rejects = spark.read.parquet(str(tmp_path / "store" / "rejects")).collect()
+    assert [(r.pr_id, r.reason) for r in rejects] == [("PR-2", "unreadable timestamp")]
+    plan = store.index().postings.where("shard = 3")._jdf.queryExecution().executedPlan().toString()
+    assert "shard" in plan.split("PartitionFilters")[1].split("]")[0]
