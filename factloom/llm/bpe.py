@@ -1,23 +1,24 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
-Texts are cut into words where a token can never reach across (before white space
-that follows other characters). Each distinct word of the corpus is encoded once.
-The most frequent words, a table of bounded size, go back to the texts by
-broadcast; every other word is exploded with its position, joined to its ids and
-put back by position. Decoding looks ids up in the token-byte table.
+A word is one match of the pre-token pattern. Each distinct word of the corpus is
+encoded once. The most frequent words, a table of bounded size, go back to the
+texts by broadcast; every other word leaves a mark at its position, is sent with
+the bucket of its document to meet its ids, and is put back by position. Decoding
+looks ids up in the token-byte table.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,24 +29,29 @@ from factloom.session import materialise
 # Bounds of the table that is broadcast: words, and bytes of a word (20 MB with their ids at most).
 HOT_WORDS = 200_000
 HOT_WORD_BYTES = 48
-# Distinct words a task counts before it passes them on.
-COUNTED_WORDS = 400_000
+# Distinct stretches a task counts, or remembers the ids of, before it starts anew.
+COUNTED = 400_000
+REMEMBERED = 600_000
+# Documents of a bucket, about. A bucket's texts and missing words are one task's work.
+BUCKET_DOCS = 2048
+# Stands for a word whose ids are not known yet; no vocabulary has this id.
+HOLE = b"\xff\xff\xff\xff"
 
 # Unicode white space, as the pre-token pattern's \s has it (fixed values).
 WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 RARE_WHITE = re.compile(f"[{WHITE.replace(' ', '').replace(chr(92) + 'n', '')}]")
-WORDS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-ANY_WORDS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+STRETCHES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+ANY_STRETCHES = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
-def words_of(text: str) -> list[str]:
+def stretches(text: str) -> list[str]:
     """White space and the run of other characters after it, one by one; together they are the text.
 
     No pre-token reaches across such a cut: one that holds other characters holds
     no white space after them, and how white space itself is split depends only on
-    what is in the same word.
+    what is in the same stretch. So the pattern may run on distinct stretches alone.
     """
-    return (ANY_WORDS if RARE_WHITE.search(text) else WORDS).findall(text)
+    return (ANY_STRETCHES if RARE_WHITE.search(text) else STRETCHES).findall(text)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -84,15 +90,24 @@ def vocabulary(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text"
     bounded_batches(docs.sparkSession)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        split = regex.compile(pattern).findall
         seen: Counter[str] = Counter()
+
+        def counted() -> pd.DataFrame:
+            words: Counter[str] = Counter()
+            for stretch, n in seen.items():
+                for word in split(stretch):
+                    words[word] += n
+            seen.clear()
+            return pd.DataFrame({"word": objects(list(words)), "n": list(words.values())})
+
         for batch in batches:
             for text in batch["text"]:
                 if text:
-                    seen.update(words_of(text))
-                if len(seen) > COUNTED_WORDS:
-                    yield pd.DataFrame({"word": objects(list(seen)), "n": list(seen.values())})
-                    seen.clear()
-        yield pd.DataFrame({"word": objects(list(seen)), "n": list(seen.values())})
+                    seen.update(stretches(text))
+                if len(seen) > COUNTED:
+                    yield counted()
+        yield counted()
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = encoding(ranks, pattern)
@@ -105,6 +120,56 @@ def vocabulary(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text"
     return distinct.mapInPandas(encode, "word string, n long, ids binary")
 
 
+def frequent(words: DataFrame, most: int) -> DataFrame:
+    """The words above a count that at most ``most`` words reach, found from their numbers by size of count."""
+    grade = F.floor(F.log2("n") * 8)
+    numbers = words.groupBy(grade.alias("grade")).agg(F.count(F.lit(1)).alias("words")).collect()
+    least, total = 1 << 30, 0
+    for row in sorted(numbers, key=lambda r: -r["grade"]):
+        total += row["words"]
+        if total > most:
+            break
+        least = row["grade"]
+    return words.where(grade >= least)
+
+
+class Lookup(dict):
+    """Ids of stretches from the hot words; a word that is not hot leaves HOLE and is listed in ``missing``."""
+
+    def __init__(self, hot: dict[str, bytes], pattern: str):
+        super().__init__()
+        self.hot, self.split, self.missing = hot, regex.compile(pattern).findall, {}
+
+    def __missing__(self, stretch: str) -> bytes:
+        words = self.split(stretch)
+        found = [self.hot.get(word, HOLE) for word in words]
+        rare = [word for word, ids in zip(words, found, strict=True) if ids is HOLE]
+        if rare:
+            self.missing[stretch] = rare
+        value = self[stretch] = b"".join(found)
+        return value
+
+    def text(self, text: str) -> tuple[bytes, list[str]]:
+        """Ids of a text, with holes, and the words that belong into them, in order."""
+        if len(self) > REMEMBERED:
+            self.clear()
+            self.missing.clear()
+        found = stretches(text)
+        ids = b"".join([self[s] for s in found])
+        missing = self.missing
+        return ids, [word for s in found if s in missing for word in missing[s]] if HOLE in ids else []
+
+
+def filled(ids: np.ndarray, fills: list[bytes]) -> np.ndarray:
+    """Ids with the holes replaced, in order, by what belongs there."""
+    holes = np.flatnonzero(ids == np.uint32(0xFFFFFFFF))
+    parts, at = [], 0
+    for hole, fill in zip(holes.tolist(), fills, strict=True):
+        parts += [ids[at:hole], np.frombuffer(fill, dtype="<u4")]
+        at = hole + 1
+    return np.concatenate([*parts, ids[at:]])
+
+
 def encode_documents(docs: DataFrame, ranks: str, pattern: str, hot_words: int = HOT_WORDS, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
     """id and ids (binary, little-endian 32-bit) of every whole text.
@@ -112,75 +177,78 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, hot_words: int =
     A null text is empty and has no ids. Null ids and repeated rows are encoded
     like others. An empty table gives an empty result; other columns are ignored.
     The result does not depend on ``hot_words``, the size of the broadcast table.
+
+    The texts are looked up twice, once for the words that are missing and once for
+    the ids around them: this costs less than storing what lies between.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     words = materialise(vocabulary(docs, ranks, pattern, text_col), "vocabulary")
-    top = (
-        words.where(F.octet_length("word") <= HOT_WORD_BYTES).orderBy(F.desc("n"), "word").limit(hot_words)
-        .select("word", "ids").toPandas()
-    )
-    hot = spark.sparkContext.broadcast(
-        {w: np.frombuffer(i, dtype="<u4").tolist() for w, i in zip(top["word"], top["ids"], strict=True)}
-    )
+    top = frequent(words.where(F.octet_length("word") <= HOT_WORD_BYTES), hot_words).select("word", "ids").toArrow()
+    hot = spark.sparkContext.broadcast(dict(zip(top["word"].to_pylist(), top["ids"].to_pylist(), strict=True)))
+    token = uuid.uuid4().hex
+    source = pick(docs, id_col, text_col).toDF("id", "text")
+    buckets = max(1, -(-source.count() // BUCKET_DOCS))
+    placed = source.withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(buckets)).cast("int"))
 
-    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = hot.value
+    def rare_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        look = _lookup(token, hot, pattern)
+        wanted: dict[int, set[str]] = {}
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["id"], batch["text"], strict=True):
-                ids: list[int] = []
-                holes = []
-                found = words_of(text) if text else []
-                try:
-                    for word in found:
-                        ids += known[word]
-                except KeyError:
-                    ids.clear()
-                    for word in found:
-                        own = known.get(word)
-                        if own is None:
-                            holes.append({"at": len(ids), "order": len(holes), "word": word})
-                        else:
-                            ids += own
-                key = hashlib.sha256((text or "").encode("utf-8", "surrogatepass")).digest() if holes else None
-                rows.append((doc_id, key, _squeeze(np.array(ids, dtype="<u4")), holes))
-            frame = pd.DataFrame(rows, columns=["id", "key", "known", "holes"], dtype=object)
-            frame["id"] = frame["id"].astype(batch["id"].dtype)
-            yield frame
+            for bucket, text in zip(batch["bucket"], batch["text"], strict=True):
+                if text:
+                    wanted.setdefault(bucket, set()).update(look.text(text)[1])
+            if sum(map(len, wanted.values())) > COUNTED:
+                yield _pairs(wanted)
+                wanted = {}
+        yield _pairs(wanted)
+
+    def known_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        look = _lookup(token, hot, pattern)
+        for batch in batches:
+            found = [look.text(text) if text else (b"", []) for text in batch["text"]]
+            yield pd.DataFrame(
+                {
+                    "bucket": batch["bucket"], "id": batch["id"],
+                    "known": objects([_squeeze(np.frombuffer(ids, dtype="<u4")) for ids, _ in found]),
+                    "rare": objects([rare for _, rare in found]),
+                }
+            )
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    source = pick(docs, id_col, text_col).toDF("id", "text")
-    schema = f"id {id_type}, key binary, known binary, holes array<struct<at: int, order: int, word: string>>"
-    looked = materialise(source.mapInPandas(look_up, schema), "looked-up")
-    open_rows, done = looked.where(F.col("key").isNotNull()), looked.where(F.col("key").isNull())
-
-    # Equal texts have equal holes: one row of each place is enough.
-    holes = open_rows.select("key", F.explode("holes").alias("hole")).select("key", "hole.*").distinct()
-    fills = (
-        holes.join(words.select("word", "ids"), "word")
-        .groupBy("key")
-        .agg(F.sort_array(F.collect_list(F.struct("order", "at", "ids"))).alias("fills"))
-    )
-    filled = open_rows.select("id", "key", "known").join(fills, "key").select("id", "known", "fills")
-    nothing = F.array().cast("array<struct<order: int, at: int, ids: binary>>")
-    both = filled.unionByName(done.select("id", "known", nothing.alias("fills")))
+    rare = placed.select("bucket", "text").mapInPandas(rare_words, "bucket int, word string").distinct()
+    fills = rare.join(words.select("word", "ids"), "word").select("bucket", "word", "ids")
+    known = placed.mapInPandas(known_ids, f"bucket int, id {id_type}, known binary, rare array<string>")
 
-    @F.pandas_udf("binary")
-    def reassemble(known: pd.Series, fills: pd.Series) -> pd.Series:
+    def reassemble(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        own = dict(zip(found["word"], found["ids"], strict=True))
         out = []
-        for data, own in zip(known, fills, strict=True):
+        for data, rare in zip(rows["known"], rows["rare"], strict=True):
             ids = _expand(data)
-            if own is not None and len(own):
-                parts, at = [], 0
-                for fill in own:
-                    parts += [ids[at : fill["at"]], np.frombuffer(fill["ids"], dtype="<u4")]
-                    at = fill["at"]
-                ids = np.concatenate([*parts, ids[at:]])
-            out.append(ids.tobytes())
-        return objects(out)
-
-    return both.select(F.col("id").alias(id_col), reassemble("known", "fills").alias("ids"))
+            out.append((filled(ids, [own[word] for word in rare]) if len(rare) else ids).tobytes())
+        return pd.DataFrame({"id": rows["id"], "ids": objects(out)})
+
+    both = (
+        known.repartition(buckets, "bucket").groupBy("bucket").cogroup(fills.repartition(buckets, "bucket").groupBy("bucket"))
+        .applyInPandas(reassemble, f"id {id_type}, ids binary")
+    )
+    return both.select(F.col("id").alias(id_col), "ids")
+
+
+_lookups: dict = {}
+
+
+def _lookup(token: str, hot, pattern: str) -> Lookup:
+    """The lookup of a broadcast table, one per Python worker, so that later tasks know the stretches of earlier ones."""
+    if token not in _lookups:
+        _lookups.clear()
+        _lookups[token] = Lookup(hot.value, pattern)
+    return _lookups[token]
+
+
+def _pairs(wanted: dict[int, set[str]]) -> pd.DataFrame:
+    rows = [(bucket, word) for bucket, words in wanted.items() for word in words]
+    return pd.DataFrame({"bucket": [b for b, _ in rows], "word": objects([w for _, w in rows])})
 
 
 def decoded(ids: Column, ranks: str) -> Column:

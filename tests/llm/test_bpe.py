@@ -23,11 +23,11 @@ def library():
     return tiktoken.Encoding("test", pat_str=PATTERN, mergeable_ranks=op.load_ranks(RANKS), special_tokens={})
 
 
-def test_words_never_cut_a_pretoken(library):
+def test_stretches_never_cut_a_pretoken(library):
     draw = np.random.default_rng(3)
     for _ in range(5000):
         text = "".join(PARTS[i] for i in draw.integers(0, len(PARTS), draw.integers(0, 12)))
-        words = op.words_of(text)
+        words = op.stretches(text)
         assert "".join(words) == text
         assert [i for w in words for i in library.encode_ordinary(w)] == library.encode_ordinary(text), repr(text)
 
@@ -42,6 +42,19 @@ def test_encode_and_decode(spark, library, hot_words):
     assert got == sorted(wanted, key=repr)
 
 
+def test_forgetting_stretches(spark, library, monkeypatch):
+    """A lookup that is full starts anew between texts and loses nothing."""
+    monkeypatch.setattr(op, "REMEMBERED", 3)
+    look = op.Lookup({" a": b"\1\0\0\0"}, PATTERN)
+    for text in ("x a b a b c a d", " a e f g h a i", " a a a"):
+        ids, missing = look.text(text)
+        fills = [np.array(library.encode_ordinary(w), "<u4").tobytes() for w in missing]
+        found = op.filled(np.frombuffer(ids, "<u4"), fills).tolist()
+        known = {" a": [1]}
+        words = [w for s in op.stretches(text) for w in look.split(s)]
+        assert found == [i for w in words for i in known.get(w) or library.encode_ordinary(w)]
+
+
 def test_empty_table(spark):
     assert op.encode_documents(documents(spark, []), RANKS, PATTERN).collect() == []
 
