@@ -5,9 +5,15 @@ each; an empty bin borrows from a bin found by its own fixed probe order, the
 same in all documents. Bands of bins give buckets. A bucket proposes star-shaped
 pairs only: its most connected member against the others. Pairs are confirmed on
 full shingle sets. What a star leaves open (members of one bucket that are not yet
-known to belong together) goes into a further round with twice as many centres
-per bucket, without those that were centres before, until nothing is open; so
-every pair that shares a bucket is either compared or known to be connected.
+known to belong together) goes into a further round with more centres per bucket,
+without those that were centres before, until nothing is open; so every pair that
+shares a bucket is compared, or known to be connected, or cannot be linked. Two
+members cannot be linked if what sets them apart from the first centre is too much:
+with A what a member adds to the centre's set and R what it lacks, they differ by
+|A1| + |A2| + ||R1| - |R2|| shingles at least, unless they add a shingle in common.
+Copies of one text with edits of their own are told apart by this without being
+compared. Nor are pairs compared whose signatures agree UNLIKELY standard
+deviations less than those of linked ones.
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import bounded_batches, objects, pick, text_bytes
@@ -28,9 +34,13 @@ from factloom.session import materialise
 
 SHINGLE = 5
 SIMILAR = 80
-BINS = 128
-# Bins of a band. At a similarity of 0.8 (0.85) a pair misses all 32 bands once in 2e7 (2e10) times.
-BAND = 4
+BINS = 256
+# Bins of a band, and bands. A pair of similarity 0.8 (0.85) misses all of them once in 3e5 (4e8) times.
+BAND, BANDS = 6, 42
+# A pair whose signatures agree in so many standard deviations less than linked ones do on average is not compared.
+UNLIKELY = 5.5
+# Centres of a bucket in a round: so many times those of the round before.
+CENTRE_GROWTH = 16
 # Words a task remembers the hashes of before it starts anew.
 REMEMBERED_WORDS = 1_000_000
 
@@ -74,8 +84,8 @@ def shingle_set(raw: bytes, words: WordHashes, size: int = SHINGLE) -> np.ndarra
 _WEIGHTS = _odd(16, 11)
 _PROBES = np.array([np.random.default_rng((13, i)).permutation(BINS) for i in range(BINS)])
 _STARTS = np.arange(BINS, dtype=np.uint64) << _BIN_SHIFT
-_BAND_WEIGHTS = _odd(BINS, 17).reshape(-1, BAND)
-_BAND_SALT = _odd(BINS // BAND, 19)
+_BAND_WEIGHTS = _odd(BAND * BANDS, 17).reshape(-1, BAND)
+_BAND_SALT = _odd(BANDS, 19)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -91,10 +101,36 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def band_keys(values: np.ndarray) -> np.ndarray:
-    keys = (values.reshape(-1, BAND) * _BAND_WEIGHTS).sum(axis=1, dtype=np.uint64)
+    keys = (values[: BAND * BANDS].reshape(-1, BAND) * _BAND_WEIGHTS).sum(axis=1, dtype=np.uint64)
     return _mixed(keys + _BAND_SALT).view(np.int64)
 
 
+def sketch(values: np.ndarray) -> np.ndarray:
+    """One byte of every bin, eight to a 64-bit number."""
+    return (values >> np.uint64(20)).astype(np.uint8).view(np.int64)
+
+
+def least_agreement(n: int, similar: int) -> int:
+    """Bins that the sketches of a linked pair agree in at least, if the smaller set has n shingles.
+
+    Sets with few shingles fill few bins of their own, so their agreement scatters
+    more: it counts as that of half as many independent bins as they fill.
+    """
+    share, filled = similar / 100, BINS * (1 - np.exp(-max(1, n) / BINS)) / 2
+    return max(0, int(np.floor(BINS * (share - UNLIKELY * np.sqrt(share * (1 - share) / filled)))))
+
+
+def agreement(left: Column, right: Column) -> Column:
+    """In how many bins two sketches agree: eight bytes at a time, each byte of left ^ right folded into its lowest bit."""
+    total = F.lit(BINS)
+    for i in range(BINS // 8):
+        bits = F.get(left, F.lit(i)).bitwiseXOR(F.get(right, F.lit(i)))
+        for step in (4, 2, 1):
+            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, step))
+        total = total - F.bit_count(bits.bitwiseAND(F.lit(0x0101010101010101)))
+    return total
+
+
 def set_print(shingles: np.ndarray) -> bytes:
     """128 bits that equal sets share."""
     with np.errstate(over="ignore"):
@@ -102,27 +138,33 @@ def set_print(shingles: np.ndarray) -> bytes:
     return int(first).to_bytes(8, "little") + int(second).to_bytes(8, "little")
 
 
-def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """id, sha, n (set size), print, bands (null for an empty set) of every document."""
+def signatures(docs: DataFrame, shingle: int, similar: int, id_col: str, text_col: str) -> DataFrame:
+    """id, sha, n (set size), print, least, and bands and sketch (null for an empty set) of every document."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
         for batch in batches:
-            sizes, prints, bands, shas = [], [], [], []
+            sizes, prints, bands, shas, sketches = [], [], [], [], []
             for raw in text_bytes(batch["text"]):
                 found = shingle_set(raw, words, shingle)
                 sizes.append(len(found))
                 prints.append(set_print(found))
-                bands.append(band_keys(signature(found)) if len(found) else None)
+                values = signature(found) if len(found) else None
+                bands.append(band_keys(values) if len(found) else None)
+                sketches.append(sketch(values) if len(found) else None)
                 shas.append(hashlib.sha256(raw).hexdigest())
             yield pd.DataFrame(
-                {"id": batch["id"], "sha": objects(shas), "n": sizes, "print": objects(prints), "bands": objects(bands)}
+                {
+                    "id": batch["id"], "sha": objects(shas), "n": sizes, "print": objects(prints),
+                    "least": [least_agreement(n, similar) for n in sizes], "bands": objects(bands),
+                    "sketch": objects(sketches),
+                }
             )
 
     id_type = docs.schema[id_col].dataType.simpleString()
     source = pick(docs, id_col, text_col).toDF("id", "text")
-    return source.mapInPandas(run, f"id {id_type}, sha string, n long, print binary, bands array<long>")
+    return source.mapInPandas(run, f"id {id_type}, sha string, n long, print binary, least int, bands array<long>, sketch array<long>")
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -141,30 +183,46 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("node", "print", "text").mapInPandas(run, "node long, n long, shingles binary")
 
 
-def _common(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Sizes of the intersections of sorted sets."""
-    out = []
-    for a, b in zip(left, right, strict=True):
-        a, b = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-        if len(a) > len(b):
-            a, b = b, a
-        place = np.searchsorted(b, a)
-        place[place == len(b)] = 0
-        out.append(int((b[place] == a).sum()))
-    return pd.Series(out, dtype="int64")
+def _compared(similar: int):
+    """Size of the intersection of two sorted sets, and so many of the shingles that only the first one has
+    that two linked sets with any such shingle in common have one of these in common (the prefix filter)."""
+
+    def run(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+        common, added = [], []
+        for a, b in zip(left, right, strict=True):
+            a, b = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+            place = np.searchsorted(b, a)
+            place[place == len(b)] = 0
+            inside = b[place] == a
+            own = a[~inside]
+            most = (100 - similar) * (len(a) + len(a) * 100 // similar + 1) // (100 + similar)
+            common.append(int(inside.sum()))
+            added.append(own[: most + 1].view(np.int64))
+        return pd.DataFrame({"common": common, "added": objects(added)})
+
+    return F.pandas_udf(run, "struct<common: long, added: array<long>>")
+
 
+def differences(n: Column, m: Column, similar: int) -> Column:
+    """The most shingles by which linked sets of n and m shingles differ."""
+    return F.floor((100 - similar) * (n + m) / (100 + similar))
 
-def confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """The pairs (a, b) whose full sets satisfy 100 * intersection >= similar * union.
 
-    Sets of ``a`` travel to ``b``, of which many pairs share one; AQE splits a hot one.
+def compare(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """a, b, linked, adds (size of what a adds to b), lacks, added: the pairs compared on their full sets.
+
+    ``linked`` is 100 * intersection >= similar * union. Sets of ``a`` travel to ``b``, of
+    which many pairs share one; AQE splits a hot one.
     """
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("right"))
     met = left.join(broadcast_if_small(pairs), "a").join(right, "b")
-    counted = met.select("a", "b", "n_a", "n_b", F.pandas_udf(_common, "long")("left", "right").alias("common"))
-    enough = 100 * F.col("common") >= similar * (F.col("n_a") + F.col("n_b") - F.col("common"))
-    return counted.where(enough).select("a", "b").distinct()
+    counted = met.select("a", "b", "n_a", "n_b", _compared(similar)("left", "right").alias("c"))
+    common = F.col("c.common")
+    return counted.select(
+        "a", "b", (100 * common >= similar * (F.col("n_a") + F.col("n_b") - common)).alias("linked"),
+        (F.col("n_a") - common).alias("adds"), (F.col("n_b") - common).alias("lacks"), "c.added",
+    )
 
 
 def near_duplicates(docs: DataFrame, similar: int = SIMILAR, shingle: int = SHINGLE, id_col: str = "doc_id",
@@ -181,9 +239,10 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR, shingle: int = SHIN
     that share an id, are members like others. An empty table gives an empty result;
     other columns are ignored. Shingles are compared by 64-bit hashes.
     """
-    rows = materialise(signatures(docs, shingle, id_col, text_col), "signatures")
+    rows = materialise(signatures(docs, shingle, similar, id_col, text_col), "signatures")
     nodes = materialise(
-        rows.where("n > 0").groupBy("print").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+        rows.where("n > 0").groupBy("print").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("least").alias("least"),
+             F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
@@ -191,14 +250,14 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR, shingle: int = SHIN
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = materialise(members.join(sizes, "bucket"), "shared")
     degree = shared.groupBy("node").agg(F.sum("size").alias("degree"))
-    known = materialise(degree.join(nodes.select("node", "n", "print", "first_id"), "node"), "candidates")
+    known = materialise(degree.join(nodes.select("node", "n", "least", "sketch", "print", "first_id"), "node"), "candidates")
 
     as_key = F.coalesce(F.col("id").cast("string"), F.lit(""))
     wanted = known.select("node", F.hex("print").alias("print"), F.coalesce(F.col("first_id").cast("string"), F.lit("")).alias("key"))
     texts = pick(docs, id_col, text_col).toDF("id", "text").withColumn("key", as_key)
     sets = materialise(shingle_sets(key_lookup(texts, wanted, ["key"], "inner", "text"), shingle), "sets")
 
-    labels = _link(shared, known.select("node", "n", "degree"), sets, similar)
+    labels = _link(shared, known.select("node", "n", "least", "sketch", "degree"), sets, similar)
     first = nodes.select("node", "print", "first_id")
     if labels is None:
         classes = first.select("print", F.col("first_id").alias("component_id"))
@@ -219,33 +278,44 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR, shingle: int = SHIN
 
 def _link(shared: DataFrame, known: DataFrame, sets: DataFrame, similar: int) -> DataFrame | None:
     """Labels (node, label) of all nodes with links; None without any. Rounds of stars as described above."""
-    open_rows = shared.select("bucket", "node").join(known, "node")
+    # The first round compares every star; sketches are carried only by what it leaves open.
+    open_rows = shared.select("bucket", "node").join(known.drop("least", "sketch"), "node")
     links, compared, labels, centres_of_round = None, None, None, 1
     while True:
         by_rank = Window.partitionBy("bucket").orderBy(F.desc("degree"), "node")
         centres = open_rows.withColumn("place", F.row_number().over(by_rank)).where(F.col("place") <= centres_of_round)
         centre = centres.select(
-            "bucket", F.col("node").alias("centre"), F.col("n").alias("n_centre"), "place", *_named(centres, "centre_label")
+            "bucket", F.col("node").alias("centre"), F.col("n").alias("n_centre"), "place", *_named(centres)
         )
         ranked = open_rows.join(centres.select("bucket", "node", F.col("place").alias("own")), ["bucket", "node"], "left")
         near_size = F.least("n", "n_centre") * 100 >= F.greatest("n", "n_centre") * similar
         pairs = ranked.join(centre, "bucket").where(
             (F.col("node") != F.col("centre")) & (F.col("own").isNull() | (F.col("own") > F.col("place"))) & near_size
         )
-        if labels is not None:
-            pairs = pairs.where(F.col("label") != F.col("centre_label"))
+        if "label" in open_rows.columns:
+            alike = agreement(F.col("sketch"), F.col("centre_sketch")) >= F.least("least", "centre_least")
+            apart = F.col("adds") + F.col("centre_adds") + F.abs(F.col("lacks") - F.col("centre_lacks"))
+            near = apart <= differences(F.col("n"), F.col("n_centre"), similar)
+            near = F.coalesce(near | F.arrays_overlap("added", "centre_added"), F.lit(True))
+            pairs = pairs.where((F.col("label") != F.col("centre_label")) & alike & near)
         pairs = pairs.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
         if compared is not None:
             turned = compared.select(F.col("b").alias("a"), F.col("a").alias("b"))
             pairs = pairs.join(compared.unionByName(turned), ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
         compared = pairs if compared is None else compared.unionByName(pairs)
-        new = materialise(confirmed(pairs, sets, similar), "confirmed")
+        sizes = materialise(compare(pairs, sets, similar), "compared")
+        new = sizes.where("linked").select("a", "b")
         if new.take(1):
             links = new if links is None else links.unionByName(new)
             labels = components(links)
-        rest = open_rows.join(centres.select("bucket", "node"), ["bucket", "node"], "left_anti").select("bucket", "node")
-        rest = rest.join(known, "node")
+        rest = open_rows.join(centres.select("bucket", "node"), ["bucket", "node"], "left_anti")
+        if centres_of_round == 1:
+            # How the members differ from the first centre goes on with them.
+            first = centre.select("bucket", F.col("centre").alias("b"))
+            seen = sizes.select(F.col("a").alias("node"), "b", "adds", "lacks", "added")
+            rest = rest.select("bucket", "node").join(first, "bucket").join(seen, ["node", "b"], "left").drop("b")
+        rest = rest.select("bucket", "node", "adds", "lacks", "added").join(known, "node")
         if labels is not None:
             rest = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         else:
@@ -255,8 +325,9 @@ def _link(shared: DataFrame, known: DataFrame, sets: DataFrame, similar: int) ->
         open_rows = materialise(rest.join(undecided.select("bucket"), "bucket", "left_semi"), "open")
         if not open_rows.take(1):
             return labels if links is not None else None
-        centres_of_round *= 2
+        centres_of_round *= CENTRE_GROWTH
 
 
-def _named(centres: DataFrame, name: str) -> list:
-    return [F.col("label").alias(name)] if "label" in centres.columns else []
+def _named(centres: DataFrame) -> list:
+    later = ("label", "least", "sketch", "adds", "lacks", "added")
+    return [F.col(name).alias(f"centre_{name}") for name in later if name in centres.columns]
