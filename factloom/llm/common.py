@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +30,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Let Arrow batches end at BATCH_BYTES, so that long rows do not pile up in a Python worker."""
+    """Set up Python workers.
+
+    Arrow batches end at BATCH_BYTES, so that long rows do not pile up in a worker, and
+    workers find this package where the driver has it, if it is not installed for them.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = known.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        known["PYTHONPATH"] = os.pathsep.join(filter(None, [root, *paths]))
 
 
 def text_bytes(values) -> list[bytes]:
