@@ -30,8 +30,8 @@ from factloom.session import materialise
 HOT_WORDS = 200_000
 HOT_WORD_BYTES = 48
 # Distinct stretches a task counts, or remembers the ids of, before it starts anew.
-COUNTED = 400_000
-REMEMBERED = 600_000
+COUNTED = 250_000
+REMEMBERED = 250_000
 # Documents of a bucket, about. A bucket's texts and missing words are one task's work.
 BUCKET_DOCS = 2048
 # Stands for a word whose ids are not known yet; no vocabulary has this id.
@@ -141,6 +141,10 @@ class Lookup(dict):
         self.hot, self.split, self.missing = hot, regex.compile(pattern).findall, {}
 
     def __missing__(self, stretch: str) -> bytes:
+        # A stretch that is a word as a whole is not split any further.
+        if stretch in self.hot:
+            value = self[stretch] = self.hot[stretch]
+            return value
         words = self.split(stretch)
         found = [self.hot.get(word, HOLE) for word in words]
         rare = [word for word, ids in zip(words, found, strict=True) if ids is HOLE]
@@ -160,6 +164,22 @@ class Lookup(dict):
         return ids, [word for s in found if s in missing for word in missing[s]] if HOLE in ids else []
 
 
+    def rare(self, text: str) -> set[str]:
+        """The words of a text that are not hot."""
+        if len(self) > REMEMBERED:
+            self.clear()
+            self.missing.clear()
+        missing, out = self.missing, set()
+        hot = self.hot
+        for stretch in set(stretches(text)):
+            if stretch in hot:
+                continue
+            self[stretch]
+            if stretch in missing:
+                out.update(missing[stretch])
+        return out
+
+
 def filled(ids: np.ndarray, fills: list[bytes]) -> np.ndarray:
     """Ids with the holes replaced, in order, by what belongs there."""
     holes = np.flatnonzero(ids == np.uint32(0xFFFFFFFF))
@@ -197,7 +217,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, hot_words: int =
         for batch in batches:
             for bucket, text in zip(batch["bucket"], batch["text"], strict=True):
                 if text:
-                    wanted.setdefault(bucket, set()).update(look.text(text)[1])
+                    wanted.setdefault(bucket, set()).update(look.rare(text))
             if sum(map(len, wanted.values())) > COUNTED:
                 yield _pairs(wanted)
                 wanted = {}
