@@ -106,28 +106,26 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 
 def sketch(values: np.ndarray) -> np.ndarray:
-    """One byte of every bin, eight to a 64-bit number."""
-    return (values >> np.uint64(20)).astype(np.uint8).view(np.int64)
+    """One bit of every bin, 64 to a number."""
+    return np.packbits((values >> np.uint64(20)).astype(np.uint8) & 1).view(np.int64)
 
 
 def least_agreement(n: int, similar: int) -> int:
     """Bins that the sketches of a linked pair agree in at least, if the smaller set has n shingles.
 
     Sets with few shingles fill few bins of their own, so their agreement scatters
-    more: it counts as that of half as many independent bins as they fill.
+    more: it counts as that of half as many independent bins as they fill. Bits
+    of bins that differ agree half of the time.
     """
-    share, filled = similar / 100, BINS * (1 - np.exp(-max(1, n) / BINS)) / 2
+    share, filled = (1 + similar / 100) / 2, BINS * (1 - np.exp(-max(1, n) / BINS)) / 2
     return max(0, int(np.floor(BINS * (share - UNLIKELY * np.sqrt(share * (1 - share) / filled)))))
 
 
 def agreement(left: Column, right: Column) -> Column:
-    """In how many bins two sketches agree: eight bytes at a time, each byte of left ^ right folded into its lowest bit."""
+    """In how many bins two sketches agree."""
     total = F.lit(BINS)
-    for i in range(BINS // 8):
-        bits = F.get(left, F.lit(i)).bitwiseXOR(F.get(right, F.lit(i)))
-        for step in (4, 2, 1):
-            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, step))
-        total = total - F.bit_count(bits.bitwiseAND(F.lit(0x0101010101010101)))
+    for i in range(BINS // 64):
+        total = total - F.bit_count(F.get(left, F.lit(i)).bitwiseXOR(F.get(right, F.lit(i))))
     return total
 
 
