@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import sqlite3
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -553,42 +551,18 @@ def jaccard_pairs(spark, sf):
 # --- sources, sinks, streams ----------------------------------------------------
 
 
-def pack_snapshots(fact_rows: DataFrame, rows_per_file: int = 20_000) -> DataFrame:
-    """Facts as snapshot files in memory (source_no, path, length, content), many per large repository."""
-    columns = list(snapshots.FILE_COLUMNS["facts"])
-    create = f"CREATE TABLE facts ({', '.join(columns)})"
-    insert = f"INSERT INTO facts VALUES ({', '.join('?' for _ in columns)})"
-
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        connection = sqlite3.connect(":memory:")
-        connection.execute(create)
-        connection.executemany(insert, rows[columns].astype(object).itertuples(index=False, name=None))
-        connection.commit()
-        content = connection.serialize()
-        row = (0, f"{key[0]}-{key[1]}.db", len(content), content)
-        return pd.DataFrame([row], columns=["source_no", "path", "length", "content"], dtype=object)
-
-    counts = fact_rows.groupBy("repo").agg(F.ceil(F.count(F.lit(1)) / rows_per_file).cast("int").alias("files"))
-    slim = fact_rows.select(
-        F.col("fact_id").alias("id"), "pr_id", "repo", "category", "summary", "detail", "confidence", "source",
-        F.lit("[]").alias("source_files"), F.to_json("symbols").alias("symbols"),
-    )
-    part = F.pmod(F.xxhash64("id"), F.col("files")).alias("file")
-    # One row per repository; files are bounded, so no task gathers a repository.
-    return (
-        slim.join(counts, "repo").select("*", part).drop("files").groupBy("repo", "file")
-        .applyInPandas(pack, "source_no int, path string, length long, content binary")
-    )
-
-
 @query
 def scan_snapshots(spark, sf):
-    """Facts packed into snapshot files and read back from them."""
-    tables, _ = snapshots.land_snapshots(pack_snapshots(table(spark, sf, "kb_facts")))
-    return _text(tables["facts"], "summary", "detail").select(
+    """Facts written as a snapshot folder and read back from it, with a row for whatever could not be read."""
+    folder = scratch_path(spark, "snapshots")
+    snapshots.write_folder({"facts": table(spark, sf, "kb_facts")}, folder)
+    tables, rejects = snapshots.read_folders(spark, [folder])
+    found = tables["facts"].select(
         "fact_id", "pr_id", "repo", "category", "summary", "detail", "confidence", "source",
         F.array_join("symbols", ",").alias("symbols"),
     )
+    lost = rejects.select(F.col("path").alias("pr_id"), F.lit("reject").alias("category"), F.col("error").alias("detail"))
+    return _text(found, "summary", "detail").unionByName(lost, allowMissingColumns=True)
 
 
 def _stream(spark, sf, indexed):

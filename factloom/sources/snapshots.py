@@ -2,7 +2,9 @@
 
 Files are listed and read by Spark's binary file source, so any file system
 Spark can reach works: a local or mounted folder, a landing folder of release
-assets, an object-store container. Each file is opened by the task that read it.
+assets, an object-store container. Each file is opened by the task that read it,
+so a SQLite file has to fit a task. Snapshot folders of Parquet or JSON tables are
+read by Spark's own readers and may have any size.
 """
 
 from __future__ import annotations
@@ -14,14 +16,15 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import json_list, split_clean
-from factloom.operators.skew import BROADCAST_ROWS
-from factloom.session import scratch_path
+from factloom.operators.skew import key_lookup
+from factloom.session import materialise, scratch_path
 from factloom.sources.schemas import TABLES, align
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -164,23 +167,90 @@ def land_snapshots(files: DataFrame, out: str | None = None) -> tuple[dict[str,
     )
     parsed.unionByName(large, allowMissingColumns=True).write.partitionBy("table_name").parquet(out)
 
-    # The list of files is metadata that the reader already holds on the driver.
-    listed = files.select("source_no", "path").distinct().orderBy("source_no", "path").collect()
-    ordinals = spark.createDataFrame(
-        [(row["source_no"], row["path"], i) for i, row in enumerate(listed)],
-        "source_no int, path string, src_ord int",
-    )
-    if len(listed) <= BROADCAST_ROWS:
-        ordinals = F.broadcast(ordinals)
+    ordinals = _ordinals(files)
     landed = spark.read.schema(_ROW_SCHEMA).parquet(out)
     rejects = landed.where(F.col("table_name") == REJECTS).select("path", "error")
     tables = {}
     for name, columns in FILE_COLUMNS.items():
         rows = landed.where(F.col("table_name") == name).select("source_no", "path", *columns)
-        tables[name] = decode_table(rows.join(ordinals, ["source_no", "path"]), name)
+        numbered = key_lookup(rows, ordinals, ["source_no", "path"], "inner", next(iter(columns)))
+        tables[name] = decode_table(numbered, name)
     return tables, rejects
 
 
+def _ordinals(files: DataFrame) -> DataFrame:
+    """source_no, path, src_ord: the position of every file in (source, path) order, from 0."""
+    row_bits = 33  # of the ids that Spark numbers rows with; the others are the partition
+    listed = files.select("source_no", "path").distinct().orderBy("source_no", "path")
+    listed = materialise(listed.withColumn("row", F.monotonically_increasing_id()), "files")
+    part = F.shiftright("row", row_bits).alias("part")
+    # One row per partition of the sort, whatever the number of files.
+    sizes = listed.groupBy(part).agg(F.count(F.lit(1)).alias("size"))
+    before = F.sum("size").over(Window.orderBy("part")) - F.col("size")
+    starts = F.broadcast(sizes.select("part", before.alias("start")))
+    place = F.col("row").bitwiseAND(F.lit((1 << row_bits) - 1))
+    numbered = listed.withColumn("part", part).join(starts, "part")
+    return materialise(numbered.select("source_no", "path", (F.col("start") + place).alias("src_ord")), "ordinals")
+
+
+def write_folder(tables: dict[str, DataFrame], path: str, kind: str = "parquet") -> None:
+    """Tables as a snapshot folder: ``path``/<table> with the columns of snapshot files, in Parquet or JSON."""
+    for name, rows in tables.items():
+        own = {"id": "fact_id" if name == "facts" else "dep_id"}
+        columns = []
+        for column in FILE_COLUMNS[name]:
+            column_from = own.get(column, column)
+            if column_from in rows.columns:
+                is_list = rows.schema[column_from].dataType.typeName() == "array"
+                columns.append((F.to_json(column_from) if is_list else F.col(column_from)).alias(column))
+        rows.select(*columns).write.format(kind).save(f"{path}/{name}")
+
+
+def read_folders(spark: SparkSession, paths: Sequence[str], kind: str = "parquet") -> tuple[dict[str, DataFrame], DataFrame]:
+    """Tables of snapshot folders, and what could not be read: path, error.
+
+    Spark's readers split the files, so neither a file nor a folder has a size bound.
+    ``src_ord`` is the position of the listed path. A table that a folder lacks is
+    empty. A table that cannot be opened, a line that is no JSON and a row with an
+    unreadable list are rejects.
+    """
+    tables, rejects = {}, [spark.createDataFrame([], "path string, error string")]
+    for name, columns in FILE_COLUMNS.items():
+        found = []
+        for i, path in enumerate(paths):
+            place = f"{path}/{name}"
+            schema = ", ".join([f"`{column}` {kind_of}" for column, kind_of in columns.items()])
+            try:
+                if kind == "json":
+                    reader = spark.read.schema(f"{schema}, `_unread` string").option("columnNameOfCorruptRecord", "_unread")
+                    rows = reader.json(place)
+                else:
+                    rows = spark.read.format(kind).load(place)
+                    missing = [column for column in columns if column not in rows.columns]
+                    rows = rows.withColumns({column: F.lit(None) for column in missing})
+                    rows = rows.select(*[F.col(column).cast(kind_of) for column, kind_of in columns.items()])
+                    rows = rows.withColumn("_unread", F.lit(None).cast("string"))
+            except (AnalysisException, Py4JJavaError) as error:
+                if not isinstance(error, AnalysisException) or error.getCondition() != "PATH_NOT_FOUND":
+                    why = str(error).partition("\n\tat ")[0]
+                    rejects.append(spark.createDataFrame([(place, why)], "path string, error string"))
+                continue
+            found.append(rows.withColumns({"source_no": F.lit(i), "src_ord": F.lit(i), "path": F.lit(place)}))
+        if not found:
+            tables[name] = align(None, name, spark)
+            continue
+        rows = reduce(DataFrame.unionByName, found)
+        lists = [c for c in ("files", "kinds", "source_files", "symbols") if c in columns]
+        reason = F.when(F.col("_unread").isNotNull(), "not JSON")
+        for column in lists:
+            unread = F.col(column).isNotNull() & F.from_json(column, "array<string>").isNull()
+            reason = reason.when(unread, f"{column} is not a list")
+        rows = rows.withColumn("error", reason)
+        rejects.append(rows.where(F.col("error").isNotNull()).select("path", "error"))
+        tables[name] = decode_table(rows.where(F.col("error").isNull()).drop("error", "_unread"), name)
+    return tables, reduce(DataFrame.unionByName, rejects)
+
+
 def decode_table(rows: DataFrame, name: str) -> DataFrame:
     """File columns to the declared ones: lists decoded, times parsed, ids named."""
     if name == "pr_analyses":

@@ -85,6 +85,44 @@ def test_merged_snapshots_are_searchable(spark, folder, tmp_path_factory):
     assert spark.read.json(f"{out}/json").count() == 2
 
 
+@pytest.mark.parametrize("kind", ["parquet", "json"])
+def test_folders_of_any_size(spark, tmp_path, monkeypatch, kind):
+    """Spark's readers take snapshot folders whole, in order of the list; what they cannot read is reported."""
+    monkeypatch.setattr(snapshots, "MAX_FILE_BYTES", 10)
+    schema = "fact_id long, pr_id string, repo string, summary string, symbols array<string>, source_files array<string>"
+    for i in range(2):
+        rows = spark.createDataFrame([(i, f"P{i}", "r", "long " * 5_000, ["a", "b"], [])], schema)
+        snapshots.write_folder({"facts": rows}, f"{tmp_path}/{i}", kind)
+    bad = spark.createDataFrame([(5, "P5", "r", "[broken")], "id long, pr_id string, repo string, symbols string")
+    bad.write.format(kind).save(f"{tmp_path}/2/facts")
+    (tmp_path / "3" / "facts").mkdir(parents=True)
+    (tmp_path / "3" / "facts" / f"x.{kind}").write_text("not a table")
+    tables, rejects = snapshots.read_folders(spark, [f"{tmp_path}/{i}" for i in range(5)], kind)
+    found = tables["facts"].orderBy("src_ord").collect()
+    assert [(r.fact_id, r.src_ord, len(r.summary), r.symbols) for r in found] == [(i, i, 25_000, ["a", "b"]) for i in range(2)]
+    assert sorted(r.path.split("/")[-2] for r in rejects.collect()) == ["2", "3"]
+    assert tables["dependencies"].count() == 0
+
+
+def test_files_are_numbered_over_many_partitions(spark):
+    names = [(i % 3, f"f{i:03d}.db") for i in range(200)]
+    files = spark.createDataFrame(names, "source_no int, path string").repartition(7)
+    got = snapshots._ordinals(files).orderBy("src_ord").collect()
+    assert [(r.source_no, r.path, r.src_ord) for r in got] == [(*name, i) for i, name in enumerate(sorted(names))]
+
+
+def test_query_reports_what_it_cannot_read(spark, sf_dir, monkeypatch):
+    from factloom.plans import queries
+
+    read = snapshots.read_folders
+    monkeypatch.setattr(
+        queries.snapshots, "read_folders",
+        lambda s, paths: (read(s, paths)[0], s.createDataFrame([("p", "why")], "path string, error string")),
+    )
+    lost = queries.scan_snapshots(spark, sf_dir).where("category = 'reject'").collect()
+    assert [(r.pr_id, r.detail) for r in lost] == [("p", "why")]
+
+
 def test_too_large_files_are_reported(spark, folder, monkeypatch):
     monkeypatch.setattr(snapshots, "MAX_FILE_BYTES", 10)
     _, rejects = snapshots.land_snapshots(snapshots.collect_sources(spark, local=f"{folder}/a.db"))
