@@ -237,10 +237,35 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR, shingle: int = SHIN
     that share an id, are members like others. An empty table gives an empty result;
     other columns are ignored. Shingles are compared by 64-bit hashes.
     """
+    return _components(docs, similar, shingle, id_col, text_col).drop("first_of_component").select(
+        F.col("id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        "component_id",
+        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
+        F.col("sha").alias("text_sha256"),
+    )
+
+
+def first_of_components(docs: DataFrame, similar: int = SIMILAR, shingle: int = SHINGLE, id_col: str = "doc_id",
+                        text_col: str = "text") -> DataFrame:
+    """One row per document: id, text_sha256, kept. Of each component, ``kept`` marks one pair of id and text.
+
+    That is the smallest id, null only if there is no other, and the smallest hash among the texts under this id.
+    """
+    return _components(docs, similar, shingle, id_col, text_col).select(
+        F.col("id").alias(id_col), F.col("sha").alias("text_sha256"), F.col("first_of_component").alias("kept")
+    )
+
+
+def _components(docs: DataFrame, similar: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """id, sha, n, component_id and first_of_component of every document, as the functions above give them."""
     rows = materialise(signatures(docs, shingle, similar, id_col, text_col), "signatures")
+    # Ids alone do not name a text: they may be null or shared.
+    first_row = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "sha"))
     nodes = materialise(
-        rows.where("n > 0").groupBy("print").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("least").alias("least"),
-             F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        rows.where("n > 0").groupBy("print").agg(first_row.alias("first"), F.count(F.lit(1)).alias("members"),
+             F.first("n").alias("n"), F.first("least").alias("least"), F.first("bands").alias("bands"),
+             F.first("sketch").alias("sketch"))
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
@@ -248,30 +273,33 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR, shingle: int = SHIN
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = materialise(members.join(sizes, "bucket"), "shared")
     degree = shared.groupBy("node").agg(F.sum("size").alias("degree"))
-    known = materialise(degree.join(nodes.select("node", "n", "least", "sketch", "print", "first_id"), "node"), "candidates")
-
-    as_key = F.coalesce(F.col("id").cast("string"), F.lit(""))
-    wanted = known.select("node", F.hex("print").alias("print"), F.coalesce(F.col("first_id").cast("string"), F.lit("")).alias("key"))
-    texts = pick(docs, id_col, text_col).toDF("id", "text").withColumn("key", as_key)
-    sets = materialise(shingle_sets(key_lookup(texts, wanted, ["key"], "inner", "text"), shingle), "sets")
+    known = materialise(degree.join(nodes.select("node", "n", "least", "sketch", "print", "first", "members"), "node"), "candidates")
+
+    as_key = F.coalesce(F.col("id").cast("string"), F.lit("")).alias("key")
+    wanted = known.select("node", F.hex("print").alias("print"), "first.id", "first.sha").select("node", "print", as_key, "sha")
+    texts = pick(docs, id_col, text_col).toDF("id", "text")
+    texts = texts.select(as_key, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"), "text")
+    sets = materialise(shingle_sets(key_lookup(texts, wanted, ["key", "sha"], "inner", "text"), shingle), "sets")
+    # Rows that are equal in id and text give the set of their node several times.
+    several = known.where("members > 1").select("node")
+    if several.take(1):
+        once = sets.join(broadcast_if_small(several), "node", "left_semi").dropDuplicates(["node"])
+        others = sets.join(broadcast_if_small(several), "node", "left_anti")
+        sets = others.unionByName(materialise(once, "sets-of-copies"))
 
     labels = _link(shared, known.select("node", "n", "least", "sketch", "degree"), sets, similar)
-    first = nodes.select("node", "print", "first_id")
+    first = nodes.select("node", "print", "first")
     if labels is None:
-        classes = first.select("print", F.col("first_id").alias("component_id"))
+        classes = first.select("print", "first")
     else:
         placed = first.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        smallest = placed.groupBy("label").agg(F.min("first_id").alias("component_id"))
-        classes = placed.join(smallest, "label").select("print", "component_id")
-    full = rows.where("n > 0").select("id", "sha", "n", "print").join(classes, "print").drop("print")
-    empty = rows.where("n = 0").select("id", "sha", "n", F.col("id").alias("component_id"))
-    return full.unionByName(empty).select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        "component_id",
-        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
-        F.col("sha").alias("text_sha256"),
-    )
+        smallest = placed.groupBy("label").agg(F.min("first").alias("first"))
+        classes = placed.drop("first").join(smallest, "label").select("print", "first")
+    full = rows.where("n > 0").select("id", "sha", "n", "print").join(classes, "print")
+    is_first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("sha") == F.col("first.sha"))
+    full = full.select("id", "sha", "n", F.col("first.id").alias("component_id"), is_first.alias("first_of_component"))
+    empty = rows.where("n = 0").select("id", "sha", "n", F.col("id").alias("component_id"), F.lit(True).alias("first_of_component"))
+    return full.unionByName(empty)
 
 
 def _link(shared: DataFrame, known: DataFrame, sets: DataFrame, similar: int) -> DataFrame | None:

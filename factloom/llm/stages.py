@@ -67,8 +67,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (similarity of 0.8 or more): that with the smallest doc_id."""
-    return survivors(docs, minhash.near_duplicates(docs))
+    """One document of each group of near-duplicates (similarity of 0.8 or more): that with the smallest doc_id.
+
+    Several texts under that id, or null ids only: that of them with the smallest hash.
+    """
+    return survivors(docs, minhash.first_of_components(docs))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -106,6 +106,21 @@ def test_no_pair_explosion(spark, monkeypatch, edits):
     assert sum(counted) < 8 * len(rows)
 
 
+def test_texts_of_null_ids_are_fetched_once(spark, monkeypatch):
+    """Many candidates without an id: each text is fetched for its own set, not for all of them."""
+    fetched, plain = [], op.shingle_sets
+
+    def watched(texts, shingle):
+        fetched.append(texts.count())
+        return plain(texts, shingle)
+
+    monkeypatch.setattr(op, "shingle_sets", watched)
+    texts = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(20)]
+    rows = [(None, text + end) for text in texts for end in ("", " end", "")]
+    got = rows_of(op.near_duplicates(documents(spark, rows)), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == expected(rows, op.SIMILAR) and fetched == [len(rows)]
+
+
 def test_densification_and_bands():
     """Equal sets have equal signatures; the share of equal bins is near the similarity, also for small sets."""
     draw = np.random.default_rng(0)

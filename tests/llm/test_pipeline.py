@@ -89,6 +89,19 @@ def test_empty_documents(spark, folder):
         docs = out if out.columns == docs.columns else docs
 
 
+def test_one_of_each_near_copy_group_stays(spark, folder):
+    """Also of groups that have only null ids, or several texts under their smallest id."""
+    draw = random.Random(8)
+    groups = [[f"w{draw.randrange(10**6)}" for _ in range(200)] for _ in range(4)]
+    ids = [[None] * 6, [1, 1, 1, 2], [None, None, 1, 3], [None, 4]]
+    rows = [(i, " ".join([*g, f"end{n}"])) for g, own in zip(groups, ids, strict=True) for n, i in enumerate(own)]
+    rows += [rows[0], rows[0], rows[7], (None, "lonely"), (None, "alone")]
+    out = stages.drop_near_copies(spark, table(spark, rows), folder).collect()
+    found = sorted((r.text.split()[0], r.doc_id) for r in out if " " in r.text)
+    assert found == sorted((g[0], i) for g, i in zip(groups, [None, 1, 1, 4], strict=True))
+    assert len(out) == len(groups) + 2
+
+
 def test_extra_columns_stay(spark, folder):
     """Columns that are named as helpers are come through unchanged."""
     extra = {name: F.lit("x") for name in ("quality_score", "sha_of_text", "decision", "repeated_spans", "place_in_copies", "decided_id")}
