@@ -3,7 +3,8 @@
 The writer makes gzip archives with one member per record, each task its own files
 in the shared folder. The reader checks every member and record. Where a check
 fails it searches for the next valid gzip member or version line, goes on there,
-and reports the bytes in between as a gap.
+and reports the bytes in between as a gap. The same is done with the inflated bytes
+of a member, also with those in front of the place where a broken one fails.
 """
 
 from __future__ import annotations
@@ -154,6 +155,13 @@ class Damage(ValueError):
     """A record or member that fails a check."""
 
 
+def _number(text: str, name: str) -> int:
+    """A header value as a number that fits a long; Damage if it is none."""
+    if not re.fullmatch(r"-?[0-9]{1,19}", text) or not -(1 << 63) <= int(text) < 1 << 63:
+        raise Damage(f"unreadable {name}")
+    return int(text)
+
+
 def parse_record(data: bytes, start: int) -> tuple[dict, bytes, int]:
     """Headers, block and end of the record at ``start``; raises Damage if a check fails."""
     version = VERSION_LINE.match(data, start)
@@ -168,10 +176,8 @@ def parse_record(data: bytes, start: int) -> tuple[dict, bytes, int]:
         if not colon:
             raise Damage("malformed header")
         headers[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
-    length = headers.get("content-length", "")
-    if not length.isdigit():
-        raise Damage("no content length")
-    block_at, after = end + 4, end + 4 + int(length)
+    length = _number(headers.get("content-length", ""), "content length")
+    block_at, after = end + 4, end + 4 + length
     if data[after : after + 4] != b"\r\n\r\n":
         raise Damage("block does not end where its length says")
     block = data[block_at:after]
@@ -186,15 +192,22 @@ def _row(archive: str, offset: int, length: int, headers: dict, block: bytes) ->
     payload = block.partition(b"\r\n\r\n")[2] if headers.get("content-type", "").startswith("application/http") else block
     stated = headers.get("warc-payload-digest", "").removeprefix("sha1:")
     if kind == "revisit":
-        digest, size, payload = stated, int(headers.get("x-payload-length", "0")), None
+        digest, size, payload = stated, _number(headers.get("x-payload-length", "0"), "payload length"), None
+        if size < 0:
+            raise Damage("unreadable payload length")
     else:
         digest, size = digest32(payload), len(payload)
         if stated and stated != digest:
             raise Damage("payload digest differs")
 
     def page(name: str):
-        found = re.fullmatch(r"<urn:page:(-?\d+)>", headers.get(name, ""))
-        return int(found[1]) if found else None
+        """The id of a page; null if the header names none or something else than a page."""
+        value = headers.get(name, "")
+        if not value.startswith("<urn:page:") or value == "<urn:page:>":
+            return None
+        if not value.endswith(">"):
+            raise Damage(f"unreadable {name}")
+        return _number(value[len("<urn:page:") : -1], name)
 
     url = headers.get("warc-target-uri", "")
     return (
@@ -203,31 +216,79 @@ def _row(archive: str, offset: int, length: int, headers: dict, block: bytes) ->
     )
 
 
-def _records_of(archive: str, offset: int, length: int, content: bytes) -> list[tuple]:
-    """Records of one member: all of them, or Damage."""
-    rows, at = [], 0
+def _records_of(content: bytes, sure: bool) -> list[tuple[int, int, tuple | str]]:
+    """Start, end and either a record (its row from ``kind`` on) or the reason of a gap for all parts of a member's bytes.
+
+    Where the member failed its own check (not ``sure``), a record counts only if it has a
+    digest, since nothing else tells whether its bytes are right.
+    """
+    parts, at, bad_from, reason = [], 0, -1, ""
     while at < len(content):
-        headers, block, at = parse_record(content, at)
-        rows.append(_row(archive, offset, length, headers, block))
-    if not rows:
-        raise Damage("empty member")
-    return rows
+        try:
+            headers, block, end = parse_record(content, at)
+            found = _row("", 0, 0, headers, block)[3:]
+            if not sure and not headers.get("warc-block-digest", "").startswith("sha1:"):
+                raise Damage("no digest in a broken member")
+        except Damage as damage:
+            if bad_from < 0:
+                bad_from, reason = at, str(damage)
+            line = VERSION_LINE.search(content, at + 1)
+            at = line.start() if line else len(content)
+            continue
+        if bad_from >= 0:
+            parts.append((bad_from, at, reason))
+            bad_from = -1
+        parts.append((at, end, found))
+        at = end
+    if bad_from >= 0:
+        parts.append((bad_from, len(content), reason))
+    return parts
+
+
+def _member_rows(archive: str, view: memoryview, at: int) -> tuple[list[tuple], int, str]:
+    """Rows of the member at ``at``, the end of its bytes, and why the bytes behind these are a gap, if they are.
+
+    A part that cannot be read is a gap with the member's place, as its records have; the
+    reason names the inflated bytes. A broken member ends with its last valid
+    record: the search goes on in the file behind the bytes that gave it. Damage if
+    there is no valid record.
+    """
+    content, end, failed = _member_at(view, at)
+    parts = _records_of(content, not failed or failed == CUT_OFF)
+    if failed:
+        # A member that was cut off may have run into the next one, whose bytes are then a gap in it.
+        into = (i for i, (low, high, found) in enumerate(parts) if isinstance(found, str) and _hides_member(view, at, low, high))
+        parts = parts[: next(into, len(parts))]
+    good = [i for i, part in enumerate(parts) if not isinstance(part[2], str)]
+    if not good:
+        raise Damage(failed or (parts[0][2] if parts else "empty member"))
+    if failed:
+        parts = parts[: good[-1] + 1]
+        end = _reached(view, at, parts[-1][1])
+    rows = []
+    for low, high, found in parts:
+        if isinstance(found, str):
+            rows.append(_gap(archive, at, end, f"{found} (inflated bytes {low} to {high} of the member)"))
+        else:
+            rows.append((archive, at, end - at, *found))
+    return rows, end, failed
 
 
 def salvage(archive: str, data: bytes) -> Iterator[tuple]:
     """Rows of all valid records and of the gaps between them, in the order of the file.
 
-    Reads gzip members and plain records, also mixed. Gaps never overlap a record,
-    and records and gaps together cover the file.
+    Reads gzip members and plain records, also mixed. Records and gaps together cover
+    the file. Gaps never overlap a record, but for those inside a member, which have the
+    member's place.
     """
     at, bad_from, reason = 0, -1, ""
     view = memoryview(data)
     while at < len(data):
         try:
             if data[at : at + 3] == GZIP_START:
-                content, end = _member_at(view, at)
-                found = _records_of(archive, at, end - at, content)
+                found, end, failed = _member_rows(archive, view, at)
             else:
+                failed = ""
                 headers, block, end = parse_record(data, at)
                 found = [_row(archive, at, end - at, headers, block)]
         except Damage as damage:
@@ -240,23 +301,63 @@ def salvage(archive: str, data: bytes) -> Iterator[tuple]:
             bad_from = -1
         yield from found
         at = end
+        if failed and at < len(data):
+            bad_from, reason = at, failed
+            at = _next_start(data, at)
     if bad_from >= 0:
         yield _gap(archive, bad_from, len(data), reason)
 
 
-def _member_at(view: memoryview, at: int, step: int = 1 << 16) -> tuple[bytes, int]:
-    """As _inflate, feeding the member piece by piece so that the rest of the file is not copied."""
+def _hides_member(view: memoryview, at: int, low: int, high: int) -> bool:
+    """Whether the bytes that gave the inflated bytes ``low`` to ``high`` of a member start a whole member with records."""
+    start, stop = _reached(view, at, low), _reached(view, at, high)
+    while 0 <= (start := view.obj.find(GZIP_START, start, stop)):
+        content, _, failed = _member_at(view, start)
+        if not failed and any(not isinstance(found, str) for _, _, found in _records_of(content, True)):
+            return True
+        start += 1
+    return False
+
+
+CUT_OFF = "gzip member is cut off"
+
+
+def _member_at(view: memoryview, at: int, step: int = 1 << 16) -> tuple[bytes, int, str]:
+    """The inflated bytes of a member, its end, and why it is broken, if it is.
+
+    It is fed piece by piece, so that the rest of the file is not copied; the piece where it
+    breaks is fed again in smaller ones, since an error takes the bytes in front of it along.
+    """
     unpacker, parts, place = zlib.decompressobj(31), [], at
-    try:
-        while place < len(view) and not unpacker.eof:
-            piece = view[place : place + step]
+    while place < len(view) and not unpacker.eof:
+        piece = view[place : place + step]
+        before = unpacker.copy() if parts else None
+        try:
             parts.append(unpacker.decompress(piece))
             place += len(piece)
-    except zlib.error as error:
-        raise Damage(f"gzip member: {error}") from error
+        except zlib.error as error:
+            if step == 1:
+                return b"".join(parts), place, f"gzip member: {error}"
+            unpacker, step = before or zlib.decompressobj(31), max(1, step >> 8)
     if not unpacker.eof:
-        raise Damage("gzip member is cut off")
-    return b"".join(parts), place - len(unpacker.unused_data)
+        return b"".join(parts), place, CUT_OFF
+    return b"".join(parts), place - len(unpacker.unused_data), ""
+
+
+def _reached(view: memoryview, at: int, size: int, step: int = 1 << 16) -> int:
+    """Where the bytes of the member at ``at`` end that inflate to its first ``size`` bytes."""
+    unpacker, place, got = zlib.decompressobj(31), at, 0
+    while got < size:
+        before = unpacker.copy()
+        try:
+            more = len(unpacker.decompress(view[place : place + step]))
+        except zlib.error:
+            more = size
+        if step > 1 and got + more >= size:
+            unpacker, step = before, step >> 8
+            continue
+        place, got = place + step, got + more
+    return place
 
 
 def _next_start(data: bytes, at: int) -> int:

@@ -99,3 +99,46 @@ def test_wrong_digest_is_quarantined():
     mixed = op.member(good) + good + op.member(good + good)
     assert [r[3] for r in op.salvage("x", mixed)] == ["record"] * 4
     assert hashlib.sha1(b"").hexdigest() == "da39a3ee5e6b4b0d3255bfef95601890afd80709"
+
+
+def test_records_of_a_damaged_member_are_kept():
+    """One wrong digest, a flipped byte or a cut costs the records it hits, not the others of their member."""
+    parts = records()
+    place = parts[7].index(b"sha1:") + 5
+    bad = parts[7][:place] + b"!" + parts[7][place + 1 :]
+    whole = op.member(b"".join([*parts[:7], bad, *parts[8:]]))
+    rows = list(op.salvage("x", op.member(parts[0]) + whole + parts[1]))
+    assert [r[6] for r in rows if r[3] == "record"] == [0, *[i for i in range(20) if i != 7], 1]
+    gap = next(r for r in rows if r[3] == "gap")
+    start = sum(map(len, parts[:7]))
+    assert gap[1:3] == rows[1][1:3] and f"bytes {start} to {start + len(bad)} of the member" in gap[4]
+    assert salvaged(whole) == [i for i in range(20) if i != 7]
+
+    for level in (0, 3):
+        packed = op.member(b"".join(parts), level)
+        cut = packed[: len(packed) // 2]
+        kept = salvaged(cut)
+        assert 7 <= len(kept) <= 11 and kept == list(range(len(kept)))
+        assert salvaged(cut + op.member(parts[0]) + parts[1])[-2:] == [0, 1]
+        # The trailer's check sum alone is wrong: all records agree with their digests.
+        assert salvaged(packed[:-8] + bytes([packed[-8] ^ 1]) + packed[-7:] + op.member(parts[3])) == [*range(20), 3]
+        draw = random.Random(level)
+        for _ in range(40):
+            data = bytearray(packed)
+            data[draw.randrange(len(packed) // 2, len(packed))] ^= 0xFF
+            kept = [i for i in salvaged(bytes(data) + op.member(parts[0])) if i is not None]
+            assert kept[:6] == list(range(6)) and kept[-1] == 0
+
+
+def test_unreadable_header_values_are_gaps():
+    revisit = op.record_bytes(4, "u", b"payload", 3, op.digest32(b"payload"), True)
+    good = records(1)[0]
+    for old, new in (
+        (b"X-Payload-Length: 7", b"X-Payload-Length: x"), (b"X-Payload-Length: 7", b"X-Payload-Length: -7"),
+        (b"Content-Length: ", b"Content-Length: \xc2\xb2"), (b"Content-Length: ", b"Content-Length: " + b"9" * 5000),
+        (b"<urn:page:3>", b"<urn:page:x>"), (b"<urn:page:4>", b"<urn:page:" + b"9" * 30 + b">"),
+    ):
+        assert old in revisit
+        broken = revisit.replace(old, new)
+        for data in (good + broken + good, op.member(good) + op.member(broken) + op.member(good), op.member(good + broken + good)):
+            assert [r[3] for r in op.salvage("x", data)] == ["record", "gap", "record"]
