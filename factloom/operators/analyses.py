@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.merge import KEY, surviving_rows
 from factloom.operators.skew import key_lookup
+from factloom.session import materialise
 
 # Children per returned part of a nested analysis.
 PART_ROWS = 10_000
-# Child ids of one incoming analysis: arrival number times this, plus the place in its list.
-CHILD_SPAN = 1 << 20
 
 
 def latest_arrivals(nested: DataFrame, arrival: str = "arrival") -> DataFrame:
@@ -51,8 +50,32 @@ def validate_analyses(nested: DataFrame) -> DataFrame:
     )
 
 
-def flatten(nested: DataFrame, arrival: str = "arrival") -> dict[str, DataFrame]:
-    """Table rows of nested analyses. Saving drops ``triggered_by``."""
+def child_ranges(nested: DataFrame, arrival: str, first: dict[str, int]) -> DataFrame:
+    """Where the child ids of every arrival start: key, arrival, fact_id, dep_id.
+
+    In the order of arrivals each takes as many ids as it has children, from the ``first``
+    ones on. Arrivals of a sorted partition are summed up together, then the partitions.
+    """
+    row_bits = 33  # of the ids that Spark numbers rows with; the others are the partition
+    lists = {"fact_id": "facts", "dep_id": "dependencies"}
+    sizes = [F.max(F.coalesce(F.size(name), F.lit(0))).alias(id_) for id_, name in lists.items()]
+    sizes = nested.groupBy(*KEY, arrival).agg(*sizes)
+    sizes = sizes.withColumns({id_: F.greatest(F.col(id_), F.lit(0)).cast("long") for id_ in lists})
+    listed = sizes.orderBy(arrival, *KEY).withColumn("__row", F.monotonically_increasing_id())
+    listed = materialise(listed.withColumn("__part", F.shiftright("__row", row_bits)), "child-counts")
+    until = Window.orderBy("__part")
+    parts = listed.groupBy("__part").agg(*[F.sum(id_).alias(id_) for id_ in lists])
+    # One row per partition of the sort.
+    starts = parts.select("__part", *[(F.sum(id_).over(until) - F.col(id_)).alias(f"__{id_}") for id_ in lists])
+    inside = Window.partitionBy("__part").orderBy("__row")
+    found = [
+        (F.col(f"__{id_}") + F.sum(id_).over(inside) - F.col(id_) + F.lit(first[id_])).alias(id_) for id_ in lists
+    ]
+    return materialise(listed.join(F.broadcast(starts), "__part").select(*KEY, arrival, *found), "child-ranges")
+
+
+def flatten(nested: DataFrame, arrival: str = "arrival", first: dict[str, int] | None = None) -> dict[str, DataFrame]:
+    """Table rows of nested analyses, child ids counted on from ``first``. Saving drops ``triggered_by``."""
     analyses = nested.select(
         *KEY,
         F.try_to_timestamp("timestamp").alias("ts"),
@@ -61,17 +84,18 @@ def flatten(nested: DataFrame, arrival: str = "arrival") -> dict[str, DataFrame]
         F.col("change.kind").alias("kinds"),
         F.lit(None).cast("string").alias("triggered_by"),
     )
-    base = F.col(arrival).cast("long") * CHILD_SPAN
-    facts = nested.select(*KEY, arrival, F.posexplode("facts").alias("place", "f")).select(
-        (base + F.col("place")).alias("fact_id"), *KEY,
+    ranges = child_ranges(nested, arrival, first or {"fact_id": 0, "dep_id": 0})
+    nested = key_lookup(nested, ranges, [*KEY, arrival], "left", arrival)
+    facts = nested.select(*KEY, "fact_id", F.posexplode("facts").alias("place", "f")).select(
+        (F.col("fact_id") + F.col("place")).alias("fact_id"), *KEY,
         "f.category", "f.summary", "f.detail", "f.confidence",
         F.coalesce("f.source", F.lit("ai")).alias("source"),
         F.coalesce("f.files", F.array().cast("array<string>")).alias("source_files"),
         F.coalesce("f.symbols", F.array().cast("array<string>")).alias("symbols"),
         F.coalesce(F.to_json("f.symbols"), F.lit("[]")).alias("symbols_text"),
     )
-    edges = nested.select(*KEY, arrival, F.posexplode("dependencies").alias("place", "d")).select(
-        (base + F.col("place")).alias("dep_id"), *KEY, "d.from_component", "d.to_component", "d.relation"
+    edges = nested.select(*KEY, "dep_id", F.posexplode("dependencies").alias("place", "d")).select(
+        (F.col("dep_id") + F.col("place")).alias("dep_id"), *KEY, "d.from_component", "d.to_component", "d.relation"
     )
     return {"pr_analyses": analyses, "facts": facts, "dependencies": edges}
 
@@ -79,11 +103,14 @@ def flatten(nested: DataFrame, arrival: str = "arrival") -> dict[str, DataFrame]
 def replace_analyses(store: dict[str, DataFrame], nested: DataFrame, arrival: str = "arrival") -> dict[str, DataFrame]:
     """Stored tables after saving a batch of nested analyses.
 
-    Everything stored under an incoming key goes, the batch's rows come in; ids
-    of new children must not collide with stored ones, so arrival numbers must
-    be unique over the life of the store.
+    Everything stored under an incoming key goes, the batch's rows come in. Ids of
+    new children go on from the largest stored ones. Arrival numbers must be unique.
     """
-    fresh = flatten(latest_arrivals(nested, arrival), arrival)
+    first = {}
+    for name, id_ in (("facts", "fact_id"), ("dependencies", "dep_id")):
+        last = store[name].agg(F.max(id_)).first()[0]
+        first[id_] = 0 if last is None else last + 1
+    fresh = flatten(latest_arrivals(nested, arrival), arrival, first)
     keys = nested.select(*KEY)
     out = dict(store)
     for name, spread in (("pr_analyses", "pr_id"), ("facts", "fact_id"), ("dependencies", "dep_id")):

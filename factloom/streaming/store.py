@@ -35,6 +35,8 @@ from factloom.sources.schemas import NESTED_ANALYSIS
 # Arrival numbers must be unique over the life of a stream (a source offset, say).
 ARRIVAL_SCHEMA = T.StructType([*NESTED_ANALYSIS.fields, T.StructField("arrival", T.LongType())])
 INDEX_SHARDS = 64
+# Tables of children and their ids, which are counted on from batch to batch.
+CHILDREN = {"facts": "fact_id", "dependencies": "dep_id"}
 
 
 @dataclass(frozen=True)
@@ -47,7 +49,8 @@ class StreamStore:
         """Append one micro-batch of nested analyses; unusable ones go to ``rejects`` with a reason."""
         checked = materialise(validate_analyses(nested), "arrivals")
         self._write(checked.where(F.col("reason").isNotNull()).select(*KEY, "timestamp", "reason"), "rejects", batch_id)
-        fresh = flatten(latest_arrivals(checked.where(F.col("reason").isNull()).drop("reason")))
+        first = self._next_ids(batch_id)
+        fresh = flatten(latest_arrivals(checked.where(F.col("reason").isNull()).drop("reason")), first=first)
         for name, rows in fresh.items():
             self._write(rows, name, batch_id)
         if self.indexed:
@@ -56,7 +59,34 @@ class StreamStore:
             postings = posting_rows(link_attributes(facts, analyses))
             postings = postings.withColumn("shard", shard_of(F.col("token"), INDEX_SHARDS))
             self._write_postings(postings, batch_id)
-        self._write(self.spark.range(1).select(F.lit(batch_id).alias("done")), "commits", batch_id)
+        for name, id_ in CHILDREN.items():
+            last = self._batch(name, batch_id).agg(F.max(id_)).first()[0]
+            first[id_] = first[id_] if last is None else last + 1
+        self._commit(batch_id, first)
+
+    def _commit(self, batch_id: int, next_ids: dict[str, int]) -> None:
+        row = self.spark.range(1).select(
+            F.lit(batch_id).alias("done"), *[F.lit(n).cast("long").alias(id_) for id_, n in next_ids.items()]
+        )
+        self._write(row, "commits", batch_id)
+
+    def _next_ids(self, batch_id: int) -> dict[str, int]:
+        """First free child ids behind the batches before this one, so that a replay gives the same ids again."""
+        schema = "done int, fact_id long, dep_id long, batch int"
+        try:
+            before = self.spark.read.schema(schema).parquet(f"{self.path}/commits").where(F.col("batch") < batch_id)
+            last = before.orderBy(F.desc("batch")).first()
+        except AnalysisException:
+            last = None
+        found = {}
+        for name, id_ in CHILDREN.items():
+            found[id_] = 0 if last is None else last[id_]
+            if found[id_] is None:
+                # Committed before commit rows held the ids.
+                rows = self.spark.read.parquet(f"{self.path}/{name}").where(F.col("batch") < batch_id)
+                top = rows.agg(F.max(id_)).first()[0]
+                found[id_] = 0 if top is None else top + 1
+        return found
 
     def _write(self, rows: DataFrame, name: str, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch_id}")
@@ -111,7 +141,7 @@ class StreamStore:
             other._write_postings(self.index().postings, last)
         for name, rows in live.items():
             other._write(rows, name, last)
-        other._write(self.spark.range(1).select(F.lit(last).alias("done")), "commits", last)
+        other._commit(last, self._next_ids(last + 1))
         return other
 
 

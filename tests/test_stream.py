@@ -64,3 +64,19 @@ def test_bad_arrivals_are_put_aside(spark, tmp_path):
     assert [(r.pr_id, r.reason) for r in rejects] == [("PR-2", "unreadable timestamp")]
     plan = store.index().postings.where("shard = 3")._jdf.queryExecution().executedPlan().toString()
     assert "shard" in plan.split("PartitionFilters")[1].split("]")[0]
+
+
+def test_child_ids_are_unique_whatever_the_size_and_clock(spark, tmp_path):
+    """More than 2^20 children, microsecond arrival numbers; replays and compact stores count on alike."""
+    store, clock = StreamStore(spark, str(tmp_path / "store")), 1_700_000_000_000_000
+    many = spark.createDataFrame([nested_row("PR-1", clock, ["x"]), nested_row("PR-2", clock + 1, ["y"])], ARRIVAL_SCHEMA)
+    many = many.withColumn("facts", F.when(F.col("pr_id") == "PR-1", F.array_repeat(F.col("facts")[0], (1 << 20) + 5)).otherwise(F.col("facts")))
+    store.write_batch(many, 0)
+    more = spark.createDataFrame([nested_row("PR-3", clock + 2, ["a", "b"]), nested_row("PR-4", clock + 3, ["c"])], ARRIVAL_SCHEMA)
+    for _ in range(2):
+        store.write_batch(more, 1)
+        ids = store.tables()["facts"].agg(F.count("fact_id"), F.countDistinct("fact_id"), F.min("fact_id"), F.max("fact_id")).first()
+        assert tuple(ids) == ((1 << 20) + 9, (1 << 20) + 9, 0, (1 << 20) + 8)
+    compact = store.compact(str(tmp_path / "compact"))
+    compact.write_batch(spark.createDataFrame([nested_row("PR-4", clock + 9, ["d"])], ARRIVAL_SCHEMA), 2)
+    assert compact.tables()["facts"].agg(F.max("fact_id")).first()[0] == (1 << 20) + 9
