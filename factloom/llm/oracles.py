@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from factloom.llm.centroids import CLUSTERS, DIMENSIONS, ROUNDS, SCALE
 from factloom.llm.chat import TEMPLATE
 from factloom.llm.queries import CONTROL_TALK, URL_RULES
 
@@ -14,6 +15,29 @@ _OTHER = len(TEMPLATE.other_before) + len(TEMPLATE.other_between) + len(TEMPLATE
 _CONTROL = TEMPLATE.control().replace("'", "''")
 _ESCAPES = "length(regexp_replace({0}, '" + _CONTROL + r"', '\1\2\\\3', 'g'))"
 
+
+def _rounds(rounds: int) -> str:
+    """Rounds of clustering: each assigns the vectors to centroids{i} and makes centroids{i + 1}."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""near{i} AS MATERIALIZED (
+            SELECT line, min((distance, cluster)) AS best
+            FROM (SELECT v.line, c.cluster, sum((v.x - c.x) * (v.x - c.x)) AS distance
+                  FROM parts v JOIN centroids{i} c USING (place) GROUP BY ALL)
+            GROUP BY line
+        )""")
+        if i < rounds:
+            steps.append(f"""centroids{i + 1} AS MATERIALIZED (
+            SELECT cluster, place, coalesce(moved.x, old.x) AS x
+            FROM centroids{i} old LEFT JOIN (
+                SELECT best[2] AS cluster, place,
+                       ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS x
+                FROM parts JOIN near{i} USING (line) GROUP BY ALL
+            ) moved USING (cluster, place)
+        )""")
+    return ", ".join(steps)
+
+
 ORACLES = {
     "op2_url_filter": f"""
         WITH cut AS (
@@ -83,4 +107,28 @@ ORACLES = {
                     ELSE response_id END AS refers_to
         FROM bits
     """,
+    "op13_centroids": f"""
+        WITH kept AS MATERIALIZED (
+            SELECT vec_id, row_number() OVER () AS line,
+                   list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS vector
+            FROM embeddings
+            WHERE len(embedding) = {DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), parts AS MATERIALIZED (
+            SELECT line, unnest(range(1, {DIMENSIONS} + 1)) AS place, unnest(vector) AS x FROM kept
+        ), first AS (
+            SELECT line, row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), vector) - 1 AS cluster
+            FROM kept QUALIFY cluster < {CLUSTERS}
+        ), centroids0 AS MATERIALIZED (
+            SELECT cluster, place, x FROM first JOIN parts USING (line)
+        ), {_rounds(ROUNDS)}, found AS (
+            SELECT line, best[2] AS cluster, best[1]::BIGINT AS distance FROM near{ROUNDS}
+        ), named AS (
+            SELECT cluster, sha256(string_agg(x::VARCHAR, ',' ORDER BY place)) AS centroid_sha256
+            FROM centroids{ROUNDS} GROUP BY cluster
+        )
+        SELECT vec_id, cluster::INTEGER AS cluster, distance,
+               (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+               (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+        FROM found JOIN kept USING (line) JOIN named USING (cluster)
+    """,
 }

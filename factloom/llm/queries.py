@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import ann, bpe, chat, exact_dedup, minhash, packing, quality, suffix_dedup, url_filter, warc
+from factloom.llm import ann, bpe, centroids, chat, exact_dedup, minhash, packing, quality, suffix_dedup, url_filter, warc
 from factloom.llm.common import read
 from factloom.session import materialise
 
@@ -97,3 +97,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = materialise(warc.write_archives(read(spark, sf_dir, "pages"), folder), "archives")
     records = warc.read_archives(archives, keep_payload=False).where(F.col("kind") == "record")
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters_of(read(spark, sf_dir, "embeddings")).drop("centroid")
