@@ -174,14 +174,14 @@ def clusters_of(vectors: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUN
     id_type = kept.schema["id"].dataType.simpleString()
     assigned = materialise(kept.mapInPandas(run, f"id {id_type}, cluster int, distance long"), "clusters")
     sizes = assigned.groupBy("cluster").agg(F.try_sum("distance").alias("cluster_inertia"))
-    total = assigned.agg(F.try_sum("distance").alias("inertia"))
+    inertia = assigned.agg(F.try_sum("distance")).first()[0]
     final = vectors.sparkSession.createDataFrame(
         [(i, *pair) for i, pair in enumerate(zip(centroids.digests(), points.tolist(), strict=True))] if centroids else [],
         "cluster int, centroid_sha256 string, centroid array<long>",
     )
-    # One row per cluster, and one row: as small as the list of centroids.
+    # One row per cluster: as small as the list of centroids.
     described = F.broadcast(sizes.join(F.broadcast(final), "cluster"))
-    out = assigned.join(described, "cluster").join(F.broadcast(total))
+    out = assigned.join(described, "cluster").withColumn("inertia", F.lit(inertia).cast("long"))
     return out.select(
         F.col("id").alias(id_col), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256", "centroid"
     )

@@ -107,6 +107,78 @@ ORACLES = {
                     ELSE response_id END AS refers_to
         FROM bits
     """,
+    "op12_repair": """
+        WITH RECURSIVE keyed AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+            FROM conversations
+        ), summed AS (
+            SELECT *, xor(4294967295, list_reduce(
+                flatten(list_transform(string_split(key, ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))::BIGINT[],
+                lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END, 4294967295::BIGINT
+            )) % 20 AS damage
+            FROM keyed
+        ), hurt AS (
+            SELECT conv_id, turn, CASE damage WHEN 4 THEN 'user' ELSE role END AS role,
+                   CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(range(CASE damage WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+            FROM summed
+        ), numbered AS (
+            SELECT *, dense_rank() OVER (ORDER BY conv_id) AS conv,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
+                   regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS final
+            FROM hurt
+        ), turns AS MATERIALIZED (
+            SELECT conv_id, conv, i, turn, role, text, substr(role, 1, 1) AS initial,
+                   CASE WHEN final = '' THEN 'blank'
+                        WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 'duplicate'
+                        WHEN final NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+                   lag(substr(role, 1, 1)) OVER (PARTITION BY conv ORDER BY i) || substr(role, 1, 1) AS pair
+            FROM numbered
+        ), inserts(state, reached, price, letters, lines) AS (VALUES
+            ('0', '0', 0, '', ''), ('0', 'u', 2, 'I', chr(10) || 'user:'),
+            ('0', 'a', 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+            ('s', 's', 0, '', ''), ('s', 'u', 2, 'I', chr(10) || 'user:'),
+            ('s', 'a', 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+            ('u', 'u', 0, '', ''), ('u', 'a', 2, 'I', chr(10) || 'assistant:'),
+            ('a', 'a', 0, '', ''), ('a', 'u', 2, 'I', chr(10) || 'user:')
+        ), edits(reached, letter, initial, after, price, name) AS (VALUES
+            ('0', 'D', NULL, '0', 3, ''), ('s', 'D', NULL, 's', 3, ''), ('u', 'D', NULL, 'u', 3, ''), ('a', 'D', NULL, 'a', 3, ''),
+            ('0', 'K', 's', 's', 0, ''), ('0', 'K', 'u', 'u', 0, ''), ('s', 'K', 'u', 'u', 0, ''), ('a', 'K', 'u', 'u', 0, ''),
+            ('u', 'K', 'a', 'a', 0, ''), ('0', 'R', NULL, 'u', 2, 'user'), ('s', 'R', NULL, 'u', 2, 'user'),
+            ('a', 'R', NULL, 'u', 2, 'user'), ('u', 'R', NULL, 'a', 2, 'assistant')
+        ), steps AS MATERIALIZED (
+            SELECT state, after, n.price + e.price AS price, n.letters || e.letter AS letters, lines, letter, initial, name
+            FROM inserts n JOIN edits e USING (reached)
+        ), walk AS (
+            SELECT DISTINCT conv, 0::BIGINT AS i, '0' AS state, ROW(0::BIGINT, '', '') AS best FROM turns
+            UNION ALL
+            SELECT conv, i, state, min(best)
+            FROM (SELECT w.conv, t.i, s.after AS state,
+                         ROW(w.best[1] + s.price + (s.letter <> 'D' AND t.fault = 'truncated')::BIGINT, w.best[2] || s.letters,
+                             w.best[3] || s.lines || CASE s.letter WHEN 'D' THEN ''
+                             WHEN 'K' THEN chr(10) || t.role || ':' || t.text ELSE chr(10) || s.name || ':' || t.text END) AS best
+                  FROM walk w JOIN turns t ON t.conv = w.conv AND t.i = w.i + 1 JOIN steps s ON s.state = w.state
+                  WHERE (s.initial IS NULL OR s.initial = t.initial) AND (s.letter = 'D' OR t.fault NOT IN ('blank', 'duplicate')))
+            GROUP BY conv, i, state
+        ), counted AS (
+            SELECT conv_id, conv, max(i) AS n,
+                   coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                   count(*) FILTER (fault = 'truncated') AS truncated,
+                   count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM turns GROUP BY conv_id, conv
+        ), ended AS (
+            SELECT conv, min(ROW(best[1] + price, best[2] || letters, best[3] || lines)) AS best
+            FROM walk JOIN counted USING (conv) JOIN inserts USING (state)
+            WHERE i = n AND reached IN ('0', 'a') GROUP BY conv
+        )
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best[1], 0) AS cost,
+               coalesce(best[2], '') AS audit, sha256(coalesce(substr(best[3], 2), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o
+        LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended USING (conv)
+    """,
     "op13_centroids": f"""
         WITH kept AS MATERIALIZED (
             SELECT vec_id, row_number() OVER () AS line,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import ann, bpe, centroids, chat, exact_dedup, minhash, packing, quality, suffix_dedup, url_filter, warc
+from factloom.llm import ann, bpe, centroids, chat, exact_dedup, minhash, packing, quality, repair, suffix_dedup, url_filter, warc
 from factloom.llm.common import read
 from factloom.session import materialise
 
@@ -99,6 +99,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = read(spark, sf_dir, "conversations")
+    repaired = repair.repair_conversations(repair.damaged(talks))
+    found = repaired.talks.join(
+        repair.conversation_digests(repaired.rows).withColumnRenamed("conv_id", "same"), F.expr("conv_id <=> same")
+    ).drop("same")
+    ids = talks.select(F.col("conv_id").alias("original")).distinct()
+    counts = [F.coalesce(name, F.lit(0)).alias(name) for name in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return ids.join(found, F.expr("original <=> conv_id"), "left").select(
+        F.col("original").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
 @query
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters_of(read(spark, sf_dir, "embeddings")).drop("centroid")
