@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import ann, bpe, centroids, chat, exact_dedup, minhash, packing, quality, repair, suffix_dedup, url_filter, warc
+from factloom.llm import ann, bpe, centroids, chat, exact_dedup, minhash, packing, pii, quality, repair, suffix_dedup, url_filter, warc
 from factloom.llm.common import read
 from factloom.session import materialise
 
@@ -99,6 +99,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda span: span["base"])
+
+    def listing(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter(base, lambda span: span["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *map(number, pii.KINDS), F.sha2(listing(base).cast("binary"), 256).alias("base_sha256"), listing(F.col("spans")).alias("spans")
+    )
+
+
 @query
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     talks = read(spark, sf_dir, "conversations")

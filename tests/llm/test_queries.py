@@ -29,5 +29,5 @@ def test_contract():
     import __spark_entry__ as contract
 
     registered = contract.queries()
-    assert all(sum(name.startswith(f"op{n}_") for name in registered) == 1 for n in range(1, 11))
+    assert all(sum(name.startswith(f"op{n}_") for name in registered) == 1 for n in range(1, 14))
     assert "pipeline" in registered and set(contract.oracle_sql()) <= set(registered)
