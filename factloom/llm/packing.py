@@ -9,7 +9,7 @@ inner nodes hold the largest free capacity below them.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +25,10 @@ END_ID = 1
 # Pieces of one group. A group is one task's work: a few MB, whatever the input.
 GROUP_PIECES = 16384
 # Distinct words a task remembers the ids of before it starts anew.
-REMEMBERED_WORDS = 600_000
+REMEMBERED_WORDS = 400_000
+# Characters of texts whose words are held at one time, and new words that go through the tokenizer together, at most.
+CHARS_AT_ONCE = 1 << 20
+WORDS_AT_ONCE = 4096
 
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded long"
@@ -59,8 +62,8 @@ class WordEncoder:
 
     def _learn(self, new: list[str]) -> None:
         plain = [w for w in new if self.MARK not in w] if self.mark_id is not None else []
-        for low in range(0, len(plain), 50_000):
-            part = plain[low : low + 50_000]
+        for low in range(0, len(plain), WORDS_AT_ONCE):
+            part = plain[low : low + WORDS_AT_ONCE]
             ids = self._ids(f" {self.MARK} ".join([*part, ""]))
             ends = np.flatnonzero(ids == self.mark_id)
             starts = np.concatenate([[0], ends[:-1] + 1])
@@ -71,13 +74,42 @@ class WordEncoder:
             if word not in self.known:
                 self.known[word] = self._ids(word).tobytes()
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+    def _encoded(self, texts: list[str]) -> Iterator[bytes]:
         cut = [text.replace("\n", " ").split(" ") for text in texts]
         if len(self.known) > REMEMBERED_WORDS:
             self.known.clear()
         self._learn(list(set().union(*cut).difference(self.known)))
         look = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(look, words)), dtype="<u4") for words in cut]
+        return (b"".join(map(look, words)) for words in cut)
+
+    def __call__(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text. Words of about CHARS_AT_ONCE characters are held at one time, of a long text too."""
+        held, size = [], 0
+        for text in texts:
+            if size + len(text) > CHARS_AT_ONCE and held:
+                for data in self._encoded(held):
+                    yield np.frombuffer(data, dtype="<u4")
+                held, size = [], 0
+            if len(text) > CHARS_AT_ONCE:
+                parts = [data for part in parts_of(text, CHARS_AT_ONCE) for data in self._encoded([part])]
+                yield np.frombuffer(b"".join(parts), dtype="<u4")
+            else:
+                held.append(text)
+                size += len(text)
+        for data in self._encoded(held):
+            yield np.frombuffer(data, dtype="<u4")
+
+
+def parts_of(text: str, size: int) -> Iterator[str]:
+    """A text cut behind spaces or line ends into parts of about ``size`` characters; one word is never cut."""
+    low = 0
+    while low < len(text):
+        high = low + size
+        if high < len(text):
+            ends = [place for place in (text.find(" ", high), text.find("\n", high)) if place >= 0]
+            high = min(ends) + 1 if ends else len(text)
+        yield text[low:high]
+        low = high
 
 
 def cut(doc_id, ids: np.ndarray, sequence: int) -> Iterator[tuple]:
@@ -96,7 +128,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_
         names = [part.split()[0] for part in PIECES.split(", ")]
         for batch in batches:
             rows = []
-            for doc_id, own in zip(batch["id"], encode([text or "" for text in batch["text"]]), strict=True):
+            for doc_id, own in zip(batch["id"], encode(text or "" for text in batch["text"]), strict=True):
                 ids = np.append(own, np.uint32(end_id)).astype("<u4")
                 rows.extend(cut(None if pd.isna(doc_id) else int(doc_id), ids, sequence))
             frame = pd.DataFrame(rows, columns=names, dtype=object)

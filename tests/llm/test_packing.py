@@ -82,3 +82,12 @@ def test_words_encode_as_the_whole_text_does():
     texts = ["".join(parts[i] for i in draw.integers(0, len(parts), draw.integers(0, 12))) for _ in range(3000)]
     for text, ids in zip(texts, encode(texts), strict=True):
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_long_texts_are_cut_at_words(monkeypatch):
+    monkeypatch.setattr(op, "CHARS_AT_ONCE", 50)
+    encoder = op.WordEncoder(PATH)
+    texts = ["ein wort " * 40, "x" * 300, "", "a\nb " * 30 + "y" * 120, " ", "kurz"]
+    whole = [encoder._ids(text).tolist() for text in texts]
+    assert [ids.tolist() for ids in encoder(iter(texts))] == whole
+    assert "".join(op.parts_of(texts[3], 50)) == texts[3]
