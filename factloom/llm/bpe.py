@@ -1,18 +1,17 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
-A word is one match of the pre-token pattern. Each distinct word of the corpus is
-encoded once. The most frequent words, a table of bounded size, go back to the
-texts by broadcast; every other word leaves a mark at its position, is sent with
-the bucket of its document to meet its ids, and is put back by position. Decoding
-looks ids up in the token-byte table.
+A word is one match of the pre-token pattern. Documents are read once: those of an Arrow
+batch, a chunk, become sequences of word numbers, by position, and the chunk's distinct
+words are dealt into buckets by hash. A bucket gathers its words of all chunks, encodes
+each distinct one once, and sends its ids back to the chunks that asked, which put them
+together by position. Decoding looks ids up in the token-byte table.
 """
 
 from __future__ import annotations
 
 import base64
 import re
-import uuid
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,22 +19,19 @@ import numpy as np
 import pandas as pd
 import regex
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import bounded_batches, objects, pick
 from factloom.session import materialise
 
-# Bounds of the table that is broadcast: words, and bytes of a word (20 MB with their ids at most).
-HOT_WORDS = 200_000
-HOT_WORD_BYTES = 48
-# Distinct stretches a task counts, or remembers the ids of, before it starts anew.
-COUNTED = 250_000
-REMEMBERED = 250_000
-# Documents of a bucket, about. A bucket's texts and missing words are one task's work.
-BUCKET_DOCS = 2048
-# Stands for a word whose ids are not known yet; no vocabulary has this id.
-HOLE = b"\xff\xff\xff\xff"
+# Bytes of text for which there is one bucket of words.
+BUCKET_BYTES = 32 << 20
+# Numbers of words that are put together at one time.
+WORDS_AT_ONCE = 1 << 20
+# Bucket of the row that holds a chunk's documents.
+DOCUMENTS = -1
 
 # Unicode white space, as the pre-token pattern's \s has it (fixed values).
 WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -76,199 +72,152 @@ def token_table(path: str) -> list[bytes]:
     return table
 
 
-def _squeeze(ids: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+def squeeze(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, compressed by planes of bytes."""
+    return zstandard.ZstdCompressor(level=3).compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
-def _expand(data: bytes) -> np.ndarray:
+def expand(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
 
 
-def vocabulary(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """word, n, ids (little-endian 32-bit) for every distinct word of all texts, each encoded once."""
-    bounded_batches(docs.sparkSession)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def squeeze_words(words: list[bytes]) -> tuple[bytes, bytes]:
+    """Lengths and bytes of words, compressed."""
+    lengths = np.fromiter(map(len, words), dtype="<u4", count=len(words))
+    return squeeze(lengths), zstandard.ZstdCompressor(level=3).compress(b"".join(words))
+
+
+def expand_words(lengths: bytes, data: bytes) -> list[bytes]:
+    ends = np.cumsum(expand(lengths).astype(np.int64)).tolist()
+    whole = zstandard.ZstdDecompressor().decompress(data)
+    return [whole[start:end] for start, end in zip([0, *ends], ends, strict=False)]
+
+
+def chunk_of(texts: list[str | None], split) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of some texts, frequent ones first; how many words each text has; and their numbers by position."""
+    numbers: dict[str, int] = {}
+    known: dict[str, bytes] = {}
+    found, counts = [], np.zeros(len(texts), dtype=np.int64)
+    for i, text in enumerate(texts):
+        if not text:
+            continue
+        size = 0
+        for stretch in stretches(text):
+            own = known.get(stretch)
+            if own is None:
+                own = np.array([numbers.setdefault(word, len(numbers)) for word in split(stretch)], dtype="<u4").tobytes()
+                known[stretch] = own
+            found.append(own)
+            size += len(own)
+        counts[i] = size // 4
+    sequence = np.frombuffer(b"".join(found), dtype="<u4")
+    order = np.argsort(-np.bincount(sequence, minlength=len(numbers)), kind="stable")
+    place = np.empty(len(order), dtype="<u4")
+    place[order] = np.arange(len(order), dtype="<u4")
+    words = list(numbers)
+    return [words[i].encode("utf-8", "surrogatepass") for i in order.tolist()], counts, place[sequence]
+
+
+def chunks(docs: DataFrame, pattern: str, buckets: int, kind: str) -> DataFrame:
+    """Rows of every chunk: its documents (ids, counts of words and numbers by position), and its words per bucket."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         split = regex.compile(pattern).findall
-        seen: Counter[str] = Counter()
-
-        def counted() -> pd.DataFrame:
-            words: Counter[str] = Counter()
-            for stretch, n in seen.items():
-                for word in split(stretch):
-                    words[word] += n
-            seen.clear()
-            return pd.DataFrame({"word": objects(list(words)), "n": list(words.values())})
-
-        for batch in batches:
-            for text in batch["text"]:
-                if text:
-                    seen.update(stretches(text))
-                if len(seen) > COUNTED:
-                    yield counted()
-        yield counted()
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = encoding(ranks, pattern)
-        for batch in batches:
-            ids = [np.array(coder.encode_ordinary(word), dtype="<u4").tobytes() for word in batch["word"]]
-            yield pd.DataFrame({"word": batch["word"], "n": batch["n"], "ids": objects(ids)})
-
-    counted = pick(docs, text_col).toDF("text").mapInPandas(count, "word string, n long")
-    distinct = counted.groupBy("word").agg(F.sum("n").alias("n"))
-    return distinct.mapInPandas(encode, "word string, n long, ids binary")
-
-
-def frequent(words: DataFrame, most: int) -> DataFrame:
-    """The words above a count that at most ``most`` words reach, found from their numbers by size of count."""
-    grade = F.floor(F.log2("n") * 8)
-    numbers = words.groupBy(grade.alias("grade")).agg(F.count(F.lit(1)).alias("words")).collect()
-    least, total = 1 << 30, 0
-    for row in sorted(numbers, key=lambda r: -r["grade"]):
-        total += row["words"]
-        if total > most:
-            break
-        least = row["grade"]
-    return words.where(grade >= least)
-
-
-class Lookup(dict):
-    """Ids of stretches from the hot words; a word that is not hot leaves HOLE and is listed in ``missing``."""
-
-    def __init__(self, hot: dict[str, bytes], pattern: str):
-        super().__init__()
-        self.hot, self.split, self.missing = hot, regex.compile(pattern).findall, {}
-
-    def __missing__(self, stretch: str) -> bytes:
-        # A stretch that is a word as a whole is not split any further.
-        if stretch in self.hot:
-            value = self[stretch] = self.hot[stretch]
-            return value
-        words = self.split(stretch)
-        found = [self.hot.get(word, HOLE) for word in words]
-        rare = [word for word, ids in zip(words, found, strict=True) if ids is HOLE]
-        if rare:
-            self.missing[stretch] = rare
-        value = self[stretch] = b"".join(found)
-        return value
-
-    def text(self, text: str) -> tuple[bytes, list[str]]:
-        """Ids of a text, with holes, and the words that belong into them, in order."""
-        if len(self) > REMEMBERED:
-            self.clear()
-            self.missing.clear()
-        found = stretches(text)
-        ids = b"".join([self[s] for s in found])
-        missing = self.missing
-        return ids, [word for s in found if s in missing for word in missing[s]] if HOLE in ids else []
-
-
-    def rare(self, text: str) -> set[str]:
-        """The words of a text that are not hot."""
-        if len(self) > REMEMBERED:
-            self.clear()
-            self.missing.clear()
-        missing, out = self.missing, set()
-        hot = self.hot
-        for stretch in set(stretches(text)):
-            if stretch in hot:
+        names = ["chunk", "bucket", "ids", "lengths", "data", "numbers"]
+        for number, batch in enumerate(batches):
+            if not len(batch):
                 continue
-            self[stretch]
-            if stretch in missing:
-                out.update(missing[stretch])
-        return out
-
-
-def filled(ids: np.ndarray, fills: list[bytes]) -> np.ndarray:
-    """Ids with the holes replaced, in order, by what belongs there."""
-    holes = np.flatnonzero(ids == np.uint32(0xFFFFFFFF))
-    parts, at = [], 0
-    for hole, fill in zip(holes.tolist(), fills, strict=True):
-        parts += [ids[at:hole], np.frombuffer(fill, dtype="<u4")]
-        at = hole + 1
-    return np.concatenate([*parts, ids[at:]])
-
-
-def encode_documents(docs: DataFrame, ranks: str, pattern: str, hot_words: int = HOT_WORDS, id_col: str = "doc_id",
+            chunk = (TaskContext.get().partitionId() << 32) + number
+            words, counts, sequence = chunk_of(batch["text"].tolist(), split)
+            ids = [None if pd.isna(key) else key for key in batch["id"].tolist()]
+            rows = [(chunk, DOCUMENTS, ids, squeeze(counts), squeeze(sequence), b"")]
+            place = np.fromiter((zlib.crc32(word) % buckets for word in words), dtype=np.int64, count=len(words))
+            order = np.argsort(place, kind="stable")
+            cuts = np.flatnonzero(np.diff(place[order])) + 1
+            for own in np.split(order, cuts) if len(words) else []:
+                lengths, data = squeeze_words([words[i] for i in own.tolist()])
+                rows.append((chunk, int(place[own[0]]), None, lengths, data, squeeze(own)))
+            yield pd.DataFrame(rows, columns=names)
+
+    schema = f"chunk long, bucket int, ids array<{kind}>, lengths binary, data binary, numbers binary"
+    return docs.mapInPandas(run, schema)
+
+
+def encoded_words(words: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """chunk, numbers, lengths, data (ids): the words of all chunks, every distinct word of a bucket encoded once."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        coder = encoding(ranks, pattern)
+        known: dict[bytes, bytes] = {}
+        out = []
+        for chunk, lengths, data, numbers in zip(group["chunk"], group["lengths"], group["data"], group["numbers"], strict=True):
+            ids = []
+            for word in expand_words(lengths, data):
+                own = known.get(word)
+                if own is None:
+                    text = word.decode("utf-8", "surrogatepass")
+                    own = known[word] = np.array(coder.encode_ordinary(text), dtype="<u4").tobytes()
+                ids.append(own)
+            sizes = np.fromiter((len(own) // 4 for own in ids), dtype="<u4", count=len(ids))
+            out.append((chunk, numbers, squeeze(sizes), squeeze(np.frombuffer(b"".join(ids), dtype="<u4"))))
+        return pd.DataFrame(out, columns=["chunk", "numbers", "lengths", "data"])
+
+    return words.groupBy("bucket").applyInPandas(run, "chunk long, numbers binary, lengths binary, data binary")
+
+
+def put_together(sequence: np.ndarray, starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> bytes:
+    """The ids of words given by their numbers, one after the other."""
+    out = []
+    for low in range(0, len(sequence), WORDS_AT_ONCE):
+        part = sequence[low : low + WORDS_AT_ONCE]
+        size = sizes[part]
+        ends = np.cumsum(size)
+        shift = np.repeat(starts[part] - (ends - size), size)
+        out.append(flat[shift + np.arange(len(shift))].tobytes())
+    return b"".join(out)
+
+
+def encode_documents(docs: DataFrame, ranks: str, pattern: str, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
     """id and ids (binary, little-endian 32-bit) of every whole text.
 
     A null text is empty and has no ids. Null ids and repeated rows are encoded
     like others. An empty table gives an empty result; other columns are ignored.
-    The result does not depend on ``hot_words``, the size of the broadcast table.
+    The result does not depend on ``bucket_bytes``, nor on how rows are dealt.
 
-    The texts are looked up twice, once for the words that are missing and once for
-    the ids around them: this costs less than storing what lies between.
+    A chunk is one Arrow batch, so it ends at its bytes; a text has to fit a row. A chunk
+    names a word once, so a bucket holds its share of words and no word makes it larger.
+    What is stored and shuffled are compressed word numbers (about a third of the texts)
+    and each chunk's distinct words.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    words = materialise(vocabulary(docs, ranks, pattern, text_col), "vocabulary")
-    top = frequent(words.where(F.octet_length("word") <= HOT_WORD_BYTES), hot_words).select("word", "ids").toArrow()
-    hot = spark.sparkContext.broadcast(dict(zip(top["word"].to_pylist(), top["ids"].to_pylist(), strict=True)))
-    token = uuid.uuid4().hex
+    bounded_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
     source = pick(docs, id_col, text_col).toDF("id", "text")
-    buckets = max(1, -(-source.count() // BUCKET_DOCS))
-    placed = source.withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(buckets)).cast("int"))
-
-    def rare_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        look = _lookup(token, hot, pattern)
-        wanted: dict[int, set[str]] = {}
-        for batch in batches:
-            for bucket, text in zip(batch["bucket"], batch["text"], strict=True):
-                if text:
-                    wanted.setdefault(bucket, set()).update(look.rare(text))
-            if sum(map(len, wanted.values())) > COUNTED:
-                yield _pairs(wanted)
-                wanted = {}
-        yield _pairs(wanted)
-
-    def known_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        look = _lookup(token, hot, pattern)
-        for batch in batches:
-            found = [look.text(text) if text else (b"", []) for text in batch["text"]]
-            yield pd.DataFrame(
-                {
-                    "bucket": batch["bucket"], "id": batch["id"],
-                    "known": objects([_squeeze(np.frombuffer(ids, dtype="<u4")) for ids, _ in found]),
-                    "rare": objects([rare for _, rare in found]),
-                }
-            )
-
-    id_type = docs.schema[id_col].dataType.simpleString()
-    rare = placed.select("bucket", "text").mapInPandas(rare_words, "bucket int, word string").distinct()
-    fills = rare.join(words.select("word", "ids"), "word").select("bucket", "word", "ids")
-    known = placed.mapInPandas(known_ids, f"bucket int, id {id_type}, known binary, rare array<string>")
-
-    def reassemble(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        own = dict(zip(found["word"], found["ids"], strict=True))
-        out = []
-        for data, rare in zip(rows["known"], rows["rare"], strict=True):
-            ids = _expand(data)
-            out.append((filled(ids, [own[word] for word in rare]) if len(rare) else ids).tobytes())
-        return pd.DataFrame({"id": rows["id"], "ids": objects(out)})
-
-    both = (
-        known.repartition(buckets, "bucket").groupBy("bucket").cogroup(fills.repartition(buckets, "bucket").groupBy("bucket"))
-        .applyInPandas(reassemble, f"id {id_type}, ids binary")
-    )
-    return both.select(F.col("id").alias(id_col), "ids")
-
-
-_lookups: dict = {}
-
-
-def _lookup(token: str, hot, pattern: str) -> Lookup:
-    """The lookup of a broadcast table, one per Python worker, so that later tasks know the stretches of earlier ones."""
-    if token not in _lookups:
-        _lookups.clear()
-        _lookups[token] = Lookup(hot.value, pattern)
-    return _lookups[token]
-
-
-def _pairs(wanted: dict[int, set[str]]) -> pd.DataFrame:
-    rows = [(bucket, word) for bucket, words in wanted.items() for word in words]
-    return pd.DataFrame({"bucket": [b for b, _ in rows], "word": objects([w for _, w in rows])})
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    stored = materialise(chunks(source, pattern, max(1, -(-size // bucket_bytes)), kind), "chunks")
+    words = stored.where(F.col("bucket") != DOCUMENTS).select("bucket", "chunk", "lengths", "data", "numbers")
+    rows = stored.where(F.col("bucket") == DOCUMENTS).select("chunk", "ids", "lengths", "data")
+
+    def reassemble(rows: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        numbers = [expand(own) for own in words["numbers"]]
+        lengths = [expand(own).astype(np.int64) for own in words["lengths"]]
+        flat = np.concatenate([expand(own) for own in words["data"]] or [np.zeros(0, dtype="<u4")])
+        place = np.concatenate(numbers or [np.zeros(0, dtype=np.int64)])
+        sizes, starts = np.zeros(len(place), dtype=np.int64), np.zeros(len(place), dtype=np.int64)
+        if len(place):
+            in_order = np.concatenate(lengths)
+            sizes[place], starts[place] = in_order, np.cumsum(in_order) - in_order
+        keys, out = [], []
+        for ids, counts, data in zip(rows["ids"], rows["lengths"], rows["data"], strict=True):
+            sequence = expand(data)
+            ends = np.cumsum(expand(counts).astype(np.int64)).tolist()
+            keys += list(ids)
+            out += [put_together(sequence[a:b], starts, sizes, flat) for a, b in zip([0, *ends], ends, strict=False)]
+        return pd.DataFrame({"id": objects(keys), "ids": objects(out)})
+
+    both = rows.groupBy("chunk").cogroup(encoded_words(words, ranks, pattern).groupBy("chunk"))
+    return both.applyInPandas(reassemble, f"id {kind}, ids binary").select(F.col("id").alias(id_col), "ids")
 
 
 def decoded(ids: Column, ranks: str) -> Column:

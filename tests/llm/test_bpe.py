@@ -32,27 +32,45 @@ def test_stretches_never_cut_a_pretoken(library):
         assert [i for w in words for i in library.encode_ordinary(w)] == library.encode_ordinary(text), repr(text)
 
 
-@pytest.mark.parametrize("hot_words", [0, 3, op.HOT_WORDS])
-def test_encode_and_decode(spark, library, hot_words):
-    """Equal to the library, whatever share of words goes by the shuffle; decoding gives the bytes back."""
-    coded = op.encode_documents(clashing(documents(spark, ROWS)), RANKS, PATTERN, hot_words)
+@pytest.mark.parametrize(("bucket_bytes", "batch_bytes"), [(1 << 10, 1 << 12), (1 << 30, 1 << 24)])
+def test_encode_and_decode(spark, library, monkeypatch, bucket_bytes, batch_bytes):
+    """Equal to the library, with many chunks and buckets or one of each; decoding gives the bytes back."""
+    monkeypatch.setattr("factloom.llm.common.BATCH_BYTES", batch_bytes)
+    rows = [*ROWS, *[(100 + i, f"word{i % 7} other{i} " * (i % 5)) for i in range(200)]]
+    coded = op.encode_documents(clashing(documents(spark, rows)), RANKS, PATTERN, bucket_bytes)
     found = coded.withColumn("back", op.decoded(F.col("ids"), RANKS)).collect()
     got = sorted(((r.doc_id, np.frombuffer(r.ids, "<u4").tolist(), bytes(r.back)) for r in found), key=repr)
-    wanted = [(i, library.encode_ordinary(t or ""), (t or "").encode()) for i, t in ROWS]
+    wanted = [(i, library.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows]
     assert got == sorted(wanted, key=repr)
 
 
-def test_forgetting_stretches(spark, library, monkeypatch):
-    """A lookup that is full starts anew between texts and loses nothing."""
-    monkeypatch.setattr(op, "REMEMBERED", 3)
-    look = op.Lookup({" a": b"\1\0\0\0"}, PATTERN)
-    for text in ("x a b a b c a d", " a e f g h a i", " a a a"):
-        ids, missing = look.text(text)
-        fills = [np.array(library.encode_ordinary(w), "<u4").tobytes() for w in missing]
-        found = op.filled(np.frombuffer(ids, "<u4"), fills).tolist()
-        known = {" a": [1]}
-        words = [w for s in op.stretches(text) for w in look.split(s)]
-        assert found == [i for w in words for i in known.get(w) or library.encode_ordinary(w)]
+def test_text_longer_than_a_batch(spark, library):
+    long = "längere Wörter, und 1234567 Zahlen\n" * 500_000
+    coded = op.encode_documents(documents(spark, [(1, long), (2, "kurz"), (3, None)]), RANKS, PATTERN)
+    one = library.encode_ordinary("längere Wörter, und 1234567 Zahlen\n" * 3)
+    found = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in coded.collect()}
+    assert found[2] == library.encode_ordinary("kurz") and found[3] == []
+    assert found[1][: len(one)] == one and library.decode(found[1]) == long
+
+
+def test_repeated_rows_make_no_large_group(spark):
+    """Half of all rows are one text: a chunk names its words once, whatever their number."""
+    rows = [(i, "the same text " * 50 if i % 2 else f"other text {i}") for i in range(4000)]
+    source = documents(spark, rows).repartition(4).toDF("id", "text")
+    stored = op.chunks(source, PATTERN, 16, "bigint")
+    words = sum(len(op.expand(r.numbers)) for r in stored.where(F.col("bucket") >= 0).collect())
+    assert words <= 4 * 10 + 2 * 4000
+    assert op.encode_documents(documents(spark, rows), RANKS, PATTERN).count() == 4000
+
+
+def test_words_are_put_together_in_parts(monkeypatch):
+    monkeypatch.setattr(op, "WORDS_AT_ONCE", 3)
+    words = [[1, 2], [], [7], [4, 5, 6]]
+    sizes = np.array([len(w) for w in words])
+    flat = np.array([i for w in words for i in w], dtype="<u4")
+    sequence = np.array([3, 0, 1, 2, 2, 3, 0, 1], dtype="<u4")
+    found = np.frombuffer(op.put_together(sequence, np.cumsum(sizes) - sizes, sizes, flat), "<u4").tolist()
+    assert found == [i for n in sequence for i in words[n]]
 
 
 def test_empty_table(spark):
