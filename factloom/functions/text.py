@@ -90,6 +90,12 @@ def like_contains(text: Column, term: str) -> Column:
     return text.rlike(_folded_pattern(term.strip("%"), LIKE_WILDCARDS))
 
 
+def like_pattern(term: Column) -> Column:
+    """The same pattern for a column of terms (without wildcards at their ends), for ``rlike``."""
+    signs = F.regexp_replace(term, r"([\x00-\x7f&&[^a-zA-Z0-9%_]])", r"\\$1")
+    return F.concat(F.lit("(?is)"), F.replace(F.replace(signs, F.lit("%"), F.lit(".*")), F.lit("_"), F.lit(".")))
+
+
 def folded_contains(text: Column, term: str) -> Column:
     """The term itself anywhere in the text, ASCII case folding."""
     return text.rlike(_folded_pattern(term, {})) if term else text.isNotNull()

@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import component_stem, folded_contains
+from factloom.functions.text import component_stem, component_stem_col, folded_contains
+from factloom.operators.grams import ascii_lower, containing
+from factloom.operators.skew import broadcast_if_small, key_lookup
+from factloom.session import materialise
 
 # Standard-library and framework names left out of impact results.
 NOISE_NAMES = (
@@ -42,14 +45,30 @@ def component_impact(dependencies: DataFrame, component: str, noise: Sequence[st
 
 
 def component_impact_batch(
-    dependencies: DataFrame, components: Sequence[str], noise: Sequence[str] = NOISE_NAMES
+    dependencies: DataFrame, components: DataFrame | Sequence[str], noise: Sequence[str] = NOISE_NAMES
 ) -> DataFrame:
-    """The same for a list of components in one scan; an edge appears once per component it touches."""
-    hits = F.filter(
-        F.array(*[F.when(_touches(name), F.lit(name)) for name in components]), lambda name: name.isNotNull()
-    )
-    found = dependencies.select(F.explode(hits).alias("component"), *EDGE_COLUMNS)
-    return _without_noise(found, noise).distinct()
+    """The same for a table of components (column ``component``) of any size, or a short list of them.
+
+    An edge appears once per component it touches. Distinct stems meet distinct endpoints
+    by their rarest gram, and edges come back by endpoint; an empty stem (as that of
+    ``.env``) touches every edge. Null components touch none.
+    """
+    if not isinstance(components, DataFrame):
+        spark = dependencies.sparkSession
+        components = spark.createDataFrame([(name,) for name in components], "component string")
+    stems = components.select("component", ascii_lower(component_stem_col(F.col("component"))).alias("needle"))
+    stems = materialise(stems.where(F.col("component").isNotNull()).distinct(), "components")
+    edges = _without_noise(dependencies, noise).select(*EDGE_COLUMNS).distinct()
+    ends = F.array_compact(F.array_distinct(F.array(ascii_lower(F.col("from_component")), ascii_lower(F.col("to_component")))))
+    touched = edges.select(*EDGE_COLUMNS, F.explode(ends).alias("value"))
+    pairs = containing(stems.select("needle"), touched.select("value").distinct())
+    by_end = materialise(stems.join(pairs, "needle").select("component", "value"), "touched")
+    hits = key_lookup(touched, by_end, ["value"], "inner", "pr_id").select("component", *EDGE_COLUMNS).distinct()
+    every = stems.where("needle = ''").select("component", F.lit(True).alias("any"))
+    if not every.take(1):
+        return hits
+    alike = edges.withColumn("any", F.col("from_component").isNotNull() | F.col("to_component").isNotNull())
+    return hits.unionByName(alike.join(broadcast_if_small(every), "any").select("component", *EDGE_COLUMNS))
 
 
 def repo_dependencies(edges: DataFrame, repo_name: str | None = None, direction: str = "both") -> DataFrame:

@@ -1,6 +1,6 @@
 """Inverted index over the text columns of facts, stored as Parquet tables.
 
-Four tables, all derived from per-document rows so that they can be kept up to
+Five tables, all derived from per-document rows so that they can be kept up to
 date without storing scores:
 
 ``postings``  one row per (token, fact): occurrences per column, positions, and
@@ -8,6 +8,8 @@ date without storing scores:
               reads only the postings of its own words and joins nothing big.
 ``docs``      one row per fact: key and length in tokens.
 ``vocab``     one row per token, with its stem.
+``frequency`` one row per token and segment: in how many facts it stands. Segments add
+              up; what an update removes comes as negative numbers.
 ``stats``     one row: number of facts and their total length.
 
 ``postings`` is partitioned by a hash of the token and sorted by (token, fact)
@@ -19,14 +21,16 @@ token is spread over as many files, and written by as many tasks, as it needs.
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.porter import stem_udf
 from factloom.functions.text import tokens
+from factloom.operators.grams import gram_rows
 from factloom.operators.skew import broadcast_if_small, key_lookup
 from factloom.session import materialise, scratch_path
 
@@ -42,6 +46,7 @@ POSTING_SCHEMA = (
     "token string, fact_id long, doc_len long, repo string, category string, confidence double, source string,"
     " ts timestamp, linked boolean, tf0 int, tf1 int, tf2 int, positions array<int>, shard int"
 )
+FREQUENCY_SCHEMA = "token string, df long, shard int"
 FACTS_PER_SHARD = 100_000
 
 
@@ -125,6 +130,11 @@ def posting_rows(linked_facts: DataFrame) -> DataFrame:
     )
 
 
+def frequency_rows(postings: DataFrame) -> DataFrame:
+    """(token, df, shard) of stored postings; a token's postings lie in one shard."""
+    return postings.groupBy("token", "shard").agg(F.count(F.lit(1)).alias("df")).select("token", "df", "shard")
+
+
 def vocabulary_rows(postings: DataFrame) -> DataFrame:
     """Distinct tokens with their stem; the UDF sees each token once."""
     return postings.select("token").distinct().withColumn("stem", stem_udf("token"))
@@ -145,6 +155,9 @@ class TextIndex:
     vocab: DataFrame
     stats: DataFrame
     shards: int
+    # Not kept by every index: frequencies (else counted from matches), grams of the vocabulary (else made when needed).
+    frequency: DataFrame | None = None
+    grams: DataFrame | None = None
 
     @cached_property
     def size(self) -> tuple[int, float]:
@@ -171,7 +184,14 @@ def write_index(docs: DataFrame, postings: DataFrame, path: str, shards: int | N
         .parquet(f"{path}/postings")
     )
     stored = spark.read.schema(POSTING_SCHEMA).parquet(f"{path}/postings")
-    vocabulary_rows(stored).hint("rebalance").sortWithinPartitions("stem").write.parquet(f"{path}/vocab")
+    (
+        frequency_rows(stored).hint("rebalance", "shard").sortWithinPartitions("shard", "token")
+        .write.partitionBy("shard").parquet(f"{path}/frequency")
+    )
+    counted = spark.read.schema(FREQUENCY_SCHEMA).parquet(f"{path}/frequency")
+    # Every token is there once, so nothing has to be made distinct again.
+    vocab = counted.select("token").withColumn("stem", stem_udf("token"))
+    vocab.hint("rebalance").sortWithinPartitions("stem").write.parquet(f"{path}/vocab")
     return open_index(spark, path)
 
 
@@ -181,8 +201,26 @@ def open_index(spark: SparkSession, path: str) -> TextIndex:
     parts = {name: spark.read.parquet(f"{path}/{name}") for name in ("docs", "vocab")}
     postings = spark.read.schema(POSTING_SCHEMA).parquet(f"{path}/postings")
     return TextIndex(
-        postings=postings, stats=stats.select("n", "total_len"), shards=stats.first()["shards"], **parts
-    )
+        postings=postings, stats=stats.select("n", "total_len"), shards=stats.first()["shards"],
+        frequency=_stored(spark, f"{path}/frequency", FREQUENCY_SCHEMA),
+        grams=_stored(spark, f"{path}/grams", "gram string, value string"), **parts,
+    )
+
+
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """A table that not every index has."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return None
+
+
+def with_grams(index: TextIndex, path: str | None = None) -> TextIndex:
+    """The index with the three-character grams of its vocabulary as a table sorted by gram, for substring searches."""
+    path = f"{path or scratch_path(index.vocab.sparkSession, 'index')}/grams"
+    rows = gram_rows(index.vocab.select(F.col("token").alias("value")).distinct())
+    rows.hint("rebalance", "gram").sortWithinPartitions("gram", "value").write.parquet(path)
+    return replace(index, grams=index.vocab.sparkSession.read.parquet(path))
 
 
 def build_index(facts: DataFrame, analyses: DataFrame, path: str | None = None) -> TextIndex:
@@ -198,8 +236,10 @@ def update_index(
 
     Only the added facts are indexed, into a segment of their own; stored
     postings are not rewritten but filtered by the removed ids when read. The
-    statistics follow from the per-document rows that came and went. Words that
-    no fact holds any more stay in the vocabulary, where they match nothing.
+    statistics follow from the per-document rows that came and went, frequencies from
+    the words of the removed facts (their texts if ``removed`` has them, else their
+    postings). Words that no fact holds any more stay in the vocabulary, where they
+    match nothing.
     """
     spark = index.docs.sparkSession
     path = path or scratch_path(spark, "segment")
@@ -207,21 +247,48 @@ def update_index(
     segment = write_index(
         document_rows(added), posting_rows(link_attributes(added, analyses)), path, shards=index.shards
     )
-    left = statistics_row(index.docs.join(gone, "fact_id", "left_semi"))
+    out = broadcast_if_small(gone)
+    went = index.docs.join(out, "fact_id", "left_semi")
+    left = statistics_row(went)
     change = left.select((-F.col("n")).alias("n"), (-F.col("total_len")).alias("total_len"))
     stats = index.stats.unionByName(change).unionByName(segment.stats).agg(
         F.sum("n").alias("n"), F.sum("total_len").alias("total_len")
     )
-    out = broadcast_if_small(gone)
+    frequency = grams = None
+    if index.frequency is not None:
+        lost = materialise(_lost_frequency(index, removed, went.select("fact_id")), "lost-frequency")
+        frequency = index.frequency.unionByName(lost).unionByName(segment.frequency)
+    if index.grams is not None:
+        added_words = segment.vocab.select(F.col("token").alias("value"))
+        grams = index.grams.unionByName(materialise(gram_rows(added_words), "added-grams")).distinct()
     return TextIndex(
         index.docs.join(out, "fact_id", "left_anti").unionByName(segment.docs),
         index.postings.join(out, "fact_id", "left_anti").unionByName(segment.postings),
         index.vocab.unionByName(segment.vocab).distinct(),
         materialise(stats, "stats"),
         index.shards,
+        frequency,
+        grams,
     )
 
 
+def _lost_frequency(index: TextIndex, removed: DataFrame, went: DataFrame) -> DataFrame:
+    """(token, df, shard) with negative numbers: the words of facts that leave the index."""
+    if {*COLUMN_WEIGHTS, "fact_id"} <= set(removed.columns):
+        texts = removed.dropDuplicates(["fact_id"]).join(went, "fact_id", "left_semi")
+        held = tokenise(texts).select("fact_id", "token").distinct()
+    else:
+        held = index.postings.join(broadcast_if_small(went), "fact_id", "left_semi").select("fact_id", "token")
+    counts = held.groupBy("token").agg((-F.count(F.lit(1))).alias("df"))
+    return counts.withColumn("shard", shard_of(F.col("token"), index.shards))
+
+
+def frequency_of(index: TextIndex, tokens_: DataFrame) -> DataFrame:
+    """(token, df) of a table of distinct tokens (token, shard), from the frequencies of all segments."""
+    met = index.frequency.join(broadcast_if_small(tokens_), ["token", "shard"])
+    return met.groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
+
+
 def compact_index(index: TextIndex, path: str | None = None) -> TextIndex:
     """The same index written as one, after many updates."""
     path = path or scratch_path(index.docs.sparkSession, "index")

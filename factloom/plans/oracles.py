@@ -146,6 +146,37 @@ ORACLES["like_search"] = f"""
       AND confidence >= 0.2
     ORDER BY confidence DESC, fact_id LIMIT 50"""
 
+_HIT = "({0} LIKE '%' || {1} || '%' OR {2} LIKE '%' || {1} || '%')".format(
+    _fold.format("summary"), "pattern", _fold.format("detail")
+)
+ORACLES["batch_like_search"] = f"""
+    WITH {_BOTH}, asked AS (
+        SELECT item_id AS query_id, substr(text, 1, 24) AS query FROM benchmark
+        UNION ALL SELECT item_id + {q.SECOND_IDS}, regexp_extract(text, '[^a-zA-Z0-9%_ ]') FROM benchmark
+        WHERE regexp_extract(text, '[^a-zA-Z0-9%_ ]') <> ''),
+    folded AS (SELECT query_id, {_fold.format('query')} AS pattern FROM asked),
+    found AS (SELECT query_id, fact_id, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, fact_id) AS rank
+              FROM folded JOIN (SELECT * FROM {_LINKED} WHERE confidence >= 0.2) ON {_HIT})
+    SELECT query_id, CAST(rank AS INT) AS rank, fact_id FROM found WHERE rank <= 20"""
+
+# Two of three passages can be read as words: alternatives, or words that have to stand together with "or".
+ORACLES["batch_quoted"] = f"""
+    WITH {_BOTH}, {tok_cte()},
+    asked AS (SELECT item_id AS query_id, l[1] AS a, l[2] AS b
+              FROM (SELECT item_id, regexp_extract_all(text, '[A-Za-z]+') AS l FROM benchmark)),
+    listed AS (SELECT query_id, unnest(CASE query_id % 3 WHEN 0 THEN [a, b] ELSE [a, 'or', b] END) AS word
+               FROM asked WHERE query_id % 3 < 2),
+    folded AS (SELECT query_id, {_tokens('word')} AS l FROM listed),
+    words AS (SELECT query_id, array_to_string(l, ' ') AS phrase, any_value(l) AS l, count(*) AS mult
+              FROM folded WHERE len(l) > 0 GROUP BY query_id, array_to_string(l, ' ')),
+    {_SCORES.replace('GROUP BY query_id, fact_id)', 'GROUP BY query_id, fact_id HAVING query_id % 3 = 0 OR count(*) = (SELECT count(*) FROM words w WHERE w.query_id = words.query_id))')},
+    {_ranked_cte(20)},
+    lost AS (SELECT query_id, fact_id, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, fact_id) AS rank
+             FROM (SELECT query_id, {_fold.format("(a || chr(34))")} AS pattern FROM asked WHERE query_id % 3 = 2)
+             JOIN (SELECT * FROM {_LINKED}) ON {_HIT})
+    SELECT query_id, CAST(rank AS INT) AS rank, fact_id, round(score, 6) AS score FROM ranked
+    UNION ALL SELECT query_id, CAST(rank AS INT), fact_id, NULL FROM lost WHERE rank <= 20"""
+
 # --- listings ---------------------------------------------------------------
 
 ORACLES["fact_projection"] = f"""
@@ -215,6 +246,12 @@ ORACLES["component_impact_batch"] = f"WITH {_DEPS} " + " UNION ALL ".join(
     for c in q.COMPONENTS
 )
 
+ORACLES["component_impact_join"] = f"""
+    WITH {_DEPS}, named AS (SELECT s_name AS component FROM supplier UNION SELECT replace(p_name, ' ', '_') || '.go' FROM part),
+    stems AS (SELECT component, {_fold.format("regexp_replace(component, '[.][^.]*$', '')")} AS stem FROM named)
+    SELECT DISTINCT component, {_EDGE} FROM stems JOIN (SELECT * FROM kb_dependencies WHERE {_QUIET})
+      ON contains({_fold.format('from_component')}, stem) OR contains({_fold.format('to_component')}, stem)"""
+
 # --- merging ------------------------------------------------------------------
 
 _REPO_EDGES = f"""{views('kb_repo_deps', 'kb_repo_deps_back')},

@@ -49,6 +49,14 @@ def stored_index(spark: SparkSession, sf: str) -> index.TextIndex:
     return _indexes[key]
 
 
+def gram_index(spark: SparkSession, sf: str) -> index.TextIndex:
+    """The same index with the grams of its vocabulary."""
+    found = stored_index(spark, sf)
+    if found.grams is None:
+        found = _indexes[spark.sparkContext.applicationId, sf] = index.with_grams(found)
+    return found
+
+
 def knowledge_base(spark: SparkSession, sf: str) -> KnowledgeBase:
     tables = {
         "facts": table(spark, sf, "kb_facts"),
@@ -248,13 +256,44 @@ def validate_analyses(spark, sf):
 @query
 def like_search(spark, sf):
     found = search.like_search(
-        table(spark, sf, "kb_facts"), table(spark, sf, "kb_analyses"), SUBSTRING, min_confidence=0.2, limit=50
+        table(spark, sf, "kb_facts"), table(spark, sf, "kb_analyses"), SUBSTRING, min_confidence=0.2, limit=50,
+        index=gram_index(spark, sf),
     )
     return _text(_ts(found), "summary", "detail").select(
         "fact_id", "pr_id", "repo", "category", "summary", "detail", "confidence", "source", "ts", "triggered_by"
     )
 
 
+@query
+def batch_like_search(spark, sf):
+    """The first words of every benchmark passage as a substring, and the sign behind them."""
+    part = F.substring("text", 1, 24)
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), part.alias("query"))
+    signs = table(spark, sf, "benchmark").select(
+        (F.col("item_id") + SECOND_IDS).alias("query_id"), F.regexp_extract("text", "[^a-zA-Z0-9%_ ]", 0).alias("query")
+    )
+    facts_, analyses_ = table(spark, sf, "kb_facts"), table(spark, sf, "kb_analyses")
+    queries = asked.unionByName(signs.where("query <> ''"))
+    return search.substring_hits(gram_index(spark, sf), facts_, analyses_, queries, 20, min_confidence=0.2)
+
+
+@query
+def batch_quoted(spark, sf):
+    """Benchmark passages in quotes: ranked where the quotes can be read as words, else found as substrings."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    first, second = F.get(words, F.lit(0)), F.get(words, F.lit(1))
+    text = (
+        F.when(F.col("item_id") % 3 == 0, F.concat(F.lit('"'), first, F.lit('" '), second))
+        .when(F.col("item_id") % 3 == 1, F.concat(F.lit('"'), first, F.lit(" "), second, F.lit('"')))
+        .otherwise(F.concat(first, F.lit('"')))
+    )
+    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("query"))
+    found = search.search_batch(
+        gram_index(spark, sf), table(spark, sf, "kb_facts"), table(spark, sf, "kb_analyses"), queries, 20, stemmed=False
+    )
+    return _score(found).select("query_id", "rank", "fact_id", "score")
+
+
 # --- listings ---------------------------------------------------------------
 
 
@@ -339,6 +378,14 @@ def component_impact_batch(spark, sf):
     return deps.component_impact_batch(table(spark, sf, "kb_dependencies"), COMPONENTS)
 
 
+@query
+def component_impact_join(spark, sf):
+    """The blast radius of every supplier and part, as a table of components."""
+    suppliers = table(spark, sf, "supplier").select(F.col("s_name").alias("component"))
+    parts = table(spark, sf, "part").select(F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".go")).alias("component"))
+    return deps.component_impact_batch(table(spark, sf, "kb_dependencies"), suppliers.unionByName(parts))
+
+
 def _edges(spark, sf):
     """The merged graph: keys seen from both sides, each held once."""
     return merge.merge_repo_dependencies(_united(spark, sf, ("kb_repo_deps", "kb_repo_deps_back"), "repo_dependencies"))

@@ -67,6 +67,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    """The same, laid out by hash of a column, so that later groupings by it read the table without a shuffle.
+
+    The layout is known to the session's catalog only, under a name of its own; the files
+    lie in the scratch folder like those of ``materialise``.
+    """
+    spark, name = df.sparkSession, f"factloom_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", scratch_path(spark, label)).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def widen(df: DataFrame, key: str) -> DataFrame:
     """Spread a file scan over all cores if it arrives in fewer partitions.
 

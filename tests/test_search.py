@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from factloom.operators import index, search
 from factloom.operators.facts import recent_facts, split_valid
 from factloom.plans.tools import KnowledgeBase
+from factloom.session import materialise
 
 SCHEMA = (
     "fact_id long, pr_id string, repo string, category string, summary string, detail string, confidence double,"
@@ -212,3 +213,102 @@ def test_search_reads_only_its_words(base):
     assert "PartitionFilters: [shard" in plan and "In(token" in plan
     assert "WindowGroupLimit" in plan
     assert "positions" not in plan.split("ReadSchema", 1)[1].split("\n", 1)[0]
+
+
+@pytest.mark.parametrize("stemmed", [False, True])
+def test_quotes_are_read_as_by_the_full_text_index(spark, base, fts, stemmed):
+    """What can be read as words is ranked, alone, in a list and in a table; only the rest is left to substring search."""
+    table = "stemmed" if stemmed else "plain"
+    queries = [
+        '"login"', 'user "login"', '"login user"', '"retry payment gateway"', 'cafe"token', 'login"user"', '"the" "the"', '""', '"',
+        '"a""b"', 'x"login_user"y', '"login-user"', 'log"', '"login" user" retry', 'NOT "AND"', 'user"NOT"login', '"of the" a',
+    ]
+    listed = search.score(base["index"], queries, stemmed=stemmed, linked_only=False).collect()
+    asked = spark.createDataFrame(list(enumerate(queries)), "query_id long, query string")
+    tabled = search.score(base["index"], asked, stemmed=stemmed, linked_only=False).collect()
+    lost = {row.query_id for row in asked.where(search.unreadable(F.col("query"))).collect()}
+    for i, text in enumerate(queries):
+        match = " OR ".join(f'"{word}"' for word in text.split())
+        try:
+            sql = f"SELECT rowid, bm25({table}, 10.0, 5.0, 15.0) FROM {table} WHERE {table} MATCH ?"
+            expected = dict(fts.execute(sql, (match,)).fetchall())
+        except sqlite3.OperationalError:
+            expected = None
+        if expected is None or i in lost:
+            assert search.match_groups(text) is None and i in lost, text
+            assert expected is None or "NOT" in text, text
+            continue
+        assert search.match_groups(text) is not None, text
+        for rows in (listed, tabled):
+            found = {row.fact_id: row.score for row in rows if row.query_id == i}
+            assert found.keys() == expected.keys(), text
+            assert all(abs(found[k] - v) < 1e-9 for k, v in expected.items()), text
+
+
+def test_nineteen_hundred_words_and_hits(spark, base, fts):
+    """Long queries and long results become joins: no list in the plan, no deep filter in the scan."""
+    words = [f"word{i}" for i in range(1900)] + ["login", "retry"]
+    for stemmed in (False, True):
+        scored = search.score(base["index"], [" ".join(words)], stemmed=stemmed, linked_only=False)
+        plan = scored._jdf.queryExecution().optimizedPlan().toString()
+        assert "word1234" not in plan
+        expected = fts.execute(f"SELECT count(*) FROM {'stemmed' if stemmed else 'plain'} WHERE "
+                               f"{'stemmed' if stemmed else 'plain'} MATCH 'login OR retry'").fetchone()[0]
+        assert scored.count() == expected
+    facts = spark.range(5000).select(F.col("id").alias("fact_id"), F.lit("SCAN:m1").alias("pr_id"), F.lit("r1").alias("repo"))
+    analyses = spark.createDataFrame([("SCAN:m1", "r1")], "pr_id string, repo string")
+    hits = spark.range(1900).select((F.col("id") * 2).alias("fact_id"), F.col("id").alias("rank"))
+    found = search.attach_facts(hits, facts, analyses)
+    assert found.count() == 1900
+    assert spark.conf.get("spark.sql.parquet.pushdown.inFilterThreshold") == "10"
+
+
+def test_many_words_prune_shards_at_run_time(spark, base, monkeypatch):
+    monkeypatch.setattr(search, "PUSHED_VALUES", 1)
+    scored = search.score(base["index"], ["login retry"])
+    assert "dynamicpruning" in scored._jdf.queryExecution().executedPlan().toString().lower()
+    assert scored.count() > 0
+
+
+def test_idf_of_words_reads_no_postings_twice(base):
+    plan = search.score(base["index"], ["login retry"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("tf0#") and plan.count("doc_len") and plan.count("Relation") - plan.count("df#") <= 2
+    scored = search.score(base["index"], ["login"]).collect()
+    without = index.TextIndex(base["index"].docs, base["index"].postings, base["index"].vocab, base["index"].stats, base["index"].shards)
+    assert sorted(map(tuple, scored)) == sorted(map(tuple, search.score(without, ["login"]).collect()))
+
+
+def test_frequencies_after_updates(base):
+    removed = base["facts"].where("fact_id < 60")
+    added = base["facts"].where("fact_id BETWEEN 100 AND 140").withColumn("fact_id", F.col("fact_id") + 1000)
+    for gone in (removed, removed.select("fact_id")):
+        updated = index.update_index(base["index"], gone, added, base["pr_analyses"])
+        words = updated.vocab.select("token", index.shard_of(F.col("token"), updated.shards).alias("shard")).distinct()
+        found = {r.token: r.df for r in index.frequency_of(updated, words).collect()}
+        assert found == {r.token: r.df for r in index.document_frequency(updated.postings).collect()}
+
+
+def test_substrings_through_the_vocabulary(spark, base, monkeypatch):
+    """Many patterns at once, of all sorts, equal a plain comparison; with grams only their shards are read."""
+    terms = ["gateway", "ATEW", "log", "in", "o", "user login", "_", "%", "caf", "é", "r%y", "e_s", "zz", "", "  ", "payment gateway", "a. "]
+    asked = spark.createDataFrame(list(enumerate(terms)), "query_id long, query string")
+    rows = [(r.fact_id, r.summary, r.detail, r.confidence) for r in base["facts"].collect() if (r.pr_id, r.repo) in {
+        (a.pr_id, a.repo) for a in base["pr_analyses"].collect()}]
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE TABLE f (id, summary, detail, confidence)")
+    db.executemany("INSERT INTO f VALUES (?, ?, ?, ?)", rows)
+    for built in (base["index"], index.with_grams(base["index"])):
+        for pushed in (500, 1):
+            monkeypatch.setattr(search, "PUSHED_VALUES", pushed)
+            hits = search.substring_hits(built, base["facts"], base["pr_analyses"], asked, 25).collect()
+            for i, term in enumerate(terms):
+                sql = "SELECT id FROM f WHERE summary LIKE ? OR detail LIKE ? ORDER BY confidence DESC, id LIMIT 25"
+                expected = [row[0] for row in db.execute(sql, (f"%{term}%",) * 2).fetchall()]
+                assert [h.fact_id for h in sorted(hits, key=lambda h: h["rank"]) if h.query_id == i] == expected, term
+    needles = spark.createDataFrame([("gatewa",)], "needle string")
+    monkeypatch.setattr(search, "PUSHED_VALUES", 500)
+    seen = []
+    monkeypatch.setattr(search, "materialise", lambda df, label: seen.append((label, df)) or materialise(df, label))
+    search._facts_with(index.with_grams(base["index"]), needles)
+    plan = dict(seen)["facts-with-substrings"]._jdf.queryExecution().executedPlan().toString()
+    assert any("shard" in part.split("]")[0] for part in plan.split("PartitionFilters")[1:])
