@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import bounded_batches, objects, pick
-from factloom.session import materialise
+from factloom.session import materialise_bucketed
 
 # Bytes of text for which there is one bucket of words.
 BUCKET_BYTES = 32 << 20
@@ -72,6 +72,23 @@ def token_table(path: str) -> list[bytes]:
     return table
 
 
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The token-byte table for ``put_together``: where the bytes of every id start, how many they are, and all bytes."""
+    table = [token or b"" for token in token_table(path)]
+    sizes = np.fromiter(map(len, table), dtype=np.int64, count=len(table))
+    return np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(table), dtype=np.uint8)
+
+
+def squeeze_rising(numbers: np.ndarray) -> bytes:
+    """Numbers in rising order, as their steps."""
+    return squeeze(np.diff(numbers, prepend=0))
+
+
+def expand_rising(data: bytes) -> np.ndarray:
+    return np.cumsum(expand(data).astype(np.int64))
+
+
 def squeeze(numbers: np.ndarray) -> bytes:
     """32-bit numbers, compressed by planes of bytes."""
     return zstandard.ZstdCompressor(level=3).compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
@@ -137,7 +154,7 @@ def chunks(docs: DataFrame, pattern: str, buckets: int, kind: str) -> DataFrame:
             cuts = np.flatnonzero(np.diff(place[order])) + 1
             for own in np.split(order, cuts) if len(words) else []:
                 lengths, data = squeeze_words([words[i] for i in own.tolist()])
-                rows.append((chunk, int(place[own[0]]), None, lengths, data, squeeze(own)))
+                rows.append((chunk, int(place[own[0]]), None, lengths, data, squeeze_rising(own)))
             yield pd.DataFrame(rows, columns=names)
 
     schema = f"chunk long, bucket int, ids array<{kind}>, lengths binary, data binary, numbers binary"
@@ -167,7 +184,7 @@ def encoded_words(words: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
 
 def put_together(sequence: np.ndarray, starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> bytes:
-    """The ids of words given by their numbers, one after the other."""
+    """The ids of words given by their numbers (or the bytes of ids), one after the other."""
     out = []
     for low in range(0, len(sequence), WORDS_AT_ONCE):
         part = sequence[low : low + WORDS_AT_ONCE]
@@ -180,7 +197,7 @@ def put_together(sequence: np.ndarray, starts: np.ndarray, sizes: np.ndarray, fl
 
 def encode_documents(docs: DataFrame, ranks: str, pattern: str, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
-    """id and ids (binary, little-endian 32-bit) of every whole text.
+    """id, ids (binary, little-endian 32-bit) and decoded (the bytes that these ids stand for) of every whole text.
 
     A null text is empty and has no ids. Null ids and repeated rows are encoded
     like others. An empty table gives an empty result; other columns are ignored.
@@ -188,19 +205,20 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, bucket_bytes: in
 
     A chunk is one Arrow batch, so it ends at its bytes; a text has to fit a row. A chunk
     names a word once, so a bucket holds its share of words and no word makes it larger.
-    What is stored and shuffled are compressed word numbers (about a third of the texts)
-    and each chunk's distinct words.
+    What is stored are compressed word numbers (about a third of the texts) and each
+    chunk's distinct words; only these and their ids are shuffled.
     """
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     source = pick(docs, id_col, text_col).toDF("id", "text")
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    stored = materialise(chunks(source, pattern, max(1, -(-size // bucket_bytes)), kind), "chunks")
+    buckets = max(1, -(-size // bucket_bytes))
+    stored = materialise_bucketed(chunks(source, pattern, buckets, kind), "chunks", "chunk", buckets)
     words = stored.where(F.col("bucket") != DOCUMENTS).select("bucket", "chunk", "lengths", "data", "numbers")
     rows = stored.where(F.col("bucket") == DOCUMENTS).select("chunk", "ids", "lengths", "data")
 
     def reassemble(rows: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        numbers = [expand(own) for own in words["numbers"]]
+        numbers = [expand_rising(own) for own in words["numbers"]]
         lengths = [expand(own).astype(np.int64) for own in words["lengths"]]
         flat = np.concatenate([expand(own) for own in words["data"]] or [np.zeros(0, dtype="<u4")])
         place = np.concatenate(numbers or [np.zeros(0, dtype=np.int64)])
@@ -208,33 +226,34 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, bucket_bytes: in
         if len(place):
             in_order = np.concatenate(lengths)
             sizes[place], starts[place] = in_order, np.cumsum(in_order) - in_order
-        keys, out = [], []
+        keys, out, back = [], [], []
+        table = token_bytes(ranks)
         for ids, counts, data in zip(rows["ids"], rows["lengths"], rows["data"], strict=True):
             sequence = expand(data)
             ends = np.cumsum(expand(counts).astype(np.int64)).tolist()
             keys += list(ids)
-            out += [put_together(sequence[a:b], starts, sizes, flat) for a, b in zip([0, *ends], ends, strict=False)]
-        return pd.DataFrame({"id": objects(keys), "ids": objects(out)})
+            for low, high in zip([0, *ends], ends, strict=False):
+                out.append(put_together(sequence[low:high], starts, sizes, flat))
+                back.append(put_together(np.frombuffer(out[-1], dtype="<u4"), *table))
+        return pd.DataFrame({"id": objects(keys), "ids": objects(out), "decoded": objects(back)})
 
     both = rows.groupBy("chunk").cogroup(encoded_words(words, ranks, pattern).groupBy("chunk"))
-    return both.applyInPandas(reassemble, f"id {kind}, ids binary").select(F.col("id").alias(id_col), "ids")
+    found = both.applyInPandas(reassemble, f"id {kind}, ids binary, decoded binary")
+    return found.select(F.col("id").alias(id_col), "ids", "decoded")
 
 
 def decoded(ids: Column, ranks: str) -> Column:
-    """Bytes of a column of ids, joined from the token-byte table (as large as the vocabulary file, never larger).
+    """Bytes of a column of ids, looked up in the token-byte table (as large as the vocabulary file, never larger).
 
     Null gives null. An id that the table lacks fails the job: the ids are not of this vocabulary.
     """
 
     @F.pandas_udf("binary")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = token_table(ranks)
+        table = token_bytes(ranks)
         for batch in batches:
-            yield objects(
-                [
-                    None if data is None else b"".join([table[i] for i in np.frombuffer(data, dtype="<u4").tolist()])
-                    for data in batch
-                ]
-            )
+            if any(data and np.frombuffer(data, dtype="<u4").max() >= len(table[0]) for data in batch):
+                raise IndexError("token index out of range of the vocabulary")
+            yield objects([None if data is None else put_together(np.frombuffer(data, dtype="<u4"), *table) for data in batch])
 
     return decode(ids)

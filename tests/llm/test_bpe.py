@@ -40,6 +40,7 @@ def test_encode_and_decode(spark, library, monkeypatch, bucket_bytes, batch_byte
     coded = op.encode_documents(clashing(documents(spark, rows)), RANKS, PATTERN, bucket_bytes)
     found = coded.withColumn("back", op.decoded(F.col("ids"), RANKS)).collect()
     got = sorted(((r.doc_id, np.frombuffer(r.ids, "<u4").tolist(), bytes(r.back)) for r in found), key=repr)
+    assert all(r.back == r.decoded for r in found)
     wanted = [(i, library.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows]
     assert got == sorted(wanted, key=repr)
 
@@ -58,9 +59,12 @@ def test_repeated_rows_make_no_large_group(spark):
     rows = [(i, "the same text " * 50 if i % 2 else f"other text {i}") for i in range(4000)]
     source = documents(spark, rows).repartition(4).toDF("id", "text")
     stored = op.chunks(source, PATTERN, 16, "bigint")
-    words = sum(len(op.expand(r.numbers)) for r in stored.where(F.col("bucket") >= 0).collect())
+    words = sum(len(op.expand_rising(r.numbers)) for r in stored.where(F.col("bucket") >= 0).collect())
     assert words <= 4 * 10 + 2 * 4000
-    assert op.encode_documents(documents(spark, rows), RANKS, PATTERN).count() == 4000
+    coded = op.encode_documents(documents(spark, rows), RANKS, PATTERN, 1 << 14)
+    assert coded.count() == 4000
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan
 
 
 def test_words_are_put_together_in_parts(monkeypatch):
