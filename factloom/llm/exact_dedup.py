@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import bounded_batches, pick, text_bytes
-from factloom.operators.skew import broadcast_if_small
+from factloom.operators.skew import broadcast_if_small, key_lookup
 from factloom.session import materialise
 
 # Two primes below 2^31 and a base for each. A sum of 1024 products of a byte
@@ -27,6 +27,8 @@ from factloom.session import materialise
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1664525)
 HASH_CHUNK = 1024
+# Chunks hashed by one product, a few MB.
+CHUNKS_AT_ONCE = 512
 # Bytes of the chunks that are compared.
 COMPARE_CHUNK = 1 << 16
 
@@ -45,17 +47,16 @@ def combine(left: int, right: int, right_length: int, base: int, prime: int) ->
     return (left * pow(base, right_length, prime) + right) % prime
 
 
-def chunk_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, base: int, prime: int) -> np.ndarray:
-    """Polynomial hashes (byte + 1 as digits) of the chunks, all at once; short chunks are padded in front."""
-    weights = _powers(base, prime, HASH_CHUNK)[::-1].astype(np.float64)
-    out = np.empty(len(starts), dtype=np.int64)
-    for low in range(0, len(starts), 4096):
-        at, size = starts[low : low + 4096], lengths[low : low + 4096]
-        column = np.arange(HASH_CHUNK) - HASH_CHUNK
-        place = (at + size)[:, None] + column
+def chunk_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, bases, primes) -> np.ndarray:
+    """Polynomial hashes (byte + 1 as digits) of the chunks under every base and prime; short chunks are padded in front."""
+    weights = np.stack([_powers(b, p, HASH_CHUNK)[::-1] for b, p in zip(bases, primes, strict=True)], axis=1).astype(np.float64)
+    out = np.empty((len(starts), len(primes)), dtype=np.int64)
+    column = np.arange(HASH_CHUNK, dtype=np.int32) - HASH_CHUNK
+    for low in range(0, len(starts), CHUNKS_AT_ONCE):
+        at, size = starts[low : low + CHUNKS_AT_ONCE], lengths[low : low + CHUNKS_AT_ONCE]
         inside = column >= -size[:, None]
-        digits = np.where(inside, data[np.where(inside, place, 0)].astype(np.float64) + 1, 0.0)
-        out[low : low + 4096] = (digits @ weights).astype(np.int64) % prime
+        digits = np.where(inside, data[np.where(inside, (at + size)[:, None] + column, 0)] + 1.0, 0.0)
+        out[low : low + CHUNKS_AT_ONCE] = (digits @ weights).astype(np.int64) % np.array(primes)
     return out
 
 
@@ -75,8 +76,8 @@ def fingerprint_texts(texts: list[bytes], primes=PRIMES, bases=BASES) -> np.ndar
     ends = begin[owner] + sizes[owner] - following * HASH_CHUNK
     starts = np.maximum(begin[owner], ends - HASH_CHUNK)
     filled = np.flatnonzero(counts)
-    for prime, base in zip(primes, bases, strict=True):
-        hashes = chunk_hashes(data, starts, ends - starts, base, prime)
+    found = chunk_hashes(data, starts, ends - starts, bases, primes)
+    for hashes, prime, base in zip(found.T, primes, bases, strict=True):
         shift = _powers(pow(base, HASH_CHUNK, prime), prime, int(following.max()) + 1)
         shifted = hashes * shift[following] % prime
         total = np.zeros(len(texts), dtype=np.int64)
@@ -150,9 +151,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .drop("differs")
     )
     key = ["fp", "n_bytes", "apart"]
-    groups = classed.groupBy(*key).agg(F.max("id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    # Most texts have one id: only groups of more meet their rows again, and a hot one is split.
+    groups = classed.groupBy(*key).agg(F.max("id").alias("largest"), F.sum("copies").alias("size"), F.count(F.lit(1)).alias("ids"))
+    groups = materialise(groups.where("ids > 1").drop("ids"), "groups-of-copies")
     return (
-        classed.join(groups, key)
+        key_lookup(classed, groups, key, "left", "id")
+        .select(
+            "id", "sha", "copies", F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("largest")).alias("keep_id"),
+            F.coalesce("size", "copies").alias("group_size"),
+        )
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
         .select(
             F.col("id").alias(id_col),
