@@ -12,8 +12,8 @@ members cannot be linked if what sets them apart from the first centre is too mu
 with A what a member adds to the centre's set and R what it lacks, they differ by
 |A1| + |A2| + ||R1| - |R2|| shingles at least, unless they add a shingle in common.
 Copies of one text with edits of their own are told apart by this without being
-compared. Nor are pairs compared whose signatures agree UNLIKELY standard
-deviations less than those of linked ones.
+compared. Nor can they be linked if the numbers of their shingles in the parts of the
+hash range differ by too much in all: a shingle of one set alone changes one number by one.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ SIMILAR = 80
 BINS = 256
 # Bins of a band, and bands. A pair of similarity 0.8 (0.85) misses all of them once in 3e5 (4e8) times.
 BAND, BANDS = 6, 42
-# A pair whose signatures agree in so many standard deviations less than linked ones do on average is not compared.
-UNLIKELY = 5.5
+# Parts of the hash range that shingles are counted in.
+PARTS = 256
 # Centres of a bucket in a round: so many times those of the round before.
 CENTRE_GROWTH = 16
 # Words a task remembers the hashes of before it starts anew.
@@ -105,28 +105,16 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return _mixed(keys + _BAND_SALT).view(np.int64)
 
 
-def sketch(values: np.ndarray) -> np.ndarray:
-    """One bit of every bin, 64 to a number."""
-    return np.packbits((values >> np.uint64(20)).astype(np.uint8) & 1).view(np.int64)
+def histogram(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles lie in each part of the hash range; larger numbers stay at the largest 16-bit one."""
+    counts = np.bincount((shingles >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64), minlength=PARTS)
+    return np.minimum(counts, np.iinfo(np.int16).max).astype(np.int16)
 
 
-def least_agreement(n: int, similar: int) -> int:
-    """Bins that the sketches of a linked pair agree in at least, if the smaller set has n shingles.
-
-    Sets with few shingles fill few bins of their own, so their agreement scatters
-    more: it counts as that of half as many independent bins as they fill. Bits
-    of bins that differ agree half of the time.
-    """
-    share, filled = (1 + similar / 100) / 2, BINS * (1 - np.exp(-max(1, n) / BINS)) / 2
-    return max(0, int(np.floor(BINS * (share - UNLIKELY * np.sqrt(share * (1 - share) / filled)))))
-
-
-def agreement(left: Column, right: Column) -> Column:
-    """In how many bins two sketches agree."""
-    total = F.lit(BINS)
-    for i in range(BINS // 64):
-        total = total - F.bit_count(F.get(left, F.lit(i)).bitwiseXOR(F.get(right, F.lit(i))))
-    return total
+def differing(left: Column, right: Column) -> Column:
+    """By how many shingles two sets differ at least: their histograms differ by no more."""
+    apart = F.zip_with(left, right, lambda a, b: F.abs(a.cast("int") - b))
+    return F.aggregate(apart, F.lit(0), lambda total, x: total + x)
 
 
 def set_print(shingles: np.ndarray) -> bytes:
@@ -136,37 +124,34 @@ def set_print(shingles: np.ndarray) -> bytes:
     return int(first).to_bytes(8, "little") + int(second).to_bytes(8, "little")
 
 
-def signatures(docs: DataFrame, shingle: int, similar: int, id_col: str, text_col: str) -> DataFrame:
-    """id, sha, n (set size), print, least, and bands and sketch (null for an empty set) of every document."""
+def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """id, sha, n (set size), print, and bands (null for an empty set) of every document."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
         for batch in batches:
-            sizes, prints, bands, shas, sketches = [], [], [], [], []
+            sizes, prints, bands, shas = [], [], [], []
             for raw in text_bytes(batch["text"]):
                 found = shingle_set(raw, words, shingle)
                 sizes.append(len(found))
                 prints.append(set_print(found))
-                values = signature(found) if len(found) else None
-                bands.append(band_keys(values) if len(found) else None)
-                sketches.append(sketch(values) if len(found) else None)
+                bands.append(band_keys(signature(found)) if len(found) else None)
                 shas.append(hashlib.sha256(raw).hexdigest())
             yield pd.DataFrame(
                 {
                     "id": batch["id"], "sha": objects(shas), "n": sizes, "print": objects(prints),
-                    "least": [least_agreement(n, similar) for n in sizes], "bands": objects(bands),
-                    "sketch": objects(sketches),
+                    "bands": objects(bands),
                 }
             )
 
     id_type = docs.schema[id_col].dataType.simpleString()
     source = pick(docs, id_col, text_col).toDF("id", "text")
-    return source.mapInPandas(run, f"id {id_type}, sha string, n long, print binary, least int, bands array<long>, sketch array<long>")
+    return source.mapInPandas(run, f"id {id_type}, sha string, n long, print binary, bands array<long>")
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """node, n, shingles (binary, sorted) from node, print, text; rows whose set has another print (hex) are left out."""
+    """node, n, shingles (binary, sorted) and histogram from node, print, text; rows whose set has another print (hex) are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
@@ -175,10 +160,11 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
             for node, expected, raw in zip(batch["node"], batch["print"], text_bytes(batch["text"]), strict=True):
                 found = shingle_set(raw, words, shingle)
                 if set_print(found).hex().upper() == expected:
-                    rows.append((node, len(found), found.tobytes()))
-            yield pd.DataFrame(rows, columns=["node", "n", "shingles"], dtype=object)
+                    rows.append((node, len(found), found.tobytes(), histogram(found)))
+            yield pd.DataFrame(rows, columns=["node", "n", "shingles", "histogram"], dtype=object)
 
-    return texts.select("node", "print", "text").mapInPandas(run, "node long, n long, shingles binary")
+    schema = "node long, n long, shingles binary, histogram array<smallint>"
+    return texts.select("node", "print", "text").mapInPandas(run, schema)
 
 
 def _compared(similar: int):
@@ -259,13 +245,12 @@ def first_of_components(docs: DataFrame, similar: int = SIMILAR, shingle: int =
 
 def _components(docs: DataFrame, similar: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """id, sha, n, component_id and first_of_component of every document, as the functions above give them."""
-    rows = materialise(signatures(docs, shingle, similar, id_col, text_col), "signatures")
+    rows = materialise(signatures(docs, shingle, id_col, text_col), "signatures")
     # Ids alone do not name a text: they may be null or shared.
     first_row = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "sha"))
     nodes = materialise(
         rows.where("n > 0").groupBy("print").agg(first_row.alias("first"), F.count(F.lit(1)).alias("members"),
-             F.first("n").alias("n"), F.first("least").alias("least"), F.first("bands").alias("bands"),
-             F.first("sketch").alias("sketch"))
+             F.first("n").alias("n"), F.first("bands").alias("bands"))
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
@@ -273,7 +258,7 @@ def _components(docs: DataFrame, similar: int, shingle: int, id_col: str, text_c
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = materialise(members.join(sizes, "bucket"), "shared")
     degree = shared.groupBy("node").agg(F.sum("size").alias("degree"))
-    known = materialise(degree.join(nodes.select("node", "n", "least", "sketch", "print", "first", "members"), "node"), "candidates")
+    known = materialise(degree.join(nodes.select("node", "n", "print", "first", "members"), "node"), "candidates")
 
     as_key = F.coalesce(F.col("id").cast("string"), F.lit("")).alias("key")
     wanted = known.select("node", F.hex("print").alias("print"), "first.id", "first.sha").select("node", "print", as_key, "sha")
@@ -287,7 +272,7 @@ def _components(docs: DataFrame, similar: int, shingle: int, id_col: str, text_c
         others = sets.join(broadcast_if_small(several), "node", "left_anti")
         sets = others.unionByName(materialise(once, "sets-of-copies"))
 
-    labels = _link(shared, known.select("node", "n", "least", "sketch", "degree"), sets, similar)
+    labels = _link(shared, known.select("node", "n", "degree"), sets, similar)
     first = nodes.select("node", "print", "first")
     if labels is None:
         classes = first.select("print", "first")
@@ -304,8 +289,8 @@ def _components(docs: DataFrame, similar: int, shingle: int, id_col: str, text_c
 
 def _link(shared: DataFrame, known: DataFrame, sets: DataFrame, similar: int) -> DataFrame | None:
     """Labels (node, label) of all nodes with links; None without any. Rounds of stars as described above."""
-    # The first round compares every star; sketches are carried only by what it leaves open.
-    open_rows = shared.select("bucket", "node").join(known.drop("least", "sketch"), "node")
+    # The first round compares every star; histograms are carried only by what it leaves open.
+    open_rows = shared.select("bucket", "node").join(known, "node")
     links, compared, labels, centres_of_round = None, None, None, 1
     while True:
         by_rank = Window.partitionBy("bucket").orderBy(F.desc("degree"), "node")
@@ -319,10 +304,10 @@ def _link(shared: DataFrame, known: DataFrame, sets: DataFrame, similar: int) ->
             (F.col("node") != F.col("centre")) & (F.col("own").isNull() | (F.col("own") > F.col("place"))) & near_size
         )
         if "label" in open_rows.columns:
-            alike = agreement(F.col("sketch"), F.col("centre_sketch")) >= F.least("least", "centre_least")
+            most = differences(F.col("n"), F.col("n_centre"), similar)
+            alike = differing(F.col("histogram"), F.col("centre_histogram")) <= most
             apart = F.col("adds") + F.col("centre_adds") + F.abs(F.col("lacks") - F.col("centre_lacks"))
-            near = apart <= differences(F.col("n"), F.col("n_centre"), similar)
-            near = F.coalesce(near | F.arrays_overlap("added", "centre_added"), F.lit(True))
+            near = F.coalesce((apart <= most) | F.arrays_overlap("added", "centre_added"), F.lit(True))
             pairs = pairs.where((F.col("label") != F.col("centre_label")) & alike & near)
         pairs = pairs.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
         if compared is not None:
@@ -341,7 +326,7 @@ def _link(shared: DataFrame, known: DataFrame, sets: DataFrame, similar: int) ->
             first = centre.select("bucket", F.col("centre").alias("b"))
             seen = sizes.select(F.col("a").alias("node"), "b", "adds", "lacks", "added")
             rest = rest.select("bucket", "node").join(first, "bucket").join(seen, ["node", "b"], "left").drop("b")
-        rest = rest.select("bucket", "node", "adds", "lacks", "added").join(known, "node")
+        rest = rest.select("bucket", "node", "adds", "lacks", "added").join(known, "node").join(sets.select("node", "histogram"), "node")
         if labels is not None:
             rest = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         else:
@@ -355,5 +340,5 @@ def _link(shared: DataFrame, known: DataFrame, sets: DataFrame, similar: int) ->
 
 
 def _named(centres: DataFrame) -> list:
-    later = ("label", "least", "sketch", "adds", "lacks", "added")
+    later = ("label", "histogram", "adds", "lacks", "added")
     return [F.col(name).alias(f"centre_{name}") for name in later if name in centres.columns]

@@ -135,21 +135,23 @@ def test_densification_and_bands():
         assert abs(np.mean(near) - 5 / 6) < 0.05
 
 
-def test_sketch_agreement(spark):
-    """Counted natively as byte by byte; linked pairs agree in more bins than the least."""
+def test_histograms_never_rule_out_a_link(spark):
+    """Histograms differ by no more than the sets do, whatever the sets; counted natively."""
     draw = np.random.default_rng(6)
-    left = draw.integers(0, 2, (50, op.BINS), dtype=np.uint8)
-    right = np.where(draw.random((50, op.BINS)) < 0.7, left, draw.integers(0, 2, (50, op.BINS), dtype=np.uint8))
-    rows = [(np.packbits(a).view(np.int64).tolist(), np.packbits(b).view(np.int64).tolist()) for a, b in zip(left, right, strict=True)]
-    df = spark.createDataFrame(rows, "a array<long>, b array<long>")
-    found = [r[0] for r in df.select(op.agreement(df.a, df.b)).collect()]
-    assert found == (left == right).sum(axis=1).tolist()
-    for n in (20, 60, 150, 400, 2000):
-        for _ in range(200):
-            both = np.unique(draw.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
-            part = np.sort(np.delete(both, draw.choice(n, n * 19 // 100, replace=False)))
-            bits = [np.unpackbits(op.sketch(op.signature(x)).view(np.uint8)) for x in (both, part)]
-            assert (bits[0] == bits[1]).sum() >= op.least_agreement(len(part), 80)
+    rows, apart = [], []
+    for n in (1, 5, 60, 400, 3000, 60_000):
+        for share in (0.0, 0.05, 0.2, 1.0):
+            pool = np.unique(draw.integers(0, 1 << 63, 2 * n, dtype=np.uint64) * np.uint64(2))
+            a, b = pool[:n], np.sort(np.concatenate([pool[int(n * share) : n], pool[n : n + int(n * share)]]))
+            rows.append((op.histogram(a).tolist(), op.histogram(b).tolist()))
+            apart.append(len(np.setxor1d(a, b)))
+    crowd = np.arange(100_000, dtype=np.uint64)
+    rows.append((op.histogram(crowd).tolist(), op.histogram(crowd[:50_000]).tolist()))
+    apart.append(50_000)
+    df = spark.createDataFrame(rows, "a array<smallint>, b array<smallint>")
+    found = [r[0] for r in df.select(op.differing(df.a, df.b)).collect()]
+    assert found[:-1] == [int(np.abs(np.array(a) - np.array(b)).sum()) for a, b in rows[:-1]]
+    assert all(least <= most for least, most in zip(found, apart, strict=True))
 
 
 def test_components(spark):
