@@ -95,7 +95,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.archive_folder(spark)
     archives = materialise(warc.write_archives(read(spark, sf_dir, "pages"), folder), "archives")
-    records = warc.read_archives(archives, keep_payload=False).where(F.col("kind") == "record")
+    records = warc.read_archives(archives, keep_payload=False)
+    # Archives that were written just now have no gaps; a page must not go missing without a sign.
+    lost = F.raise_error(F.concat_ws(" ", F.lit("unreadable part of an archive:"), "archive", "reason")).cast("boolean")
+    records = records.where(F.when(F.col("kind") == "record", F.lit(True)).otherwise(lost))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

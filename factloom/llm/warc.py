@@ -70,15 +70,14 @@ def member(data: bytes, level: int = LEVEL) -> bytes:
 
 
 def _store(folder: str, name: str, data: bytes) -> str:
-    """Write a file under an attempt's name, then give it its own: a repeated task replaces what it wrote."""
+    """Write a file of this attempt's own. Only paths that a task's committed rows name are read; others are left over."""
     from pyarrow import fs
 
-    system, root = fs.FileSystem.from_uri(folder)
-    attempt = f"{root}/.{name}.{uuid.uuid4().hex}"
-    with system.open_output_stream(attempt) as out:
+    path = f"{folder}/{name}-{uuid.uuid4().hex}.warc.gz"
+    system, place = fs.FileSystem.from_uri(path)
+    with system.open_output_stream(place, compression=None) as out:
         out.write(data)
-    system.move(attempt, f"{root}/{name}")
-    return f"{folder}/{name}"
+    return path
 
 
 def load(path: str) -> bytes:
@@ -125,7 +124,7 @@ def write_archives(pages: DataFrame, folder: str, min_payload: int = 0, archive_
         def flush():
             nonlocal number, held, size
             if held:
-                paths.append(_store(folder, f"part-{part:06d}-{number:06d}.warc.gz", b"".join(held)))
+                paths.append(_store(folder, f"part-{part:06d}-{number:06d}", b"".join(held)))
                 number, held, size = number + 1, [], 0
 
         for batch in batches:

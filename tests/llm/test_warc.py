@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import hashlib
 import random
+from pathlib import Path
 
+import pytest
 from helpers import clashing, rows_of
 
 from factloom.llm import warc as op
@@ -142,3 +144,29 @@ def test_unreadable_header_values_are_gaps():
         broken = revisit.replace(old, new)
         for data in (good + broken + good, op.member(good) + op.member(broken) + op.member(good), op.member(good + broken + good)):
             assert [r[3] for r in op.salvage("x", data)] == ["record", "gap", "record"]
+
+
+def test_attempts_never_share_a_file(tmp_path):
+    """A second attempt of a task writes files of its own; what it finds committed stays whole."""
+    first = op._store(f"file://{tmp_path}", "part-000000-000000", b"one")
+    second = op._store(f"file://{tmp_path}", "part-000000-000000", b"two")
+    assert first != second and op.load(first) == b"one" and op.load(second) == b"two"
+
+
+def test_query_fails_on_a_damaged_archive(spark, sf_dir, monkeypatch):
+    from factloom.llm import queries
+
+    monkeypatch.setattr(queries.warc, "write_archives", _cut(queries.warc.write_archives))
+    with pytest.raises(Exception, match="unreadable part of an archive"):
+        queries.QUERIES["op10_warc"](spark, sf_dir).count()
+
+
+def _cut(write):
+    def run(pages, folder, *args):
+        written = [(r.archive,) for r in write(pages, folder, *args).collect()]
+        paths = pages.sparkSession.createDataFrame(written, "archive string")
+        file = Path(paths.first().archive.removeprefix("file://"))
+        file.write_bytes(file.read_bytes()[:200])
+        return paths
+
+    return run
