@@ -192,11 +192,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, en
     empty result; other columns are ignored.
 
     Pieces (a few numbers each, no ids) are stored and counted, then dealt into
-    groups of about ``group_pieces`` by a hash, so no group grows with the input.
+    groups of about ``group_pieces`` by a hash of their number, so no group grows with
+    the input, whatever rows repeat.
     """
     pieces = materialise(token_pieces(docs, tokenizer, sequence, end_id, id_col, text_col), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
-    shuffled = F.xxhash64("id", "start", "ids_crc32")
+    # Drawn for each stored row, so that equal rows do not meet in one group.
+    shuffled = F.xxhash64(F.monotonically_increasing_id())
     dealt = pieces.withColumn("order", shuffled).withColumn("part", F.pmod("order", F.lit(groups)))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:

@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 from helpers import clashing, documents, rows_of
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from factloom.llm import packing as op
@@ -91,3 +92,11 @@ def test_long_texts_are_cut_at_words(monkeypatch):
     whole = [encoder._ids(text).tolist() for text in texts]
     assert [ids.tolist() for ids in encoder(iter(texts))] == whole
     assert "".join(op.parts_of(texts[3], 50)) == texts[3]
+
+
+def test_equal_rows_are_dealt_over_groups(spark):
+    """A third of all rows are one document: no group grows with it."""
+    rows = [(1, "same words") if i % 3 == 0 else (i, f"word {i}") for i in range(3000)]
+    packed = op.pack_documents(documents(spark, rows).repartition(4), PATH, group_pieces=100)
+    sizes = [r["n"] for r in packed.groupBy(F.shiftright("sequence_id", 32).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 200
