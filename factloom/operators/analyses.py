@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators.merge import KEY, surviving_rows
-from factloom.operators.skew import key_lookup
+from factloom.operators.merge import KEY
+from factloom.operators.skew import broadcast_if_small, key_lookup
 from factloom.session import materialise
 
 # Children per returned part of a nested analysis.
 PART_ROWS = 10_000
 
 
-def latest_arrivals(nested: DataFrame, arrival: str = "arrival") -> DataFrame:
+def last_arrivals(nested: DataFrame, arrival: str = "arrival") -> DataFrame:
+    """Key and number of the last arrival of every analysis."""
+    return nested.groupBy(*KEY).agg(F.max(arrival).alias(arrival))
+
+
+def latest_arrivals(nested: DataFrame, arrival: str = "arrival", last: DataFrame | None = None) -> DataFrame:
     """Last arrival per (pr_id, repo), as if the batch had been saved row by row.
 
-    The winning arrival numbers are found on key columns alone; the nested rows
-    are then filtered by them and never gathered per key. With the arrival in
-    the join key every key is a single row, so the join cannot be skewed.
+    The winning arrival numbers are found on key columns alone (``last``, if they are
+    stored already); the nested rows are then filtered by them, where they are if the list
+    is small, and never gathered per key. With the arrival in the join key every key is a
+    single row, so the join cannot be skewed.
     """
-    last = nested.groupBy(*KEY).agg(F.max(arrival).alias(arrival))
-    return nested.join(last, [*KEY, arrival], "left_semi")
+    last = materialise(last_arrivals(nested, arrival), "last-arrivals") if last is None else last
+    return nested.join(broadcast_if_small(last), [*KEY, arrival], "left_semi")
 
 
 def validate_analyses(nested: DataFrame) -> DataFrame:
@@ -50,32 +56,14 @@ def validate_analyses(nested: DataFrame) -> DataFrame:
     )
 
 
-def child_ranges(nested: DataFrame, arrival: str, first: dict[str, int]) -> DataFrame:
-    """Where the child ids of every arrival start: key, arrival, fact_id, dep_id.
+# Of the numbers that Spark gives to rows, these are the row's; those above are its partition's.
+ROW_BITS = 33
+# Column of stored children that holds such a number until ids are known.
+ROW = "row_number"
 
-    In the order of arrivals each takes as many ids as it has children, from the ``first``
-    ones on. Arrivals of a sorted partition are summed up together, then the partitions.
-    """
-    row_bits = 33  # of the ids that Spark numbers rows with; the others are the partition
-    lists = {"fact_id": "facts", "dep_id": "dependencies"}
-    sizes = [F.max(F.coalesce(F.size(name), F.lit(0))).alias(id_) for id_, name in lists.items()]
-    sizes = nested.groupBy(*KEY, arrival).agg(*sizes)
-    sizes = sizes.withColumns({id_: F.greatest(F.col(id_), F.lit(0)).cast("long") for id_ in lists})
-    listed = sizes.orderBy(arrival, *KEY).withColumn("__row", F.monotonically_increasing_id())
-    listed = materialise(listed.withColumn("__part", F.shiftright("__row", row_bits)), "child-counts")
-    until = Window.orderBy("__part")
-    parts = listed.groupBy("__part").agg(*[F.sum(id_).alias(id_) for id_ in lists])
-    # One row per partition of the sort.
-    starts = parts.select("__part", *[(F.sum(id_).over(until) - F.col(id_)).alias(f"__{id_}") for id_ in lists])
-    inside = Window.partitionBy("__part").orderBy("__row")
-    found = [
-        (F.col(f"__{id_}") + F.sum(id_).over(inside) - F.col(id_) + F.lit(first[id_])).alias(id_) for id_ in lists
-    ]
-    return materialise(listed.join(F.broadcast(starts), "__part").select(*KEY, arrival, *found), "child-ranges")
-
-
-def flatten(nested: DataFrame, arrival: str = "arrival", first: dict[str, int] | None = None) -> dict[str, DataFrame]:
-    """Table rows of nested analyses, child ids counted on from ``first``. Saving drops ``triggered_by``."""
+
+def children(nested: DataFrame) -> dict[str, DataFrame]:
+    """Table rows of nested analyses without ids. Saving drops ``triggered_by``."""
     analyses = nested.select(
         *KEY,
         F.try_to_timestamp("timestamp").alias("ts"),
@@ -84,22 +72,53 @@ def flatten(nested: DataFrame, arrival: str = "arrival", first: dict[str, int] |
         F.col("change.kind").alias("kinds"),
         F.lit(None).cast("string").alias("triggered_by"),
     )
-    ranges = child_ranges(nested, arrival, first or {"fact_id": 0, "dep_id": 0})
-    nested = key_lookup(nested, ranges, [*KEY, arrival], "left", arrival)
-    facts = nested.select(*KEY, "fact_id", F.posexplode("facts").alias("place", "f")).select(
-        (F.col("fact_id") + F.col("place")).alias("fact_id"), *KEY,
+    facts = nested.select(*KEY, F.explode("facts").alias("f")).select(
+        *KEY,
         "f.category", "f.summary", "f.detail", "f.confidence",
         F.coalesce("f.source", F.lit("ai")).alias("source"),
         F.coalesce("f.files", F.array().cast("array<string>")).alias("source_files"),
         F.coalesce("f.symbols", F.array().cast("array<string>")).alias("symbols"),
         F.coalesce(F.to_json("f.symbols"), F.lit("[]")).alias("symbols_text"),
     )
-    edges = nested.select(*KEY, "dep_id", F.posexplode("dependencies").alias("place", "d")).select(
-        (F.col("dep_id") + F.col("place")).alias("dep_id"), *KEY, "d.from_component", "d.to_component", "d.relation"
+    edges = nested.select(*KEY, F.explode("dependencies").alias("d")).select(
+        *KEY, "d.from_component", "d.to_component", "d.relation"
     )
     return {"pr_analyses": analyses, "facts": facts, "dependencies": edges}
 
 
+def id_starts(stored: DataFrame, first: int) -> tuple[list[tuple[int, int]], int]:
+    """Where the ids of every partition start, counted on from ``first``, and the next free one.
+
+    ``stored`` rows have their number in ROW. Ids are a sum over the partitions that wrote
+    the rows, one small row each; the rows themselves are neither sorted nor joined.
+    """
+    part = F.shiftright(ROW, ROW_BITS).alias("part")
+    starts = []
+    for row in stored.groupBy(part).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():
+        starts.append((row["part"], first))
+        first += row["n"]
+    return starts, first
+
+
+def row_ids(start: Column) -> Column:
+    """The id of a stored row from its partition's start."""
+    return start + F.col(ROW).bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+
+
+def flatten(nested: DataFrame, first: dict[str, int] | None = None) -> dict[str, DataFrame]:
+    """Table rows of nested analyses, child ids counted on from ``first``."""
+    first = first or {}
+    out = children(nested)
+    for name, id_ in (("facts", "fact_id"), ("dependencies", "dep_id")):
+        stored = materialise(out[name].withColumn(ROW, F.monotonically_increasing_id()), "children")
+        starts, _ = id_starts(stored, first.get(id_, 0))
+        listed = F.broadcast(nested.sparkSession.createDataFrame(starts, "part long, start long"))
+        placed = stored.join(listed, F.shiftright(ROW, ROW_BITS) == F.col("part"))
+        columns = [column for column in stored.columns if column != ROW]
+        out[name] = placed.select(row_ids(F.col("start")).alias(id_), *columns)
+    return out
+
+
 def replace_analyses(store: dict[str, DataFrame], nested: DataFrame, arrival: str = "arrival") -> dict[str, DataFrame]:
     """Stored tables after saving a batch of nested analyses.
 
@@ -110,11 +129,12 @@ def replace_analyses(store: dict[str, DataFrame], nested: DataFrame, arrival: st
     for name, id_ in (("facts", "fact_id"), ("dependencies", "dep_id")):
         last = store[name].agg(F.max(id_)).first()[0]
         first[id_] = 0 if last is None else last + 1
-    fresh = flatten(latest_arrivals(nested, arrival), arrival, first)
-    keys = nested.select(*KEY)
+    last = materialise(last_arrivals(nested, arrival), "last-arrivals")
+    fresh = flatten(latest_arrivals(nested, arrival, last), first)
+    keys = last.select(*KEY)
     out = dict(store)
     for name, spread in (("pr_analyses", "pr_id"), ("facts", "fact_id"), ("dependencies", "dep_id")):
-        kept = surviving_rows(store[name], keys, spread)
+        kept = key_lookup(store[name], keys, KEY, "left_anti", spread)
         out[name] = kept.unionByName(fresh[name], allowMissingColumns=True)
     return out
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from factloom.operators.analyses import flatten, latest_arrivals, validate_analyses
+from factloom.operators.analyses import ROW, ROW_BITS, children, id_starts, latest_arrivals, row_ids, validate_analyses
 from factloom.operators.index import (
     TextIndex,
     document_rows,
@@ -28,13 +28,14 @@ from factloom.operators.index import (
     statistics_row,
     vocabulary_rows,
 )
-from factloom.operators.merge import KEY, merge_analyses, merge_children
+from factloom.operators.merge import KEY, last_owner, merge_analyses, merge_children
+from factloom.operators.skew import broadcast_if_small, key_lookup
 from factloom.session import materialise
 from factloom.sources.schemas import NESTED_ANALYSIS
 
 # Arrival numbers must be unique over the life of a stream (a source offset, say).
 ARRIVAL_SCHEMA = T.StructType([*NESTED_ANALYSIS.fields, T.StructField("arrival", T.LongType())])
-INDEX_SHARDS = 64
+INDEX_SHARDS = 16
 # Tables of children and their ids, which are counted on from batch to batch.
 CHILDREN = {"facts": "fact_id", "dependencies": "dep_id"}
 
@@ -44,24 +45,33 @@ class StreamStore:
     spark: SparkSession
     path: str
     indexed: bool = False
+    # Parts of the index; a store keeps the number it was begun with.
+    shards: int = INDEX_SHARDS
 
     def write_batch(self, nested: DataFrame, batch_id: int) -> None:
         """Append one micro-batch of nested analyses; unusable ones go to ``rejects`` with a reason."""
         checked = materialise(validate_analyses(nested), "arrivals")
         self._write(checked.where(F.col("reason").isNotNull()).select(*KEY, "timestamp", "reason"), "rejects", batch_id)
         first = self._next_ids(batch_id)
-        fresh = flatten(latest_arrivals(checked.where(F.col("reason").isNull()).drop("reason")), first=first)
+        fresh = children(latest_arrivals(checked.where(F.col("reason").isNull()).drop("reason")))
+        starts = []
         for name, rows in fresh.items():
-            self._write(rows, name, batch_id)
+            id_ = CHILDREN.get(name)
+            if id_ is None:
+                self._write(rows, name, batch_id)
+                continue
+            self._write(_unnumbered(rows, id_), name, batch_id)
+            found, first[id_] = id_starts(self._stored(name, batch_id), first[id_])
+            starts += [(name, part, start) for part, start in found]
+        # One row per task that wrote children.
+        listed = self.spark.createDataFrame(starts, "name string, part long, start long")
+        self._write(listed.coalesce(1), "starts", batch_id)
         if self.indexed:
-            facts, analyses = self._batch("facts", batch_id), self._batch("pr_analyses", batch_id)
+            facts, analyses = self._batch("facts", batch_id), self._stored("pr_analyses", batch_id)
             self._write(document_rows(facts), "docs", batch_id)
             postings = posting_rows(link_attributes(facts, analyses))
-            postings = postings.withColumn("shard", shard_of(F.col("token"), INDEX_SHARDS))
+            postings = postings.withColumn("shard", shard_of(F.col("token"), self.shards))
             self._write_postings(postings, batch_id)
-        for name, id_ in CHILDREN.items():
-            last = self._batch(name, batch_id).agg(F.max(id_)).first()[0]
-            first[id_] = first[id_] if last is None else last + 1
         self._commit(batch_id, first)
 
     def _commit(self, batch_id: int, next_ids: dict[str, int]) -> None:
@@ -96,9 +106,23 @@ class StreamStore:
         laid = postings.hint("rebalance", "shard").sortWithinPartitions("shard", "token", "fact_id")
         laid.write.mode("overwrite").partitionBy("shard").parquet(f"{self.path}/postings/batch={batch_id}")
 
-    def _batch(self, name: str, batch_id: int) -> DataFrame:
+    def _stored(self, name: str, batch_id: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}/batch={batch_id}")
 
+    def _batch(self, name: str, batch_id: int) -> DataFrame:
+        """One batch of a table of children with their ids."""
+        return self._numbered(self._stored(name, batch_id).withColumn("batch", F.lit(batch_id)), name).drop("batch")
+
+    def _numbered(self, rows: DataFrame, name: str) -> DataFrame:
+        """Ids of children from where those of their batch and partition start; a compact store holds ids as they are."""
+        id_ = CHILDREN.get(name)
+        if ROW not in rows.columns:
+            return rows
+        starts = self.spark.read.schema("name string, part long, start long, batch int").parquet(f"{self.path}/starts")
+        starts = broadcast_if_small(starts.where(F.col("name") == name).drop("name"))
+        placed = rows.withColumn("part", F.shiftright(ROW, ROW_BITS)).join(starts, ["batch", "part"], "left")
+        return placed.withColumn(id_, F.coalesce(id_, row_ids(F.col("start")))).drop(ROW, "part", "start")
+
     def last_batch(self) -> int:
         try:
             done = self.spark.read.parquet(f"{self.path}/commits").agg(F.max("done")).first()[0]
@@ -108,7 +132,7 @@ class StreamStore:
 
     def _log(self, name: str) -> DataFrame:
         """All committed rows of a table with their batch as ``src_ord``."""
-        log = self.spark.read.parquet(f"{self.path}/{name}").where(F.col("batch") <= self.last_batch())
+        log = self._numbered(self.spark.read.parquet(f"{self.path}/{name}"), name).where(F.col("batch") <= self.last_batch())
         return log.withColumn("src_ord", F.col("batch").cast("int")).drop("batch")
 
     def tables(self) -> dict[str, DataFrame]:
@@ -121,10 +145,18 @@ class StreamStore:
         }
 
     def index(self) -> TextIndex:
-        """The index as it stands: postings of replaced facts are filtered out on read."""
-        docs = self._live_docs()
-        postings = self._log("postings").drop("src_ord").join(docs.select("fact_id"), "fact_id", "left_semi")
-        return TextIndex(docs, postings, vocabulary_rows(postings), statistics_row(docs), INDEX_SHARDS)
+        """The index as it stands: postings of replaced facts are filtered out on read.
+
+        Only replaced facts are listed, and only their ids; postings stay where they are as
+        long as that list is small.
+        """
+        docs = self._log("docs")
+        owned = key_lookup(docs, last_owner(self._log("pr_analyses")), KEY, "left", "fact_id")
+        marked = materialise(owned.withColumn("gone", F.coalesce(F.col("src_ord") < F.col("max_ord"), F.lit(False))), "docs")
+        gone = broadcast_if_small(marked.where("gone").select("fact_id"))
+        live = marked.where("NOT gone").select("fact_id", "pr_id", "repo", "doc_len")
+        postings = self._log("postings").drop("src_ord").join(gone, "fact_id", "left_anti")
+        return TextIndex(live, postings, vocabulary_rows(postings), statistics_row(live), self.shards)
 
     def _live_docs(self) -> DataFrame:
         return merge_children(self._log("docs"), self._log("pr_analyses"), "fact_id").drop("src_ord")
@@ -134,17 +166,25 @@ class StreamStore:
 
         It carries the last batch number, so the stream can go on from there.
         """
-        last, other = self.last_batch(), StreamStore(self.spark, path, self.indexed)
+        last, other = self.last_batch(), StreamStore(self.spark, path, self.indexed, self.shards)
         live = self.tables()
         if self.indexed:
             live["docs"] = self._live_docs()
             other._write_postings(self.index().postings, last)
         for name, rows in live.items():
+            if name in CHILDREN:
+                rows = rows.withColumn(ROW, F.lit(None).cast("long"))
             other._write(rows, name, last)
+        other._write(self.spark.createDataFrame([], "name string, part long, start long"), "starts", last)
         other._commit(last, self._next_ids(last + 1))
         return other
 
 
+def _unnumbered(rows: DataFrame, id_: str) -> DataFrame:
+    """Children as they are written: ids follow from the number of each row."""
+    return rows.select(F.lit(None).cast("long").alias(id_), *rows.columns, F.monotonically_increasing_id().alias(ROW))
+
+
 def run_stream(
     arrivals: DataFrame, store: StreamStore, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
