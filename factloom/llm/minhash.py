@@ -42,7 +42,7 @@ PARTS = 256
 # Centres of a bucket in a round: so many times those of the round before.
 CENTRE_GROWTH = 16
 # Words a task remembers the hashes of before it starts anew.
-REMEMBERED_WORDS = 1_000_000
+REMEMBERED_WORDS = 200_000
 
 _BIN_SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 
