@@ -6,6 +6,7 @@ from factloom.functions.text import FOLD_FROM, FOLD_TO, IGNORED_WORDS, component
 from factloom.operators.deps import NOISE_NAMES
 from factloom.plans import queries as q
 from factloom.plans.views import views
+from factloom.sources.snapshots import NO_COPY, OLDER_COPY
 
 ORACLES: dict[str, str] = {}
 
@@ -400,6 +401,13 @@ ORACLES["neardup_ranked"] = f"""
 # --- sources and streams --------------------------------------------------------
 
 ORACLES["scan_snapshots"] = f"WITH {_FACTS} SELECT fact_id, {_SLIM}, array_to_string(symbols, ',') AS symbols FROM kb_facts"
+_LOST = [("release/facts", "unreadable"), ("release", OLDER_COPY), ("none", NO_COPY)]
+ORACLES["scan_sources"] = f"""
+    WITH {views('kb_facts', 'kb_facts_talk', 'kb_facts_page')}
+    SELECT 0 AS src_ord, fact_id, {_SLIM}, array_to_string(symbols, ',') AS symbols FROM kb_facts
+    UNION ALL SELECT 1, fact_id, {_SLIM}, array_to_string(symbols, ',') FROM kb_facts_talk
+    UNION ALL SELECT 2, fact_id, {_SLIM}, '' FROM kb_facts_page
+    """ + " ".join(f"UNION ALL SELECT NULL, NULL, '{path}', NULL, 'reject', NULL, '{why}', NULL, NULL, NULL" for path, why in _LOST)
 _STREAMED = f"""{_UNION_FACTS},
     last AS (SELECT pr_id, repo, arg_max(fact_id % 7, src_ord * 1099511627776 + fact_id) AS turn, max(src_ord) AS src_ord
              FROM facts GROUP BY pr_id, repo),

@@ -598,18 +598,39 @@ def jaccard_pairs(spark, sf):
 # --- sources, sinks, streams ----------------------------------------------------
 
 
+def _listed_facts(tables: dict[str, DataFrame]) -> DataFrame:
+    return _text(tables["facts"], "summary", "detail").select(
+        "src_ord", "fact_id", "pr_id", "repo", "category", "summary", "detail", "confidence", "source",
+        F.array_join("symbols", ",").alias("symbols"),
+    )
+
+
 @query
 def scan_snapshots(spark, sf):
     """Facts written as a snapshot folder and read back from it, with a row for whatever could not be read."""
     folder = scratch_path(spark, "snapshots")
     snapshots.write_folder({"facts": table(spark, sf, "kb_facts")}, folder)
     tables, rejects = snapshots.read_folders(spark, [folder])
-    found = tables["facts"].select(
-        "fact_id", "pr_id", "repo", "category", "summary", "detail", "confidence", "source",
-        F.array_join("symbols", ",").alias("symbols"),
-    )
     lost = rejects.select(F.col("path").alias("pr_id"), F.lit("reject").alias("category"), F.col("error").alias("detail"))
-    return _text(found, "summary", "detail").unionByName(lost, allowMissingColumns=True)
+    return _listed_facts(tables).drop("src_ord").unionByName(lost, allowMissingColumns=True)
+
+
+@query
+def scan_sources(spark, sf):
+    """A local, a release and an object-store folder; the release breaks after a first good reading, one more is not there."""
+    folder, store = scratch_path(spark, "sources"), scratch_path(spark, "copies")
+    for name, place in zip(FACT_SOURCES, ("local", "release", "bucket"), strict=True):
+        snapshots.write_folder({"facts": table(spark, sf, name)}, f"{folder}/{place}")
+    listed = {"local": f"{folder}/local", "releases": f"{folder}/none, {folder}/release", "object_store": f"{folder}/bucket"}
+    snapshots.collect_folders(spark, store, **listed)
+    spark.range(1).select(F.lit("not a table").alias("value")).write.mode("overwrite").text(f"{folder}/release/facts")
+    tables, rejects = snapshots.collect_folders(spark, store, **listed)
+    known = F.col("error").isin(snapshots.OLDER_COPY, snapshots.NO_COPY)
+    lost = rejects.select(
+        F.regexp_extract("path", "sources-[^/]*/(.*)", 1).alias("pr_id"), F.lit("reject").alias("category"),
+        F.when(known, F.col("error")).otherwise("unreadable").alias("detail"),
+    )
+    return _listed_facts(tables).unionByName(lost, allowMissingColumns=True)
 
 
 def _stream(spark, sf, indexed):

@@ -12,6 +12,8 @@ from __future__ import annotations
 import logging
 import sqlite3
 import sys
+import time
+import uuid
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -31,8 +33,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 logger = logging.getLogger(__name__)
 
-# Largest file one task opens in memory; larger ones are reported as rejects.
-MAX_FILE_BYTES = 1 << 30
+# Largest SQLite file: what Spark's reader of whole files can give to a task. Larger ones fail it, so they are rejects.
+MAX_FILE_BYTES = (1 << 31) - 1
 ROWS_PER_BATCH = 5_000
 
 # Columns of each table in a snapshot file, with their types there.
@@ -58,6 +60,7 @@ FILE_COLUMNS = {
 }
 _ALL_COLUMNS = {name: kind for columns in FILE_COLUMNS.values() for name, kind in columns.items()}
 REJECTS = "rejects"
+OLDER_COPY, NO_COPY = "nothing could be read, its last good copy is used", "nothing could be read and there is no copy"
 _ROW_SCHEMA = ", ".join(
     ["source_no int", "path string", "table_name string", "error string"]
     + [f"`{name}` {kind}" for name, kind in _ALL_COLUMNS.items()]
@@ -251,6 +254,68 @@ def read_folders(spark: SparkSession, paths: Sequence[str], kind: str = "parquet
     return tables, reduce(DataFrame.unionByName, rejects)
 
 
+def _copied(spark: SparkSession, path: str, copy: str, kind: str) -> tuple[bool, list[tuple[str, str]]]:
+    """Copy the tables of a snapshot folder as they are; whether any row came, and the tables that could not be read."""
+    found, lost = False, []
+    for name in FILE_COLUMNS:
+        place = f"{path}/{name}"
+        try:
+            # Lines of JSON are copied as lines, so that unreadable ones are reported wherever they are read.
+            rows = spark.read.format("text" if kind == "json" else kind).load(place)
+            rows.write.format("text" if kind == "json" else kind).save(f"{copy}/{name}")
+            found = found or not rows.isEmpty()
+        except (AnalysisException, Py4JJavaError) as error:
+            if not isinstance(error, AnalysisException) or error.getCondition() != "PATH_NOT_FOUND":
+                lost.append((place, str(error).partition("\n\tat ")[0]))
+    return found, lost
+
+
+def _last_good(spark: SparkSession, store: str) -> dict[str, str]:
+    """The folder of the last good copy of every source; one row per source reaches the driver."""
+    try:
+        noted = spark.read.schema("source string, folder string, number long").parquet(f"{store}/manifest")
+    except AnalysisException:
+        return {}
+    return {row["source"]: row["folder"] for row in noted.groupBy("source").agg(F.max_by("folder", "number").alias("folder")).collect()}
+
+
+def collect_folders(
+    spark: SparkSession, store: str, local: str = "", releases: str = "", object_store: str = "", kind: str = "parquet"
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Tables of snapshot folders of all sources, comma-separated lists taken in this fixed order, and rejects.
+
+    ``src_ord`` is the position among the folders that are read: all local ones, and remote
+    ones that gave something now or before. Release and object-store folders are copied below ``store`` before they are read, and a
+    manifest there names the last good copy of each; a source that gives nothing is read
+    from it. A local folder is read where it is and has no copy. Sources fail one by one:
+    whatever could not be read is a reject (path, error), as is the use of an older copy.
+    """
+    known = _last_good(spark, store)
+    used, lost, noted = [], [], []
+    for text, is_remote in ((local, False), (releases, True), (object_store, True)):
+        for path in split_clean(text, ","):
+            if not is_remote:
+                used.append(path)
+                continue
+            copy = f"{store}/copies/{uuid.uuid4().hex}"
+            good, unread = _copied(spark, path, copy, kind)
+            lost += unread
+            if good:
+                noted.append((path, copy))
+                used.append(copy)
+            elif path in known:
+                lost.append((path, OLDER_COPY))
+                used.append(known[path])
+            else:
+                lost.append((path, NO_COPY))
+    if noted:
+        # Written once all copies are whole; later rows of a source win.
+        rows = [(source, folder, time.time_ns()) for source, folder in noted]
+        spark.createDataFrame(rows, "source string, folder string, number long").coalesce(1).write.mode("append").parquet(f"{store}/manifest")
+    tables, rejects = read_folders(spark, used, kind)
+    return tables, rejects.unionByName(spark.createDataFrame(lost, "path string, error string"))
+
+
 def decode_table(rows: DataFrame, name: str) -> DataFrame:
     """File columns to the declared ones: lists decoded, times parsed, ids named."""
     if name == "pr_analyses":

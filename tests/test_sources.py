@@ -3,6 +3,7 @@ from __future__ import annotations
 import sqlite3
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.operators.merge import merge_counts, merge_united
 from factloom.operators.search import search
@@ -127,3 +128,41 @@ def test_too_large_files_are_reported(spark, folder, monkeypatch):
     monkeypatch.setattr(snapshots, "MAX_FILE_BYTES", 10)
     _, rejects = snapshots.land_snapshots(snapshots.collect_sources(spark, local=f"{folder}/a.db"))
     assert "too large" in rejects.first().error
+
+
+@pytest.mark.parametrize("kind", ["parquet", "json"])
+def test_sources_in_order_with_last_good_copies(spark, tmp_path, kind):
+    """Local folders, then releases, then object stores; a remote source that gives nothing is read from its last copy."""
+    schema = "fact_id long, pr_id string, repo string, summary string, symbols array<string>, source_files array<string>"
+
+    def put(name, summary, mode="append"):
+        rows = spark.createDataFrame([(1, name, "r", summary, ["a"], [])], schema)
+        raw = snapshots.align(rows, "facts").select("pr_id", "repo", "summary")
+        raw.write.format(kind).mode(mode).save(f"{tmp_path}/{name}/facts")
+
+    def read():
+        tables, rejects = snapshots.collect_folders(spark, f"{tmp_path}/store", **listed, kind=kind)
+        found = sorted((r.src_ord, r.pr_id, r.summary) for r in tables["facts"].collect())
+        return found, sorted((r.path.removeprefix(f"{tmp_path}/"), r.error) for r in rejects.collect())
+
+    listed = {"local": f"{tmp_path}/here, {tmp_path}/gone", "releases": f"{tmp_path}/one", "object_store": f"{tmp_path}/two,,{tmp_path}/never"}
+    for name in ("here", "one", "two"):
+        put(name, "first")
+    gone = [("never", snapshots.NO_COPY)]
+    # A local folder that is not there takes its place in the order, but gives no rows.
+    assert read() == ([(0, "here", "first"), (2, "one", "first"), (3, "two", "first")], gone)
+    put("two", "second", "overwrite")
+    spark.range(0).select(F.lit("x").alias("value")).write.mode("overwrite").text(f"{tmp_path}/one/facts")
+    found, lost = read()
+    assert found == [(0, "here", "first"), (2, "one", "first"), (3, "two", "second")]
+    assert ("one", snapshots.OLDER_COPY) in lost and gone[0] in lost
+    put("one", "third", "overwrite")
+    assert read() == ([(0, "here", "first"), (2, "one", "third"), (3, "two", "second")], gone)
+
+
+def test_one_broken_table_leaves_the_others(spark, tmp_path):
+    spark.createDataFrame([("P", "r", "fine")], "pr_id string, repo string, summary string").write.parquet(f"{tmp_path}/s/facts")
+    spark.range(1).select(F.lit("no table").alias("value")).write.text(f"{tmp_path}/s/dependencies")
+    tables, rejects = snapshots.collect_folders(spark, f"{tmp_path}/store", releases=f"{tmp_path}/s")
+    assert tables["facts"].first().summary == "fine" and tables["dependencies"].count() == 0
+    assert [r.path for r in rejects.collect()] == [f"{tmp_path}/s/dependencies"]
