@@ -285,10 +285,11 @@ def collect_folders(
     """Tables of snapshot folders of all sources, comma-separated lists taken in this fixed order, and rejects.
 
     ``src_ord`` is the position among the folders that are read: all local ones, and remote
-    ones that gave something now or before. Release and object-store folders are copied below ``store`` before they are read, and a
-    manifest there names the last good copy of each; a source that gives nothing is read
-    from it. A local folder is read where it is and has no copy. Sources fail one by one:
-    whatever could not be read is a reject (path, error), as is the use of an older copy.
+    ones that gave something now or before. Release and object-store folders are copied
+    below ``store`` before they are read, and a manifest there names the last good copy of
+    each; a source that gives nothing is read from it. A local folder is read where it is
+    and has no copy. Sources fail one by one: whatever could not be read is a reject (path,
+    error), as is the use of an older copy.
     """
     known = _last_good(spark, store)
     used, lost, noted = [], [], []
