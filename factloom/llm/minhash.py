@@ -12,8 +12,8 @@ members cannot be linked if what sets them apart from the first centre is too mu
 with A what a member adds to the centre's set and R what it lacks, they differ by
 |A1| + |A2| + ||R1| - |R2|| shingles at least, unless they add a shingle in common.
 Copies of one text with edits of their own are told apart by this without being
-compared. Nor can they be linked if the numbers of their shingles in the parts of the
-hash range differ by too much in all: a shingle of one set alone changes one number by one.
+compared. Nor can they be linked if too many parts of the hash range hold an odd number of
+shingles of one and an even number of the other: each needs a shingle of one set alone.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ BINS = 256
 # Bins of a band, and bands. A pair of similarity 0.8 (0.85) misses all of them once in 3e5 (4e8) times.
 BAND, BANDS = 6, 42
 # Parts of the hash range that shingles are counted in.
-PARTS = 256
+PARTS = 1024
 # Centres of a bucket in a round: so many times those of the round before.
 CENTRE_GROWTH = 16
 # Words a task remembers the hashes of before it starts anew.
@@ -105,16 +105,18 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return _mixed(keys + _BAND_SALT).view(np.int64)
 
 
-def histogram(shingles: np.ndarray) -> np.ndarray:
-    """How many shingles lie in each part of the hash range; larger numbers stay at the largest 16-bit one."""
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether the number of shingles in each part of the hash range is odd, 64 parts to a number."""
     counts = np.bincount((shingles >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64), minlength=PARTS)
-    return np.minimum(counts, np.iinfo(np.int16).max).astype(np.int16)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
 def differing(left: Column, right: Column) -> Column:
-    """By how many shingles two sets differ at least: their histograms differ by no more."""
-    apart = F.zip_with(left, right, lambda a, b: F.abs(a.cast("int") - b))
-    return F.aggregate(apart, F.lit(0), lambda total, x: total + x)
+    """By how many shingles two sets differ at least: each that only one of them has changes the parity of one part."""
+    total = F.lit(0)
+    for i in range(PARTS // 64):
+        total = total + F.bit_count(F.get(left, F.lit(i)).bitwiseXOR(F.get(right, F.lit(i))))
+    return total
 
 
 def set_print(shingles: np.ndarray) -> bytes:
@@ -151,7 +153,7 @@ def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Dat
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """node, n, shingles (binary, sorted) and histogram from node, print, text; rows whose set has another print (hex) are left out."""
+    """node, n, shingles (binary, sorted) and parity from node, print, text; rows whose set has another print (hex) are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
@@ -160,10 +162,10 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
             for node, expected, raw in zip(batch["node"], batch["print"], text_bytes(batch["text"]), strict=True):
                 found = shingle_set(raw, words, shingle)
                 if set_print(found).hex().upper() == expected:
-                    rows.append((node, len(found), found.tobytes(), histogram(found)))
-            yield pd.DataFrame(rows, columns=["node", "n", "shingles", "histogram"], dtype=object)
+                    rows.append((node, len(found), found.tobytes(), parities(found)))
+            yield pd.DataFrame(rows, columns=["node", "n", "shingles", "parity"], dtype=object)
 
-    schema = "node long, n long, shingles binary, histogram array<smallint>"
+    schema = "node long, n long, shingles binary, parity array<long>"
     return texts.select("node", "print", "text").mapInPandas(run, schema)
 
 
@@ -289,7 +291,7 @@ def _components(docs: DataFrame, similar: int, shingle: int, id_col: str, text_c
 
 def _link(shared: DataFrame, known: DataFrame, sets: DataFrame, similar: int) -> DataFrame | None:
     """Labels (node, label) of all nodes with links; None without any. Rounds of stars as described above."""
-    # The first round compares every star; histograms are carried only by what it leaves open.
+    # The first round compares every star; parities are carried only by what it leaves open.
     open_rows = shared.select("bucket", "node").join(known, "node")
     links, compared, labels, centres_of_round = None, None, None, 1
     while True:
@@ -305,7 +307,7 @@ def _link(shared: DataFrame, known: DataFrame, sets: DataFrame, similar: int) ->
         )
         if "label" in open_rows.columns:
             most = differences(F.col("n"), F.col("n_centre"), similar)
-            alike = differing(F.col("histogram"), F.col("centre_histogram")) <= most
+            alike = differing(F.col("parity"), F.col("centre_parity")) <= most
             apart = F.col("adds") + F.col("centre_adds") + F.abs(F.col("lacks") - F.col("centre_lacks"))
             near = F.coalesce((apart <= most) | F.arrays_overlap("added", "centre_added"), F.lit(True))
             pairs = pairs.where((F.col("label") != F.col("centre_label")) & alike & near)
@@ -326,7 +328,7 @@ def _link(shared: DataFrame, known: DataFrame, sets: DataFrame, similar: int) ->
             first = centre.select("bucket", F.col("centre").alias("b"))
             seen = sizes.select(F.col("a").alias("node"), "b", "adds", "lacks", "added")
             rest = rest.select("bucket", "node").join(first, "bucket").join(seen, ["node", "b"], "left").drop("b")
-        rest = rest.select("bucket", "node", "adds", "lacks", "added").join(known, "node").join(sets.select("node", "histogram"), "node")
+        rest = rest.select("bucket", "node", "adds", "lacks", "added").join(known, "node").join(sets.select("node", "parity"), "node")
         if labels is not None:
             rest = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         else:
@@ -340,5 +342,5 @@ def _link(shared: DataFrame, known: DataFrame, sets: DataFrame, similar: int) ->
 
 
 def _named(centres: DataFrame) -> list:
-    later = ("label", "histogram", "adds", "lacks", "added")
+    later = ("label", "parity", "adds", "lacks", "added")
     return [F.col(name).alias(f"centre_{name}") for name in later if name in centres.columns]
