@@ -55,8 +55,8 @@ class MergedStore:
         """
         versions = self._versions()
         number = versions[source] + 1 if source in versions else 0
-        for name in TABLES:
-            rows = align(tables.get(name), name, self.spark).select(*TABLES[name].names)
+        for name in tables.keys() & TABLES.keys():
+            rows = align(tables[name], name, self.spark).select(*TABLES[name].names)
             self._write(rows.withColumn("part", part_of(name, self.parts)), self._place(source, number, name), "overwrite")
         current, rewritten = {**versions, source: number}, {}
         for group in GROUPS:
@@ -73,7 +73,10 @@ class MergedStore:
         found = {}
         for name in TABLES:
             schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in TABLES[name])
-            rows = self.spark.read.schema(f"{schema}, src_ord int, part int").parquet(f"{self.path}/merged/{name}")
+            try:
+                rows = self.spark.read.schema(f"{schema}, src_ord int, part int").parquet(f"{self.path}/merged/{name}")
+            except AnalysisException:  # no source has had rows of this table
+                rows = self.spark.createDataFrame([], f"{schema}, src_ord int, part int")
             found[name] = rows.where("src_ord >= 0").drop("part")
         return found
 
@@ -93,15 +96,21 @@ class MergedStore:
         writer = rows.hint("rebalance", "part").write.option("partitionOverwriteMode", "dynamic").mode(mode)
         writer.partitionBy("part").parquet(path)
 
-    def _read(self, source: int, number: int, name: str) -> DataFrame:
+    def _read(self, source: int, number: int, name: str) -> DataFrame | None:
+        """A table of a version; None if the source does not have it."""
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in TABLES[name])
-        return self.spark.read.schema(f"{schema}, part int").parquet(self._place(source, number, name))
+        try:
+            return self.spark.read.schema(f"{schema}, part int").parquet(self._place(source, number, name))
+        except AnalysisException:
+            return None
 
     def _sums(self, source: int, number: int | None, name: str) -> dict[int, tuple]:
         """Count and checksum of every part, one row each."""
         if number is None:
             return {}
         rows = self._read(source, number, name)
+        if rows is None:
+            return {}
         check = F.sum(F.xxhash64(*TABLES[name].names).cast("decimal(20, 0)")).alias("check")
         return {row["part"]: (row["n"], row["check"]) for row in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), check).collect()}
 
@@ -115,11 +124,14 @@ class MergedStore:
     def _merge(self, group: tuple[str, ...], changed: list[int], current: dict[int, int]) -> None:
         united = {}
         for name in group:
-            rows = None
+            rows = align(None, name, self.spark).withColumn("src_ord", F.lit(0))
             for source, number in sorted(current.items()):
-                own = self._read(source, number, name).where(F.col("part").isin(changed))
+                own = self._read(source, number, name)
+                if own is None:
+                    continue
+                own = own.where(F.col("part").isin(changed))
                 own = own.drop("part").withColumn("src_ord", F.lit(source))
-                rows = own if rows is None else rows.unionByName(own)
+                rows = rows.unionByName(own)
             united[name] = rows
         rules = {
             "pr_analyses": lambda rows: merge_analyses(rows),

@@ -309,6 +309,11 @@ ORACLES["merge_facts"] = f"""
                AND 1 PRECEDING), 0) - low AS shift FROM spans)
     SELECT CAST(fact_id + shift AS BIGINT) AS fact_id, CAST(src_ord AS INT) AS src_ord, {_SLIM}
     FROM kept JOIN shifts USING (src_ord)"""
+_RENEWED = _SLIM.replace("md5(summary)", "md5(CASE src_ord WHEN 1 THEN concat('renewed ', summary) ELSE summary END)")
+ORACLES["merge_changed_source"] = f"""
+    WITH {_WITH_ALL}, owner AS (SELECT pr_id, repo, max(src_ord) AS m FROM analyses GROUP BY pr_id, repo)
+    SELECT CAST(src_ord AS INT) AS src_ord, fact_id, {_RENEWED}
+    FROM facts LEFT JOIN owner USING (pr_id, repo) WHERE m IS NULL OR src_ord >= m"""
 ORACLES["replaced_facts_semi"] = f"""
     WITH {views('kb_facts', 'kb_analyses_talk')}
     SELECT fact_id, pr_id, repo FROM kb_facts f

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from factloom.functions.text import word_set
 from factloom.operators import analyses as nested_ops
 from factloom.operators import catalog, deps, facts, index, merge, neardup, search
+from factloom.operators.upkeep import MergedStore
 from factloom.plans.tools import KnowledgeBase
 from factloom.plans.views import table
 from factloom.session import scratch_path
@@ -493,6 +494,19 @@ def merge_repo_dependencies_by_import(spark, sf):
     return merged.select("from_repo", "to_repo", "raw_import", "relation", "src_ord")
 
 
+@query
+def merge_changed_source(spark, sf):
+    """Three sources in a merged store, of which the second comes again with other summaries."""
+    store = MergedStore(spark, scratch_path(spark, "merged"))
+    for i, (facts_name, analyses_name) in enumerate(zip(FACT_SOURCES, ANALYSIS_SOURCES, strict=True)):
+        store.put(i, {"facts": table(spark, sf, facts_name), "pr_analyses": table(spark, sf, analyses_name)})
+    renewed = table(spark, sf, FACT_SOURCES[1]).withColumn("summary", F.concat(F.lit("renewed "), "summary"))
+    store.put(1, {"facts": renewed, "pr_analyses": table(spark, sf, ANALYSIS_SOURCES[1])})
+    return _text(store.tables()["facts"], "summary", "detail").select(
+        "src_ord", "fact_id", "pr_id", "repo", "category", "summary", "detail", "confidence", "source"
+    )
+
+
 @query
 def merge_counts(spark, sf):
     return merge.merge_counts(_facts(spark, sf))
