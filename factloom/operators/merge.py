@@ -60,11 +60,6 @@ def replaced_rows(rows: DataFrame, incoming: DataFrame, id_column: str) -> DataF
     return key_lookup(rows, incoming.select(*KEY).distinct(), KEY, "left_semi", id_column)
 
 
-def surviving_rows(rows: DataFrame, incoming: DataFrame, id_column: str) -> DataFrame:
-    """Rows that an incoming set of analyses leaves in place."""
-    return key_lookup(rows, incoming.select(*KEY).distinct(), KEY, "left_anti", id_column)
-
-
 def merge_summaries(summaries: DataFrame) -> DataFrame:
     """Last source wins per repository, whatever ``updated_at`` says."""
     return summaries.groupBy("repo").agg(
