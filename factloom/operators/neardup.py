@@ -81,6 +81,7 @@ class Collapse:
     kept: DataFrame  # (group, id): surviving rows with words
     prefix: DataFrame  # (block, id, size, place)
     has_empty: bool
+    counts: DataFrame  # (block, __n): the order of words that all prefixes follow
 
     def survivors(self) -> DataFrame:
         """Kept rows, and all rows without words."""
@@ -93,20 +94,25 @@ def _prefix_length(size: Column) -> Column:
     return size - F.floor(size * NUM / DEN).cast("int")
 
 
-def _prefixes(sets: DataFrame, rows_per_split: int) -> DataFrame:
+def _word_rows(sets: DataFrame) -> DataFrame:
+    return sets.select("id", "size", "group", F.explode("words").alias("word")).select(
+        "id", "size", F.xxhash64("group", "word").alias("block")
+    )
+
+
+def _prefixes(sets: DataFrame, counts: DataFrame, rows_per_split: int, own_counts: bool = False) -> DataFrame:
     """The blocks of each set: its rarest words, enough that any two similar sets share one.
 
     A set of size s overlaps a similar one in more than 3s/4 words, so it must
     share one of its first s - floor(3s/4) words in any order common to all;
     rare words first keeps the blocks small. A block is the hash of group and
-    word: two words that collide only add candidates, which are verified anyway.
+    word: two words that collide only add candidates, which are verified anyway. A word
+    that ``counts`` do not know comes first; ``own_counts`` says that they count these sets.
     """
-    words = sets.select("id", "size", "group", F.explode("words").alias("word")).select(
-        "id", "size", F.xxhash64("group", "word").alias("block")
-    )
-    counts = materialise(words.groupBy("block").agg(F.count(F.lit(1)).alias("__n")), "counts")
-    counted = salted_lookup(words, counts, ["block"], "inner", "id", rows_per_split, counts)
-    ordered = counted.groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("__n", "block"))).alias("words"))
+    words = _word_rows(sets)
+    counted = salted_lookup(words, counts, ["block"], "left", "id", rows_per_split, counts if own_counts else None)
+    place = F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "block")
+    ordered = counted.groupBy("id", "size").agg(F.sort_array(F.collect_list(place)).alias("words"))
     shown = F.slice(F.col("words.block"), F.lit(1), _prefix_length(F.col("size")))
     return ordered.select("id", "size", F.posexplode(shown).alias("place", "block"))
 
@@ -176,17 +182,67 @@ def collapse_table(
     comparison per row. Each round decides at least the first undecided row of
     every group; the front grows until nothing is undecided.
     """
+    worded, stored = _word_sets(rows, group, row_id, text, ignored)
+    has_empty = not stored.where("size = 0").isEmpty()
+    sets = stored.where("size > 0")
+    large = sets.where(F.col("size") >= SMALLEST_PARTNER)
+    counts = materialise(_word_rows(large).groupBy("block").agg(F.count(F.lit(1)).alias("__n")), "counts")
+    prefix = materialise(_prefixes(large, counts, rows_per_split, own_counts=True), "prefix")
+    kept = _decided(prefix, sets, rows_per_split, first_front)
+    return Collapse(worded, sets, _kept_sets(sets, kept), prefix, has_empty, counts)
+
+
+def extend_collapse(
+    result: Collapse,
+    rows: DataFrame,
+    group: str = "repo",
+    row_id: str = "fact_id",
+    text: str = "summary",
+    ignored: tuple[str, ...] = IGNORED_WORDS,
+    rows_per_split: int = ROWS_PER_SPLIT,
+    first_front: int = FIRST_FRONT,
+) -> Collapse:
+    """The collapse after further rows, whose ids lie above all earlier ones.
+
+    What was decided stays: no row depends on later ones. New word sets that are known
+    already are copies. The others meet kept rows in the stored prefix blocks, and those
+    left are decided among themselves. Earlier rows never meet each other again, and the
+    order of words, on which prefixes rest, stays that of the first rows.
+    """
+    worded, stored = _word_sets(rows, group, row_id, text, ignored)
+    has_empty = result.has_empty or not stored.where("size = 0").isEmpty()
+    known = result.sets.select("group", "words")
+    fresh = materialise(stored.where("size > 0").join(known, ["group", "words"], "left_anti"), "new-sets")
+    prefix = materialise(_prefixes(fresh.where(F.col("size") >= SMALLEST_PARTNER), result.counts, rows_per_split), "prefix")
+    sets = result.sets.unionByName(fresh)
+    leaders = result.prefix.join(result.kept.select("id"), "id", "left_semi")
+    repeats = materialise(_star(leaders, prefix, sets, rows_per_split).select(F.col("b").alias("id")).distinct(), "repeats")
+    kept = _decided(materialise(prefix.join(repeats, "id", "left_anti"), "undecided"), fresh, rows_per_split, first_front)
+    return Collapse(
+        result.rows.unionByName(worded), sets, result.kept.unionByName(_kept_sets(fresh, kept)),
+        result.prefix.unionByName(prefix), has_empty, result.counts,
+    )
+
+
+def _word_sets(rows: DataFrame, group: str, row_id: str, text: str, ignored: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """All rows with their words, and the distinct word sets at their first row."""
     worded = rows.select(
         F.col(group).alias("group"), F.col(row_id).alias("id"), word_set(F.col(text), ignored).alias("words")
     )
-    stored = materialise(
-        worded.groupBy("group", "words").agg(F.min("id").alias("id")).withColumn("size", F.size("words")), "sets"
-    )
-    has_empty = not stored.where("size = 0").isEmpty()
-    sets = stored.where("size > 0")
-    prefix = materialise(_prefixes(sets.where(F.col("size") >= SMALLEST_PARTNER), rows_per_split), "prefix")
+    first = worded.groupBy("group", "words").agg(F.min("id").alias("id")).withColumn("size", F.size("words"))
+    return worded, materialise(first, "sets")
 
-    undecided, front_size, kept = prefix, first_front, None
+
+def _kept_sets(sets: DataFrame, kept: DataFrame | None) -> DataFrame:
+    """(group, id) of the sets that stay: small ones, and those that the rounds have kept."""
+    small = sets.where(F.col("size") < SMALLEST_PARTNER).select("group", "id")
+    large = sets.where(F.col("size") >= SMALLEST_PARTNER).select("group", "id")
+    return small if kept is None else small.unionByName(large.join(kept, "id", "left_semi"))
+
+
+def _decided(undecided: DataFrame, sets: DataFrame, rows_per_split: int, front_size: int) -> DataFrame | None:
+    """Ids of the rows that the rounds over a prefix table keep."""
+    kept = None
     while not undecided.isEmpty():
         place = F.row_number().over(Window.partitionBy("block").orderBy("id"))
         front = undecided.withColumn("__place", place).where(F.col("__place") <= front_size).drop("__place")
@@ -210,10 +266,7 @@ def collapse_table(
             others = materialise(others.join(dropped, "id", "left_anti"), "undecided")
         undecided = others
         front_size = min(front_size * FRONT_GROWTH, MAX_FRONT)
-    small = sets.where(F.col("size") < SMALLEST_PARTNER).select("group", "id")
-    large = sets.where(F.col("size") >= SMALLEST_PARTNER).select("group", "id")
-    survivors = small if kept is None else small.unionByName(large.join(kept, "id", "left_semi"))
-    return Collapse(worded, sets, survivors, prefix, has_empty)
+    return kept
 
 
 def first_matches(result: Collapse, rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:

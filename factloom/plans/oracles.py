@@ -393,6 +393,12 @@ for _name, _group in (("neardup_table", "lang"), ("neardup_by_repo", "source")):
     ORACLES[_name] = f"""
     WITH RECURSIVE {_documents(_group)}
     SELECT grp AS {_group}, id AS doc_id FROM src WHERE id NOT IN (SELECT id FROM dropped)"""
+_ARRIVING = f"""SELECT lang AS grp, doc_id AS id, {_word_list('text')} AS words FROM documents UNION ALL
+    SELECT CASE turn % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END,
+           conv_id * 1000 + turn + {q.SECOND_IDS}, {_word_list('text')} FROM conversations"""
+ORACLES["neardup_arriving"] = f"""
+    WITH RECURSIVE {greedy_ctes(_ARRIVING)}
+    SELECT grp AS lang, id AS doc_id FROM src WHERE id NOT IN (SELECT id FROM dropped)"""
 ORACLES["jaccard_pairs"] = f"""
     WITH RECURSIVE {_documents('lang')}
     SELECT grp AS lang, b AS doc_id, min(a) AS kept_id, round(arg_min(jaccard, a), 6) AS jaccard

@@ -599,6 +599,17 @@ def neardup_by_repo(spark, sf):
     return _collapse(spark, sf, "source").survivors().select(F.col("group").alias("source"), F.col("id").alias("doc_id"))
 
 
+@query
+def neardup_arriving(spark, sf):
+    """Documents collapsed per language, then conversation turns as further rows of these languages."""
+    lang = F.element_at(F.array(*map(F.lit, ("en", "fr", "de", "es"))), (F.pmod("turn", F.lit(4)) + 1).cast("int"))
+    turns = table(spark, sf, "conversations").select(
+        lang.alias("lang"), (F.col("conv_id") * 1000 + F.col("turn") + SECOND_IDS).alias("doc_id"), "text"
+    )
+    after = neardup.extend_collapse(_collapse(spark, sf, "lang"), turns, "lang", "doc_id", "text")
+    return after.survivors().select(F.col("group").alias("lang"), F.col("id").alias("doc_id"))
+
+
 @query
 def jaccard_pairs(spark, sf):
     """Every dropped document with the first kept one it repeats, and their overlap."""

@@ -79,3 +79,24 @@ def test_ranked_collapse_equals_greedy_per_query(spark):
     for q in range(3):
         expected = greedy([row[1:] for row in rows if row[0] == q])[0]
         assert sorted(r.place for r in found if r.query_id == q) == expected
+
+
+@pytest.mark.parametrize("cuts", [(700,), (100, 101, 900)])
+def test_arriving_rows_equal_the_whole_table(spark, cuts):
+    """Rows that come later, in one lot or several, meet kept rows only; the result is that of all rows at once."""
+    rows = random_rows(5)
+    kept, matches = greedy(rows)
+    lots = [rows[a:b] for a, b in zip((0, *cuts), (*cuts, len(rows)), strict=True)]
+    frames = [spark.createDataFrame(lot, "g string, id long, t string") for lot in lots]
+    result = neardup.collapse_table(frames[0], "g", "id", "t", first_front=4)
+    for frame in frames[1:]:
+        result = neardup.extend_collapse(result, frame, "g", "id", "t", rows_per_split=50, first_front=4)
+    assert sorted(r.id for r in result.survivors().collect()) == kept
+    assert {r.id: r.kept_id for r in neardup.first_matches(result).collect()} == matches
+
+
+def test_arriving_rows_on_an_empty_table(spark):
+    rows = random_rows(9, groups=4)
+    empty = spark.createDataFrame([], "g string, id long, t string")
+    result = neardup.extend_collapse(neardup.collapse_table(empty, "g", "id", "t"), spark.createDataFrame(rows, empty.schema), "g", "id", "t")
+    assert sorted(r.id for r in result.survivors().collect()) == greedy(rows)[0]
