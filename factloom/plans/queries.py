@@ -497,7 +497,7 @@ def merge_repo_dependencies_by_import(spark, sf):
 @query
 def merge_changed_source(spark, sf):
     """Three sources in a merged store, of which the second comes again with other summaries."""
-    store = MergedStore(spark, scratch_path(spark, "merged"))
+    store = MergedStore(spark, scratch_path(spark, "merged"), parts=16)
     for i, (facts_name, analyses_name) in enumerate(zip(FACT_SOURCES, ANALYSIS_SOURCES, strict=True)):
         store.put(i, {"facts": table(spark, sf, facts_name), "pr_analyses": table(spark, sf, analyses_name)})
     renewed = table(spark, sf, FACT_SOURCES[1]).withColumn("summary", F.concat(F.lit("renewed "), "summary"))
