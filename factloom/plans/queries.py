@@ -14,7 +14,7 @@ from factloom.operators.upkeep import MergedStore
 from factloom.plans.tools import KnowledgeBase
 from factloom.plans.views import table
 from factloom.session import scratch_path
-from factloom.sources import sinks, snapshots
+from factloom.sources import snapshots
 from factloom.sources.schemas import NESTED_ANALYSIS, align
 from factloom.streaming.store import ARRIVAL_SCHEMA, StreamStore, run_stream
 
