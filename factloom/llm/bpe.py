@@ -28,6 +28,8 @@ from factloom.session import materialise_bucketed
 
 # Bytes of text for which there is one bucket of words.
 BUCKET_BYTES = 32 << 20
+# Bytes of text of a chunk: the larger, the fewer words are named by several chunks.
+CHUNK_BYTES = 16 << 20
 # Numbers of words that are put together at one time.
 WORDS_AT_ONCE = 1 << 20
 # Bucket of the row that holds a chunk's documents.
@@ -208,7 +210,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, bucket_bytes: in
     What is stored are compressed word numbers (about a third of the texts) and each
     chunk's distinct words; only these and their ids are shuffled.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, CHUNK_BYTES)
     kind = docs.schema[id_col].dataType.simpleString()
     source = pick(docs, id_col, text_col).toDF("id", "text")
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0

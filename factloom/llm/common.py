@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 # Bytes of text that one Arrow batch may hold. Rows differ in size by a factor
 # of thousands, so batches are bounded by bytes and not by rows alone.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 # Settings of the allocators of Python workers: Arrow by the system's, few arenas, freed ends returned at once.
 WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1048576"}
 
@@ -31,14 +31,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, size: int | None = None) -> None:
     """Set up Python workers.
 
-    Arrow batches end at BATCH_BYTES, so that long rows do not pile up in a worker. Workers
+    Arrow batches end at ``size`` (BATCH_BYTES), so that long rows do not pile up in a worker. Workers
     give memory back that a batch no longer needs, as they live on after their task. They
     find this package where the driver has it, if it is not installed for them.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size or BATCH_BYTES))
     root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     known.update(WORKER_MEMORY)
     paths = known.get("PYTHONPATH", "").split(os.pathsep)

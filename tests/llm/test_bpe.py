@@ -35,7 +35,7 @@ def test_stretches_never_cut_a_pretoken(library):
 @pytest.mark.parametrize(("bucket_bytes", "batch_bytes"), [(1 << 10, 1 << 12), (1 << 30, 1 << 24)])
 def test_encode_and_decode(spark, library, monkeypatch, bucket_bytes, batch_bytes):
     """Equal to the library, with many chunks and buckets or one of each; decoding gives the bytes back."""
-    monkeypatch.setattr("factloom.llm.common.BATCH_BYTES", batch_bytes)
+    monkeypatch.setattr(op, "CHUNK_BYTES", batch_bytes)
     rows = [*ROWS, *[(100 + i, f"word{i % 7} other{i} " * (i % 5)) for i in range(200)]]
     coded = op.encode_documents(clashing(documents(spark, rows)), RANKS, PATTERN, bucket_bytes)
     found = coded.withColumn("back", op.decoded(F.col("ids"), RANKS)).collect()
