@@ -26,6 +26,8 @@ SMALLEST_PARTNER = 4
 # growth per round, and the bound that keeps one block's work small (up to 1000
 # rows per group, Spark cuts a ranked group before its shuffle).
 FIRST_FRONT, FRONT_GROWTH, MAX_FRONT = 32, 4, 1000
+# Most 64-bit parts of the parities of a set; a power of two.
+MAX_PARITY_PARTS = 16
 
 
 def _exceeds(shared: Column, total: Column) -> Column:
@@ -77,7 +79,7 @@ class Collapse:
     """Result of a whole-table collapse, by row id."""
 
     rows: DataFrame  # (group, id, words): the input
-    sets: DataFrame  # (group, id, words, size): distinct word sets at their first row
+    sets: DataFrame  # (group, id, words, size, parities): distinct word sets at their first row
     kept: DataFrame  # (group, id): surviving rows with words
     prefix: DataFrame  # (block, id, size, place)
     has_empty: bool
@@ -133,13 +135,60 @@ def _candidates(joined: DataFrame) -> DataFrame:
     return joined.where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
 
 
+def _parities(words: Column, size: Column) -> Column:
+    """Whether the words of a set fall an odd number of times on each of 64, 128, ... places by hash, 64 places to a number.
+
+    There are at least as many places as words, up to a bound.
+    """
+    parts = F.when(size <= 64, 1)
+    for i in range(1, MAX_PARITY_PARTS.bit_length() - 1):
+        parts = parts.when(size <= 64 << i, 1 << i)
+    parts = parts.otherwise(MAX_PARITY_PARTS)
+    hashes = F.transform(words, lambda word: F.xxhash64(word))
+
+    def flipped(held: Column, value: Column) -> Column:
+        return held.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), value.bitwiseAND(63).cast("int")))
+
+    def part(i: Column) -> Column:
+        own = F.filter(hashes, lambda value: F.shiftright(value, 6).bitwiseAND(parts - 1) == i)
+        return F.aggregate(own, F.lit(0).cast("long"), flipped)
+
+    return F.transform(F.sequence(F.lit(0), parts - 1), part)
+
+
+def _halved(parities: Column) -> Column:
+    """The parities of half as many places."""
+    half = (F.size(parities) / 2).cast("int")
+    return F.zip_with(F.slice(parities, F.lit(1), half), F.slice(parities, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+
+def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs without those that cannot be similar by their parities.
+
+    Every differing parity takes a word that one set has alone, and similar sets have fewer
+    than (DEN - NUM) / (DEN + NUM) of the sum of their sizes of these. Sizes of similar sets
+    are less than a factor of two apart, so their parities are too.
+    """
+    a, b = (sets.select(F.col("id").alias(n), F.col("size").alias(f"size_{n}"), F.col("parities").alias(f"p{n}")) for n in "ab")
+    longer = F.size("pa") - F.size("pb")
+    pa = F.when(longer > 0, _halved(F.col("pa"))).otherwise(F.col("pa"))
+    pb = F.when(longer < 0, _halved(F.col("pb"))).otherwise(F.col("pb"))
+    apart = F.aggregate(
+        F.zip_with(pa, pb, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda n, x: n + x
+    )
+    near = DEN * F.least("size_a", "size_b") > NUM * F.greatest("size_a", "size_b")
+    few = (DEN + NUM) * apart < (DEN - NUM) * (F.col("size_a") + F.col("size_b"))
+    return pairs.join(a, "a").join(b, "b").where(near & few).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs whose full word sets really overlap enough, with both counts.
 
     The candidates are stored first: with their size known, Spark can broadcast
-    a short list to the word sets instead of shuffling those.
+    a short list to the word sets instead of shuffling those. Candidates whose parities
+    differ too much are left out before, so that words travel for few others than matches.
     """
-    pairs = materialise(pairs, "pairs")
+    pairs = materialise(_near(materialise(pairs, "pairs"), sets), "near-pairs")
     left = sets.select(F.col("id").alias("a"), F.col("words").alias("wa"))
     right = sets.select(F.col("id").alias("b"), F.col("words").alias("wb"))
     shared = F.size(F.array_intersect("wa", "wb"))
@@ -230,7 +279,8 @@ def _word_sets(rows: DataFrame, group: str, row_id: str, text: str, ignored: tup
         F.col(group).alias("group"), F.col(row_id).alias("id"), word_set(F.col(text), ignored).alias("words")
     )
     first = worded.groupBy("group", "words").agg(F.min("id").alias("id")).withColumn("size", F.size("words"))
-    return worded, materialise(first, "sets")
+    signed = first.withColumn("parities", _parities(F.col("words"), F.col("size")))
+    return worded, materialise(signed, "sets")
 
 
 def _kept_sets(sets: DataFrame, kept: DataFrame | None) -> DataFrame:

@@ -100,3 +100,21 @@ def test_arriving_rows_on_an_empty_table(spark):
     empty = spark.createDataFrame([], "g string, id long, t string")
     result = neardup.extend_collapse(neardup.collapse_table(empty, "g", "id", "t"), spark.createDataFrame(rows, empty.schema), "g", "id", "t")
     assert sorted(r.id for r in result.survivors().collect()) == greedy(rows)[0]
+
+
+def test_parities_leave_out_far_pairs_and_keep_similar_ones(spark):
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(4000)]
+    texts = []
+    for size in (9, 60, 70, 250, 260, 1000, 1100):
+        words = rnd.sample(base, size)
+        changed = words[: -(size // 8)] + [f"x{size}"]
+        texts += [words, changed, rnd.sample(base, size)]
+    rows = spark.createDataFrame([("g", i, " ".join(words)) for i, words in enumerate(texts)], "repo string, fact_id long, summary string")
+    _, sets = neardup._word_sets(rows, "repo", "fact_id", "summary", ())
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j)]
+    near = {tuple(row) for row in neardup._near(spark.createDataFrame(pairs, "a long, b long"), sets).collect()}
+    similar = {(i, j) for i, j in pairs if 4 * len({*texts[i]} & {*texts[j]}) > 3 * len({*texts[i]} | {*texts[j]})}
+    assert len(similar) >= 6
+    assert similar <= near
+    assert len(near) <= len(similar) + 3
