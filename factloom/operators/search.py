@@ -27,6 +27,9 @@ MULTI_QUERY_ROWS = 70
 # A lookup list up to this length becomes literals of the plan; a longer one is a table that is joined.
 PUSHED_VALUES = 500
 
+# Scores that a task adds up, at most, if every query has words in every fact.
+SUMS_PER_TASK = 1_000_000
+
 # Gains and scores as exact numbers.
 GAIN = "decimal(28, 15)"
 
@@ -341,7 +344,13 @@ def score(
     norm = K1 * (F.lit(1 - B) + F.lit(B) * F.col("doc_len") / F.lit(average or 1.0))
     gain = F.col("mult") * F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + norm)
     fact = ["query_id", "fact_id", "repo", "category", "confidence", "source", "ts"]
-    # Exact numbers: their sum is the same in any order, so gains are combined before the shuffle.
+    if phrases.rows is not None:
+        # The weights are broadcast, so rows dealt by fact here are added up where they are: a
+        # shuffle after this join would carry a row for every query that holds the word.
+        sums = index.size[0] * len({row["query_id"] for row in phrases.rows})
+        parts = max(wanted.sparkSession.sparkContext.defaultParallelism, -(-sums // SUMS_PER_TASK))
+        wanted = wanted.repartition(parts, "fact_id")
+    # Exact numbers: their sum is the same in any order, so gains of long lists are combined before the shuffle.
     gains = wanted.join(weights, "phrase").select(*fact, "grp", "need", gain.cast(GAIN).alias("gain"))
     if phrases.neediest > 1:
         together = (

@@ -312,3 +312,12 @@ def test_substrings_through_the_vocabulary(spark, base, monkeypatch):
     search._facts_with(index.with_grams(base["index"]), needles)
     plan = dict(seen)["facts-with-substrings"]._jdf.queryExecution().executedPlan().toString()
     assert any("shard" in part.split("]")[0] for part in plan.split("PartitionFilters")[1:])
+
+
+def test_scores_are_added_up_without_a_shuffle_per_query(base):
+    many = [word for word in VOCABULARY for _ in range(3)]
+    found = search.score(base["index"], many, stemmed=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(fact_id" in plan
+    assert "hashpartitioning(query_id" not in plan
+    assert found.select("query_id").distinct().count() > len(VOCABULARY)
