@@ -8,8 +8,11 @@ inner nodes hold the largest free capacity below them.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +33,15 @@ REMEMBERED_WORDS = 400_000
 CHARS_AT_ONCE = 1 << 20
 WORDS_AT_ONCE = 4096
 
+# Steps of a tokenizer before its model by which words of Latin letters and ASCII signs are cut alike by PLAIN_PARTS.
+PLAIN_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PLAIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# U+00C0 to U+017F are composed letters but for two; U+0130 is left out, whose lower case is two signs.
+_LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+PLAIN_LETTERS = re.compile(f"[A-Za-z{_LATIN}]+")
+PLAIN_WORD = re.compile(f"[!-~{_LATIN}]+")
+PLAIN_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^0-9a-z{_LATIN}]+")
+
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded long"
 
@@ -40,12 +52,60 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+class PlainWords(dict):
+    """Word -> ids for tokenizers that lower-case words and cut them as PLAIN_SPLIT says; a missing word is encoded.
+
+    Words of Latin letters and ASCII signs are cut here, and only parts that are new (``haus``
+    of ``Haus``, ``haus,`` and ``(haus)``) go through the model; others go through the whole
+    tokenizer.
+    """
+
+    def __init__(self, tokenizer, encode: Callable[[str], np.ndarray], added: list[str]):
+        self.tokenize, self.encode = tokenizer.model.tokenize, encode
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
+        cut = tokenizer.pre_tokenizer.pre_tokenize_str
+        letters = filter(re.compile(f"[{_LATIN}]").fullmatch, map(chr, range(0xC0, 0x180)))
+        self.as_bytes = {ord(letter): cut(letter)[0][0] for letter in letters}
+
+    def __missing__(self, word: str) -> bytes:
+        if not PLAIN_WORD.fullmatch(word) or self.added.search(word):
+            ids = self.encode(word).tobytes()
+        else:
+            low = word.lower()
+            parts = [low] if PLAIN_LETTERS.fullmatch(low) else PLAIN_PARTS.findall(low)
+            if parts == [word]:
+                found = [token.id for token in self.tokenize(word if word.isascii() else word.translate(self.as_bytes))]
+                ids = struct.pack(f"<{len(found)}I", *found)
+            else:  # a part is a word of its own, and remembered as one
+                ids = b"".join([self[part] for part in parts])
+        self[word] = ids
+        return ids
+
+
+def plain_words(tokenizer, encode: Callable[[str], np.ndarray]) -> PlainWords | None:
+    """The same, if the tokenizer's steps before its model are those that PLAIN_PARTS stands for."""
+    whole = json.loads(tokenizer.to_str())
+    steps, cut, model = whole["normalizer"] or {}, whole["pre_tokenizer"] or {}, whole["model"]
+    split = {"type": "Split", "pattern": {"Regex": PLAIN_SPLIT}, "behavior": "Removed", "invert": True}
+    as_bytes = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    found = [{k: v for k, v in step.items() if k != "trim_offsets"} for step in cut.get("pretokenizers", [])]
+    added = [token["content"] for token in whole["added_tokens"]]
+    known = (
+        steps.get("normalizers") == PLAIN_NORMALIZER and found == [split, as_bytes]
+        and model["type"] == "BPE" and not model.get("dropout")
+        and whole["truncation"] is None and whole["padding"] is None
+        and not any(PLAIN_LETTERS.fullmatch(token) for token in added)
+    )
+    return PlainWords(tokenizer, encode, added) if known else None
+
+
 class WordEncoder:
     """Token ids of texts for tokenizers that drop white space between words.
 
     Spaces and line ends never take part in a token there, so a text may be cut at
-    them; each distinct word is encoded once and remembered. New words go through
-    the tokenizer together, with MARK between them to tell their ids apart.
+    them; each distinct word is encoded once and remembered (see ``PlainWords``). For
+    other tokenizers, new words go through the tokenizer together, with MARK between them
+    to tell their ids apart.
     """
 
     MARK = "\0"
@@ -56,6 +116,9 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.mark_id = self._ids(self.MARK)[0] if len(self._ids(self.MARK)) == 1 else None
+        self.plain = plain_words(self.tokenizer, self._ids)
+        if self.plain is not None:
+            self.known = self.plain
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -78,7 +141,8 @@ class WordEncoder:
         cut = [text.replace("\n", " ").split(" ") for text in texts]
         if len(self.known) > REMEMBERED_WORDS:
             self.known.clear()
-        self._learn(list(set().union(*cut).difference(self.known)))
+        if self.plain is None:
+            self._learn(list(set().union(*cut).difference(self.known)))
         look = self.known.__getitem__
         return (b"".join(map(look, words)) for words in cut)
 

@@ -29,6 +29,22 @@ def first_fit(lengths, capacity):
     return out
 
 
+def test_words_are_cut_like_the_tokenizer_does_and_share_their_parts():
+    signs = ["'s", "'LL", "<|endoftext|>", "ß", "É", "ÿ", "Ÿ", "ſ", "×", "İ", "e\u0301", "Σ", "Ⅷ", "ﬁ", "\u212a", "\x00", "\x1f", "\x85", "1", "½"]
+    draw = np.random.default_rng(7)
+    letters = [chr(c) for c in range(0x21, 0x250) if not chr(c).isspace()] + signs * 30
+    words = ["".join(draw.choice(letters, n)) for n in draw.integers(1, 8, 4000)] + letters
+    encode = op.WordEncoder(PATH)
+    wanted = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(words, add_special_tokens=False)]
+    assert [ids.tolist() for ids in encode(words)] == wanted
+
+    encode, seen = op.WordEncoder(PATH), []
+    model = encode.plain.tokenize
+    encode.plain.tokenize = lambda part: seen.append(part) or model(part)
+    list(encode(["Haus, haus. (haus)", "HAUS! haus"]))
+    assert seen.count("haus") == 1 and len(seen) == 6
+
+
 def test_tournament_tree_is_first_fit_decreasing():
     draw = np.random.default_rng(4)
     for count in (1, 2, 3, 7, 64, 65, 500):
