@@ -24,6 +24,8 @@ IGNORED_WORDS = (
 )
 
 TOKEN_PATTERN = r"[\p{L}\p{N}\p{Co}]+"
+# The same in a text that is not folded, where dropped marks stand inside a token.
+UNFOLDED_TOKEN_PATTERN = rf"[\p{{L}}\p{{N}}\p{{Co}}][\p{{L}}\p{{N}}\p{{Co}}{DROPPED_MARKS}]*"
 WORD_PATTERN = "[a-z0-9_]+"
 
 
@@ -54,6 +56,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
+def token_count(text: Column) -> Column:
+    """How many index tokens a text has; folding changes none into another number."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(UNFOLDED_TOKEN_PATTERN))
+
+
 def query_tokens(word: str) -> list[str]:
     """The same tokens for one query word, on the driver."""
     out, run = [], []

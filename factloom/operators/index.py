@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.porter import stem_udf
-from factloom.functions.text import tokens
+from factloom.functions.text import token_count, tokens
 from factloom.operators.grams import gram_rows
 from factloom.operators.skew import broadcast_if_small, key_lookup
 from factloom.session import materialise, scratch_path
@@ -79,7 +79,7 @@ def link_attributes(facts: DataFrame, analyses: DataFrame) -> DataFrame:
 
 def document_rows(facts: DataFrame) -> DataFrame:
     """Key and token count of every fact, also of empty ones."""
-    length = sum(F.size(tokens(F.col(name))) for name in COLUMN_WEIGHTS)
+    length = sum(token_count(F.col(name)) for name in COLUMN_WEIGHTS)
     return facts.select("fact_id", "pr_id", "repo", length.cast("long").alias("doc_len"))
 
 

@@ -83,3 +83,10 @@ def test_small_helpers(spark):
     assert text.split_clean(" a ;; b;", ";") == ["a", "b"]
     assert (text.clamp(0, 1, 100), text.clamp(500, 1, 100)) == (1, 100)
     assert column(spark, ['["a"]', "", None], text.json_list(F.col("t"))) == [["a"], [], []]
+
+
+def test_tokens_are_counted_without_folding(spark):
+    signs = [chr(c) for c in range(1, 0x11000) if not 0xD800 <= c < 0xE000]
+    rows = [(f"a{c}b {c} {c}c d{c}",) for c in signs] + [("",), (None,), ("a\u0301\u0308b \u0301 c",)]
+    df = spark.createDataFrame(rows, "text string")
+    assert df.where(text.token_count(F.col("text")) != F.size(text.tokens(F.col("text")))).collect() == []
