@@ -50,20 +50,26 @@ def component_impact_batch(
     """The same for a table of components (column ``component``) of any size, or a short list of them.
 
     An edge appears once per component it touches. Distinct stems meet distinct endpoints
-    by their rarest gram, and edges come back by endpoint; an empty stem (as that of
-    ``.env``) touches every edge. Null components touch none.
+    by their rarest gram, and edges come back by endpoint; where both endpoints hold a stem,
+    the first one counts, so nothing has to be made distinct after the join. An empty stem
+    (as that of ``.env``) touches every edge. Null components touch none.
     """
     if not isinstance(components, DataFrame):
         spark = dependencies.sparkSession
         components = spark.createDataFrame([(name,) for name in components], "component string")
     stems = components.select("component", ascii_lower(component_stem_col(F.col("component"))).alias("needle"))
     stems = materialise(stems.where(F.col("component").isNotNull()).distinct(), "components")
-    edges = _without_noise(dependencies, noise).select(*EDGE_COLUMNS).distinct()
-    ends = F.array_compact(F.array_distinct(F.array(ascii_lower(F.col("from_component")), ascii_lower(F.col("to_component")))))
-    touched = edges.select(*EDGE_COLUMNS, F.explode(ends).alias("value"))
+    edges = materialise(_without_noise(dependencies, noise).select(*EDGE_COLUMNS).distinct(), "edges")
+    first, second = ascii_lower(F.col("from_component")), ascii_lower(F.col("to_component"))
+    ends = F.array(
+        F.struct(first.alias("value"), F.lit(None).cast("string").alias("other")),
+        F.struct(second.alias("value"), first.alias("other")),
+    )
+    touched = edges.select(*EDGE_COLUMNS, F.inline(ends)).where(F.col("value").isNotNull())
     pairs = containing(stems.select("needle"), touched.select("value").distinct())
-    by_end = materialise(stems.join(pairs, "needle").select("component", "value"), "touched")
-    hits = key_lookup(touched, by_end, ["value"], "inner", "pr_id").select("component", *EDGE_COLUMNS).distinct()
+    by_end = materialise(stems.join(pairs, "needle").select("component", "needle", "value"), "touched")
+    found = key_lookup(touched, by_end, ["value"], "inner", "pr_id")
+    hits = found.where(F.col("other").isNull() | ~F.col("other").contains(F.col("needle"))).select("component", *EDGE_COLUMNS)
     every = stems.where("needle = ''").select("component", F.lit(True).alias("any"))
     if not every.take(1):
         return hits
