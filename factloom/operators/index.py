@@ -263,7 +263,7 @@ def update_index(
         grams = index.grams.unionByName(materialise(gram_rows(added_words), "added-grams")).distinct()
     return TextIndex(
         index.docs.join(out, "fact_id", "left_anti").unionByName(segment.docs),
-        index.postings.join(out, "fact_id", "left_anti").unionByName(segment.postings),
+        index.postings.join(hashed(out, gone), "fact_id", "left_anti").unionByName(segment.postings),
         index.vocab.unionByName(segment.vocab).distinct(),
         materialise(stats, "stats"),
         index.shards,
@@ -272,13 +272,26 @@ def update_index(
     )
 
 
+def hashed(out: DataFrame, gone: DataFrame) -> DataFrame:
+    """A list of ids that is not broadcast becomes a hash table per task, so that the rows that meet it are not sorted."""
+    return out if out is not gone else gone.hint("shuffle_hash")
+
+
 def _lost_frequency(index: TextIndex, removed: DataFrame, went: DataFrame) -> DataFrame:
     """(token, df, shard) with negative numbers: the words of facts that leave the index."""
     if {*COLUMN_WEIGHTS, "fact_id"} <= set(removed.columns):
-        texts = removed.dropDuplicates(["fact_id"]).join(went, "fact_id", "left_semi")
-        held = tokenise(texts).select("fact_id", "token").distinct()
+        # Only ids that come several times have rows to choose from; other texts stay where they are, or move once.
+        ids = removed.groupBy("fact_id").agg(F.count(F.lit(1)).alias("rows")).join(went, "fact_id", "left_semi")
+        ids = materialise(ids, "removed-ids")
+        once, repeated = ids.where(F.col("rows") == 1).select("fact_id"), ids.where(F.col("rows") > 1).select("fact_id")
+        texts = removed.select("fact_id", *COLUMN_WEIGHTS).join(hashed(broadcast_if_small(once), once), "fact_id", "left_semi")
+        if repeated.take(1):
+            several = key_lookup(removed.select("fact_id", *COLUMN_WEIGHTS), repeated, ["fact_id"], "left_semi", "fact_id")
+            texts = texts.unionByName(several.dropDuplicates(["fact_id"]))
+        words = F.array_distinct(F.concat(*[tokens(F.col(name)) for name in COLUMN_WEIGHTS]))
+        held = texts.select(F.explode(words).alias("token"))
     else:
-        held = index.postings.join(broadcast_if_small(went), "fact_id", "left_semi").select("fact_id", "token")
+        held = index.postings.join(broadcast_if_small(went), "fact_id", "left_semi").select("token")
     counts = held.groupBy("token").agg((-F.count(F.lit(1))).alias("df"))
     return counts.withColumn("shard", shard_of(F.col("token"), index.shards))
 

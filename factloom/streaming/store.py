@@ -22,6 +22,7 @@ from factloom.operators.analyses import ROW, ROW_BITS, children, id_starts, late
 from factloom.operators.index import (
     TextIndex,
     document_rows,
+    hashed,
     link_attributes,
     posting_rows,
     shard_of,
@@ -153,7 +154,8 @@ class StreamStore:
         docs = self._log("docs")
         owned = key_lookup(docs, last_owner(self._log("pr_analyses")), KEY, "left", "fact_id")
         marked = materialise(owned.withColumn("gone", F.coalesce(F.col("src_ord") < F.col("max_ord"), F.lit(False))), "docs")
-        gone = broadcast_if_small(marked.where("gone").select("fact_id"))
+        listed = marked.where("gone").select("fact_id")
+        gone = hashed(broadcast_if_small(listed), listed)
         live = marked.where("NOT gone").select("fact_id", "pr_id", "repo", "doc_len")
         postings = self._log("postings").drop("src_ord").join(gone, "fact_id", "left_anti")
         return TextIndex(live, postings, vocabulary_rows(postings), statistics_row(live), self.shards)
