@@ -384,6 +384,7 @@ def merge_blocks(blocks: list[list[bytes]]) -> tuple[Entries, np.ndarray]:
         streams.append(([row.tobytes() for row in entries.rows], shared.tolist()))
     begin = np.cumsum([0] + [len(r) for r in runs])
     together = Entries.join(runs)
+    del runs, parts, entries
     order = np.empty(len(together), dtype=np.int64)
     prefixes = np.empty(len(together), dtype=np.int64)
     for i, (stream, place, shared) in enumerate(LoserTree(streams).merged()):
@@ -401,7 +402,9 @@ def trimmed(entries: Entries, again: np.ndarray, leader: np.ndarray) -> Entries:
     out = entries.take(some)
     out.low = needed[some].argmax(axis=1)
     out.high = WINDOW - 1 - needed[some][:, ::-1].argmax(axis=1)
-    out.rows = np.where(_used(out), out.rows, 0)
+    for low in range(0, len(out), BLOCK_ENTRIES):
+        at = np.arange(low, min(low + BLOCK_ENTRIES, len(out)))
+        out.rows[at] = np.where(_used(out.take(at)), out.rows[at], 0)
     return out.sorted()
 
 
@@ -447,12 +450,16 @@ def sorted_runs(texts: DataFrame) -> DataFrame:
             nonlocal number, held, size
             if not held:
                 return
-            entries = Entries.join(held).sorted()
+            entries = Entries.join(held)
+            # What is not needed any more is let go at once: a run takes several times its bytes.
+            held = []
+            entries = entries.sorted()
             again, leader = repeats(entries, common_prefixes(entries.rows))
             spans = covered(entries, again)
             if len(spans):
                 yield spans.assign(run=None, seq=None, n=None, samples=None, block=None)[names]
             rest = trimmed(entries, again, leader)
+            del entries, again, leader
             prefixes = common_prefixes(rest.rows)
             for seq, low in enumerate(range(0, len(rest), BLOCK_ENTRIES)):
                 part = rest.take(np.arange(low, min(low + BLOCK_ENTRIES, len(rest))))
@@ -462,7 +469,7 @@ def sorted_runs(texts: DataFrame) -> DataFrame:
                 yield pd.DataFrame(
                     [(None, None, None, number, seq, len(part), sampled, front_coded(part, own))], columns=names
                 )
-            number, held, size = number + 1, [], 0
+            number, size = number + 1, 0
 
         for batch in batches:
             raws = text_bytes(batch["text"])

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -119,3 +120,18 @@ def test_spans_of_whole_characters():
     assert op.whole_characters(raw, [(0, 2)]) == [(0, 1)]
     assert op.whole_characters(raw, [(2, 4)]) == [(3, 4)]
     assert op.whole_characters(raw, [(1, 3)]) == [(1, 3)] and op.whole_characters(raw, [(2, 3)]) == []
+
+
+def test_what_a_run_passes_on_takes_little_more_than_its_rows():
+    """A long run makes no tables of its full size beside its rows."""
+    count = 30_000
+    rows = np.random.default_rng(3).integers(97, 123, (count, op._WIDTH), dtype=np.uint8)
+    number = np.arange(count, dtype=np.int64)
+    entries = op.Entries(rows, number, number + N, np.full(count, 5), np.full(count, op.WINDOW - 3), np.full(count, N - op.WINDOW + 1))
+    none = np.zeros((count, op.WINDOW), dtype=bool)
+    tracemalloc.start()
+    out = op.trimmed(entries, none, none)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * rows.nbytes
+    assert len(out) == count and not out.rows[~op._used(out)].any() and out.rows[op._used(out)].all()
