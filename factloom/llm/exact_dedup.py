@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bounded_batches, pick, text_bytes
+from factloom.llm.common import bounded_batches, lean, pick, text_bytes
 from factloom.operators.skew import broadcast_if_small, key_lookup
 from factloom.session import materialise
 
@@ -91,6 +91,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, primes=PRIMES, bas
     bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("struct<fp: long, n_bytes: long>")
+    @lean
     def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             raw = text_bytes(texts)

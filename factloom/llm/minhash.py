@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bounded_batches, objects, pick, text_bytes
+from factloom.llm.common import bounded_batches, lean, objects, pick, text_bytes
 from factloom.llm.graph import components
 from factloom.operators.skew import broadcast_if_small, key_lookup
 from factloom.session import materialise
@@ -130,6 +130,7 @@ def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Dat
     """id, sha, n (set size), print, and bands (null for an empty set) of every document."""
     bounded_batches(docs.sparkSession)
 
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
         for batch in batches:
@@ -155,6 +156,7 @@ def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Dat
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     """node, n, shingles (binary, sorted) and parity from node, print, text; rows whose set has another print (hex) are left out."""
 
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
         for batch in batches:

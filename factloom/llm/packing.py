@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bounded_batches, pick
+from factloom.llm.common import bounded_batches, lean, pick
 from factloom.session import materialise
 
 SEQUENCE = 2048
@@ -28,7 +28,7 @@ END_ID = 1
 # Pieces of one group. A group is one task's work: a few MB, whatever the input.
 GROUP_PIECES = 16384
 # Distinct words a task remembers the ids of before it starts anew.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 150_000
 # Characters of texts whose words are held at one time, and new words that go through the tokenizer together, at most.
 CHARS_AT_ONCE = 1 << 20
 WORDS_AT_ONCE = 4096
@@ -187,6 +187,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_
     """Pieces of at most ``sequence`` ids of every document's ids with ``end_id`` at the end."""
     bounded_batches(docs.sparkSession)
 
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = word_encoder(tokenizer)
         names = [part.split()[0] for part in PIECES.split(", ")]

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bounded_batches, pick, text_bytes
+from factloom.llm.common import bounded_batches, lean, pick, text_bytes
 
 STRIDE = 16
 CHUNK = 2 * STRIDE
@@ -271,6 +271,7 @@ def scorer(net: Network):
     """The network as a column function of a text column."""
 
     @F.pandas_udf("double")
+    @lean
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(score_texts(net, text_bytes(texts)))

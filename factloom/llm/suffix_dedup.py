@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bounded_batches, objects, pick, text_bytes
+from factloom.llm.common import bounded_batches, lean, objects, pick, text_bytes
 from factloom.operators.skew import broadcast_if_small, key_lookup
 from factloom.session import materialise
 
@@ -417,6 +417,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, sha, n_bytes and the hashes of the anchors (each twice at most) of every text."""
     bounded_batches(docs.sparkSession)
 
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found, sizes = [], []
@@ -440,6 +441,7 @@ def with_sha(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def sorted_runs(texts: DataFrame) -> DataFrame:
     """Spans found inside runs, and the blocks of what the runs pass on; from node, text, wanted, hot."""
 
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
@@ -507,6 +509,7 @@ def merged_spans(runs: DataFrame) -> DataFrame:
     at = (np.arange(1, ranges) * len(sample)) // ranges
     splitters = spark.sparkContext.broadcast(np.unique(sample[at]) if len(sample) else sample)
 
+    @lean
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["range", "run", "seq", "part"]
         for batch in batches:
