@@ -21,9 +21,12 @@ token is spread over as many files, and written by as many tasks, as it needs.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +51,8 @@ POSTING_SCHEMA = (
 )
 FREQUENCY_SCHEMA = "token string, df long, shard int"
 FACTS_PER_SHARD = 100_000
+# Words of whole facts that are grouped into postings at one time, about.
+WORDS_AT_ONCE = 200_000
 
 
 def shard_of(token: Column, shards: int) -> Column:
@@ -87,47 +92,51 @@ def posting_rows(linked_facts: DataFrame) -> DataFrame:
     """Postings of facts that already carry the ranking attributes.
 
     All occurrences of a fact come from one input row, so they are grouped by
-    token inside that row: sort (token, position) pairs, cut the sorted list
-    where the token changes. Nothing is shuffled or aggregated.
+    token inside the Arrow batch that holds it: words become numbers, (fact, word)
+    pairs are sorted and cut where they change. Nothing is shuffled or aggregated.
+    Rows of about ``WORDS_AT_ONCE`` words are grouped at one time.
     """
-    width = range(len(COLUMN_WEIGHTS))
-    split = linked_facts.select(
-        "fact_id", *ATTRIBUTES, *[tokens(F.col(name)).alias(f"t{i}") for i, name in enumerate(COLUMN_WEIGHTS)]
-    )
-
-    def placed(i: int) -> Column:
-        return F.transform(
-            f"t{i}", lambda t, p: F.struct(t.alias("token"), (p + F.lit(i * COLUMN_SPAN)).alias("position"))
+    width, at_once = range(len(COLUMN_WEIGHTS)), WORDS_AT_ONCE
+    span, names = COLUMN_SPAN, ["fact_id", *ATTRIBUTES]
+    split = linked_facts.select(*names, *[tokens(F.col(name)).alias(f"t{i}") for i, name in enumerate(COLUMN_WEIGHTS)])
+
+    def grouped(rows: pa.RecordBatch, counts: list[np.ndarray]) -> pa.RecordBatch:
+        words = pa.concat_arrays([rows.column(f"t{i}").flatten() for i in width]).dictionary_encode()
+        row = np.concatenate([np.repeat(np.arange(rows.num_rows), n) for n in counts])
+        column = np.repeat(np.arange(len(counts)), [n.sum() for n in counts])
+        place = np.concatenate(
+            [np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + i * span for i, n in enumerate(counts)]
         )
-
-    ordered = split.select(
-        "fact_id", *ATTRIBUTES, sum(F.size(f"t{i}") for i in width).cast("long").alias("doc_len"),
-        F.sort_array(F.concat(*[placed(i) for i in width])).alias("found"),
-    )
-    places = F.when(F.size("found") > 0, F.sequence(F.lit(0), F.size("found") - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-
-    def changes(i: Column) -> Column:
-        return (i == 0) | (F.get("found", i)["token"] != F.get("found", i - 1)["token"])
-
-    cut = ordered.withColumn("starts", F.filter(places, changes))
-
-    def run(start: Column, k: Column) -> Column:
-        end = F.coalesce(F.get("starts", k + 1), F.size("found"))
-        return F.struct(
-            F.get("found", start)["token"].alias("token"),
-            F.slice("found", start + 1, end - start)["position"].alias("positions"),
-        )
-
-    runs = cut.select("fact_id", "doc_len", *ATTRIBUTES, F.inline(F.transform("starts", run)))
-
-    def count_in(i: int) -> Column:
-        return F.size(F.filter("positions", lambda p: F.shiftright(p, COLUMN_SPAN.bit_length() - 1) == i))
-
-    return runs.select(
-        "token", "fact_id", "doc_len", *ATTRIBUTES, *[count_in(i).alias(f"tf{i}") for i in width], "positions"
-    )
+        pair = row * len(words.dictionary) + words.indices.to_numpy(zero_copy_only=False)
+        # Stable, so that the places of a word stay in order.
+        order = np.argsort(pair, kind="stable")
+        pair = pair[order]
+        starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        owner = row[order[starts]]
+        found = {name: rows.column(name).take(pa.array(owner)) for name in names}
+        found["token"] = words.dictionary.take(pa.array(pair[starts] - owner * len(words.dictionary)))
+        found["doc_len"] = pa.array(sum(counts)[owner].astype(np.int64))
+        for i in width:
+            found[f"tf{i}"] = pa.array(np.add.reduceat(column[order] == i, starts, dtype=np.int32))
+        ends = pa.array(np.append(starts, len(pair)).astype(np.int32))
+        found["positions"] = pa.ListArray.from_arrays(ends, pa.array(place[order].astype(np.int32)))
+        return pa.RecordBatch.from_pydict({name: found[name] for name in out})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [np.diff(batch.column(f"t{i}").offsets.to_numpy()).astype(np.int64) for i in width]
+            before = np.concatenate([[0], np.cumsum(sum(counts))])
+            low = 0
+            while low < batch.num_rows:
+                high = max(low + 1, int(np.searchsorted(before, before[low] + at_once, side="right")) - 1)
+                if before[high] > before[low]:
+                    yield grouped(batch.slice(low, high - low), [n[low:high] for n in counts])
+                low = high
+
+    out = ["token", "fact_id", "doc_len", *ATTRIBUTES, *[f"tf{i}" for i in width], "positions"]
+    kinds = {"token": "string", "doc_len": "long", "positions": "array<int>", **{f"tf{i}": "int" for i in width}}
+    kinds |= {name: split.schema[name].dataType.simpleString() for name in names}
+    return split.mapInArrow(run, ", ".join(f"{name} {kinds[name]}" for name in out))
 
 
 def frequency_rows(postings: DataFrame) -> DataFrame:
