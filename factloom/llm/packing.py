@@ -28,7 +28,7 @@ END_ID = 1
 # Pieces of one group. A group is one task's work: a few MB, whatever the input.
 GROUP_PIECES = 16384
 # Distinct words a task remembers the ids of before it starts anew.
-REMEMBERED_WORDS = 150_000
+REMEMBERED_WORDS = 400_000
 # Characters of texts whose words are held at one time, and new words that go through the tokenizer together, at most.
 CHARS_AT_ONCE = 1 << 20
 WORDS_AT_ONCE = 4096
@@ -47,9 +47,9 @@ PACKED = "id long, start long, length long, ids_crc32 long, doc_tokens long, seq
 
 
 @lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
+def word_encoder(path: str, remembered: int) -> WordEncoder:
     """One encoder per Python worker, so that tasks after the first know most words."""
-    return WordEncoder(path)
+    return WordEncoder(path, remembered)
 
 
 class PlainWords(dict):
@@ -110,9 +110,10 @@ class WordEncoder:
 
     MARK = "\0"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
         from tokenizers import Tokenizer
 
+        self.remembered = REMEMBERED_WORDS if remembered is None else remembered
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.mark_id = self._ids(self.MARK)[0] if len(self._ids(self.MARK)) == 1 else None
@@ -139,7 +140,7 @@ class WordEncoder:
 
     def _encoded(self, texts: list[str]) -> Iterator[bytes]:
         cut = [text.replace("\n", " ").split(" ") for text in texts]
-        if len(self.known) > REMEMBERED_WORDS:
+        if len(self.known) > self.remembered:
             self.known.clear()
         if self.plain is None:
             self._learn(list(set().union(*cut).difference(self.known)))
@@ -183,13 +184,13 @@ def cut(doc_id, ids: np.ndarray, sequence: int) -> Iterator[tuple]:
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID,
-                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                 id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED_WORDS) -> DataFrame:
     """Pieces of at most ``sequence`` ids of every document's ids with ``end_id`` at the end."""
     bounded_batches(docs.sparkSession)
 
     @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = word_encoder(tokenizer)
+        encode = word_encoder(tokenizer, remembered)
         names = [part.split()[0] for part in PIECES.split(", ")]
         for batch in batches:
             rows = []
@@ -245,7 +246,8 @@ def pack_group(group: pd.DataFrame, sequence: int) -> pd.DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID,
-                   group_pieces: int = GROUP_PIECES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   group_pieces: int = GROUP_PIECES, id_col: str = "doc_id", text_col: str = "text",
+                   remembered: int = REMEMBERED_WORDS) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded.
 
     A document's ids are those of its whole text and ``end_id``; a null text is empty
@@ -258,9 +260,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, en
 
     Pieces (a few numbers each, no ids) are stored and counted, then dealt into
     groups of about ``group_pieces`` by a hash of their number, so no group grows with
-    the input, whatever rows repeat.
+    the input, whatever rows repeat. A worker remembers the ids of ``remembered`` words, about.
     """
-    pieces = materialise(token_pieces(docs, tokenizer, sequence, end_id, id_col, text_col), "pieces")
+    pieces = materialise(token_pieces(docs, tokenizer, sequence, end_id, id_col, text_col, remembered), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
     # Drawn for each stored row, so that equal rows do not meet in one group.
     shuffled = F.xxhash64(F.monotonically_increasing_id())

@@ -12,6 +12,8 @@ from factloom.operators.skew import broadcast_if_small, key_lookup
 from factloom.session import materialise
 
 QUALITY_THRESHOLD = 0.3
+# Words that packing remembers here: fewer than alone, as executors still hold what the stages before it took.
+REMEMBERED_WORDS = 150_000
 
 
 def positional(docs: DataFrame) -> DataFrame:
@@ -110,4 +112,4 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, placed in sequences; nulls, repeated rows and empty tables as in ``pack_documents``."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED_WORDS)

@@ -116,3 +116,11 @@ def test_equal_rows_are_dealt_over_groups(spark):
     packed = op.pack_documents(documents(spark, rows).repartition(4), PATH, group_pieces=100)
     sizes = [r["n"] for r in packed.groupBy(F.shiftright("sequence_id", 32).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert sum(sizes) == 3000 and max(sizes) < 200
+
+
+def test_few_remembered_words_give_the_same_ids():
+    texts = ["one two three (four) Five", "six two one", "", "three four five six seven"]
+    few = op.WordEncoder(PATH, 2)
+    assert [ids.tolist() for text in texts for ids in few([text])] == [ids.tolist() for ids in op.WordEncoder(PATH)(texts)]
+    few(["x"])
+    assert len(few.known) < 20
