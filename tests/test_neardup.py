@@ -7,6 +7,7 @@ import pytest
 
 from factloom.functions.text import IGNORED_WORDS
 from factloom.operators import neardup
+from factloom.session import materialise
 
 
 def greedy(rows):
@@ -118,3 +119,55 @@ def test_parities_leave_out_far_pairs_and_keep_similar_ones(spark):
     assert len(similar) >= 6
     assert similar <= near
     assert len(near) <= len(similar) + 3
+
+
+def test_sets_of_all_sizes_equal_greedy(spark):
+    """Sets of 4 to 2,000 words with copies that differ about as much as is allowed, more or less; cells are cut."""
+    rnd = random.Random(3)
+    rows = []
+    for size in [4, 5, 7, 9, 20, 33, 60, 65, 130, 260, 500, 700, 1030, 2000] * 3:
+        words = [f"w{rnd.randrange(6000)}" for _ in range(size)]
+        for share in (0, 0.05, 0.12, 0.14, 0.16, 0.3):
+            other = [word if rnd.random() >= share else f"n{rnd.randrange(10**6)}" for word in words]
+            rows.append((f"g{len(rows) % 2}", len(rows), " ".join(other[: len(other) - int(size * rnd.choice([0, 0.1, 0.2]))])))
+    rnd.shuffle(rows)
+    rows = [(group, i, text) for i, (group, _, text) in enumerate(rows)]
+    kept, matches = greedy(rows)
+    assert len(matches) > 30
+    table = spark.createDataFrame(rows, "g string, id long, t string")
+    for per_tile in (20, 1 << 16):
+        result = neardup.collapse_table(table, "g", "id", "t", rows_per_split=per_tile)
+        assert sorted(r.id for r in result.survivors().collect()) == kept
+    assert {r.id: r.kept_id for r in neardup.first_matches(result).collect()} == matches
+
+
+@pytest.fixture
+def stored(monkeypatch):
+    """Rows written by the collapse, by label."""
+    counts = {}
+
+    def counted(df, label):
+        out = materialise(df, label)
+        counts[label] = counts.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "materialise", counted)
+    return counts
+
+
+def test_pairs_that_only_share_rare_words_are_not_stored(spark, stored):
+    """Rows that share words, also their rarest, but no two of which are similar: what is stored grows with the rows alone."""
+    rnd = random.Random(7)
+    rows = [("g", i, " ".join(f"w{word}" for word in rnd.sample(range(200), 40))) for i in range(400)]
+    rows.append(("g", 400, rows[0][2] + " more"))
+    result = neardup.collapse_table(spark.createDataFrame(rows, "g string, id long, t string"), "g", "id", "t")
+    assert sorted(r.id for r in result.survivors().collect()) == list(range(400))
+    assert max(stored.values()) <= 2 * len(rows)
+
+
+def test_near_copies_meet_few_leaders_only(spark, stored):
+    body = [f"word{i}" for i in range(60)]
+    rows = [("g", i, " ".join([*body[: i % 59], *body[i % 59 + 1 :], f"own{i}"])) for i in range(300)]
+    result = neardup.collapse_table(spark.createDataFrame(rows, "g string, id long, t string"), "g", "id", "t")
+    assert [r.id for r in result.survivors().collect()] == [0]
+    assert stored["edges"] <= 10 * len(rows)
