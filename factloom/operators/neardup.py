@@ -627,9 +627,9 @@ def first_matches(result: Collapse, rows_per_split: int = ROWS_PER_SPLIT) -> Dat
         .select("first_id", "m.*")
     )
     own = result.kept.select(F.col("id").alias("first_id"), F.col("id").alias("kept_id"), F.lit(1.0).alias("jaccard"))
-    # Every row finds the first row of its word set; a set may have very many rows.
+    # Every row finds the first row of its word set; a set may have very many rows. The words are found once.
     copies = salted_lookup(
-        result.rows.select("group", "id", _digest().alias("digest")),
+        materialise(result.rows.select("group", "id", _digest().alias("digest")), "digests"),
         result.sets.select("group", F.col("id").alias("first_id"), _digest().alias("digest")),
         ["digest", "group"], "inner", "id", rows_per_split,
     )

@@ -171,3 +171,10 @@ def test_near_copies_meet_few_leaders_only(spark, stored):
     result = neardup.collapse_table(spark.createDataFrame(rows, "g string, id long, t string"), "g", "id", "t")
     assert [r.id for r in result.survivors().collect()] == [0]
     assert stored["edges"] <= 10 * len(rows)
+
+
+def test_words_of_rows_are_found_once_for_their_matches(spark, stored):
+    rows = [("g", i, " ".join(f"w{i % 20}_{j}" for j in range(8))) for i in range(100)]
+    result = neardup.collapse_table(spark.createDataFrame(rows, "g string, id long, t string"), "g", "id", "t")
+    assert {r.id: r.kept_id for r in neardup.first_matches(result).collect()} == {i: i % 20 for i in range(20, 100)}
+    assert stored["digests"] == len(rows)
